@@ -22,6 +22,8 @@ UNIDENTIFIED_NAME = "Mammalia"
 UNIDENTIFIED_COMMON = "unidentified large mammal (model)"
 EXCLUDED_LABELS = ("human", "vehicle", "blank")
 SPECIES_MIN_SCORE = 0.8
+# A capitalised word, a lower-case word and at least one more.
+SUBSPECIES = r"(?s)^\s*(\p{Lu}\S*)\s+([^\s\p{Lu}\p{Lt}]*\p{Ll}[^\s\p{Lu}\p{Lt}]*)\s+\S.*$"
 LABEL_PARTS = ("uuid", "class", "order", "family", "genus", "species", "common_name")
 
 
@@ -32,16 +34,7 @@ def literal_map(values: Mapping[str, str]) -> Column:
 
 def canonical_species(name: Column, synonyms: Mapping[str, str] | None = None) -> Column:
     """Collapse a subspecies to its first two words, then apply the synonyms."""
-    words = F.split(F.trim(name), r"\s+")
-    genus, epithet = F.get(words, F.lit(0)), F.get(words, F.lit(1))
-    subspecies = (
-        (F.size(words) >= 3)
-        & (F.substring(genus, 1, 1) == F.upper(F.substring(genus, 1, 1)))
-        & (F.substring(genus, 1, 1) != F.lower(F.substring(genus, 1, 1)))
-        & (epithet == F.lower(epithet))
-        & (epithet != F.upper(epithet))
-    )
-    base = F.when(subspecies, F.concat_ws(" ", genus, epithet)).otherwise(name)
+    base = F.regexp_replace(name, SUBSPECIES, "$1 $2")
     if synonyms:
         base = F.coalesce(F.try_element_at(literal_map(synonyms), base), base)
     return F.when(F.length(name) > 0, base)

@@ -37,8 +37,7 @@ def cell_species(
 
     Excluded species leave, coarsened ones land in their rule's coarser cell.
     """
-    auto = suppress.auto_sensitive(sightings)
-    ruled = suppress.apply_rules(mappable(sightings), rules, auto, synonyms)
+    ruled = suppress.apply_rules(mappable(sightings), sightings, rules, synonyms)
     placed = ruled.filter(~F.col("action").eqNullSafe("exclude")).withColumn(
         "res", F.when(F.col("action") == "coarsen", F.coalesce("rule_res", F.lit(suppress.AUTO_RES))).otherwise(res)
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from observatory.functions import names
@@ -56,26 +57,56 @@ def name_rules(names_df: DataFrame, rules: DataFrame, auto: DataFrame | None = N
     return out.filter(F.col("rule").isNotNull()).select("park", "name", "rule.action", "rule.rule_res", "rule.why")
 
 
-def apply_rules(
-    sightings: DataFrame, rules: DataFrame, auto: DataFrame | None, synonyms: Mapping[str, str]
+def name_lookup(
+    sightings: DataFrame, rules: DataFrame, synonyms: Mapping[str, str], min_share: float = AUTO_SENSITIVE_SHARE
 ) -> DataFrame:
-    """Add ``species``, ``action``, ``rule_res``: the rule of the canonical name, else of the raw one.
+    """Per distinct (park, raw name): the species and the rule it falls under.
 
-    The rule table is joined once per distinct raw name; rows then meet one
-    small lookup.
+    The rule of the canonical name comes first (listed, then derived from
+    privacy flags), then the raw name's. One aggregation over the sightings
+    yields both the names and their flagged share; everything after it works on
+    that short table.
     """
-    species = names.canonical_species(F.col("scientific_name"), synonyms)
-    raw = sightings.select("park", "scientific_name").filter(F.col("scientific_name").isNotNull()).distinct()
-    raw = raw.withColumn("species", species)
-    both = raw.select("park", F.explode(F.array("species", "scientific_name")).alias("name"))
-    ruled = name_rules(both, rules, auto)
-    by_name = ruled.select("park", "name", F.struct("action", "rule_res", "why").alias("rule"))
-    canon = by_name.select("park", F.col("name").alias("species"), F.col("rule").alias("canon_rule"))
-    own = by_name.select("park", F.col("name").alias("scientific_name"), F.col("rule").alias("raw_rule"))
-    lookup = (
-        raw.join(canon, ["park", "species"], "left")
-        .join(own, ["park", "scientific_name"], "left")
-        .withColumn("rule", F.coalesce("canon_rule", "raw_rule"))
-        .select("park", "scientific_name", "species", "rule.action", "rule.rule_res", "rule.why")
+    flag = F.get_json_object("raw_json", "$.taxon_geoprivacy").isin("obscured", "private")
+    own = F.avg(F.when(F.col("source") == "inaturalist", F.when(flag, 1.0).otherwise(0.0)))
+    stats = (
+        sightings.filter(F.col("scientific_name").isNotNull())
+        .groupBy("park", "scientific_name")
+        .agg(F.coalesce(own >= min_share, F.lit(False)).alias("own_auto"))
+        .withColumn("species", names.canonical_species(F.col("scientific_name"), synonyms))
+    )
+    same = F.when(F.col("scientific_name") == F.col("species"), F.col("own_auto"))
+    stats = stats.withColumn("canon_auto", F.coalesce(F.bool_or(same).over(W.partitionBy("park", "species")), F.lit(False)))
+
+    def tagged(kind: int, column: str) -> Column:
+        return F.transform(_prefixes(F.col(column)), lambda p: F.struct(F.lit(kind).alias("kind"), p.alias("prefix")))
+
+    spelled = stats.withColumn("t", F.explode(F.concat(tagged(0, "species"), tagged(2, "scientific_name"))))
+    hit = F.struct(F.struct(F.col("t.kind").alias("kind"), F.col("ord")).alias("o"), F.struct("action", "rule_res", "why").alias("rule"))
+    found = (
+        spelled.join(rules, F.col("t.prefix") == F.col("rule_name"), "left")
+        .groupBy("park", "scientific_name", "species", "own_auto", "canon_auto")
+        .agg(F.min(F.when(F.col("rule_name").isNotNull(), hit)).alias("h"))
+    )
+    derived = F.struct(
+        F.lit("coarsen").alias("action"), F.lit(AUTO_RES).alias("rule_res"), F.lit("obscured by default").alias("why")
+    )
+    rule = (
+        F.when(F.col("h.o.kind") == 0, F.col("h.rule"))
+        .when(F.col("canon_auto"), derived)
+        .when(F.col("h.o.kind") == 2, F.col("h.rule"))
+        .when(F.col("own_auto"), derived)
     )
-    return sightings.join(lookup, ["park", "scientific_name"])
+    return found.withColumn("rule", rule).select(
+        "park", "scientific_name", "species", "rule.action", "rule.rule_res", "rule.why"
+    )
+
+
+def apply_rules(
+    sightings: DataFrame, everything: DataFrame, rules: DataFrame, synonyms: Mapping[str, str]
+) -> DataFrame:
+    """Add ``species``, ``action``, ``rule_res`` and ``why`` to ``sightings``.
+
+    ``everything`` is the table the privacy share is taken over.
+    """
+    return sightings.join(name_lookup(everything, rules, synonyms), ["park", "scientific_name"])
