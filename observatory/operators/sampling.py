@@ -88,7 +88,8 @@ def _greedy(short: DataFrame, keys: Sequence[str], order: Sequence[str], quota:
     slim = short.select(*columns)
     if keys:
         return slim.groupBy(*keys).applyInPandas(draw, schema)
-    return slim.groupBy(F.lit(1)).applyInPandas(draw, schema)
+    # one list for all corridors: the contenders are a fixed number of rows
+    return slim.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda pdf: draw(pdf.drop(columns="_all")), schema)
 
 
 def _contenders(candidates: DataFrame, keys: Sequence[str], order: Sequence[str], per_band: int, n: int) -> DataFrame:

@@ -400,7 +400,7 @@ def camera_pass(spark, sf):
     corridors = tb.table(spark, sf, "region").select(
         F.concat(F.lit("c"), "r_regionkey").alias("corridor"), F.concat(F.lit("park"), "r_regionkey").alias("park")
     )
-    s = tb.sightings(spark, sf).filter(F.col("scientific_name").isNotNull() | F.lit(True))
+    s = tb.sightings(spark, sf)
     out = report.camera_pass(tb.images(spark, sf), tb.predictions(spark, sf), s, tb.reviews(spark, sf), corridors)
     return out.select(
         "corridor", "park", "images_indexed", "contributors", "frames_scored", "frames_with_animal", "sightings", "named", "status",
@@ -553,8 +553,8 @@ def sample_species(spark, sf):
 @query(
     "sample_shortfalls",
     o(
-        """SELECT corridor, band, coalesce(taken, 0) AS taken, 10 - coalesce(taken, 0) AS short FROM (SELECT DISTINCT corridor FROM walk WHERE took),
-     (SELECT unnest(['0.2-0.5', '0.5-0.8', '0.8-1.0']) AS band) LEFT JOIN (SELECT corridor, band, count(*) AS taken FROM walk WHERE took GROUP BY 1, 2) USING (corridor, band) /* RECURSIVE_STEP */""",
+        """SELECT corridor, band, coalesce(taken, 0) AS taken, 10 - coalesce(taken, 0) AS short FROM (SELECT * FROM (SELECT DISTINCT corridor FROM walk WHERE took),
+     (SELECT unnest(['0.2-0.5', '0.5-0.8', '0.8-1.0']) AS band)) LEFT JOIN (SELECT corridor, band, count(*) AS taken FROM walk WHERE took GROUP BY 1, 2) USING (corridor, band) /* RECURSIVE_STEP */""",
         "boxes", "downloads", extra=_cand_sql(0.2, 42) + ", " + _GREEDY,
     ),
 )
