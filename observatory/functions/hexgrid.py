@@ -19,6 +19,7 @@ EDGE_R9_M = 174.375668
 COS_STD = math.cos(math.radians(45.0))
 FIELD = 1 << 28
 HALF = 1 << 27
+NO_CELL = -1
 
 
 def edge_m(res: int) -> float:
@@ -30,7 +31,11 @@ def edge_col(res: Column) -> Column:
 
 
 def cell_of(lon: Column, lat: Column, res: int | Column = 9) -> Column:
-    """The cell id holding a point; null coordinates give null."""
+    """The cell id holding a point; without coordinates it is ``NO_CELL``.
+
+    Never null on purpose: a nullable join or group key makes the optimizer add
+    a not-null filter, and that filter would evaluate this expression again.
+    """
     edge = F.lit(edge_m(res)) if isinstance(res, int) else edge_col(res)
     x = F.lit(R * COS_STD) * F.radians(lon)
     y = F.lit(R / COS_STD) * F.sin(F.radians(lat))
@@ -43,7 +48,7 @@ def cell_of(lon: Column, lat: Column, res: int | Column = 9) -> Column:
     q = F.when(fix_q, -r0 - s0).otherwise(q0)
     r = F.when(~fix_q & (dr > ds), -q0 - s0).otherwise(r0)
     level = F.lit(res) if isinstance(res, int) else res
-    return _pack(level, q.cast("bigint"), r.cast("bigint"))
+    return F.coalesce(_pack(level, q.cast("bigint"), r.cast("bigint")), F.lit(NO_CELL))
 
 
 def _pack(res: Column, q: Column, r: Column) -> Column:
@@ -70,9 +75,9 @@ def disk(cell: Column, k: int) -> Column:
     return F.transform(F.array(*[F.lit(o).cast("bigint") for o in offsets]), lambda o: cell + o)
 
 
-def _plane(cell: Column) -> tuple[Column, Column, Column]:
+def _plane(cell: Column, res: int | None) -> tuple[Column, Column, Column]:
     q, r = _axial(cell)
-    edge = edge_col(cell_res(cell))
+    edge = edge_col(cell_res(cell)) if res is None else F.lit(edge_m(res))
     x = edge * F.lit(math.sqrt(3.0)) * (q + r / 2.0)
     y = edge * 1.5 * r
     return x, y, edge
@@ -86,15 +91,15 @@ def _to_lat(y: Column) -> Column:
     return F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), y * F.lit(COS_STD / R)))))
 
 
-def center(cell: Column) -> Column:
-    """Centre of a cell as ``struct<lon,lat>``."""
-    x, y, _ = _plane(cell)
+def center(cell: Column, res: int | None = None) -> Column:
+    """Centre of a cell as ``struct<lon,lat>``; pass ``res`` when all cells share it."""
+    x, y, _ = _plane(cell, res)
     return F.struct(_to_lon(x).alias("lon"), _to_lat(y).alias("lat"))
 
 
 def boundary(cell: Column, decimals: int = 5) -> Column:
     """Closed ring of the six corners, rounded half-even."""
-    x, y, edge = _plane(cell)
+    x, y, edge = _plane(cell, None)
     corners = []
     for i in (0, 1, 2, 3, 4, 5, 0):
         angle = math.radians(60.0 * i - 30.0)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from observatory.functions import geo, labels
 from observatory.operators import lines
 from observatory.operators.spatial import nearest
-from observatory.session import materialise
+from observatory.session import Rounds, materialise
 
 # Longest edge, tolerance, speeds and the stop overhead.
 MAX_EDGE_M = 300.0
@@ -168,6 +168,7 @@ def shortest_distances(
     Output: source, node, dist, prev, edge_id, reversed.
     """
     adj = materialise(adjacency(edges, mode), "adjacency")
+    label = ["dist", "prev", "edge_id", "reversed"]
     start = sources.select(F.col("node").alias("source")).distinct().select(
         "source",
         F.col("source").alias("node"),
@@ -176,9 +177,11 @@ def shortest_distances(
         F.lit(None).cast("bigint").alias("edge_id"),
         F.lit(None).cast("boolean").alias("reversed"),
     )
-    best = materialise(start, "distances")
-    frontier = best
+    log = Rounds(edges.sparkSession, "distances")
+    frontier, n = log.add(start)
     for _ in range(max_rounds):
+        if n == 0:
+            break
         offers = frontier.select("source", F.col("node").alias("src"), "dist").join(adj, "src").select(
             "source",
             F.col("dst").alias("node"),
@@ -189,18 +192,14 @@ def shortest_distances(
         )
         if max_distance_m is not None:
             offers = offers.filter(F.col("dist") <= max_distance_m)
-        least = offers.groupBy("source", "node").agg(F.min(F.struct("dist", "prev", "edge_id", "reversed")).alias("o"))
-        least = least.select("source", "node", "o.*")
-        known = best.select("source", "node", F.col("dist").alias("have"))
-        better = least.join(known, ["source", "node"], "left").filter(
-            F.col("have").isNull() | (F.col("dist") < F.col("have"))
-        ).drop("have")
-        frontier = materialise(better, "frontier")
-        if frontier.isEmpty():
-            break
-        kept = best.join(frontier.select("source", "node"), ["source", "node"], "left_anti")
-        best = materialise(kept.unionByName(frontier), "distances")
-    return best
+        # the least new offer and the least known distance come out of one aggregation
+        known = log.read().select("source", "node", "dist", F.lit(None).cast("struct<dist:double,prev:bigint,edge_id:bigint,reversed:boolean>").alias("o"))
+        both = offers.select("source", "node", F.lit(None).cast("double").alias("dist"), F.struct(*label).alias("o")).unionByName(known)
+        least = both.groupBy("source", "node").agg(F.min("dist").alias("have"), F.min("o").alias("o"))
+        better = least.filter(F.col("o").isNotNull() & (F.col("have").isNull() | (F.col("o.dist") < F.col("have"))))
+        frontier, n = log.add(better.select("source", "node", "o.*"))
+    best = log.read().groupBy("source", "node").agg(F.min(F.struct(*label)).alias("o"))
+    return materialise(best.select("source", "node", "o.*"), "distances")
 
 
 def trace_paths(distances: DataFrame, targets: DataFrame, edges: DataFrame, max_rounds: int = 100_000) -> DataFrame:
@@ -211,25 +210,18 @@ def trace_paths(distances: DataFrame, targets: DataFrame, edges: DataFrame, max_
     vertices in travel direction, the vertex shared with the edge before it
     dropped.
     """
-    tree = materialise(distances.filter(F.col("prev").isNotNull()).select("source", "node", "prev", "edge_id", "reversed"), "tree")
+    tree = distances.filter(F.col("prev").isNotNull()).select("source", "node", "prev", "edge_id", "reversed")
+    log = Rounds(edges.sparkSession, "paths")
     at = targets.select("source", "target", F.col("target").alias("node"))
-    parts: list[DataFrame] = []
     for back in range(max_rounds):
-        step = materialise(
-            at.join(tree, ["source", "node"]).select(
-                "source", "target", F.lit(back).alias("back"), "edge_id", "reversed", F.col("prev").alias("node")
-            ),
-            "walk",
+        step = at.join(tree, ["source", "node"]).select(
+            "source", "target", F.lit(back).alias("back"), "edge_id", "reversed", F.col("prev").alias("node")
         )
-        if step.isEmpty():
+        done, n = log.add(step)
+        if n == 0:
             break
-        parts.append(step.select("source", "target", "back", "edge_id", "reversed"))
-        at = step.select("source", "target", "node")
-    if not parts:
-        return targets.select("source", "target").limit(0)
-    walked = parts[0]
-    for p in parts[1:]:
-        walked = walked.unionByName(p)
+        at = done.select("source", "target", "node")
+    walked = log.read().select("source", "target", "back", "edge_id", "reversed")
     length = walked.groupBy("source", "target").agg(F.max("back").alias("_last"))
     shapes = edges.select("edge_id", "coords")
     travelled = F.when(F.col("reversed"), F.reverse("coords")).otherwise(F.col("coords"))

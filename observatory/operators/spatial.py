@@ -31,6 +31,7 @@ PANO_BONUS_M = 150.0
 NEAR_M = 3000.0
 CAMP_M = 12000.0
 PER_GROUP = 6
+OPEN_RES = 9
 M_PER_DEG = 111320.0
 
 
@@ -137,7 +138,7 @@ def _centres(cells: DataFrame) -> DataFrame:
     from observatory.functions import hexgrid
 
     open_cells = cells.filter(~F.col("coarsened")).select("park", "cell").distinct()
-    at = hexgrid.center(F.col("cell"))
+    at = hexgrid.center(F.col("cell"), OPEN_RES)
     return open_cells.withColumn("lon", at["lon"]).withColumn("lat", at["lat"])
 
 

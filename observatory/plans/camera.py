@@ -479,7 +479,7 @@ def _candidates(spark, sf, min_conf, seed):
 
 
 def _cand_sql(min_conf: float, seed: int) -> str:
-    return f"""cand AS (SELECT b.*, md5(image_id || ':' || variant || ':' || det_idx || ':{seed}') AS h FROM boxes b JOIN downloads d USING (image_id)
+    return f"""cand AS MATERIALIZED (SELECT b.*, md5(image_id || ':' || variant || ':' || det_idx || ':{seed}') AS h FROM boxes b JOIN downloads d USING (image_id)
    WHERE d.error IS NULL AND category = '1' AND conf >= {min_conf}e0 AND variant = 'full')"""
 
 
@@ -505,7 +505,7 @@ def sample_uniform(spark, sf):
 
 # The twin of the greedy draw walks every candidate, one a step, with its state in lists.
 _WALK = """RECURSIVE_STEP"""
-_GREEDY = f"""ranked AS (SELECT corridor, image_id, det_idx, {BAND} AS band, h, row_number() OVER (PARTITION BY corridor ORDER BY h) AS i FROM cand),
+_GREEDY = f"""ranked AS MATERIALIZED (SELECT corridor, image_id, det_idx, {BAND} AS band, h, row_number() OVER (PARTITION BY corridor ORDER BY h) AS i FROM cand),
  walk AS (SELECT corridor, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS imgs, 10 AS q1, 10 AS q2, 10 AS q3, false AS took, '' AS image_id, 0 AS det_idx, '' AS band FROM (SELECT DISTINCT corridor FROM ranked)
    UNION ALL
    SELECT w.corridor, r.i, CASE WHEN ok THEN list_append(imgs, r.image_id) ELSE imgs END, q1 - CASE WHEN ok AND r.band = '0.2-0.5' THEN 1 ELSE 0 END,
@@ -526,7 +526,7 @@ def sample_stratified(spark, sf):
 
 
 _SB = " ".join(f"WHEN prediction_score >= {lo}e0 AND prediction_score < {hi}e0 THEN {i}" for i, (lo, hi) in enumerate(stats.SPECIES_BANDS))
-_SPECIES_WALK = f"""ranked AS (SELECT corridor, image_id, det_idx, CASE {_SB} END AS b, row_number() OVER (ORDER BY CASE corridor WHEN 'c2' THEN 0 WHEN 'c0' THEN 1 ELSE 2 END, h) AS i
+_SPECIES_WALK = f"""ranked AS MATERIALIZED (SELECT corridor, image_id, det_idx, CASE {_SB} END AS b, row_number() OVER (ORDER BY CASE corridor WHEN 'c2' THEN 0 WHEN 'c0' THEN 1 ELSE 2 END, h) AS i
    FROM cand WHERE {NAME_OF} NOT IN ('human', 'vehicle', 'blank') AND CASE {_SB} END IS NOT NULL),
  walk AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS imgs, [20, 20, 20, 20] AS q, false AS took, '' AS corridor, '' AS image_id, 0 AS det_idx
    UNION ALL

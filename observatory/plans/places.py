@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from observatory.functions import geo, labels
+from observatory.functions import hexgrid, labels
 from observatory.operators import graph, lines, places, ranking, rollups, spatial, tiling
 from observatory.plans import testbed as tb
 from observatory.plans.camera import rounded
 from observatory.plans.registry import query
-from observatory.plans.sightings import CANON, PLACED, _cell_species, hav
-from observatory.functions import hexgrid
+from observatory.plans.sightings import PLACED, _cell_species, hav
+from observatory.session import materialise
 
 SPHERE = 6371000.0
 
@@ -349,7 +349,12 @@ def _unhex(alias: str = "") -> str:
     e = f"{hexgrid.edge_m(9)!r}e0"
     x = f"{e} * 1.7320508075688772e0 * (({q}) + ({rr}) / 2e0)"
     y = f"{e} * 1.5e0 * ({rr})"
-    return f"degrees(({x}) / {r * c!r}e0) AS lon, degrees(asin(({y}) * {c / r!r}e0)) AS lat"
+    return f"degrees(({x}) / {r * c!r}e0) AS lon, degrees(asin(({y}) * {c / r!r})) AS lat"
+
+
+def _cells(spark, sf):
+    """The published cell table: the neighbourhood questions read it twice, so it is written once."""
+    return materialise(_cell_species(spark, sf), "cells")
 
 
 CENTRES = f"""cen AS (SELECT DISTINCT park, cell, {_unhex()} FROM cs WHERE NOT coarsened),
@@ -365,7 +370,7 @@ CENTRES = f"""cen AS (SELECT DISTINCT park, cell, {_unhex()} FROM cs WHERE NOT c
     ),
 )
 def near_stops(spark, sf):
-    out = spatial.species_near_stops(_cell_species(spark, sf), tb.stops(spark, sf))
+    out = spatial.species_near_stops(_cells(spark, sf), tb.stops(spark, sf))
     return out.select("park", "stop", "species", "count", "rank")
 
 
@@ -377,7 +382,7 @@ def near_stops(spark, sf):
     ),
 )
 def totals_near(spark, sf):
-    return spatial.near_totals(_cell_species(spark, sf), tb.stops(spark, sf))
+    return spatial.near_totals(_cells(spark, sf), tb.stops(spark, sf))
 
 
 # Trails: each park's stops in key order, cut into pieces of five.
@@ -404,7 +409,7 @@ def _lines(spark, sf):
     ),
 )
 def near_lines(spark, sf):
-    out = spatial.species_near_lines(_cell_species(spark, sf), _lines(spark, sf))
+    out = spatial.species_near_lines(_cells(spark, sf), _lines(spark, sf))
     return out.select("park", "stop", "species", "count", "rank")
 
 

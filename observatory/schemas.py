@@ -6,10 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
-def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
-
-
 SIGHTINGS_DDL = (
     "sighting_id string, source string not null, source_id string not null, dataset string, park string, "
     "confidence_basis string not null, taxon_id string, scientific_name string, common_name string, "
@@ -47,7 +43,7 @@ DETECTIONS_DDL = (
     "image_id string, model_version string, variant string, det_idx int, category string, label string, conf double, "
     "bbox_x double, bbox_y double, bbox_w double, bbox_h double"
 )
-REVIEW_DDL = (
+REVIEWS_DDL = (
     "image_id string, variant string, det_idx int, reviewer string, verdict string, true_species string, "
     "species_agree string, est_distance_m double, notes string, reviewed_at timestamp_ntz"
 )
@@ -99,21 +95,6 @@ SIGHTING_EXPORT_COLUMNS = (
     "coordinate_status", "observer", "license", "url", "attribution",
 )
 
-SIGHTINGS = _schema(SIGHTINGS_DDL)
-IMAGES = _schema(IMAGES_DDL)
-TILES = _schema(TILES_DDL)
-DOWNLOADS = _schema(DOWNLOADS_DDL)
-RUNS = _schema(RUNS_DDL)
-PREDICTIONS = _schema(PREDICTIONS_DDL)
-DETECTIONS = _schema(DETECTIONS_DDL)
-REVIEWS = _schema(REVIEW_DDL)
-OBSERVATION = _schema(OBSERVATION_DDL)
-OCCURRENCE = _schema(OCCURRENCE_DDL)
-STREET_IMAGE = _schema(STREET_IMAGE_DDL)
-PREDICTION_FILE = _schema(PREDICTION_FILE_DDL)
-OSM_ELEMENT = _schema(OSM_ELEMENT_DDL)
-OSM_WAY = _schema(OSM_WAY_DDL)
-DAILY_WEATHER = _schema(DAILY_WEATHER_DDL)
 REVIEW_CSV = T.StructType([T.StructField(c, T.StringType()) for c in REVIEW_CSV_COLUMNS])
 
 KEYS = {
@@ -129,6 +110,15 @@ KEYS = {
 APPEND_ONLY = ("predictions_raw", "detections_raw")
 
 
+def __getattr__(name: str) -> T.StructType:
+    """``SIGHTINGS``, ``IMAGES``...: the declared text parsed on first use, by the running session."""
+    text = globals().get(f"{name}_DDL")
+    if text is None:
+        raise AttributeError(name)
+    parsed = globals()[name] = T.StructType.fromDDL(text)
+    return parsed
+
+
 class SchemaMismatch(ValueError):
     """Stored columns are not the declared ones."""
 

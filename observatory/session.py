@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "observatory", master: str | None = None, **conf: str) -> SparkSession:
@@ -62,3 +63,31 @@ def materialise(df: DataFrame, label: str = "cut") -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Rounds:
+    """The table an iterative job grows: one folder per round, read as a whole.
+
+    Each round is one write job; its row count rides on the write, so no job
+    runs just to see whether the loop is done. Rounds already written are never
+    touched again, and a lost executor only repeats the round it was in.
+    """
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.root = spark, scratch_path(spark, label)
+        self.n, self.schema = 0, None
+
+    def add(self, df: DataFrame) -> tuple[DataFrame, int]:
+        """Write a round; returns it read back, and how many rows it has."""
+        path = f"{self.root}/round={self.n}"
+        seen = Observation(f"round{self.n}")
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+        self.n += 1
+        self.schema = df.schema
+        return self.spark.read.schema(df.schema).parquet(path), int(seen.get["n"])
+
+    def read(self) -> DataFrame:
+        """All rounds so far with their number as ``round``."""
+        paths = [f"{self.root}/round={i}" for i in range(self.n)]
+        reader = self.spark.read.schema(self.schema).option("basePath", self.root)
+        return reader.parquet(*paths)
