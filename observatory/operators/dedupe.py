@@ -154,7 +154,9 @@ def find_duplicates(
     other, and the README says so.
     """
     rows = materialise(_prepare(sightings, dist_m, window_s, ranks), "dedupe")
-    levels = sorted(set(ranks.values())) + [OTHER_PRIORITY]
+    levels = sorted(r.prio for r in rows.select("prio").distinct().collect())
+    if len(levels) < 2:
+        return rows.limit(0).select(F.col("id").alias("sighting_id"), F.lit(None).cast("string").alias("duplicate_of"))
     kept = rows.filter(F.col("prio") == levels[0])
     found: DataFrame | None = None
     for level in levels[1:]:

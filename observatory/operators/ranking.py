@@ -14,6 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from observatory.functions import geo, text
+from observatory.operators.segmented import previous_row
+from observatory.session import materialise
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, out: str | None = None) -> DataFrame:
@@ -331,20 +333,22 @@ def stops_in_order(tour: DataFrame, landmarks: DataFrame) -> DataFrame:
     return ids.join(landmarks, ["park", "id"]).select("park", "pos", "id", "name", "kind", "lon", "lat")
 
 
-def stop_headings(stops: DataFrame) -> DataFrame:
+def stop_headings(stops: DataFrame, segment: int = 1000) -> DataFrame:
     """Heading at each stop: toward the next, else from the previous.
 
-    A tour is a bounded list, so the window is short.
+    Both neighbours are found in segments of the list, so a park whose list is
+    most of the table is still many tasks.
     """
-    w = W.partitionBy("park").orderBy("pos")
-    nxt_lon, nxt_lat = F.lead("lon").over(w), F.lead("lat").over(w)
-    pre_lon, pre_lat = F.lag("lon").over(w), F.lag("lat").over(w)
+    cut = stops.withColumn("_seg", F.floor(F.col("pos") / segment))
+    before = previous_row(cut, ["park"], "_seg", ["pos"], ["lon", "lat"], "_before")
+    back = before.withColumn("_neg", -F.col("pos")).withColumn("_nseg", -F.col("_seg"))
+    both = previous_row(back, ["park"], "_nseg", ["_neg"], ["lon", "lat"], "_after")
     heading = F.coalesce(
-        geo.bearing_deg(F.col("lon"), F.col("lat"), nxt_lon, nxt_lat),
-        geo.bearing_deg(pre_lon, pre_lat, F.col("lon"), F.col("lat")),
+        geo.bearing_deg("lon", "lat", F.col("_after.lon"), F.col("_after.lat")),
+        geo.bearing_deg(F.col("_before.lon"), F.col("_before.lat"), "lon", "lat"),
         F.lit(0.0),
     )
-    return stops.withColumn("heading", heading)
+    return both.withColumn("heading", heading).select(*stops.columns, "heading")
 
 
 def nearest_licensed(photos: DataFrame, k: int = 6) -> DataFrame:
@@ -414,8 +418,8 @@ def similar_labels(vectors: DataFrame, labels: DataFrame, k: int = 5) -> DataFra
     def norm(v: Column) -> Column:
         return F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
 
-    n = labels.limit(MAX_LABELS + 1).count()
-    if n > MAX_LABELS:
+    labels = materialise(labels, "labels")
+    if labels.limit(MAX_LABELS + 1).count() > MAX_LABELS:
         raise ValueError(f"label vocabulary has more than {MAX_LABELS} rows")
     packed = labels.agg(F.collect_list(F.struct("label", "vec", norm(F.col("vec")).alias("norm"))).alias("labels"))
 

@@ -389,13 +389,13 @@ def match_names(spark, sf):
 
 _SAID = r"""regexp_extract_all(regexp_replace(a, '\[\d+\]', '', 'g'), '\d[\d,.]*')"""
 _FACTN = r"""regexp_extract_all(f, '\d[\d,.]*')"""
-_CLEAN = r"""list_distinct(list_transform({x}, n -> regexp_replace(n, '[.,]+$', '')))"""
+_CLEAN = r"""list_distinct(list_transform({x}, lambda n: regexp_replace(n, '[.,]+$', '')))"""
 
 
 @query(
     "answer_checks",
-    rf"""SELECT doc_id, len(list_filter(list_distinct(list_transform(regexp_extract_all(a, '\[(\d+)\]', 1), n -> CAST(n AS BIGINT))), n -> n BETWEEN 1 AND 9)) AS cited,
-     array_to_string(list_sort(list_filter({_CLEAN.format(x=_SAID)}, n -> NOT list_contains({_CLEAN.format(x=_FACTN)}, n) AND length(regexp_replace(n, '[^\d]', '', 'g')) >= 3)), '|') AS stray,
+    rf"""SELECT doc_id, len(list_filter(list_distinct(list_transform(regexp_extract_all(a, '\[(\d+)\]', 1), lambda n: CAST(n AS BIGINT))), lambda n: n BETWEEN 1 AND 9)) AS cited,
+     array_to_string(list_sort(list_filter({_CLEAN.format(x=_SAID)}, lambda n: NOT list_contains({_CLEAN.format(x=_FACTN)}, n) AND length(regexp_replace(n, '[^\d]', '', 'g')) >= 3)), '|') AS stray,
      CASE WHEN regexp_matches(lower(a), 'doesn''t say|does not say') THEN 1 ELSE 0 END AS declined
      FROM (SELECT doc_id, text || ' [' || doc_id % 12 || '] and [' || doc_id % 5 || '] ' || doc_id * 7 || ', 12.5' || CASE WHEN doc_id % 9 = 0 THEN ' The data doesn''t say.' ELSE '' END AS a, 'fact ' || doc_id * 7 || '. 1' AS f FROM documents)""",
 )
