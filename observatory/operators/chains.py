@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from observatory.functions import geo, names
-from observatory.operators.segmented import previous_row, running_total
+from observatory.operators.segmented import attach
+from observatory.session import materialise
 from observatory.sources.records import ANIMAL_CATEGORY
 
 # Longest gap and step inside a chain, the bar for a mapped box,
@@ -65,15 +67,36 @@ def mark_chains(
     width = int(segment_s * 1_000_000)
     late = F.lit(9_000_000_000_000)
     cut = frames.withColumn("_seg", F.coalesce(F.floor(F.col("ts_us") / width), late))
-    linked = previous_row(cut, keys, "_seg", order, ["ts_us", "lon", "lat", *extra], "_prev")
-    prev = F.col("_prev")
-    near = geo.haversine_m(F.col("lon"), F.col("lat"), prev["lon"], prev["lat"]) <= dist_m
-    soon = F.abs(F.col("ts_us") - prev["ts_us"]) <= gap_s * 1_000_000
-    same = near & soon
-    for c in extra:
-        same = same & F.col(c).eqNullSafe(prev[c])
-    fresh = linked.withColumn("_new", (~F.coalesce(same, F.lit(False))).cast("bigint"))
-    return running_total(fresh, keys, "_seg", order, F.col("_new"), "chain").drop("_prev", "_new", "_seg")
+    spot = F.struct("ts_us", "lon", "lat", *extra)
+
+    def broken(here: Column, before: Column) -> Column:
+        """1 when a row does not extend the chain of the row before it."""
+        near = geo.haversine_m(here["lon"], here["lat"], before["lon"], before["lat"]) <= dist_m
+        same = near & (F.abs(here["ts_us"] - before["ts_us"]) <= int(gap_s * 1_000_000))
+        for c in extra:
+            same = same & here[c].eqNullSafe(before[c])
+        return (~F.coalesce(same, F.lit(False))).cast("bigint")
+
+    inside = W.partitionBy(*keys, "_seg").orderBy(*[F.col(c).asc_nulls_last() for c in order])
+    # breaks inside the segment; its first row is settled below
+    local = (
+        cut.withColumn("_prev", F.lag(spot).over(inside))
+        .withColumn("_brk", F.when(F.col("_prev").isNotNull(), broken(spot, F.col("_prev"))).otherwise(F.lit(0).cast("bigint")))
+        .withColumn("_run", F.sum("_brk").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    )
+    # written once, because the rows and their segment summary both start here
+    local = materialise(local.drop("_prev"), "chains")
+    at = F.struct(*order)
+    summary = local.groupBy(*keys, "_seg").agg(
+        F.min_by(spot, at).alias("_head"), F.max_by(spot, at).alias("_tail"), F.sum("_brk").alias("_n")
+    )
+    across = W.partitionBy(*keys).orderBy("_seg")
+    before = F.lag("_tail").over(across)
+    opened = summary.withColumn("_open", F.when(before.isNotNull(), broken(F.col("_head"), before)).otherwise(F.lit(1).cast("bigint")))
+    upto = F.sum(F.col("_n") + F.col("_open")).over(across.rowsBetween(W.unboundedPreceding, W.currentRow))
+    carried = opened.withColumn("_base", upto - F.col("_n"))
+    joined = attach(local, carried, [*keys, "_seg"], ["_base"])
+    return joined.withColumn("chain", F.col("_base") + F.col("_run")).drop("_base", "_run", "_brk", "_seg")
 
 
 def frame_boxes(boxes: DataFrame, min_conf: float) -> DataFrame:

@@ -20,6 +20,7 @@ import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from observatory.functions import geo, names
@@ -114,29 +115,29 @@ def _best(probe: DataFrame, canon: DataFrame, dist_m: float, window_s: float, by
         steps = F.abs(F.col("n_ft") - F.col("ft"))
         whole = whole & (steps + 1 <= _SLOTS)
         possible = possible & (steps - 1 <= _SLOTS)
-    pairs = pairs.filter(possible).withColumn("whole", whole)
-
-    bound = pairs.filter("whole").groupBy(*keys, *axes).agg(F.min("least").alias("bound"))
-    edge = (
-        pairs.filter("not whole")
-        .join(bound, [*keys, *axes], "left")
-        .filter(F.col("bound").isNull() | (F.col("least") < F.col("bound")))
-        .select(*keys, *axes, *[f"n_{a}" for a in axes], "bound")
-    )
-    settled = p.join(bound, [*keys, *axes]).select("id", F.col("bound").alias("hit"))
-    left = p.select("id", *keys, *axes, "lon", "lat", "us").join(edge, [*keys, *axes])
+    # Per probe cell: the best of the wholly covered cells, and the edge cells
+    # that could still hold something better. Both are bounded by the block.
+    cell = W.partitionBy(*keys, *axes)
+    weighed = pairs.filter(possible).withColumn("bound", F.min(F.when(whole, F.col("least"))).over(cell))
+    rival = F.when(~whole & (F.col("bound").isNull() | (F.col("least") < F.col("bound"))), F.struct(*[f"n_{a}" for a in axes]))
+    cells = weighed.groupBy(*keys, *axes).agg(F.min("bound").alias("bound"), F.collect_list(rival).alias("edge"))
+
+    left = p.select("id", *keys, *axes, "lon", "lat", "us").join(cells, [*keys, *axes])
+    left = left.select("id", *keys, "lon", "lat", "us", "bound", F.explode_outer("edge").alias("e")).select("*", "e.*").drop("e")
     right = c.select(
-        *keys, *[F.col(a).alias(f"n_{a}") for a in axes], F.col("rank").alias("c_rank"),
+        *[F.col(k).alias(f"c_{k}") for k in keys], *[F.col(a).alias(f"c_{a}") for a in axes], F.col("rank").alias("c_rank"),
         F.col("lon").alias("c_lon"), F.col("lat").alias("c_lat"), F.col("us").alias("c_us"),
     )
-    ok = geo.haversine_m("lon", "lat", "c_lon", "c_lat") <= dist_m
-    ok = ok & (F.col("bound").isNull() | (F.col("c_rank") < F.col("bound")))
+    on = geo.haversine_m("lon", "lat", "c_lon", "c_lat") <= dist_m
+    on = on & (F.col("bound").isNull() | (F.col("c_rank") < F.col("bound")))
+    for k in keys:
+        on = on & (F.col(k) == F.col(f"c_{k}"))
+    for a in axes:
+        on = on & (F.col(f"n_{a}") == F.col(f"c_{a}"))
     if by_time:
-        ok = ok & (F.abs(F.col("us") - F.col("c_us")) <= int(window_s * 1e6))
-    compared = (
-        left.join(right, [*keys, *[f"n_{a}" for a in axes]]).filter(ok).groupBy("id").agg(F.min("c_rank").alias("hit"))
-    )
-    return settled.unionByName(compared)
+        on = on & (F.abs(F.col("us") - F.col("c_us")) <= int(window_s * 1e6))
+    hit = F.least(F.min("bound"), F.min("c_rank"))
+    return left.join(right, on, "left").groupBy("id").agg(hit.alias("hit")).filter(F.col("hit").isNotNull())
 
 
 def find_duplicates(

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from observatory.functions import geo, labels, names, text
-from observatory.operators.ranking import best_per, top_k
+from observatory.functions import geo, labels, names, stats, text
+from observatory.operators.ranking import best_per
 from observatory.operators.spatial import POINT_RADIUS_M, TRAIL_BUFFER_M
 
 TOP_SPECIES = 5
@@ -129,24 +130,24 @@ def place_samples(places: DataFrame, trail_points: DataFrame) -> DataFrame:
 
 def place_rollup(places: DataFrame, hits: DataFrame, k: int = TOP_SPECIES) -> DataFrame:
     """Sightings, species, months and top species per place."""
-    from observatory.functions import stats
-
-    per_species = hits.groupBy("park", "place", "scientific_name").agg(F.sum("n").alias("n"))
-    totals = hits.groupBy("park", "place").agg(
+    # A place's species are a vocabulary-bounded list: ranked once, then folded
+    # with the totals in the same pass over the same partitioning.
+    months = [F.sum(F.when(F.col("month") == m, F.col("n"))).alias(f"m{m}") for m in range(1, 13)]
+    per_species = hits.groupBy("park", "place", "scientific_name").agg(F.sum("n").alias("n"), *months)
+    order = W.partitionBy("park", "place").orderBy(F.desc("n"), "scientific_name")
+    ranked = per_species.withColumn("rank", F.row_number().over(order))
+    sums = [F.coalesce(F.sum(f"m{m}"), F.lit(0)).cast("bigint") for m in range(1, 13)]
+    kept = F.when(F.col("rank") <= k, F.struct("rank", "scientific_name", "n"))
+    totals = ranked.groupBy("park", "place").agg(
         F.sum("n").alias("n"),
-        F.count_distinct("scientific_name").alias("species"),
-        stats.month_counts(F.col("month"), F.col("n")).alias("months"),
-    )
-    top = (
-        top_k(per_species, ["park", "place"], [F.desc("n"), F.asc("scientific_name")], k, "rank")
-        .groupBy("park", "place")
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "scientific_name", "n"))).alias("top"))
+        F.count("scientific_name").alias("species"),
+        F.array(*sums).alias("months"),
+        F.array_sort(F.collect_list(kept)).alias("top"),
     )
     zero = F.array_repeat(F.lit(0).cast("bigint"), 12)
     p = places.withColumnRenamed("id", "place")
     return (
         p.join(totals, ["park", "place"], "left")
-        .join(top, ["park", "place"], "left")
         .withColumn("n", F.coalesce("n", F.lit(0)))
         .withColumn("species", F.coalesce("species", F.lit(0)))
         .withColumn("months", F.coalesce("months", zero))

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from observatory.session import materialise
+
 
 def _same(keys: Sequence[str], left: str, right: str) -> Column:
     cond = F.lit(True)
@@ -26,7 +28,7 @@ def _same(keys: Sequence[str], left: str, right: str) -> Column:
     return cond
 
 
-def _attach(df: DataFrame, side: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+def attach(df: DataFrame, side: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Left join on keys that may be null, keeping the left columns and the named right ones."""
     l, r = df.alias("l"), side.alias("r")
     return l.join(r, _same(keys, "l", "r"), "left").select("l.*", *[F.col(f"r.{c}") for c in columns])
@@ -44,7 +46,7 @@ def previous_row(
     )
     across = W.partitionBy(*keys).orderBy(segment)
     carried = tails.withColumn("_carry", F.lag("_tail").over(across)).drop("_tail")
-    joined = _attach(local, carried, [*keys, segment], ["_carry"])
+    joined = attach(local, carried, [*keys, segment], ["_carry"])
     return joined.withColumn(out, F.coalesce("_local", "_carry")).drop("_local", "_carry")
 
 
@@ -62,7 +64,7 @@ def running_total(
     sums = work.groupBy(*keys, segment).agg(F.sum("_v").alias("_s"))
     before = W.partitionBy(*keys).orderBy(segment).rowsBetween(W.unboundedPreceding, -1)
     carried = sums.withColumn("_base", F.sum("_s").over(before)).drop("_s")
-    joined = _attach(local, carried, [*keys, segment], ["_base"])
+    joined = attach(local, carried, [*keys, segment], ["_base"])
     return joined.withColumn(out, F.col("_run") + F.coalesce(F.col("_base"), F.lit(0))).drop("_v", "_run", "_base")
 
 
@@ -77,10 +79,10 @@ def exact_percentiles(
     order of ``fractions``.
     """
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    counted = counted.withColumn("_seg", F.floor(F.col(value) / width))
+    counted = materialise(counted.withColumn("_seg", F.floor(F.col(value) / width)), "values")
     ranked = running_total(counted, keys, "_seg", [value], F.col("_n"), "_upto")
     totals = counted.groupBy(*keys).agg(F.sum("_n").alias("n"), F.max(value).alias("max"))
-    joined = _attach(ranked, totals, keys, ["n", "max"])
+    joined = attach(ranked, totals, keys, ["n", "max"])
     aggs = []
     for i, fraction in enumerate(fractions):
         at = (F.col("n") - 1) * F.lit(float(fraction))

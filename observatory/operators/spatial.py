@@ -96,25 +96,16 @@ def place_hits(sightings: DataFrame, samples: DataFrame) -> DataFrame:
     """Sightings near each place by month and species.
 
     ``samples``: park, place, lon, lat, radius_m, several per trail. Sightings
-    are counted per position first and positions meet places once each, so a
-    sighting near many samples of a trail counts once.
+    are counted per position first; a position near many samples of one trail
+    is then folded to one, so a sighting counts once per place.
     """
     spots = sightings.groupBy("park", "lon", "lat", F.month("observed_on").alias("month"), "scientific_name").agg(
         F.count("*").alias("k")
     )
-    where = spots.select("park", "lon", "lat").distinct()
     near = samples.select("park", "place", F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"), "radius_m")
-    widest = POINT_RADIUS_M
-    pairs = (
-        distance_join(where, near, widest, on=["park"], radius_column="radius_m")
-        .select("park", "lon", "lat", "place")
-        .distinct()
-    )
-    return (
-        pairs.join(spots, ["park", "lon", "lat"])
-        .groupBy("park", "place", "month", "scientific_name")
-        .agg(F.sum("k").alias("n"))
-    )
+    pairs = distance_join(spots, near, POINT_RADIUS_M, on=["park"], radius_column="radius_m")
+    once = pairs.groupBy("park", "place", "lon", "lat", "month", "scientific_name").agg(F.max("k").alias("k"))
+    return once.groupBy("park", "place", "month", "scientific_name").agg(F.sum("k").alias("n"))
 
 
 def species_near_stops(cells: DataFrame, stops: DataFrame, radius_m: float = STOP_RADIUS_M, k: int = 6) -> DataFrame:

@@ -10,6 +10,7 @@ from observatory.operators import quality, ranking, search
 from observatory.plans import testbed as tb
 from observatory.plans.camera import rounded
 from observatory.plans.registry import query
+from observatory.session import materialise
 from observatory.sources import records, sinks
 
 
@@ -514,7 +515,7 @@ def label_similarity(spark, sf):
 
 
 def _photos(spark, sf):
-    """Orders as observations, their distinct lines as photos."""
+    """Orders as observations, their distinct lines as photos; the strips read the result several times, so it is written once."""
     tb.register(spark, sf, "orders", "lineitem")
     obs = spark.sql(
         """SELECT o_orderkey AS observation_id, concat('park', o_custkey % 5) AS park, concat('sp', o_custkey % 23) AS species, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_custkey % 40 END AS cell, o_orderkey % 50 AS faves,
@@ -522,7 +523,7 @@ def _photos(spark, sf):
         CASE x.k % 4 WHEN 0 THEN 'https://static.inaturalist.org/photos/' WHEN 1 THEN 'https://elsewhere.org/photos/' ELSE 'https://inaturalist-open-data.s3.amazonaws.com/photos/' END, l_orderkey * 100000 + x.n * 10000 + x.k, '/medium.JPG'),
         'license_code', CASE x.k % 5 WHEN 0 THEN 'cc-by-nd' WHEN 1 THEN NULL WHEN 2 THEN 'cc0' ELSE 'cc-by-nc' END)) AS photos FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey"""
     )
-    return ranking.first_photo(ranking.displayable_photos(obs))
+    return materialise(ranking.first_photo(ranking.displayable_photos(obs)), "photos")
 
 
 PH = """ph AS (SELECT * FROM (SELECT o_orderkey AS observation_id, 'park' || (o_custkey % 5) AS park, 'sp' || (o_custkey % 23) AS species, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_custkey % 40 END AS cell, o_orderkey % 50 AS faves,
