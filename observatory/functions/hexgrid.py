@@ -94,7 +94,7 @@ def _to_lat(y: Column) -> Column:
 def center(cell: Column, res: int | None = None) -> Column:
     """Centre of a cell as ``struct<lon,lat>``; pass ``res`` when all cells share it."""
     x, y, _ = _plane(cell, res)
-    return F.struct(_to_lon(x).alias("lon"), _to_lat(y).alias("lat"))
+    return F.named_struct(F.lit("lon"), _to_lon(x), F.lit("lat"), _to_lat(y))
 
 
 def boundary(cell: Column, decimals: int = 5) -> Column:
@@ -104,9 +104,9 @@ def boundary(cell: Column, decimals: int = 5) -> Column:
     for i in (0, 1, 2, 3, 4, 5, 0):
         angle = math.radians(60.0 * i - 30.0)
         corners.append(
-            F.struct(
-                F.bround(_to_lon(x + edge * math.cos(angle)), decimals).alias("lon"),
-                F.bround(_to_lat(y + edge * math.sin(angle)), decimals).alias("lat"),
+            F.named_struct(
+                F.lit("lon"), F.bround(_to_lon(x + edge * math.cos(angle)), decimals),
+                F.lit("lat"), F.bround(_to_lat(y + edge * math.sin(angle)), decimals),
             )
         )
     return F.array(*corners)

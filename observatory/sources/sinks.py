@@ -79,14 +79,15 @@ def write_sightings(sightings: DataFrame, path: str, rows_per_file: int = 5_000_
     A park is range-split on date and id, so one park with most of the rows
     becomes many files instead of one task.
     """
-    out, metrics = observed_count(canonical_projection(sightings), "written")
-    (
-        out.repartitionByRange("park", "observed_on", "sighting_id")
+    ordered = (
+        canonical_projection(sightings)
+        .repartitionByRange("park", "observed_on", "sighting_id")
         .sortWithinPartitions("park", "observed_on", "sighting_id")
-        .write.option("maxRecordsPerFile", rows_per_file)
-        .partitionBy("park")
-        .parquet(path)
     )
+    # counted above the range exchange: the exchange reads its input twice, to
+    # find the ranges and to send the rows
+    out, metrics = observed_count(ordered, "written")
+    out.write.option("maxRecordsPerFile", rows_per_file).partitionBy("park").parquet(path)
     return int(metrics.get["n"])
 
 
