@@ -188,6 +188,11 @@ def parks_per_species(species: DataFrame, first: int = 4) -> DataFrame:
     )
 
 
+def species_order(index: DataFrame) -> DataFrame:
+    """The cross-park index in its printed order (T6): a range sort, not one task."""
+    return index.orderBy(F.desc("total"), "species")
+
+
 # ---- landmarks ---------------------------------------------------------------
 
 MAX_LABELS = 160

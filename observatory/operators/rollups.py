@@ -421,6 +421,15 @@ def box_of_points(points: DataFrame, keys: list[str], max_deg: float = 8.0) -> D
     )
 
 
+def frame_of_boxes(parks: DataFrame) -> DataFrame:
+    """The box that holds every live park, or every park when none is live."""
+    def ends(fold, column: str) -> Column:
+        live = fold(F.when(F.col("status") == "live", F.col(column)))
+        return F.coalesce(live, fold(F.col(column))).alias(column)
+
+    return parks.agg(ends(F.min, "min_lon"), ends(F.min, "min_lat"), ends(F.max, "max_lon"), ends(F.max, "max_lat"))
+
+
 def coverage_summary(images: DataFrame, tiles: DataFrame) -> DataFrame:
     """Images, sequences, dates and tiles per corridor."""
     img = images.groupBy("corridor").agg(

@@ -267,6 +267,14 @@ def review_template(sample: DataFrame) -> DataFrame:
     )
 
 
+def union_sources(*normalised: DataFrame) -> DataFrame:
+    """Normalised sources as one table, columns by name."""
+    out = normalised[0]
+    for more in normalised[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out
+
+
 def changed_since(df: DataFrame, column: str, since: str) -> DataFrame:
     """Records whose change stamp is on or after a date (S17); pushes to the scan."""
     return df.filter(F.col(column) >= F.lit(since))

@@ -6,10 +6,12 @@ event-time watermark.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -43,28 +45,52 @@ def run_to_end(df: DataFrame, label: str, mode: str = "append") -> DataFrame:
 
 
 class UpsertTable:
-    """A keyed table kept as immutable versions (ST1).
+    """A keyed table of immutable versions, one version per key bucket (ST1).
 
-    Each micro-batch writes a new version and then moves the pointer, so a
-    failed batch leaves the old version readable and a replayed batch writes
-    the same rows again.
+    A micro-batch rewrites only the buckets its keys fall in and then adds one
+    pointer record, so its cost follows the batch and not the table. A failed
+    batch leaves every old version readable; a replayed one merges the same
+    rows again and changes nothing. Pointers are files, so a restarted driver
+    finds the table where the last finished batch left it.
     """
 
-    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, keys: Sequence[str], order: Sequence[str]):
-        self.spark, self.root, self.schema = spark, root, schema
-        self.keys, self.order = list(keys), list(order)
-        self.current: str | None = None
+    POINTERS = "bucket int, path string, step bigint"
 
-    def read(self) -> DataFrame:
-        if self.current is None:
+    def __init__(
+        self, spark: SparkSession, root: str, schema: T.StructType, keys: Sequence[str], order: Sequence[str], buckets: int = 64
+    ):
+        self.spark, self.root, self.schema, self.buckets = spark, root, schema, buckets
+        self.keys, self.order = list(keys), list(order)
+        self.step, self.current = -1, {}
+        try:
+            known = spark.read.schema(self.POINTERS).json(f"{root}/pointers")
+            rows = known.groupBy("bucket").agg(F.max(F.struct("step", "path")).alias("p")).collect()
+        except AnalysisException:
+            rows = []
+        for r in rows:
+            self.current[r.bucket] = r.p.path
+            self.step = max(self.step, r.p.step)
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+
+    def read(self, buckets: Sequence[int] | None = None) -> DataFrame:
+        wanted = self.current if buckets is None else {b: self.current[b] for b in buckets if b in self.current}
+        if not wanted:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self.current)
+        return self.spark.read.schema(self.schema).parquet(*[f"{path}/_bucket={b}" for b, path in wanted.items()])
 
     def apply(self, batch: DataFrame, epoch: int) -> None:
-        path = f"{self.root}/version-{epoch:09d}"
-        merged = sinks.upsert(self.read(), batch, self.keys, [F.col(c) for c in self.order])
-        merged.write.mode("overwrite").parquet(path)
-        self.current = path
+        touched = [r[0] for r in batch.select(self._bucket()).distinct().collect()]
+        if not touched:
+            return
+        path = f"{self.root}/version-{epoch:09d}-{uuid.uuid4().hex}"
+        merged = sinks.upsert(self.read(touched), batch, self.keys, [F.col(c) for c in self.order])
+        merged.withColumn("_bucket", self._bucket()).repartition("_bucket").write.partitionBy("_bucket").parquet(path)
+        self.step += 1
+        moved = [(b, path, self.step) for b in touched]
+        self.spark.createDataFrame(moved, self.POINTERS).coalesce(1).write.mode("append").json(f"{self.root}/pointers")
+        self.current.update(dict.fromkeys(touched, path))
 
 
 def continuous_upsert(stream: DataFrame, table: UpsertTable, progress: str) -> None:

@@ -76,6 +76,13 @@ def test_upsert_over_batches_equals_the_batch(spark):
         want[r[5] % 10] = r[5]
     got = {r.k: r.id for r in table.read().filter("id >= 0").collect()}
     assert got == {k: v for k, v in want.items() if k in got} and len(got) == 10
+    again = live.UpsertTable(spark, table.root, s.schema, ["k"], ["ts", "id"])
+    assert sorted(again.read().collect()) == sorted(table.read().collect())
+    fresh = spark.createDataFrame([(3, dt.datetime(2030, 1, 1), 999)], s.schema)
+    again.apply(fresh, 99)
+    again.apply(fresh, 99)
+    assert again.read().filter("k = 3").collect()[0].id == 999
+    assert again.read().count() == table.read().count()
 
 
 def test_first_arrivals_are_distinct(spark):
