@@ -10,8 +10,8 @@ lists the pairs of such a group. Positions and times are filed in fine cells:
 
 * cells that lie wholly within reach of each other are settled by one minimum
   per cell, whatever they hold;
-* only cells at the edge of reach compare rows, and there only against rows
-  whose id is lower than the best already found.
+* only cells at the edge of reach compare rows, and there only the rows whose id
+  is lower than the best already found are ever joined.
 """
 
 from __future__ import annotations
@@ -121,6 +121,15 @@ def _best(probe: DataFrame, canon: DataFrame, dist_m: float, window_s: float, by
     weighed = pairs.filter(possible).withColumn("bound", F.min(F.when(whole, F.col("least"))).over(cell))
     rival = F.when(~whole & (F.col("bound").isNull() | (F.col("least") < F.col("bound"))), F.struct(*[f"n_{a}" for a in axes]))
     cells = weighed.groupBy(*keys, *axes).agg(F.min("bound").alias("bound"), F.collect_list(rival).alias("edge"))
+    cells = materialise(cells, "cells")
+
+    # Of a cell only the rows better than some probe's bound can still win: in
+    # a crowded place that is a handful, however many rows the cell holds.
+    asked = cells.select(*keys, "bound", F.explode("edge").alias("e")).select(*keys, "bound", "e.*")
+    asked = asked.groupBy(*keys, *[F.col(f"n_{a}").alias(a) for a in axes]).agg(
+        F.max("bound").alias("_top"), F.bool_or(F.col("bound").isNull()).alias("_any")
+    )
+    c = c.join(asked, [*keys, *axes]).filter(F.col("_any") | (F.col("rank") < F.col("_top")))
 
     left = p.select("id", *keys, *axes, "lon", "lat", "us").join(cells, [*keys, *axes])
     left = left.select("id", *keys, "lon", "lat", "us", "bound", F.explode_outer("edge").alias("e")).select("*", "e.*").drop("e")
