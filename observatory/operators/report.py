@@ -81,6 +81,19 @@ def hit_rates(
     return long.withColumn("frac", stats.safe_ratio(F.col("k"), F.col("n"))).withColumn("lo", ci["lo"]).withColumn("hi", ci["hi"])
 
 
+def threshold_sweep(detections: DataFrame, cuts: Sequence[float], category: str = "1") -> DataFrame:
+    """Boxes at or above each cut, and their percent, in one pass.
+
+    The cuts are columns of one conditional aggregation; they become rows only
+    after it, so no row of the table meets a list of thresholds.
+    """
+    at = [F.count_if(F.col("conf") >= t).alias(f"t{i}") for i, t in enumerate(cuts)]
+    wide = detections.filter(F.col("category") == category).agg(F.count("*").alias("n"), *at)
+    rows = F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(f"t{i}").alias("k")) for i, t in enumerate(cuts)])
+    long = wide.select("n", F.explode(rows).alias("r"))
+    return long.select("r.threshold", "r.k", "n", (stats.safe_ratio(F.col("r.k"), F.col("n")) * 100).alias("pct"))
+
+
 def images_with(detections: DataFrame, images: DataFrame, category: str, min_conf: float, population: str = "perspective") -> DataFrame:
     """Distinct images with a box of a category, per corridor."""
     return (

@@ -57,17 +57,20 @@ def match_species(questions: DataFrame, species: DataFrame, k: int = 3) -> DataF
         "distinctive", F.array_except(parts, generic)
     )
 
-    # pieces of a vocabulary word: bounded by the word's own length
+    # Pieces of a vocabulary word no longer than the longest anchor, so a word of
+    # any length yields a number of pieces linear in its length.
+    anchors = names_.select("anchor").distinct()
     n = F.length("w")
     pieces = F.array_distinct(
         F.flatten(
             F.transform(
-                F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda m: F.col("w").substr(i, m))
+                F.sequence(F.lit(1), n),
+                lambda i: F.transform(F.sequence(F.lit(1), F.least(n - i + 1, F.col("_longest"))), lambda m: F.col("w").substr(i, m)),
             )
         )
     )
-    anchors = names_.select("anchor").distinct()
-    holders = vocab.select("w", F.explode(pieces).alias("anchor")).join(anchors, "anchor")
+    sized = vocab.withColumn("_longest", anchors.agg(F.coalesce(F.max(F.length("anchor")), F.lit(1))).scalar())
+    holders = sized.select("w", F.explode(pieces).alias("anchor")).join(anchors, "anchor")
     cand = words.join(holders, "w").select("qid", "anchor").distinct()
     whole = (
         cand.join(names_.select("anchor", "nn", "species"), "anchor")

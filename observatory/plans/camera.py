@@ -8,13 +8,11 @@ from observatory.functions import names, stats
 from observatory.operators import chains, quality, report, rollups, sampling
 from observatory.plans import testbed as tb
 from observatory.plans.registry import query
-from observatory.plans.sightings import hav
 from observatory.sources import records
 
 # Chains on the test tables: events of one user and type are days apart.
 GAP_S, DIST_M = 259200.0, 2500.0
 GAP_US = int(GAP_S * 1e6)
-MODEL = "i"
 
 
 def o(sql: str, *ctes: str, extra: str = "") -> str:
@@ -218,13 +216,7 @@ def hit_rates(spark, sf):
     ),
 )
 def threshold_sweep(spark, sf):
-    cuts = (0.1, 0.2, 0.3, 0.5, 0.8)
-    d = tb.detections(spark, sf).filter("category = '1'")
-    wide = d.agg(F.count("*").alias("n"), *[F.count_if(F.col("conf") >= t).alias(f"t{i}") for i, t in enumerate(cuts)])
-    rows = F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(f"t{i}").alias("k")) for i, t in enumerate(cuts)]))
-    return wide.select("n", rows.alias("r")).select(
-        "r.threshold", "r.k", "n", F.round(F.lit(100.0) * F.col("r.k") / F.col("n"), 6).alias("pct")
-    )
+    return rounded(report.threshold_sweep(tb.detections(spark, sf), (0.1, 0.2, 0.3, 0.5, 0.8)), "pct")
 
 
 @query(
@@ -504,7 +496,6 @@ def sample_uniform(spark, sf):
 
 
 # The twin of the greedy draw walks every candidate, one a step, with its state in lists.
-_WALK = """RECURSIVE_STEP"""
 _GREEDY = f"""ranked AS MATERIALIZED (SELECT corridor, image_id, det_idx, {BAND} AS band, h, row_number() OVER (PARTITION BY corridor ORDER BY h) AS i FROM cand),
  walk AS (SELECT corridor, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS imgs, 10 AS q1, 10 AS q2, 10 AS q3, false AS took, '' AS image_id, 0 AS det_idx, '' AS band FROM (SELECT DISTINCT corridor FROM ranked)
    UNION ALL

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from observatory.functions import hexgrid, stats
+from observatory.functions import hexgrid, names
 from observatory.operators import dedupe, ranking, rollups, suppress
 from observatory.plans import testbed as tb
 from observatory.plans.registry import query
@@ -101,7 +101,7 @@ def s(sql: str) -> str:
 
 @query(
     "cell_species",
-    tb.oracle('SELECT park, cell, res, species, "count", hv, mp, y0, y1, coalesce(taxon_class, \'-\') AS taxon_class FROM cs', "sightings", extra=PLACED),
+    tb.oracle('SELECT park, cell, res, species, "count", hv, mp, CAST(y0 AS INT) AS y0, CAST(y1 AS INT) AS y1, coalesce(taxon_class, \'-\') AS taxon_class FROM cs', "sightings", extra=PLACED),
 )
 def cell_species(spark, sf):
     return _cell_species(spark, sf).select(
@@ -113,7 +113,7 @@ def cell_species(spark, sf):
     "cell_totals",
     tb.oracle(
         """SELECT park, cell, res, CAST(sum("count") AS BIGINT) AS "count", CAST(sum(hv) AS BIGINT) AS hv, CAST(sum(mp) AS BIGINT) AS mp,
-     min(y0) AS y0, max(y1) AS y1, count(*) AS n_species, string_agg(species || '=' || "count", ';' ORDER BY "count" DESC, species) AS sp
+     CAST(min(y0) AS INT) AS y0, CAST(max(y1) AS INT) AS y1, count(*) AS n_species, string_agg(species || '=' || "count", ';' ORDER BY "count" DESC, species) AS sp
      FROM cs GROUP BY park, cell, res""",
         "sightings",
         extra=PLACED,
@@ -211,8 +211,6 @@ def auto_sensitive(spark, sf):
 @query("suppression_rules", tb.oracle("SELECT park, name, action FROM ruled", "sightings", extra=NAME_RULES))
 def suppression(spark, sf):
     df = tb.sightings(spark, sf)
-    from observatory.functions import names
-
     both = df.select("park", F.explode(F.array("scientific_name", names.canonical_species(F.col("scientific_name"), SYN))).alias("name"))
     rules = ruletables.suppression_rules(spark)
     return suppress.name_rules(both, rules, suppress.auto_sensitive(df)).select("park", "name", "action")
@@ -239,8 +237,6 @@ def common_names(spark, sf):
      UNION ALL SELECT p_name || ' ' || p_type FROM part UNION ALL SELECT p_type || ' ' || p_name FROM part) GROUP BY 1, 2""",
 )
 def canonical_names(spark, sf):
-    from observatory.functions import names
-
     p = tb.table(spark, sf, "part")
     first = F.concat(F.upper(F.substring("p_name", 1, 1)), F.expr("substring(p_name, 2)"), F.lit(" "), F.lower("p_type"))
     spelled = F.array(first, F.concat_ws(" ", "p_name", "p_type"), F.concat_ws(" ", "p_type", "p_name"))
