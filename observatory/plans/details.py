@@ -184,6 +184,17 @@ def manifest_problems(spark, sf):
     return sinks.verify_manifest(stored, now)
 
 
+@query(
+    "species_documents",
+    o(
+        """SELECT park, to_json({'species': species, 'sightings': sightings, 'human_verified': human_verified, 'months': [m1, m2, m3]}) AS value FROM sp""", "sightings", extra=SPECIES
+    ),
+)
+def species_documents(spark, sf):
+    sp = _species(spark, sf).select("park", "species", "sightings", "human_verified", F.slice("months", 1, 3).alias("months"))
+    return sinks.row_documents(sp)
+
+
 @query(
     "union_of_sources",
     """SELECT 'inaturalist' AS source, count(*) AS n FROM events UNION ALL SELECT 'gbif', count(*) FROM orders""",

@@ -104,6 +104,11 @@ def cell_features(cells: DataFrame) -> DataFrame:
     return cells.select("park", F.to_json(feature).alias("value"))
 
 
+def row_documents(df: DataFrame) -> DataFrame:
+    """Any per-park table (species, places, photos, climate, index) as one JSON text per row."""
+    return df.select("park", F.to_json(F.struct(*[c for c in df.columns if c != "park"])).alias("value"))
+
+
 def write_documents(rows: DataFrame, path: str) -> None:
     """``park`` and one JSON ``value`` per row, one folder per park."""
     rows.select("park", "value").write.partitionBy("park").text(path)
