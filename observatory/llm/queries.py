@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from observatory.llm import mixing, packing
+from observatory.llm import mixing, packing, simhash
 from observatory.llm.batches import bound_batches
 from observatory.llm.registry import query, table
 
@@ -46,3 +46,10 @@ def op10_packing(spark, sf):
 
     bound_batches(spark)
     return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op8_simhash")
+def op8_simhash(spark, sf):
+    bound_batches(spark)
+    out = simhash.near_duplicates(table(spark, sf, "documents"))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
