@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from observatory.llm import mixing, packing, simhash
+from observatory.llm import language, mixing, packing, simhash
 from observatory.llm.batches import bound_batches
 from observatory.llm.registry import query, table
 
@@ -53,3 +53,13 @@ def op8_simhash(spark, sf):
     bound_batches(spark)
     out = simhash.near_duplicates(table(spark, sf, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query("op5_language")
+def op5_language(spark, sf):
+    bound_batches(spark)
+    docs = table(spark, sf, "documents")
+    held_out = F.coalesce(language.fold(F.col("doc_id"), 5) == 0, F.lit(False))
+    model = language.learn(docs.filter(~held_out).select("doc_id", "text", "lang"))
+    out = language.label_texts(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
