@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from observatory.llm import language, mixing, packing, simhash
+from observatory.llm import language, mixing, packing, simhash, toxicity
 from observatory.llm.batches import bound_batches
 from observatory.llm.registry import query, table
 
@@ -63,3 +63,18 @@ def op5_language(spark, sf):
     model = language.learn(docs.filter(~held_out).select("doc_id", "text", "lang"))
     out = language.label_texts(docs.select("doc_id", "text"), model)
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def toxicity_model(spark, sf, docs):
+    """Learned from the labels outside the held-out fold."""
+    known = table(spark, sf, "labels").filter(toxicity.fold(F.col("doc_id")) != 2)
+    return toxicity.learn(docs, known.select("doc_id", "toxic"))
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark, sf):
+    bound_batches(spark)
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    out = toxicity.score_texts(docs, toxicity_model(spark, sf, docs))
+    held_out = F.coalesce(toxicity.fold(F.col("doc_id")) == 2, F.lit(False))
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "matches")
