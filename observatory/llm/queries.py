@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from observatory.llm import language, mixing, packing, simhash, toxicity
+from observatory.llm import embedding_dedup, language, mixing, packing, simhash, toxicity
 from observatory.llm.batches import bound_batches
 from observatory.llm.registry import query, table
 
@@ -78,3 +78,9 @@ def op2_toxicity(spark, sf):
     out = toxicity.score_texts(docs, toxicity_model(spark, sf, docs))
     held_out = F.coalesce(toxicity.fold(F.col("doc_id")) == 2, F.lit(False))
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "matches")
+
+
+@query("op4_embedding_dedup")
+def op4_embedding_dedup(spark, sf):
+    out = embedding_dedup.near_duplicates(table(spark, sf, "embeddings"))
+    return out.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
