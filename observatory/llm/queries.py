@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from observatory.llm import embedding_dedup, language, mixing, packing, simhash, toxicity
+from observatory.llm import embedding_dedup, hnsw, language, mixing, packing, simhash, toxicity
 from observatory.llm.batches import bound_batches
 from observatory.llm.registry import query, table
 
@@ -84,3 +84,9 @@ def op2_toxicity(spark, sf):
 def op4_embedding_dedup(spark, sf):
     out = embedding_dedup.near_duplicates(table(spark, sf, "embeddings"))
     return out.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+@query("op7_nearest")
+def op7_nearest(spark, sf):
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return hnsw.search(hnsw.build_index(vectors), vectors.filter("vec_id % 100 = 0"))
