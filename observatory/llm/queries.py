@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from observatory.llm import embedding_dedup, hnsw, language, mixing, packing, simhash, toxicity
+from observatory.llm import embedding_dedup, hnsw, language, mixing, packing, pii, simhash, toxicity
 from observatory.llm.batches import bound_batches
 from observatory.llm.registry import query, table
 
@@ -90,3 +90,11 @@ def op4_embedding_dedup(spark, sf):
 def op7_nearest(spark, sf):
     vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
     return hnsw.search(hnsw.build_index(vectors), vectors.filter("vec_id % 100 = 0"))
+
+
+@query("op9_pii")
+def op9_pii(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    out = pii.find(docs, pii.fit(docs))
+    counts = [F.size(pii.of_kind(F.col("base_spans"), i)).cast("bigint").alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
+    return out.select("doc_id", *counts, F.sha2(pii.written(F.col("base_spans")), 256).alias("base_sha256"), pii.written(F.col("all_spans")).alias("spans"))
