@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from observatory.session import materialise
 
@@ -289,14 +290,12 @@ def score_texts(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", tex
     and null ids come back as given; only the two named columns are read.
     """
     slim = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return with_scores(slim, model, keep=["doc_id"])
+    return with_scores(slim, model).select("row.doc_id", "score", "matches")
 
 
-def with_scores(df: DataFrame, model: ToxicityModel, text_col: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
-    """The ``keep`` columns of ``df`` (all, if not given) with score and matches behind them."""
+def with_scores(df: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
+    """Every row of ``df`` as a struct ``row``, with its score and matches."""
     held = df.sparkSession.sparkContext.broadcast(model)
-    names = list(df.columns if keep is None else keep)
-    text_at, keep_at = df.columns.index(text_col), [df.columns.index(c) for c in names]
     readers: dict[int, Reader] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,14 +303,14 @@ def with_scores(df: DataFrame, model: ToxicityModel, text_col: str = "text", kee
             readers[0] = Reader(held.value.terms)
         reader, curve = readers[0], held.value.curve
         for batch in batches:
-            texts, x, n = batch.column(text_at), [], []
+            texts, x, n = batch.column(0).field(text_col), [], []
             for i in range(len(texts)):
                 row = reader.features(texts[i].as_py())
                 x.append(float(row @ curve))
                 n.append(round(math.expm1(row[2]) + math.expm1(row[6])))
             scores = 1 / (1 + np.exp(-np.clip(np.array(x, np.float64), -30, 30)))
-            columns = [batch.column(k) for k in keep_at] + [pa.array(scores), pa.array(n, pa.int64())]
-            yield pa.record_batch(columns, names=[*names, "score", "matches"])
+            yield pa.record_batch([batch.column(0), pa.array(scores), pa.array(n, pa.int64())], names=["row", "score", "matches"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (df.schema[k] for k in keep_at))
-    return df.mapInArrow(run, f"{fields}{', ' if fields else ''}score double, matches bigint")
+    whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    schema = T.StructType([*whole.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("matches", T.LongType())])
+    return whole.mapInArrow(run, schema)
