@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from observatory.llm import embedding_dedup, hnsw, language, mixing, packing, pii, simhash, toxicity
+from observatory.llm import embedding_dedup, hnsw, language, mixing, packing, pii, quality, simhash, toxicity
 from observatory.llm.batches import bound_batches
 from observatory.llm.registry import query, table
 
@@ -98,3 +98,11 @@ def op9_pii(spark, sf):
     out = pii.find(docs, pii.fit(docs))
     counts = [F.size(pii.of_kind(F.col("base_spans"), i)).cast("bigint").alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
     return out.select("doc_id", *counts, F.sha2(pii.written(F.col("base_spans")), 256).alias("base_sha256"), pii.written(F.col("all_spans")).alias("spans"))
+
+
+@query("op1_quality")
+def op1_quality(spark, sf):
+    bound_batches(spark)
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    out = quality.score_texts(docs, quality.learn(docs))
+    return out.select("doc_id", "posterior", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
