@@ -13,9 +13,10 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from observatory.session import materialise
+
 # First and last code point of the letters of each script.
 SCRIPTS = {
     "latin": [(0x41, 0x24F), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF), (0xFF21, 0xFF5A)],
@@ -97,8 +98,9 @@ def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     """The column of each row on the best path, where every change of column costs ``penalty``.
 
     One column throughout is the best path if no other column gains more than
-    half the penalty over any stretch: then switches cost more than all they
-    bring. Most texts end there; the others take the full pass.
+    the penalty over any stretch, nor over a start and an end together: then
+    switches cost more than all they bring. Most texts end there; the others
+    take the full pass.
     """
     n, k = scores.shape
     if not n or not k:
@@ -106,19 +108,23 @@ def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     best = int(scores.sum(axis=0, dtype=np.float64).argmax())
     rise = np.zeros((n + 1, k))
     np.cumsum(scores - scores[:, best:best + 1], axis=0, dtype=np.float64, out=rise[1:])
-    if k == 1 or (rise - np.minimum.accumulate(rise, axis=0)).max() <= penalty / 2:
+    stretch = (rise - np.minimum.accumulate(rise, axis=0)).max()
+    if k == 1 or (stretch <= penalty and rise.max() + (rise[-1] - rise).max() <= penalty):
         return np.full(n, best)
-    value, back = scores[0].astype(np.float64), np.zeros((n, k), np.int32)
-    stay = np.arange(k)
-    for t in range(1, n):
-        top = int(value.argmax())
-        switch = value[top] - penalty > value
-        back[t] = np.where(switch, top, stay)
-        value = np.where(switch, value[top] - penalty, value) + scores[t]
+    rows = scores.tolist()
+    value, back, tops = rows[0], [], []
+    for row in rows[1:]:
+        top = max(value)
+        floor = top - penalty
+        tops.append(value.index(top))
+        back.append([v < floor for v in value])
+        value = [(v if v >= floor else floor) + s for v, s in zip(value, row, strict=True)]
     path = np.zeros(n, np.int64)
-    path[-1] = value.argmax()
-    for t in range(n - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
+    at = path[-1] = value.index(max(value))
+    for t in range(n - 2, -1, -1):
+        if back[t][at]:
+            at = tops[t]
+        path[t] = at
     return path
 
 
@@ -188,19 +194,17 @@ class Labeller:
 
 
 def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 1500, grams: int = 60_000) -> LanguageModel:
-    """A model of the ``lang_col`` values, from at most ``per_language`` texts of each, picked by the hash of their id.
+    """A model of the ``lang_col`` values, from about ``per_language`` texts of each, picked by the hash of their id.
 
     Trigrams are counted in tasks and summed in Spark; the most frequent
     ``grams`` pairs of language and trigram come to the driver. Rows without a
     text or a language teach nothing.
     """
     usable = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    slim = usable.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
-    order = W.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    picked = slim.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_language)
-    chosen = usable.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).join(
-        picked.select("_id").distinct(), "_id", "left_semi"
-    )
+    counts = materialise(usable.groupBy(F.col(lang_col).alias("_lang")).agg(F.count("*").alias("_n")), "languages")
+    turn = F.pmod(F.xxhash64(F.col("_id")), F.lit(1 << 30)).cast("double") / (1 << 30)
+    texts = usable.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("text"))
+    chosen = texts.join(counts, "_lang").filter(turn * F.col("_n") < per_language).select(F.col("_lang").cast("string").alias("lang"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
