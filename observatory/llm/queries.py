@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from observatory.llm import embedding_dedup, hnsw, language, mixing, packing, pii, quality, simhash, toxicity
+from observatory.llm import chat, embedding_dedup, hnsw, language, mixing, packing, pii, quality, simhash, toxicity
 from observatory.llm.batches import bound_batches
 from observatory.llm.registry import query, table
 
@@ -106,3 +106,49 @@ def op1_quality(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     out = quality.score_texts(docs, quality.learn(docs))
     return out.select("doc_id", "posterior", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+SCHEMAS = {"count": {"properties": {"chars": "integer", "words": "integer", "deep": "boolean"}, "required": ["chars", "words"]}}
+
+# Assistant turns call a tool on their text, user turns from the second on are its results; some calls break the schema, some results come early.
+CALLS = """
+ SELECT conv_id, turn, role, text,
+   role = 'assistant' AND (conv_id + turn) % 3 <> 0 AS calls, role = 'user' AND turn >= 2 AND conv_id % 2 = 0 AS answers,
+   (conv_id + turn) % 5 = 0 AS as_text, (conv_id + turn) % 7 = 0 AS no_words, length(text) AS chars, length(text) - length(replace(text, ' ', '')) + 1 AS words,
+   CASE WHEN role = 'user' AND turn >= 2 AND conv_id % 8 = 0 THEN turn - 2 ELSE turn END AS spot
+ FROM conversations"""
+
+_ID = "concat('call_', conv_id, '_', {turn})"
+
+
+@query(
+    "op6_chat_format",
+    f"""
+WITH m AS ({CALLS}),
+ a AS (SELECT *, {_ID.format(turn='turn')} AS own, {_ID.format(turn='turn - 1')} AS wanted,
+   concat('{{', CASE WHEN as_text THEN concat('"chars":"', chars, '"') ELSE concat('"chars":', chars) END, ',"deep":true', CASE WHEN no_words THEN '' ELSE concat(',"words":', words) END, '}}') AS args FROM m),
+ f AS (SELECT conv_id, own, min(spot) AS call_turn FROM a WHERE calls GROUP BY ALL),
+ d AS (SELECT c.conv_id, c.spot, count(DISTINCT c.own) AS n_answered FROM a c JOIN a r ON r.answers AND r.conv_id = c.conv_id AND r.wanted = c.own WHERE c.calls GROUP BY ALL)
+SELECT a.conv_id, a.spot AS turn, CASE WHEN answers THEN 'tool' ELSE role END AS role,
+  CASE WHEN answers THEN greatest(a.spot, coalesce(f.call_turn, a.spot)) ELSE a.spot END AS order_turn, CAST(answers AS INTEGER) AS order_step,
+  CAST(calls AS INTEGER) AS n_calls, CAST(calls AND NOT as_text AND NOT no_words AS INTEGER) AS n_valid,
+  CASE WHEN calls OR answers THEN coalesce(d.n_answered, 0) ELSE 0 END AS n_answered, CASE WHEN answers THEN f.call_turn IS NOT NULL END AS linked,
+  concat('{{', CASE WHEN text IS NOT NULL THEN concat('"content":', to_json(text), ',') ELSE '' END, '"role":', to_json(CASE WHEN answers THEN 'tool' ELSE role END),
+    CASE WHEN answers THEN concat(',"tool_call_id":"', wanted, '"') ELSE '' END,
+    CASE WHEN calls THEN concat(',"tool_calls":[{{"arguments":', args, ',"id":"', a.own, '","name":"count"}}]') ELSE '' END, '}}') AS json
+FROM a LEFT JOIN f ON a.answers AND f.conv_id = a.conv_id AND f.own = a.wanted LEFT JOIN d ON d.conv_id = a.conv_id AND d.spot = a.spot
+""",
+)
+def op6_chat_format(spark, sf):
+    table(spark, sf, "conversations").createOrReplaceTempView("conversations")
+    m = spark.sql(CALLS)
+    own, of = F.concat(F.lit("call_"), "conv_id", F.lit("_"), "turn"), F.concat(F.lit("call_"), "conv_id", F.lit("_"), F.col("turn") - 1)
+    words = F.when(~F.col("no_words"), F.col("words"))
+    number = F.struct(F.col("chars").alias("chars"), words.alias("words"), F.lit(True).alias("deep"))
+    wrong = F.struct(F.col("chars").cast("string").alias("chars"), words.alias("words"), F.lit(True).alias("deep"))
+    call = lambda arguments: F.to_json(F.struct(F.array(F.struct(F.lit("count").alias("name"), own.alias("id"), arguments.alias("arguments"))).alias("tool_calls"), "content"))
+    m = m.withColumnRenamed("text", "content")
+    text = F.when(F.col("calls"), F.when(F.col("as_text"), call(wrong)).otherwise(call(number)))
+    text = F.when(F.col("answers"), F.to_json(F.struct("content", of.alias("tool_call_id")))).otherwise(F.coalesce(text, F.col("content")))
+    role = F.when(F.col("answers"), "tool").otherwise(F.col("role"))
+    return chat.format_messages(m.select("conv_id", F.col("spot").alias("turn"), role.alias("role"), text.alias("text")), SCHEMAS)
