@@ -142,16 +142,11 @@ SMALL_WORDS = ("at", "near", "of", "the", "and", "nr", "blw", "abv")
 
 def title_case(text: Column) -> Column:
     """Station names in title case; a trailing two-letter state goes upper."""
-    words = F.split(F.lower(text), r"\s+")
-
-    def word(w: Column, i: Column) -> Column:
-        up = F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))
-        return F.when((i > 0) & w.isin(*SMALL_WORDS), w).otherwise(up)
-
-    joined = F.array_join(F.transform(words, word), " ")
-    state = F.regexp_extract(joined, r", ([A-Za-z]{2})$", 1)
-    head = joined.substr(F.lit(1), F.length(joined) - 2)
-    return F.when(F.length(state) == 2, F.concat(head, F.upper(state))).otherwise(joined)
+    out = F.initcap(F.regexp_replace(text, r"\s+", " "))
+    for small in SMALL_WORDS:
+        out = F.regexp_replace(out, rf"(?<= ){small.capitalize()}(?= |$)", small)
+    place, state = (F.regexp_extract(out, r"(?s)^(.*, )([A-Za-z]{2})$", g) for g in (1, 2))
+    return F.when(state != "", F.concat(place, F.upper(state))).otherwise(out)
 
 
 def norm_words(text: Column) -> Column:
@@ -160,27 +155,15 @@ def norm_words(text: Column) -> Column:
     return F.trim(F.regexp_replace(low, r"\s+", " "))
 
 
-def singular(word: Column) -> Column:
-    n = F.length(word)
-
-    def cut(k: int) -> Column:
-        return word.substr(F.lit(1), n - k)
-
-    return (
-        F.when(word == "wolves", "wolf")
-        .when(word == "geese", "goose")
-        .when(word == "mice", "mouse")
-        .when(word.endswith("ies") & (n > 4), F.concat(cut(3), F.lit("y")))
-        .when(word.rlike(r"(sh|ch|x|s)es$"), cut(2))
-        .when(word.endswith("s") & ~word.endswith("ss"), cut(1))
-        .otherwise(word)
-    )
+# Plurals without a rule, and plural endings with what takes their place.
+IRREGULAR = {"wolves": "wolf", "geese": "goose", "mice": "mouse"}
+ENDINGS = ((r"^(.{2,})ies$", "$1y"), (r"^(.*(?:sh|ch|x|s))es$", "$1"), (r"^(|.*[^s])s$", "$1"))
 
 
-def query_words(question: Column) -> Column:
-    """Distinct words of a question with their singular forms."""
-    words = F.split(norm_words(question), " ")
-    return F.array_distinct(F.flatten(F.transform(words, lambda w: F.array(w, singular(w)))))
+def singular(word: Column) -> Column:
+    """The singular of a lower-case word; a word with no known ending is its own."""
+    by_ending = [F.when(word.rlike(ending), F.regexp_replace(word, ending, rest)) for ending, rest in ENDINGS]
+    return F.coalesce(F.try_element_at(literal_map(IRREGULAR), word), *by_ending, word)
 
 
 # The words that give a question an intent.
@@ -222,29 +205,26 @@ def cited_facts(answer: Column, fact_count: Column) -> Column:
     return F.filter(F.array_distinct(found), lambda n: n.isNotNull() & (n >= 1) & (n <= fact_count))
 
 
-def _numbers(text: Column) -> Column:
-    found = F.regexp_extract_all(text, F.lit(r"(\d[\d,.]*)"), 1)
-    return F.array_distinct(F.transform(found, lambda s: F.regexp_replace(s, r"[.,]+$", "")))
-
-
 def uncited_numbers(answer: Column, fact_text: Column) -> Column:
-    """Numbers of three or more digits in an answer that no fact contains."""
-    said = _numbers(F.regexp_replace(answer, r"\[\d+\]", ""))
-    stray = F.array_except(said, _numbers(fact_text))
-    return F.filter(stray, lambda s: F.length(F.regexp_replace(s, r"[^\d]", "")) >= 3)
+    """Numbers of three or more digits in an answer that no fact contains; citations such as [2] are none."""
+    number = r"\d(?:[\d,.]*\d)?"
+    said = F.regexp_extract_all(answer, F.lit(rf"\[\d+\]|{number}"), 0)
+    long = F.filter(said, lambda s: ~s.startswith("[") & (F.length(F.translate(s, ",.", "")) >= 3))
+    return F.array_except(long, F.regexp_extract_all(fact_text, F.lit(number), 0))
 
 
 def declines(answer: Column) -> Column:
     return answer.rlike(r"(?i)doesn't say|does not say")
 
 
-FACILITY_WORDS = r"(?i)\b(trail|trailhead|campground|campsite|picnic area|overlook|viewpoint|visitor center)\b"
+# Words that name a facility and not a place.
+FACILITY_WORDS = ("trail", "trailhead", "campground", "campsite", "picnic area", "overlook", "viewpoint", "visitor center")
 
 
 def place_stem(name: Column) -> Column:
     """A place's own name without facility words; null when nothing usable is left."""
-    stem = F.trim(F.regexp_replace(name, FACILITY_WORDS, ""))
-    return F.when((F.length(stem) > 0) & ~stem.rlike(r"^\d"), stem)
+    rest = F.trim(F.regexp_replace(name, rf"(?i)\b(?:{'|'.join(FACILITY_WORDS)})\b", ""))
+    return F.nullif(F.regexp_extract(rest, r"(?s)^\D.*$", 0), F.lit(""))
 
 
 # Attribution texts per source.
@@ -262,20 +242,26 @@ def attribution(source: str, observer: Column, license_: Column, url: Column, ex
     )
 
 
+# Tags of a campground in order, what is said of single values, and of any other ({} is the value; None: nothing).
+CAMP_PHRASES = (
+    ("backcountry", {"yes": "backcountry"}, None),
+    ("capacity", {}, "{} sites"),
+    ("fee", {"no": "free"}, "fee"),
+    ("reservation", {"no": "first come"}, "reservation {}"),
+    ("seasonal", {"no": None}, "seasonal"),
+)
+
+
 def camp_detail(tags: Column, dist_m: Column) -> Column:
     """One line about a campground from its tags."""
-    def tag(key: str) -> Column:
-        return F.nullif(F.try_element_at(tags, F.lit(key)), F.lit(""))
-
-    return F.concat_ws(
-        " · ",
-        format_distance(dist_m),
-        F.when(tag("backcountry") == "yes", "backcountry"),
-        F.concat(tag("capacity"), F.lit(" sites")),
-        F.when(tag("fee") == "no", "free").when(tag("fee").isNotNull(), "fee"),
-        F.when(tag("reservation") == "no", "first come").otherwise(F.concat(F.lit("reservation "), tag("reservation"))),
-        F.when(tag("seasonal") != "no", "seasonal"),
-    )
+    said = []
+    for key, single, other in CAMP_PHRASES:
+        value = F.nullif(F.try_element_at(tags, F.lit(key)), F.lit(""))
+        phrase = F.replace(F.lit(other), F.lit("{}"), value) if other else F.lit(None).cast("string")
+        for known, words in single.items():
+            phrase = F.when(value == known, F.lit(words)).otherwise(phrase)
+        said.append(F.when(value.isNotNull(), phrase))
+    return F.concat_ws(" · ", format_distance(dist_m), *said)
 
 
 def half_up(x: Column) -> Column:
