@@ -12,8 +12,9 @@ from observatory.streaming import live
 
 
 def _events(spark, sf):
-    schema = tb.table(spark, sf, "events").schema
-    return live.read_stream(spark, sf, schema, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    """The events table landed in three files by time, and the mark of its end."""
+    path = live.land(tb.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts")
+    return live.read_stream(spark, path, spark.read.parquet(path).schema, files_per_batch=1)
 
 
 def _ntz(df, *columns):
@@ -27,16 +28,17 @@ _LATEST = """SELECT key, event_id, value FROM (SELECT user_id * 10 + event_id %
 
 @query("stream_upsert", _LATEST)
 def stream_upsert(spark, sf):
-    s = _events(spark, sf).select((F.col("user_id") * 10 + F.col("event_id") % 7).alias("key"), "ts", "event_id", "value")
-    table = live.UpsertTable(spark, scratch_path(spark, "upsert"), s.schema, ["key"], ["ts", "event_id"])
-    live.continuous_upsert(s, table, scratch_path(spark, "upsert-progress"))
-    return table.read().select("key", "event_id", "value")
+    s = _events(spark, sf).filter("event_id is not null").select((F.col("user_id") * 10 + F.col("event_id") % 7).alias("key"), "ts", "event_id", "value")
+    path = scratch_path(spark, "upsert")
+    live.continuous_upsert(s, path, ["key"], ["ts", "event_id"], scratch_path(spark, "upsert-progress"))
+    return live.read_latest(spark, path, s.schema, ["key"], ["ts", "event_id"]).select("key", "event_id", "value")
 
 
 @query("stream_first_arrivals", "SELECT DISTINCT user_id, event_type FROM events")
 def stream_first(spark, sf):
+    """State forgets a key after a day, so one that returns later arrives again; the reader settles those."""
     out = live.first_arrivals(_events(spark, sf), ["user_id", "event_type"], "ts")
-    return live.run_to_end(out.select("user_id", "event_type"), "first-arrivals")
+    return live.run_to_end(out.select("user_id", "event_type"), "first-arrivals").filter("user_id is not null").distinct()
 
 
 _US = "strftime({c}, '%Y-%m-%d %H:%M:%S.%f')"
@@ -46,7 +48,7 @@ _US = "strftime({c}, '%Y-%m-%d %H:%M:%S.%f')"
     "stream_sessions",
     f"""SELECT sequence_id, label, {_US.format(c='min(ts)')} AS first_ts, {_US.format(c='max(ts)')} AS last_ts, count(*) AS n FROM (SELECT *, sum(brk) OVER (PARTITION BY sequence_id, label ORDER BY ts, event_id) AS s FROM (
      SELECT concat('s', user_id) AS sequence_id, event_type AS label, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) <= INTERVAL 2 DAY THEN 0 ELSE 1 END AS brk FROM events))
-     GROUP BY sequence_id, label, s HAVING max(ts) + INTERVAL 2 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
+     GROUP BY sequence_id, label, s""",
 )
 def stream_sessions(spark, sf):
     s = _events(spark, sf).select(F.concat(F.lit("s"), "user_id").alias("sequence_id"), F.col("event_type").alias("label"), "ts")
@@ -58,15 +60,14 @@ _D = """2 * 6371008.8e0 * asin(sqrt(least(1e0, pow(sin((radians(lat) - radians(p
 
 @query(
     "stream_chains",
-    f"""WITH e AS (SELECT concat('s', user_id) AS sequence_id, event_type AS label, ts, event_id, {tb.LON} AS lon, {tb.LAT} AS lat, (SELECT max(ts) FROM events) - INTERVAL 1 HOUR AS mark FROM events),
-     r AS (SELECT *, lag(ts) OVER w AS p_ts, lag(lon) OVER w AS p_lon, lag(lat) OVER w AS p_lat FROM e WHERE ts <= mark WINDOW w AS (PARTITION BY sequence_id, label ORDER BY ts)),
-     c AS (SELECT *, sum(CASE WHEN ts - p_ts <= INTERVAL 3 DAY AND {_D} <= 2500e0 THEN 0 ELSE 1 END) OVER (PARTITION BY sequence_id, label ORDER BY ts) AS ch FROM r),
-     g AS (SELECT sequence_id, label, ch, min(ts) AS a, max(ts) AS b, count(*) AS n, any_value(mark) AS mark FROM c GROUP BY ALL)
-     SELECT sequence_id, label, {_US.format(c='a')} AS first_ts, {_US.format(c='b')} AS last_ts, n FROM (SELECT *, lead(ch) OVER (PARTITION BY sequence_id, label ORDER BY ch) AS nxt FROM g) WHERE nxt IS NOT NULL OR b + INTERVAL 3 DAY < mark""",
+    f"""WITH e AS (SELECT concat('s', user_id) AS sequence_id, event_type AS label, ts, event_id, {tb.LON} AS lon, {tb.LAT} AS lat FROM events),
+     r AS (SELECT *, lag(ts) OVER w AS p_ts, lag(lon) OVER w AS p_lon, lag(lat) OVER w AS p_lat FROM e WINDOW w AS (PARTITION BY sequence_id, label ORDER BY ts, event_id)),
+     c AS (SELECT *, sum(CASE WHEN ts - p_ts <= INTERVAL 3 DAY AND {_D} <= 2500e0 THEN 0 ELSE 1 END) OVER (PARTITION BY sequence_id, label ORDER BY ts, event_id) AS ch FROM r)
+     SELECT sequence_id, label, {_US.format(c='min(ts)')} AS first_ts, {_US.format(c='max(ts)')} AS last_ts, count(*) AS n FROM c GROUP BY sequence_id, label, ch""",
 )
 def stream_chains(spark, sf):
     s = _events(spark, sf).select(
-        F.concat(F.lit("s"), "user_id").alias("sequence_id"), F.col("event_type").alias("label"), "ts",
+        F.concat(F.lit("s"), "user_id").alias("sequence_id"), F.col("event_type").alias("label"), "ts", F.col("event_id").alias("id"),
         F.expr(tb.LON).alias("lon"), F.expr(tb.LAT).alias("lat"),
     )
     out = live.frame_chains(s, gap_s=3 * 86400.0, dist_m=2500.0)
@@ -76,7 +77,7 @@ def stream_chains(spark, sf):
 def _counts_sql(days: int, slide: int) -> str:
     return f"""SELECT strftime(st, '%Y-%m-%d %H:%M:%S.%f') AS start, strftime(st + INTERVAL {days} DAY, '%Y-%m-%d %H:%M:%S.%f') AS "end", cell, count(*) AS n FROM (
      SELECT cell, ts, unnest(generate_series(date_trunc('day', ts) - INTERVAL {days - slide} DAY, date_trunc('day', ts), INTERVAL {slide} DAY)) AS st FROM
-     {hex_sql(f"(SELECT *, 6 AS res, {tb.LON} AS lon, {tb.LAT} AS lat FROM events)")}) GROUP BY st, cell HAVING st + INTERVAL {days} DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)"""
+     {hex_sql(f"(SELECT *, 6 AS res, {tb.LON} AS lon, {tb.LAT} AS lat FROM events)")}) GROUP BY st, cell"""
 
 
 @query("stream_daily_cell_counts", _counts_sql(1, 1))

@@ -1,17 +1,18 @@
 """Structured Streaming forms of the batch operators.
 
-Each agrees with its batch twin on a finished input; state is bounded by an
-event-time watermark.
+State is bounded by an event-time watermark. What is still open when an input
+ends is written once the end is marked (``end_of_input``): then each form agrees
+with its batch twin.
 """
 
 from __future__ import annotations
 
-import uuid
+import datetime as dt
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -29,6 +30,32 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType, glob: str
     return reader.parquet(path)
 
 
+END = dt.datetime(2200, 1, 1)
+
+
+def end_of_input(spark: SparkSession, schema: T.StructType, ts: str) -> DataFrame:
+    """The last row of a finished input: all null but for a time far ahead.
+
+    It carries the watermark past every open session, chain and window, which
+    writes them; itself it stays open for ever.
+    """
+    return spark.range(1).select(*[
+        F.lit(END if f.name == ts else None).cast(f.dataType).alias(f.name) for f in schema
+    ])
+
+
+def land(df: DataFrame, ts: str, files: int = 3) -> str:
+    """A finished input as a folder for ``read_stream``: slices of event time one after another, then the end mark."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "landed")
+    low, high = df.agg(F.min(F.unix_micros(ts)), F.max(F.unix_micros(ts))).first()
+    low, high = low or 0, high or 0
+    slot = F.least(F.floor((F.unix_micros(ts) - low) * files / (high - low + 1)), F.lit(files - 1))
+    for i in range(files):
+        df.filter(slot == i).coalesce(1).write.mode("append").parquet(path)
+    end_of_input(spark, df.schema, ts).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
 def run_to_end(df: DataFrame, label: str, mode: str = "append") -> DataFrame:
     """Process all that is there, then read the written table."""
     spark = df.sparkSession
@@ -44,66 +71,32 @@ def run_to_end(df: DataFrame, label: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(df.schema).parquet(out)
 
 
-class UpsertTable:
-    """A keyed table of immutable versions, one version per key bucket (ST1).
+def continuous_upsert(stream: DataFrame, path: str, keys: Sequence[str], order: Sequence[str], progress: str) -> None:
+    """Drain a stream into a keyed table, last write wins (ST1).
 
-    A micro-batch rewrites only the buckets its keys fall in and then adds one
-    pointer record, so its cost follows the batch and not the table. A failed
-    batch leaves every old version readable; a replayed one merges the same
-    rows again and changes nothing. Pointers are files, so a restarted driver
-    finds the table where the last finished batch left it.
+    A micro-batch adds the last row of each of its keys as one partition, so its
+    cost follows the batch; a replayed batch writes the same partition again.
     """
+    by = [F.col(c) for c in order]
 
-    POINTERS = "bucket int, path string, step bigint"
-
-    def __init__(
-        self, spark: SparkSession, root: str, schema: T.StructType, keys: Sequence[str], order: Sequence[str], buckets: int = 64
-    ):
-        self.spark, self.root, self.schema, self.buckets = spark, root, schema, buckets
-        self.keys, self.order = list(keys), list(order)
-        self.step, self.current = -1, {}
-        try:
-            known = spark.read.schema(self.POINTERS).json(f"{root}/pointers")
-            rows = known.groupBy("bucket").agg(F.max(F.struct("step", "path")).alias("p")).collect()
-        except AnalysisException:
-            rows = []
-        for r in rows:
-            self.current[r.bucket] = r.p.path
-            self.step = max(self.step, r.p.step)
-
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
-
-    def read(self, buckets: Sequence[int] | None = None) -> DataFrame:
-        wanted = self.current if buckets is None else {b: self.current[b] for b in buckets if b in self.current}
-        if not wanted:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*[f"{path}/_bucket={b}" for b, path in wanted.items()])
-
-    def apply(self, batch: DataFrame, epoch: int) -> None:
-        touched = [r[0] for r in batch.select(self._bucket()).distinct().collect()]
-        if not touched:
-            return
-        path = f"{self.root}/version-{epoch:09d}-{uuid.uuid4().hex}"
-        merged = sinks.upsert(self.read(touched), batch, self.keys, [F.col(c) for c in self.order])
-        merged.withColumn("_bucket", self._bucket()).repartition("_bucket").write.partitionBy("_bucket").parquet(path)
-        self.step += 1
-        moved = [(b, path, self.step) for b in touched]
-        self.spark.createDataFrame(moved, self.POINTERS).coalesce(1).write.mode("append").json(f"{self.root}/pointers")
-        self.current.update(dict.fromkeys(touched, path))
-
-
-def continuous_upsert(stream: DataFrame, table: UpsertTable, progress: str) -> None:
-    """Drain a stream into a keyed table, last write wins."""
-    query = (
-        stream.writeStream.foreachBatch(table.apply)
-        .option("checkpointLocation", progress)
-        .trigger(availableNow=True)
-        .start()
-    )
+    def add(batch: DataFrame, epoch: int) -> None:
+        sinks.latest_by_key(batch, keys, by).write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+
+    query = stream.writeStream.foreachBatch(add).option("checkpointLocation", progress).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
+def read_latest(spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The keyed table as it stands: of all batches the last row per key."""
+    rows = spark.read.schema(schema).parquet(path).select(schema.names)
+    return sinks.latest_by_key(rows, keys, [F.col(c) for c in order])
+
+
+def compact(spark: SparkSession, path: str, to: str, schema: T.StructType, keys: Sequence[str], order: Sequence[str]) -> None:
+    """A batch job that writes the table anew as one batch, for readers and further batches to start from."""
+    read_latest(spark, path, schema, keys, order).write.parquet(f"{to}/batch=-1")
+
+
 def first_arrivals(stream: DataFrame, keys: Sequence[str], ts: str, delay: str = "1 day") -> DataFrame:
     """Insert-if-absent with state that forgets keys past the watermark (ST2)."""
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
@@ -122,72 +115,71 @@ def frame_sessions(stream: DataFrame, gap: str = "60 seconds", delay: str = "1 h
     )
 
 
+def _metres(lon1: np.ndarray, lat1: np.ndarray, lon2: np.ndarray, lat2: np.ndarray) -> np.ndarray:
+    p1, p2 = np.radians(lat1), np.radians(lat2)
+    h = np.sin((p2 - p1) / 2) ** 2 + np.cos(p1) * np.cos(p2) * np.sin(np.radians(lon2 - lon1) / 2) ** 2
+    return 2 * geo.MEAN_EARTH_RADIUS_M * np.arcsin(np.sqrt(np.minimum(1.0, h)))
+
+
 CHAIN_OUTPUT = "sequence_id string, label string, first_ts timestamp, last_ts timestamp, n bigint"
 
 
 def frame_chains(stream: DataFrame, gap_s: float = 60.0, dist_m: float = 200.0, delay: str = "1 hour") -> DataFrame:
     """Frame chains with the distance clause, one open chain of state per key (ST4).
 
-    Rows of a key are released in time order once the watermark passes them;
-    the open chain closes when the watermark is a gap past its last row. State
-    is the buffered late rows plus one chain.
+    ``stream``: sequence_id, label, ts, lon, lat, id. Rows of a key are released
+    in order of time and id once the watermark passes them; the open chain
+    closes when the watermark is a gap past its last row. State is the rows
+    still waiting plus one chain.
     """
-    import numpy as np
-
     state_schema = (
-        "buf_us array<bigint>, buf_lon array<double>, buf_lat array<double>, first_us bigint, last_us bigint, "
-        "lon double, lat double, n bigint"
+        "buf_us array<bigint>, buf_id array<bigint>, buf_lon array<double>, buf_lat array<double>, "
+        "first_us bigint, last_us bigint, lon double, lat double, n bigint"
     )
     gap_us = int(gap_s * 1_000_000)
-    radius = geo.MEAN_EARTH_RADIUS_M
-
-    def metres(lon1: float, lat1: float, lon2: float, lat2: float) -> float:
-        p1, p2 = np.radians(lat1), np.radians(lat2)
-        h = np.sin((p2 - p1) / 2) ** 2 + np.cos(p1) * np.cos(p2) * np.sin(np.radians(lon2 - lon1) / 2) ** 2
-        return float(2 * radius * np.arcsin(np.sqrt(min(1.0, h))))
-
-    def row(key: tuple, first: int, last: int, n: int) -> dict:
-        return {
-            "sequence_id": key[0], "label": key[1],
-            "first_ts": pd.Timestamp(first, unit="us"), "last_ts": pd.Timestamp(last, unit="us"), "n": n,
-        }
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        us, lons, lats, first, last, lon, lat, n = state.get if state.exists else ([], [], [], None, None, None, None, 0)
-        rows = list(zip(us or [], lons or [], lats or [], strict=True))
+        us, ids, lon, lat, first, last, last_lon, last_lat, n = state.get if state.exists else ([], [], [], [], None, None, None, None, 0)
+        parts = [(np.array(us or [], np.int64), np.array(ids or [], np.int64), np.array(lon or [], float), np.array(lat or [], float))]
         if not state.hasTimedOut:
             for pdf in batches:
-                stamps = pdf["ts"].astype("datetime64[us]").astype("int64")
-                rows += list(zip(stamps, pdf["lon"], pdf["lat"], strict=True))
+                parts.append((pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy(), pdf["id"].to_numpy(), pdf["lon"].to_numpy(), pdf["lat"].to_numpy()))
+        us, ids, lon, lat = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((ids, us))
+        us, ids, lon, lat = us[order], ids[order], lon[order], lat[order]
         mark = state.getCurrentWatermarkMs() * 1000
-        rows.sort()
-        ready = [r for r in rows if r[0] <= mark]
-        waiting = rows[len(ready):]
+        ready = int(np.searchsorted(us, mark, side="right"))
         closed = []
-        for t, x, y in ready:
-            t = int(t)
-            if last is not None and t - last <= gap_us and metres(lon, lat, x, y) <= dist_m:
-                last, lon, lat, n = t, float(x), float(y), n + 1
-                continue
+        if ready:
+            t, x, y = us[:ready], lon[:ready], lat[:ready]
+            if last is not None:  # the open chain takes part as its last row
+                t, x, y = np.append(last, t), np.append(last_lon, x), np.append(last_lat, y)
+            linked = (np.diff(t) <= gap_us) & (_metres(x[:-1], y[:-1], x[1:], y[1:]) <= dist_m)
+            starts = np.append(0, np.flatnonzero(~linked) + 1)
+            sizes, ends = np.diff(np.append(starts, len(t))), np.append(starts[1:], len(t)) - 1
+            firsts = t[starts].copy()
             if last is not None:
-                closed.append(row(key, first, last, n))
-            first = last = t
-            lon, lat, n = float(x), float(y), 1
+                firsts[0] = first
+                sizes[0] += n - 1
+            closed = list(zip(firsts[:-1].tolist(), t[ends[:-1]].tolist(), sizes[:-1].tolist(), strict=True))
+            first, last, last_lon, last_lat, n = int(firsts[-1]), int(t[-1]), float(x[-1]), float(y[-1]), int(sizes[-1])
         if last is not None and mark > last + gap_us:
-            closed.append(row(key, first, last, n))
-            first = last = lon = lat = None
+            closed.append((first, last, n))
+            first = last = last_lon = last_lat = None
             n = 0
-        if waiting or last is not None:
-            state.update((
-                [int(r[0]) for r in waiting], [float(r[1]) for r in waiting], [float(r[2]) for r in waiting],
-                first, last, lon, lat, n,
-            ))
-            due = min([r[0] for r in waiting] + ([last + gap_us] if last is not None else []))
-            state.setTimeoutTimestamp(max(int(due) // 1000 + 1, mark // 1000 + 1))
+        if ready < len(us) or last is not None:
+            state.update((us[ready:].tolist(), ids[ready:].tolist(), lon[ready:].tolist(), lat[ready:].tolist(), first, last, last_lon, last_lat, n))
+            due = min([int(us[ready])] if ready < len(us) else [last + gap_us])
+            if last is not None:
+                due = min(due, last + gap_us)
+            state.setTimeoutTimestamp(max(due // 1000 + 1, mark // 1000 + 1))
         elif state.exists:
             state.remove()
         if closed:
-            yield pd.DataFrame(closed)
+            yield pd.DataFrame({
+                "sequence_id": key[0], "label": key[1], "first_ts": pd.to_datetime([c[0] for c in closed], unit="us"),
+                "last_ts": pd.to_datetime([c[1] for c in closed], unit="us"), "n": [c[2] for c in closed],
+            })
 
     return (
         stream.withWatermark("ts", delay)

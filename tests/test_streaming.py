@@ -42,7 +42,7 @@ def _chains(data, gap, dist):
     out = []
     for key in sorted({(r[0], r[1]) for r in data}):
         prev = None
-        for r in sorted((r for r in data if (r[0], r[1]) == key), key=lambda r: (r[2], r[3], r[4])):
+        for r in sorted((r for r in data if (r[0], r[1]) == key), key=lambda r: (r[2], r[5])):
             if prev and (r[2] - prev[2]).total_seconds() <= gap and hav((r[3], r[4]), (prev[3], prev[4])) <= dist:
                 out[-1][-1] += 1
                 out[-1][3] = r[2]
@@ -61,7 +61,7 @@ def test_sessions_equal_the_batch_chains(spark):
 
 def test_stateful_chains_equal_the_batch_chains(spark):
     data = _events(250, 2)
-    out = live.run_to_end(live.frame_chains(_read(spark, _land(spark, data), 10).drop("id"), 300, 200.0, "10 seconds"), "t")
+    out = live.run_to_end(live.frame_chains(_read(spark, _land(spark, data), 10), 300, 200.0, "10 seconds"), "t")
     got = sorted((r.sequence_id, r.label, r.first_ts, r.last_ts, r.n) for r in out.filter("sequence_id <> 'end'").collect())
     assert got == _chains(data, 300, 200.0)
 
@@ -69,20 +69,26 @@ def test_stateful_chains_equal_the_batch_chains(spark):
 def test_upsert_over_batches_equals_the_batch(spark):
     data = _events(120, 3)
     s = _read(spark, _land(spark, data)).select((F.col("id") % 10).alias("k"), "ts", "id")
-    table = live.UpsertTable(spark, scratch_path(spark, "u"), s.schema, ["k"], ["ts", "id"])
-    live.continuous_upsert(s, table, scratch_path(spark, "p"))
+    path, schema, by = scratch_path(spark, "u"), s.schema, (["k"], ["ts", "id"])
+    live.continuous_upsert(s, path, *by, scratch_path(spark, "p"))
     want = {}
     for r in sorted(data, key=lambda r: (r[2], r[5])):
         want[r[5] % 10] = r[5]
-    got = {r.k: r.id for r in table.read().filter("id >= 0").collect()}
-    assert got == {k: v for k, v in want.items() if k in got} and len(got) == 10
-    again = live.UpsertTable(spark, table.root, s.schema, ["k"], ["ts", "id"])
-    assert sorted(again.read().collect()) == sorted(table.read().collect())
-    fresh = spark.createDataFrame([(3, dt.datetime(2030, 1, 1), 999)], s.schema)
-    again.apply(fresh, 99)
-    again.apply(fresh, 99)
-    assert again.read().filter("k = 3").collect()[0].id == 999
-    assert again.read().count() == table.read().count()
+    table = live.read_latest(spark, path, schema, *by)
+    assert spark.read.schema(schema).parquet(path).select("batch").distinct().count() == 5
+    assert {r.k: r.id for r in table.filter("id >= 0").collect()} == want
+    to = scratch_path(spark, "c")
+    live.compact(spark, path, to, schema, *by)
+    assert sorted(live.read_latest(spark, to, schema, *by).collect()) == sorted(table.collect())
+
+
+def test_the_end_mark_writes_what_is_open(spark):
+    data = _events(80, 7)
+    df = spark.createDataFrame(data, DDL)
+    stream = live.read_stream(spark, live.land(df, "ts"), df.schema, files_per_batch=1)
+    out = live.run_to_end(live.frame_chains(stream, 300, 200.0, "10 seconds"), "t")
+    got = sorted((r.sequence_id, r.label, r.first_ts, r.last_ts, r.n) for r in out.collect())
+    assert got == _chains(data, 300, 200.0)
 
 
 def test_first_arrivals_are_distinct(spark):
