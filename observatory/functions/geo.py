@@ -48,17 +48,6 @@ def segment_distance_m(lon, lat, a_lon, a_lat, b_lon, b_lat) -> Column:
     return F.hypot(ax + t * dx, ay + t * dy)
 
 
-def line_distance_m(lon, lat, line) -> Column:
-    """Distance from a point to a polyline of vertices."""
-    line = _col(line)
-    legs = F.zip_with(
-        F.slice(line, 1, F.size(line) - 1),
-        F.slice(line, 2, F.size(line) - 1),
-        lambda a, b: segment_distance_m(lon, lat, a["lon"], a["lat"], b["lon"], b["lat"]),
-    )
-    return F.when(F.size(line) > 1, F.array_min(legs))
-
-
 def bearing_deg(lon1, lat1, lon2, lat2) -> Column:
     """Initial bearing in degrees clockwise from north, in [0, 360)."""
     lon1, lat1, lon2, lat2 = (_col(c) for c in (lon1, lat1, lon2, lat2))
@@ -169,11 +158,6 @@ def box_id(box: Column) -> Column:
     return F.format_string("%.5f_%.5f_%.5f_%.5f", box["min_lon"], box["min_lat"], box["max_lon"], box["max_lat"])
 
 
-def box_lon_first(box: Column) -> Column:
-    """``left,bottom,right,top`` text."""
-    return F.concat_ws(",", box["min_lon"], box["min_lat"], box["max_lon"], box["max_lat"])
-
-
 def box_lat_first(box: Column) -> Column:
     """``south,west,north,east`` text."""
     return F.concat_ws(",", box["min_lat"], box["min_lon"], box["max_lat"], box["max_lon"])

@@ -65,10 +65,6 @@ def month_counts(month: Column, weight: Column | None = None) -> Column:
     return F.array(*[F.coalesce(F.sum(F.when(month == m, one)), F.lit(0)).cast("bigint") for m in range(1, 13)])
 
 
-def add_months_arrays(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: x + y)
-
-
 def array_total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
 

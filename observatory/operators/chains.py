@@ -265,12 +265,14 @@ def detections_to_sightings(
     )
 
 
-def boxes_of(detections: DataFrame, image_id: str, model_version: str, variant: str, min_conf: float) -> DataFrame:
-    """Animal boxes of one frame above a confidence (P15); all four tests push to the scan."""
-    return detections.filter(
-        (F.col("image_id") == image_id)
-        & (F.col("model_version") == model_version)
+def boxes_of(detections: DataFrame, model_version: str, variant: str, min_conf: float, image_id: str | None = None) -> DataFrame:
+    """Animal boxes above a confidence, of one frame or of all (P15); every test pushes to the scan."""
+    boxes = detections.filter(
+        (F.col("model_version") == model_version)
         & (F.col("variant") == variant)
         & (F.col("category") == ANIMAL_CATEGORY)
         & (F.col("conf") >= min_conf)
-    ).select("det_idx", "conf", "bbox_x", "bbox_y", "bbox_w", "bbox_h")
+    )
+    if image_id is not None:
+        boxes = boxes.filter(F.col("image_id") == image_id)
+    return boxes.select("image_id", "det_idx", "conf", "bbox_x", "bbox_y", "bbox_w", "bbox_h")

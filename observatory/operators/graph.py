@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,12 +44,6 @@ def usable_ways(ways: DataFrame) -> DataFrame:
     return ways.filter(keep)
 
 
-def middle_vertex(ways: DataFrame) -> DataFrame:
-    """Add the middle vertex of each way as ``lon``, ``lat``."""
-    mid = F.get("geometry", F.floor(F.size("geometry") / 2).cast("int"))
-    return ways.withColumn("lon", mid["lon"]).withColumn("lat", mid["lat"])
-
-
 def junctions(ways: DataFrame) -> DataFrame:
     """Nodes used at least twice over the kept ways."""
     return (
@@ -157,14 +153,15 @@ def snap(points: DataFrame, nodes: DataFrame, mode: str, key: str = "site") -> D
 
 
 def shortest_distances(
-    sources: DataFrame, edges: DataFrame, mode: str, max_distance_m: float | None = None, max_rounds: int = 100_000
+    sources: DataFrame, edges: DataFrame, mode: str, max_distance_m: float | None = None
 ) -> DataFrame:
     """Least distance from each source to every node it can reach.
 
     ``sources``: one ``node`` per row. Label-correcting rounds: the nodes that
     improved last round offer their neighbours a distance, the least offer per
     (source, node) wins, and the round ends when nothing improves. Each round
-    is written to the shared folder, so lineage stays one round deep.
+    is written to the shared folder, so lineage stays one round deep. Distances
+    only fall and paths are finite, so the rounds end by themselves.
     Output: source, node, dist, prev, edge_id, reversed.
     """
     adj = materialise(adjacency(edges, mode), "adjacency")
@@ -179,9 +176,7 @@ def shortest_distances(
     )
     log = Rounds(edges.sparkSession, "distances")
     frontier, n = log.add(start)
-    for _ in range(max_rounds):
-        if n == 0:
-            break
+    while n:
         offers = frontier.select("source", F.col("node").alias("src"), "dist").join(adj, "src").select(
             "source",
             F.col("dst").alias("node"),
@@ -202,7 +197,7 @@ def shortest_distances(
     return materialise(best.select("source", "node", "o.*"), "distances")
 
 
-def trace_paths(distances: DataFrame, targets: DataFrame, edges: DataFrame, max_rounds: int = 100_000) -> DataFrame:
+def trace_paths(distances: DataFrame, targets: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges of the path from a source to each wanted node, in order.
 
     ``targets``: source, target. All paths walk back one edge per round;
@@ -213,7 +208,7 @@ def trace_paths(distances: DataFrame, targets: DataFrame, edges: DataFrame, max_
     tree = distances.filter(F.col("prev").isNotNull()).select("source", "node", "prev", "edge_id", "reversed")
     log = Rounds(edges.sparkSession, "paths")
     at = targets.select("source", "target", F.col("target").alias("node"))
-    for back in range(max_rounds):
+    for back in itertools.count():
         step = at.join(tree, ["source", "node"]).select(
             "source", "target", F.lit(back).alias("back"), "edge_id", "reversed", F.col("prev").alias("node")
         )

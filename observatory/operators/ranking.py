@@ -163,15 +163,15 @@ def cell_detail(cells: DataFrame, focus: str | None = None) -> DataFrame:
 
 
 def focus_photos(strips: DataFrame, gallery: DataFrame) -> DataFrame:
-    """Photos of a species in a cell: its strip then its gallery, distinct by photo."""
+    """Photos of a species in a cell in order: its strip, then its gallery, distinct by photo."""
     both = strips.select("park", "cell", "species", "photo_id", F.lit(0).alias("src"), F.col("rn").alias("o")).unionByName(
         gallery.filter(F.col("cell").isNotNull()).select(
             "park", "cell", "species", "photo_id", F.lit(1).alias("src"), F.col("rank").alias("o")
         )
     )
-    return both.groupBy("park", "cell", "species", "photo_id").agg(F.min(F.struct("src", "o")).alias("k")).select(
-        "park", "cell", "species", "photo_id", "k.src"
-    )
+    once = both.groupBy("park", "cell", "species", "photo_id").agg(F.min(F.struct("src", "o")).alias("k"))
+    order = W.partitionBy("park", "cell", "species").orderBy("k", "photo_id")
+    return once.select("park", "cell", "species", "photo_id", "k.src", F.row_number().over(order).alias("position"))
 
 
 def parks_per_species(species: DataFrame, first: int = 4) -> DataFrame:
@@ -195,7 +195,7 @@ def species_order(index: DataFrame) -> DataFrame:
 
 # ---- landmarks ---------------------------------------------------------------
 
-MAX_LABELS = 160
+LABEL_BLOCK = 160
 MAX_LANDMARKS = 80
 MAX_PER_KIND = 20
 TOUR_STOPS = 8
@@ -365,18 +365,6 @@ def nearest_licensed(photos: DataFrame, k: int = 6) -> DataFrame:
 # ---- places ------------------------------------------------------------------
 
 
-def sort_places(places: DataFrame, how: str) -> DataFrame:
-    """Global place orders: recorded, readers, az, longest (T4, T5)."""
-    n = F.desc("n")
-    orders = {
-        "recorded": [n, F.asc("name")],
-        "readers": [F.coalesce("views_pm", F.lit(-1)).desc(), n, F.asc("name")],
-        "az": [F.asc("name")],
-        "longest": [F.coalesce("length_m", F.lit(0.0)).desc(), n, F.asc("name")],
-    }
-    return places.orderBy(*orders[how], F.asc("id"))
-
-
 def rank_places(places: DataFrame, how: str, k: int) -> DataFrame:
     """The first ``k`` of a place order per park."""
     order = {
@@ -389,13 +377,13 @@ def rank_places(places: DataFrame, how: str, k: int) -> DataFrame:
 
 
 def search_places(landmarks: DataFrame, items: DataFrame, query: str, k: int = 10) -> DataFrame:
-    """Landmarks first, then named amenities, whose name contains the query."""
+    """Per park the first ``k`` places whose name contains the query: landmarks, then named amenities."""
     low = query.strip().lower()
     hit = F.contains(F.lower("name"), F.lit(low)) & F.lit(bool(low))
     kind = F.when(F.col("kind") == "info", "visitor centre").otherwise(F.col("sub"))
-    a = landmarks.filter(hit).select("id", "name", "kind", "lon", "lat", F.lit(0).alias("src_rank"))
-    b = items.filter(hit & F.col("named")).select("id", "name", kind.alias("kind"), "lon", "lat", F.lit(1).alias("src_rank"))
-    return a.unionByName(b).orderBy("src_rank", "name", "id").limit(k)
+    a = landmarks.filter(hit).select("park", "id", "name", "kind", "lon", "lat", F.lit(0).alias("src_rank"))
+    b = items.filter(hit & F.col("named")).select("park", "id", "name", kind.alias("kind"), "lon", "lat", F.lit(1).alias("src_rank"))
+    return top_k(a.unionByName(b), ["park"], [F.asc("src_rank"), F.asc("name"), F.asc("id")], k, "rank")
 
 
 def camp_and_trail_lists(items: DataFrame, trails: DataFrame, k: int = 8) -> tuple[DataFrame, DataFrame]:
@@ -409,24 +397,24 @@ def camp_and_trail_lists(items: DataFrame, trails: DataFrame, k: int = 8) -> tup
 
 
 def top_gauges(gauges: DataFrame, k: int = 3) -> DataFrame:
-    """Gauges with the most flow, unknown flow last."""
-    return gauges.orderBy(F.coalesce("flow_cfs", F.lit(-1.0)).desc(), "site").limit(k)
+    """Per park the gauges with the most flow, unknown flow last."""
+    return top_k(gauges, ["park"], [F.coalesce("flow_cfs", F.lit(-1.0)).desc(), F.asc("site")], k, "rank")
 
 
 def similar_labels(vectors: DataFrame, labels: DataFrame, k: int = 5) -> DataFrame:
     """Best label vectors per vector by cosine.
 
-    The label side is a vocabulary of at most 160 rows, checked here, and
-    enters as one scalar array: every vector scores all labels inside its own
-    row and no pair is ever shuffled.
+    Labels are packed into blocks of about ``LABEL_BLOCK``; a vector meets every
+    block in one equi-join, scores its labels inside the row and keeps ``k`` of
+    them, so no pair of a vector and a label is ever a row of its own.
     """
     def norm(v: Column) -> Column:
         return F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
 
     labels = materialise(labels, "labels")
-    if labels.limit(MAX_LABELS + 1).count() > MAX_LABELS:
-        raise ValueError(f"label vocabulary has more than {MAX_LABELS} rows")
-    packed = labels.agg(F.collect_list(F.struct("label", "vec", norm(F.col("vec")).alias("norm"))).alias("labels"))
+    blocks = max(1, -(-labels.count() // LABEL_BLOCK))
+    block = F.pmod(F.xxhash64("label"), F.lit(blocks)).cast("int")
+    packed = labels.groupBy(block.alias("_block")).agg(F.collect_list(F.struct("label", "vec", norm(F.col("vec")).alias("norm"))).alias("labels"))
 
     def score(l: Column) -> Column:
         dot = F.aggregate(
@@ -434,8 +422,7 @@ def similar_labels(vectors: DataFrame, labels: DataFrame, k: int = 5) -> DataFra
         )
         return F.struct((-(dot / (F.col("_n") * l["norm"]))).alias("neg"), l["label"].alias("label"))
 
-    one = vectors.withColumn("_n", norm(F.col("vec"))).withColumn("labels", packed.scalar())
+    one = vectors.withColumn("_n", norm(F.col("vec"))).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, "_block")
     best = F.slice(F.array_sort(F.transform("labels", score)), 1, k)
-    return one.select("vec_id", F.posexplode(best).alias("i", "b")).select(
-        "vec_id", (F.col("i") + 1).alias("rank"), F.col("b.label").alias("label"), (-F.col("b.neg")).alias("score")
-    )
+    few = one.select("vec_id", F.explode(best).alias("b")).select("vec_id", F.col("b.label").alias("label"), (-F.col("b.neg")).alias("score"))
+    return top_k(few, ["vec_id"], [F.desc("score"), F.asc("label")], k, "rank").select("vec_id", "rank", "label", "score")

@@ -81,17 +81,20 @@ def hit_rates(
     return long.withColumn("frac", stats.safe_ratio(F.col("k"), F.col("n"))).withColumn("lo", ci["lo"]).withColumn("hi", ci["hi"])
 
 
-def threshold_sweep(detections: DataFrame, cuts: Sequence[float], category: str = "1") -> DataFrame:
-    """Boxes at or above each cut, and their percent, in one pass.
+def threshold_sweep(
+    detections: DataFrame, images: DataFrame, cuts: Sequence[float], category: str = "1", population: str = "perspective"
+) -> DataFrame:
+    """Boxes at or above each cut, and their percent, per corridor in one pass.
 
     The cuts are columns of one conditional aggregation; they become rows only
     after it, so no row of the table meets a list of thresholds.
     """
     at = [F.count_if(F.col("conf") >= t).alias(f"t{i}") for i, t in enumerate(cuts)]
-    wide = detections.filter(F.col("category") == category).agg(F.count("*").alias("n"), *at)
+    boxes = detections.filter((F.col("category") == category) & variant_filter(population)).select("image_id", "conf")
+    wide = boxes.join(images.select("image_id", "corridor"), "image_id").groupBy("corridor").agg(F.count("*").alias("n"), *at)
     rows = F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(f"t{i}").alias("k")) for i, t in enumerate(cuts)])
-    long = wide.select("n", F.explode(rows).alias("r"))
-    return long.select("r.threshold", "r.k", "n", (stats.safe_ratio(F.col("r.k"), F.col("n")) * 100).alias("pct"))
+    long = wide.select("corridor", "n", F.explode(rows).alias("r"))
+    return long.select("corridor", "r.threshold", "r.k", "n", (stats.safe_ratio(F.col("r.k"), F.col("n")) * 100).alias("pct"))
 
 
 def images_with(detections: DataFrame, images: DataFrame, category: str, min_conf: float, population: str = "perspective") -> DataFrame:
@@ -104,33 +107,45 @@ def images_with(detections: DataFrame, images: DataFrame, category: str, min_con
     )
 
 
-def top_labels(predictions: DataFrame, min_conf: float, k: int = 12, population: str = "perspective") -> DataFrame:
-    """Most frequent labels of frames with an animal (T2): a heap per task, no global sort."""
-    return (
+def top_labels(predictions: DataFrame, images: DataFrame, min_conf: float, k: int = 12, population: str = "perspective") -> DataFrame:
+    """Most frequent labels per corridor of frames with an animal (T2), limited below the exchange."""
+    counts = (
         predictions.filter(variant_filter(population) & (F.col("max_animal_conf") >= min_conf))
-        .groupBy("prediction")
+        .select("image_id", "prediction")
+        .join(images.select("image_id", "corridor"), "image_id")
+        .groupBy("corridor", "prediction")
         .agg(F.count("*").alias("n"))
-        .withColumn("label", names.display_name(F.col("prediction")))
-        .orderBy(F.desc("n"), "prediction")
-        .limit(k)
     )
+    best = W.partitionBy("corridor").orderBy(F.desc("n"), "prediction")
+    top = counts.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return top.withColumn("label", names.display_name(F.col("prediction")))
 
 
-def label_scores(predictions: DataFrame) -> DataFrame:
-    """Frames and mean score per label."""
-    return predictions.groupBy("prediction").agg(
+def label_scores(predictions: DataFrame, images: DataFrame, population: str = "perspective") -> DataFrame:
+    """Frames and mean score per corridor and label."""
+    rows = predictions.filter(variant_filter(population)).select("image_id", "prediction", "prediction_score")
+    return rows.join(images.select("image_id", "corridor"), "image_id").groupBy("corridor", "prediction").agg(
         F.count_distinct("image_id").alias("n_images"), F.avg("prediction_score").alias("mean_score")
     )
 
 
-def reviewed_boxes(reviews: DataFrame, detections: DataFrame, images: DataFrame, match_model: bool = False) -> DataFrame:
-    """Verdicts with their box and corridor.
+def reviews_of(reviews: DataFrame, reviewer: str | None, population: str) -> DataFrame:
+    """One reviewer's rows of one population; two reviewers' rows are never pooled."""
+    return quality.single_reviewer(reviews.filter(variant_filter(population)), reviewer)
+
+
+def reviewed_boxes(
+    reviews: DataFrame, detections: DataFrame, images: DataFrame, reviewer: str | None = None, population: str = "perspective", match_model: bool = False
+) -> DataFrame:
+    """Verdicts of one reviewer and population with their box and corridor.
 
     The key has no model version, so a box scored by two models counts twice;
-    ``match_model`` adds it when the reviews carry one.
+    ``match_model`` adds it when the reviews carry one. Without a ``reviewer``
+    the rows must be of one only.
     """
     keys = ["image_id", "variant", "det_idx"] + (["model_version"] if match_model else [])
-    return reviews.join(detections.select(*keys, "conf"), keys).join(images.select("image_id", "corridor"), "image_id")
+    mine = reviews_of(reviews, reviewer, population)
+    return mine.join(detections.select(*keys, "conf"), keys).join(images.select("image_id", "corridor"), "image_id")
 
 
 def _verdicts() -> list[Column]:
@@ -155,23 +170,25 @@ def precision_by_band(reviewed: DataFrame) -> DataFrame:
 
 
 def band_verdicts(reviewed: DataFrame) -> DataFrame:
-    """Band by verdict contingency table."""
+    """Band by verdict contingency table per corridor."""
     return (
         reviewed.withColumn("band", stats.band_of(F.col("conf")))
-        .groupBy("band")
+        .groupBy("corridor", "band")
         .pivot("verdict", ["tp", "fp", "unsure"])
         .count()
         .fillna(0)
     )
 
 
-def species_precision(reviews: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Right names per score band, and whether the bar can sit there.
+def species_precision(reviews: DataFrame, predictions: DataFrame, reviewer: str | None = None, population: str = "perspective") -> DataFrame:
+    """Right names per score band by one reviewer, and whether the bar can sit there.
 
     ``bar`` holds when the band and every band above it clear the target on
     enough boxes: a running minimum over four rows.
     """
-    score = predictions.groupBy("image_id", "variant").agg(F.max("prediction_score").alias("s"))
+    reviews = reviews_of(reviews, reviewer, population)
+    wanted = predictions.filter(variant_filter(population)).join(reviews.select("image_id", "variant"), ["image_id", "variant"], "left_semi")
+    score = wanted.groupBy("image_id", "variant").agg(F.max("prediction_score").alias("s"))
     rows = reviews.join(score, ["image_id", "variant"], "left").withColumn(
         "band", stats.band_of(F.col("s"), stats.SPECIES_BANDS, outside=None)
     )
@@ -214,10 +231,10 @@ def distance_percentiles(reviewed: DataFrame, keys: Sequence[str], fractions: Se
 
 
 def distance_histogram(reviewed: DataFrame, width: float = 25.0) -> DataFrame:
-    """True positives per distance bin."""
+    """True positives per corridor and distance bin."""
     return (
         reviewed.filter((F.col("verdict") == "tp") & F.col("est_distance_m").isNotNull())
-        .groupBy((F.floor(F.col("est_distance_m") / width) * width).alias("bin_m"))
+        .groupBy("corridor", (F.floor(F.col("est_distance_m") / width) * width).alias("bin_m"))
         .agg(F.count("*").alias("n"))
     )
 
@@ -312,13 +329,14 @@ def camera_pass(
 
 
 def compare_runs(a: DataFrame, b: DataFrame, tol: float) -> DataFrame:
-    """Two detector runs over the same files: mismatches and largest differences.
+    """Two detector runs: mismatches, largest differences and files that one run lacks.
 
     Inputs are prediction items; boxes are compared by position inside the
-    joined row, so only file names are shuffled.
+    joined row, so only file names are shuffled. Runs are identical only when
+    they hold the same files.
     """
     l, r = a.alias("a"), b.alias("b")
-    joined = l.join(r, names.file_stem(F.col("a.filepath")) == names.file_stem(F.col("b.filepath")))
+    joined = l.join(r, names.file_stem(F.col("a.filepath")) == names.file_stem(F.col("b.filepath")), "full_outer")
     da, db = F.col("a.detections"), F.col("b.detections")
     shared = F.least(F.size(da), F.size(db))
 
@@ -333,21 +351,25 @@ def compare_runs(a: DataFrame, b: DataFrame, tol: float) -> DataFrame:
     )
     sa, sb = F.col("a.classifications.scores"), F.col("b.classifications.scores")
     score_diff = F.array_max(F.zip_with(sa, sb, lambda x, y: F.abs(x - y)))
+    both = F.col("a.filepath").isNotNull() & F.col("b.filepath").isNotNull()
     rows = joined.select(
+        both.alias("both"), F.col("b.filepath").isNull().alias("only_a"), F.col("a.filepath").isNull().alias("only_b"),
         (~F.col("a.prediction").eqNullSafe(F.col("b.prediction"))).alias("label"),
         (F.size(da) != F.size(db)).alias("boxes"),
         F.greatest(conf_diff, score_diff, F.lit(0.0)).alias("score_diff"),
         F.coalesce(box_diff, F.lit(0.0)).alias("box_diff"),
     )
     out = rows.agg(
-        F.count("*").alias("n"),
-        F.count_if("label").alias("label_mismatch"),
-        F.count_if("boxes").alias("box_count_mismatch"),
-        F.coalesce(F.max("score_diff"), F.lit(0.0)).alias("max_score_diff"),
-        F.coalesce(F.max("box_diff"), F.lit(0.0)).alias("max_box_diff"),
+        F.count_if("both").alias("n"),
+        F.count_if("only_a").alias("only_a"),
+        F.count_if("only_b").alias("only_b"),
+        F.count_if(F.col("both") & F.col("label")).alias("label_mismatch"),
+        F.count_if(F.col("both") & F.col("boxes")).alias("box_count_mismatch"),
+        F.coalesce(F.max(F.when(F.col("both"), F.col("score_diff"))), F.lit(0.0)).alias("max_score_diff"),
+        F.coalesce(F.max(F.when(F.col("both"), F.col("box_diff"))), F.lit(0.0)).alias("max_box_diff"),
     )
     same = (
-        (F.col("label_mismatch") == 0) & (F.col("box_count_mismatch") == 0)
+        (F.col("only_a") + F.col("only_b") + F.col("label_mismatch") + F.col("box_count_mismatch") == 0)
         & (F.col("max_score_diff") <= tol) & (F.col("max_box_diff") <= tol)
     )
     return out.withColumn("identical", same)

@@ -186,8 +186,3 @@ def check_answers(answers: DataFrame) -> DataFrame:
         text.declines(F.col("answer")).alias("says_no_data"),
         "ms",
     )
-
-
-def plan_facts(hotspots: DataFrame, k: int = 2) -> DataFrame:
-    """The cells a day plan visits for each species."""
-    return hotspots.filter(F.col("rank") <= k)

@@ -155,10 +155,7 @@ def box_filters(spark, sf):
     ),
 )
 def boxes_of(spark, sf):
-    d = tb.detections(spark, sf)
-    return d.filter((F.col("category") == "1") & (F.col("conf") >= 0.3) & (F.col("model_version") == "v1") & chains.variant_filter("perspective")).select(
-        "image_id", "det_idx", "conf"
-    )
+    return chains.boxes_of(tb.detections(spark, sf), "v1", "full", 0.3).select("image_id", "det_idx", "conf")
 
 
 @query(
@@ -210,13 +207,14 @@ def hit_rates(spark, sf):
 @query(
     "threshold_sweep",
     o(
-        """SELECT threshold, k, n, round(100e0 * k / n, 6) AS pct FROM (SELECT t AS threshold, count(*) FILTER (conf >= t) AS k, count(*) AS n
-     FROM detections, (SELECT unnest([0.1e0, 0.2e0, 0.3e0, 0.5e0, 0.8e0]) AS t) WHERE category = '1' GROUP BY 1)""",
-        "detections",
+        """SELECT corridor, threshold, k, n, round(100e0 * k / n, 6) AS pct FROM (SELECT corridor, t AS threshold, count(*) FILTER (conf >= t) AS k, count(*) AS n
+     FROM detections JOIN (SELECT image_id, corridor FROM images) USING (image_id), (SELECT unnest([0.1e0, 0.2e0, 0.3e0, 0.5e0, 0.8e0]) AS t)
+     WHERE category = '1' AND variant = 'full' GROUP BY 1, 2)""",
+        "detections", "images",
     ),
 )
 def threshold_sweep(spark, sf):
-    return rounded(report.threshold_sweep(tb.detections(spark, sf), (0.1, 0.2, 0.3, 0.5, 0.8)), "pct")
+    return rounded(report.threshold_sweep(tb.detections(spark, sf), tb.images(spark, sf), (0.1, 0.2, 0.3, 0.5, 0.8)), "pct")
 
 
 @query(
@@ -236,30 +234,35 @@ def images_with(spark, sf):
 @query(
     "top_labels",
     o(
-        f"""SELECT prediction, n, {DISPLAY} AS label FROM (SELECT prediction, count(*) AS n FROM predictions WHERE variant = 'full' AND max_animal_conf >= 0.2e0
-     GROUP BY 1 ORDER BY n DESC, prediction LIMIT 12)""",
-        "predictions",
+        f"""SELECT corridor, rank, prediction, n, {DISPLAY} AS label FROM (SELECT *, CAST(row_number() OVER (PARTITION BY corridor ORDER BY n DESC, prediction) AS INT) AS rank FROM (
+     SELECT corridor, prediction, count(*) AS n FROM predictions JOIN (SELECT image_id, corridor FROM images) USING (image_id)
+     WHERE variant = 'full' AND max_animal_conf >= 0.2e0 GROUP BY 1, 2)) WHERE rank <= 12""",
+        "predictions", "images",
     ),
 )
 def top_labels(spark, sf):
-    return report.top_labels(tb.predictions(spark, sf), 0.2)
+    return report.top_labels(tb.predictions(spark, sf), tb.images(spark, sf), 0.2)
 
 
 @query(
     "label_scores",
-    o("SELECT prediction, count(DISTINCT image_id) AS n_images, round(avg(prediction_score), 6) AS mean_score FROM predictions GROUP BY 1", "predictions"),
+    o(
+        """SELECT corridor, prediction, count(DISTINCT image_id) AS n_images, round(avg(prediction_score), 6) AS mean_score
+     FROM predictions JOIN (SELECT image_id, corridor FROM images) USING (image_id) WHERE variant = 'full' GROUP BY 1, 2""",
+        "predictions", "images",
+    ),
 )
 def label_scores(spark, sf):
-    return rounded(report.label_scores(tb.predictions(spark, sf)), "mean_score")
+    return rounded(report.label_scores(tb.predictions(spark, sf), tb.images(spark, sf)), "mean_score")
 
 
 BAND = "CASE WHEN conf >= 0.2e0 AND conf < 0.5e0 THEN '0.2-0.5' WHEN conf >= 0.5e0 AND conf < 0.8e0 THEN '0.5-0.8' WHEN conf >= 0.8e0 AND conf < 1.01e0 THEN '0.8-1.0' ELSE 'out' END"
 REVIEWED = f"""rv AS (SELECT r.*, d.conf, i.corridor, {BAND} AS band FROM reviews r JOIN detections d USING (image_id, variant, det_idx)
-   JOIN (SELECT image_id, corridor FROM images) i USING (image_id))"""
+   JOIN (SELECT image_id, corridor FROM images) i USING (image_id) WHERE r.reviewer = 'ann' AND r.variant = 'full')"""
 
 
 def _reviewed(spark, sf):
-    return report.reviewed_boxes(tb.reviews(spark, sf), tb.detections(spark, sf), tb.images(spark, sf))
+    return report.reviewed_boxes(tb.reviews(spark, sf), tb.detections(spark, sf), tb.images(spark, sf), "ann")
 
 
 @query(
@@ -278,7 +281,7 @@ def precision(spark, sf):
 @query(
     "band_verdicts",
     o(
-        """SELECT band, count(*) FILTER (verdict = 'tp') AS tp, count(*) FILTER (verdict = 'fp') AS fp, count(*) FILTER (verdict = 'unsure') AS unsure FROM rv GROUP BY 1""",
+        """SELECT corridor, band, count(*) FILTER (verdict = 'tp') AS tp, count(*) FILTER (verdict = 'fp') AS fp, count(*) FILTER (verdict = 'unsure') AS unsure FROM rv GROUP BY 1, 2""",
         "reviews", "detections", "images", extra=REVIEWED,
     ),
 )
@@ -301,11 +304,11 @@ SBAND = " ".join(f"WHEN s >= {lo}e0 AND s < {hi}e0 THEN '{stats.band_label(lo, h
      count(*) FILTER (verdict = 'tp' AND coalesce(species_agree, 'na') <> 'na') AS judged, count(*) FILTER (verdict = 'tp' AND species_agree = 'yes') AS exact,
      count(*) FILTER (verdict = 'tp' AND species_agree = 'rollup') AS rollup FROM reviews
      LEFT JOIN (SELECT image_id, variant, max(prediction_score) AS s FROM predictions GROUP BY 1, 2) USING (image_id, variant)
-     WHERE CASE {SBAND} END IS NOT NULL GROUP BY 1)""",
+     WHERE CASE {SBAND} END IS NOT NULL AND reviewer = 'ann' AND variant = 'full' GROUP BY 1)""",
     ),
 )
 def species_precision(spark, sf):
-    out = report.species_precision(tb.reviews(spark, sf), tb.predictions(spark, sf))
+    out = report.species_precision(tb.reviews(spark, sf), tb.predictions(spark, sf), "ann")
     return rounded(out, "animal_precision", "species_precision", "lo", "hi").withColumn("bar", F.col("bar").cast("int"))
 
 
@@ -324,7 +327,7 @@ def distance_percentiles(spark, sf):
 @query(
     "distance_histogram",
     o(
-        "SELECT floor(est_distance_m / 25) * 25 AS bin_m, count(*) AS n FROM rv WHERE verdict = 'tp' AND est_distance_m IS NOT NULL GROUP BY 1",
+        "SELECT corridor, floor(est_distance_m / 25) * 25 AS bin_m, count(*) AS n FROM rv WHERE verdict = 'tp' AND est_distance_m IS NOT NULL GROUP BY 1, 2",
         "reviews", "detections", "images", extra=REVIEWED,
     ),
 )
@@ -415,8 +418,10 @@ def reviewer_choice(spark, sf):
 @query(
     "compare_runs",
     o(
-        """SELECT count(*) AS n, count(*) FILTER (event_id % 50 = 0) AS label_mismatch, count(*) FILTER (event_id % 40 = 0) AS box_count_mismatch,
-     round(max(CASE WHEN event_id % 30 = 0 THEN 0.25e0 ELSE 0e0 END), 6) AS max_score_diff, 0 AS identical FROM events""",
+        """SELECT count(*) FILTER (both_) AS n, count(*) FILTER (event_id % 90 = 1) AS only_a, count(*) FILTER (event_id % 90 = 2) AS only_b,
+     count(*) FILTER (both_ AND event_id % 50 = 0) AS label_mismatch, count(*) FILTER (both_ AND event_id % 40 = 0) AS box_count_mismatch,
+     round(max(CASE WHEN both_ AND event_id % 30 = 0 THEN 0.25e0 ELSE 0e0 END), 6) AS max_score_diff, 0 AS identical
+     FROM (SELECT *, event_id % 90 NOT IN (1, 2) AS both_ FROM events)""",
     ),
 )
 def compare_runs(spark, sf):
@@ -431,9 +436,10 @@ def compare_runs(spark, sf):
         F.concat(F.lit("/other/"), "filepath").alias("filepath"),
         F.when(F.col("event_id") % 50 == 0, "z").otherwise(F.col("prediction")).alias("prediction"),
         F.when(F.col("event_id") % 40 == 0, F.slice("detections", F.lit(1), F.size("detections") - 1)).otherwise(F.col("detections")).alias("detections"),
-        F.struct(F.array(F.lit("k")).alias("classes"), F.array(F.lit(0.5) + moved).alias("scores")).alias("classifications"),
+        F.struct(F.array(F.lit("k")).alias("classes"), F.array(F.lit(0.5) + moved).alias("scores")).alias("classifications"), "event_id",
     )
-    out = report.compare_runs(run1.drop("event_id"), run2, 1e-6)
+    run2 = run2.filter("event_id % 90 <> 1").drop("event_id")
+    out = report.compare_runs(run1.filter("event_id % 90 <> 2").drop("event_id"), run2, 1e-6)
     return rounded(out, "max_score_diff").drop("max_box_diff").withColumn("identical", F.col("identical").cast("int"))
 
 

@@ -314,13 +314,13 @@ def place_orders(spark, sf):
 @query(
     "place_search",
     o(
-        """SELECT id, name, CAST(src_rank AS INT) AS src_rank FROM (SELECT id, name, 0 AS src_rank FROM stops WHERE contains(lower(name), '7') UNION ALL
-     SELECT id, name, 1 FROM items WHERE named AND contains(lower(name), '7') ORDER BY src_rank, name, id LIMIT 10)""",
+        """SELECT park, id, name, CAST(src_rank AS INT) AS src_rank, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY park ORDER BY src_rank, name, id) AS rank FROM (
+     SELECT park, id, name, 0 AS src_rank FROM stops WHERE contains(lower(name), '7') UNION ALL SELECT park, id, name, 1 FROM items WHERE named AND contains(lower(name), '7'))) WHERE rank <= 10""",
         "stops", "items",
     ),
 )
 def place_search(spark, sf):
-    return ranking.search_places(tb.stops(spark, sf), tb.items(spark, sf), " 7 ").select("id", "name", "src_rank")
+    return ranking.search_places(tb.stops(spark, sf), tb.items(spark, sf), " 7 ").select("park", "id", "name", "src_rank", "rank")
 
 
 _LABEL = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in labels.KIND_LABELS.items()) + " ELSE replace(kind, '_', ' ') END"
@@ -743,11 +743,12 @@ def _readings(spark, sf):
 
 @query(
     "gauges_top_flow",
-    """SELECT site, flow_cfs FROM (SELECT user_id AS site, v AS flow_cfs FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM (
-     SELECT *, CASE WHEN event_id % 3 = 0 THEN -999e0 ELSE value END AS v FROM events WHERE event_type = 'click')) WHERE rn = 1 AND v > -999 ORDER BY v DESC, site LIMIT 3)""",
+    """SELECT park, site, flow_cfs, CAST(rank AS INT) AS rank FROM (SELECT concat('park', user_id % 5) AS park, user_id AS site, v AS flow_cfs, row_number() OVER (PARTITION BY user_id % 5 ORDER BY v DESC, user_id) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM (
+     SELECT *, CASE WHEN event_id % 3 = 0 THEN -999e0 ELSE value END AS v FROM events WHERE event_type = 'click')) WHERE rn = 1 AND v > -999) WHERE rank <= 3""",
 )
 def top_gauges(spark, sf):
-    return ranking.top_gauges(rollups.latest_gauges(_readings(spark, sf))).select("site", "flow_cfs")
+    gauges = rollups.latest_gauges(_readings(spark, sf)).withColumn("park", F.concat(F.lit("park"), F.col("site") % 5))
+    return ranking.top_gauges(gauges).select("park", "site", "flow_cfs", "rank")
 
 
 @query(

@@ -573,8 +573,9 @@ def photos_near(spark, sf):
 @query(
     "focus_photos",
     o(
-        """SELECT park, cell, species, photo_id, min(src) AS src FROM (SELECT park, cell, species, photo_id, 0 AS src FROM strip0 s WHERE rn <= 3 OR (rs = 1 AND NOT EXISTS (SELECT 1 FROM strip0 t WHERE t.park = s.park AND t.cell = s.cell AND t.species = s.species AND t.rn <= 3))
-     UNION ALL SELECT park, cell, species, photo_id, 1 FROM gal WHERE cell IS NOT NULL) GROUP BY ALL""",
+        """SELECT park, cell, species, photo_id, k.src AS src, CAST(row_number() OVER (PARTITION BY park, cell, species ORDER BY k.src, k.o, photo_id) AS INT) AS position FROM (
+     SELECT park, cell, species, photo_id, min({'src': src, 'o': ord}) AS k FROM (SELECT park, cell, species, photo_id, 0 AS src, rn AS ord FROM strip0 s WHERE rn <= 3 OR (rs = 1 AND NOT EXISTS (SELECT 1 FROM strip0 t WHERE t.park = s.park AND t.cell = s.cell AND t.species = s.species AND t.rn <= 3))
+     UNION ALL SELECT park, cell, species, photo_id, 1, rank FROM gal WHERE cell IS NOT NULL) GROUP BY ALL)""",
         extra=PH,
     ),
 )

@@ -15,6 +15,7 @@ from observatory.operators import (
     graph,
     lines,
     places,
+    quality,
     ranking,
     report,
     rollups,
@@ -668,7 +669,7 @@ def test_species_bar_needs_every_band_above(spark):
             pred.append((f"i{b}_{i}", "full", score))
             rev.append((f"i{b}_{i}", "full", "tp", "yes" if i < right else "no"))
     p = spark.createDataFrame(pred, "image_id string, variant string, prediction_score double")
-    r = spark.createDataFrame(rev, "image_id string, variant string, verdict string, species_agree string")
+    r = spark.createDataFrame(rev, "image_id string, variant string, verdict string, species_agree string").withColumn("reviewer", F.lit("me"))
     got = {x.band: x.bar for x in report.species_precision(r, p).collect()}
     assert got == {"0.5-0.6": False, "0.6-0.7": True, "0.7-0.8": True, "0.8-1.0": True}
     only_top = {x.band: x.bar for x in report.species_precision(r.filter("image_id not like 'i2%'"), p).collect()}
@@ -688,6 +689,19 @@ def test_compare_runs(spark):
     b = spark.createDataFrame([item("/d/a.jpg", 0.75), item("/d/b.jpg", 0.5)], ddl)
     r = report.compare_runs(a, b, 1e-6).collect()[0]
     assert (r.n, r.max_score_diff, r.identical) == (2, 0.25, False)
+    r = report.compare_runs(a, a.filter("filepath = 'a.jpg'"), 1e-6).collect()[0]
+    assert (r.n, r.only_a, r.only_b, r.identical) == (1, 1, 0, False)
+
+
+def test_reviewers_are_not_pooled(spark):
+    ddl = "image_id string, variant string, det_idx int, reviewer string, verdict string"
+    reviews = spark.createDataFrame([("a", "full", 0, "me", "tp"), ("a", "full", 0, "jo", "fp"), ("a", "yaw000", 0, "jo", "fp")], ddl)
+    boxes = spark.createDataFrame([("a", "full", 0, 0.5), ("a", "yaw000", 0, 0.5)], "image_id string, variant string, det_idx int, conf double")
+    images = spark.createDataFrame([("a", "c")], "image_id string, corridor string")
+    with pytest.raises(quality.MixedReviewers):
+        report.reviewed_boxes(reviews, boxes, images)
+    assert [r.verdict for r in report.reviewed_boxes(reviews, boxes, images, "me").collect()] == ["tp"]
+    assert [r.variant for r in report.reviewed_boxes(reviews, boxes, images, population="pano").collect()] == ["yaw000"]
 
 
 def test_relative_months(spark):
