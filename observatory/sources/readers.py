@@ -15,8 +15,13 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """JSON lines with a declared schema; malformed lines become all-null rows."""
-    return spark.read.schema(schema).json(path)
+    """JSON lines with a declared schema, each with its own text as ``source_text``.
+
+    The text keeps what the schema does not declare; it is only parsed where
+    fields are read. Malformed lines have null fields; blank lines are left out.
+    """
+    lines = spark.read.text(path).filter(F.length(F.trim("value")) > 0)
+    return lines.select(F.from_json("value", schema).alias("r"), F.col("value").alias("source_text")).select("r.*", "source_text")
 
 
 def read_documents(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

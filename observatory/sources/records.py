@@ -19,6 +19,13 @@ OBSERVATION_PAGE = "https://www.inaturalist.org/observations/"
 OCCURRENCE_PAGE = "https://www.gbif.org/occurrence/"
 
 
+def _source(df: DataFrame) -> Column:
+    """The record as it came: its source text where the reader kept it, else its columns as JSON."""
+    if "source_text" in df.columns:
+        return F.col("source_text")
+    return F.to_json(F.struct(*df.columns))
+
+
 def _point(geometry: Column) -> tuple[Column, Column]:
     ok = (geometry["type"] == "Point") & (F.size(geometry["coordinates"]) >= 2)
     return (
@@ -75,7 +82,7 @@ def normalize_observations(obs: DataFrame, park: Column) -> DataFrame:
         url.alias("url"),
         text.attribution("inaturalist", F.col("user.login"), lic, url).alias("attribution"),
         F.lit(None).cast("string").alias("duplicate_of"),
-        F.to_json(F.struct(*obs.columns)).alias("raw_json"),
+        _source(obs).alias("raw_json"),
     )
 
 
@@ -114,7 +121,7 @@ def normalize_occurrences(occ: DataFrame, park: Column) -> DataFrame:
         url.alias("url"),
         text.attribution("gbif", _non_empty(F.col("recordedBy")), _non_empty(F.col("license")), url, title).alias("attribution"),
         F.lit(None).cast("string").alias("duplicate_of"),
-        F.to_json(F.struct(*occ.columns)).alias("raw_json"),
+        _source(occ).alias("raw_json"),
     )
 
 
@@ -151,7 +158,7 @@ def flatten_images(rec: DataFrame, corridor: Column) -> DataFrame:
         "thumb_2048_url",
         "thumb_original_url",
         F.coalesce(wrapped, F.col("detections")).alias("mapillary_detections"),
-        F.to_json(F.struct(*rec.columns)).alias("raw_json"),
+        _source(rec).alias("raw_json"),
     )
 
 
@@ -178,7 +185,7 @@ def prediction_rows(items: DataFrame, run_id: Column) -> DataFrame:
         F.size(boxes).alias("n_detections"),
         F.array_max(animal).alias("max_animal_conf"),
         F.when(F.size("failures") > 0, F.to_json("failures")).alias("failures"),
-        F.to_json(F.struct(*items.columns)).alias("raw_json"),
+        _source(items).alias("raw_json"),
     )
 
 

@@ -24,7 +24,7 @@ def test_observations(spark, out_dir):
     path = land(f"{out_dir}/obs", [
         {"id": 1, "observed_on": "2024-06-01", "time_observed_at": "2024-06-01T08:00:00-06:00", "geojson": {"type": "Point", "coordinates": [-110.1, 44.6]},
          "license_code": "cc-by", "uri": "https://x/1", "user": {"login": "ann"}, "taxon": {"id": 5, "name": "Bison bison", "rank": "species"},
-         "positional_accuracy": 12, "public_positional_accuracy": 30},
+         "positional_accuracy": 12, "public_positional_accuracy": 30, "not_declared": {"a": [1]}},
         {"id": 2, "observed_on": "2024-06-02", "taxon_geoprivacy": "obscured", "geojson": {"type": "Point", "coordinates": [-110.2, 44.7]}, "taxon": {"name": "Ursus arctos"}},
         {"id": 3, "geoprivacy": "private"},
     ])
@@ -35,7 +35,7 @@ def test_observations(spark, out_dir):
     assert a.attribution == "ann via iNaturalist, CC BY 4.0, https://x/1"
     assert out["2"].coordinate_status == "obscured" and out["2"].license == "all rights reserved"
     assert out["3"].coordinate_status == "private" and out["3"].url.endswith("/observations/3")
-    assert json.loads(a.raw_json)["taxon"]["id"] == 5
+    assert json.loads(a.raw_json)["taxon"]["id"] == 5 and json.loads(a.raw_json)["not_declared"] == {"a": [1]}
 
 
 def test_occurrences(spark, out_dir):
