@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,8 +52,10 @@ def junctions(ways: DataFrame) -> DataFrame:
     )
 
 
-def cut_edges(ways: DataFrame, max_edge_m: float = MAX_EDGE_M, simplify_m: float | None = SIMPLIFY_M) -> DataFrame:
-    """Ways cut at junctions, ends and every ``max_edge_m``.
+def cut_edges(
+    ways: DataFrame, max_edge_m: float = MAX_EDGE_M, simplify_m: float | None = SIMPLIFY_M, carry: Sequence[str] = ()
+) -> DataFrame:
+    """Ways cut at junctions, ends and every ``max_edge_m`` (G5), with the ``carry`` columns of their way.
 
     The length since the last cut resets at each cut, so it is a fold over the
     way's own vertices. Only node ids travel to find the junctions; each way
@@ -100,13 +103,13 @@ def cut_edges(ways: DataFrame, max_edge_m: float = MAX_EDGE_M, simplify_m: float
     oneway = _tag("oneway").isin("yes", "1", "true") | (_tag("junction") == "roundabout")
     kind = F.when(_tag("highway").isin(*labels.ROAD_TAGS), labels.KIND_ROAD).otherwise(labels.KIND_TRAIL)
     rows = w.select(
-        "id", _tag("name").alias("name"), kind.alias("kind"), F.coalesce(oneway, F.lit(False)).cast("int").alias("oneway"),
+        "id", *carry, _tag("name").alias("name"), kind.alias("kind"), F.coalesce(oneway, F.lit(False)).cast("int").alias("oneway"),
         F.posexplode(pieces).alias("part", "p"),
     )
     out = rows.select(
         F.concat_ws("/", F.col("id").cast("string"), F.col("part").cast("string")).alias("edge_key"),
         F.xxhash64("id", "part").alias("edge_id"),
-        "id", "part", "kind", "oneway", "name",
+        "id", "part", *carry, "kind", "oneway", "name",
         F.get("p.nodes", F.lit(0)).alias("src"),
         F.get("p.nodes", F.size("p.nodes") - 1).alias("dst"),
         F.bround("p.m", 0).alias("length_m"),

@@ -131,9 +131,9 @@ def heading_at(lines: DataFrame, wanted: DataFrame, look_m: float, key: str = "l
 
 
 def trail_pieces(edges: DataFrame) -> DataFrame:
-    """Every piece of every named trail, one row each (G9). A trail's pieces stay
-    rows; nothing gathers them."""
-    return edges.filter((F.col("kind") == 1) & F.col("name").isNotNull()).select("name", "edge_id", "coords")
+    """Every piece of every named trail of a park, one row each (G9). A trail's
+    pieces stay rows; nothing gathers them."""
+    return edges.filter((F.col("kind") == 1) & F.col("name").isNotNull()).select("park", "name", "edge_id", "coords")
 
 
 def _keep_mask(x: np.ndarray, y: np.ndarray, tol: float) -> np.ndarray:

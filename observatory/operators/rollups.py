@@ -394,18 +394,18 @@ def climate_anchor(parks: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def trail_rollup(edges: DataFrame, min_m: float = 500.0) -> DataFrame:
-    """Named trails: length, pieces and the midpoint of the longest piece."""
+    """Named trails per park: length, pieces and the midpoint of the longest piece."""
     mid = F.get("coords", F.floor(F.size("coords") / 2).cast("int"))
     return (
         edges.filter((F.col("kind") == 1) & F.col("name").isNotNull())
-        .groupBy("name")
+        .groupBy("park", "name")
         .agg(
             F.sum("length_m").alias("length_m"),
             F.count("*").alias("pieces"),
             F.max_by(mid, F.struct("length_m", (-F.col("edge_id")).alias("neg"))).alias("point"),
         )
         .filter(F.col("length_m") >= min_m)
-        .select("name", "length_m", "pieces", F.col("point.lon").alias("lon"), F.col("point.lat").alias("lat"))
+        .select("park", "name", "length_m", "pieces", F.col("point.lon").alias("lon"), F.col("point.lat").alias("lat"))
     )
 
 

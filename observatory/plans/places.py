@@ -537,7 +537,8 @@ CUTS = f"""{WAYS},
 
 
 def _edges(spark, sf, simplify_m=None):
-    return graph.cut_edges(graph.usable_ways(tb.ways(spark, sf)), simplify_m=simplify_m)
+    ways = graph.usable_ways(tb.ways(spark, sf)).withColumn("park", F.concat(F.lit("park"), F.col("id") % 5))
+    return graph.cut_edges(ways, simplify_m=simplify_m, carry=["park"])
 
 
 @query("junctions", o("SELECT node, uses FROM (SELECT node, count(*) AS uses FROM vv GROUP BY 1) WHERE uses >= 2", extra=WAYS))
@@ -556,20 +557,20 @@ def road_edges(spark, sf):
 @query(
     "trail_rollup",
     o(
-        """SELECT name, sum(length_m) AS length_m, count(*) AS pieces FROM ed WHERE kind = 1 AND name IS NOT NULL GROUP BY name HAVING sum(length_m) >= 500 /* RECURSIVE_STEP */""",
+        """SELECT concat('park', id % 5) AS park, name, sum(length_m) AS length_m, count(*) AS pieces FROM ed WHERE kind = 1 AND name IS NOT NULL GROUP BY 1, 2 HAVING sum(length_m) >= 500 /* RECURSIVE_STEP */""",
         extra=CUTS,
     ),
 )
 def trail_rollup(spark, sf):
-    return rollups.trail_rollup(_edges(spark, sf)).select("name", "length_m", "pieces")
+    return rollups.trail_rollup(_edges(spark, sf)).select("park", "name", "length_m", "pieces")
 
 
 @query(
     "trail_pieces",
-    o("SELECT name, count(*) AS pieces FROM ed WHERE kind = 1 AND name IS NOT NULL GROUP BY 1 /* RECURSIVE_STEP */", extra=CUTS),
+    o("SELECT concat('park', id % 5) AS park, name, count(*) AS pieces FROM ed WHERE kind = 1 AND name IS NOT NULL GROUP BY 1, 2 /* RECURSIVE_STEP */", extra=CUTS),
 )
 def trail_pieces(spark, sf):
-    return lines.trail_pieces(_edges(spark, sf)).groupBy("name").agg(F.count("*").alias("pieces"))
+    return lines.trail_pieces(_edges(spark, sf)).groupBy("park", "name").agg(F.count("*").alias("pieces"))
 
 
 ADJ = f"""{CUTS}, ad AS (SELECT src, dst, min(length_m) AS m FROM (SELECT src, dst, length_m FROM ed WHERE kind = 0 UNION ALL SELECT dst, src, length_m FROM ed WHERE kind = 0 AND oneway = 0) GROUP BY 1, 2)"""

@@ -585,8 +585,9 @@ def test_trail_rollup(spark):
     pts = [{"lon": -110.8, "lat": 44.0}, {"lon": -110.78, "lat": 44.0}, {"lon": -110.7, "lat": 44.0}]
     data = [(1, "T", 1, 500.0, pts), (2, "T", 1, 250.0, pts[:2]), (3, "Short", 1, 100.0, pts), (4, "Road", 0, 900.0, pts)]
     df = spark.createDataFrame(data, "edge_id bigint, name string, kind int, length_m double, coords array<struct<lon:double,lat:double>>")
-    got = rollups.trail_rollup(df).collect()
-    assert [(r.name, r.length_m, r.pieces, r.lon) for r in got] == [("T", 750.0, 2, -110.78)]
+    two = df.withColumn("park", F.lit("p")).union(df.filter("edge_id = 1").withColumn("park", F.lit("q")))
+    got = sorted((r.park, r.name, r.length_m, r.pieces, r.lon) for r in rollups.trail_rollup(two).collect())
+    assert got == [("p", "T", 750.0, 2, -110.78), ("q", "T", 500.0, 1, -110.78)]
 
 
 # ---- tiles -------------------------------------------------------------------------------------------------------------------
