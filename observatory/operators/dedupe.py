@@ -11,7 +11,9 @@ lists the pairs of such a group. Positions and times are filed in fine cells:
 * cells that lie wholly within reach of each other are settled by one minimum
   per cell, whatever they hold;
 * only cells at the edge of reach compare rows, and there only the rows whose id
-  is lower than the best already found are ever joined.
+  is lower than the best already found are ever joined;
+* rows that a rule cannot tell apart (one place, and one time or one observer)
+  are compared once: of the kept ones the best, of the others any.
 """
 
 from __future__ import annotations
@@ -67,6 +69,7 @@ def _prepare(sightings: DataFrame, dist_m: float, window_s: float, ranks: Mappin
         micros.alias("us"),
         F.nullif(names.observer_key(F.col("observer")), F.lit("")).alias("who"),
         _priority(F.col("source"), ranks).alias("prio"),
+        F.when(F.col("source").isin(*ranks), "").otherwise(F.coalesce("source", F.lit(""))).alias("src"),
         *[F.floor(v * geo.MEAN_EARTH_RADIUS_M / side).cast("bigint").alias(n) for n, v in axes.items()],
         F.floor(micros / int(window_s * 1e6 / _SLOTS)).cast("bigint").alias("ft"),
     )
@@ -77,7 +80,7 @@ _AXES = ["fx", "fy", "fz"]
 
 
 def _best(probe: DataFrame, canon: DataFrame, dist_m: float, window_s: float, by_time: bool) -> DataFrame:
-    """Lowest (prio, id) canonical row matching each probe row under one rule.
+    """Lowest (prio, src, id) canonical row matching each probe row under one rule.
 
     ``by_time`` asks for times within the window; otherwise observers must be
     equal. Returns ``id`` and ``hit``.
@@ -85,8 +88,10 @@ def _best(probe: DataFrame, canon: DataFrame, dist_m: float, window_s: float, by
     keys = _KEYS + ([] if by_time else ["who"])
     axes = _AXES + (["ft"] if by_time else [])
     need = F.col("us").isNotNull() if by_time else F.col("who").isNotNull()
-    p = probe.filter(need)
-    c = canon.filter(need).withColumn("rank", F.struct("prio", "id"))
+    alike = [*keys, *axes, "lon", "lat"] + (["us"] if by_time else [])
+    rows = probe.filter(need).select("id", *alike)
+    p = rows.select(*alike).distinct()
+    c = canon.filter(need).groupBy(*alike).agg(F.min(F.struct("prio", "src", "id")).alias("rank"))
 
     # Cells meet in blocks just over twice the reach wide, so a cell's reach
     # touches two blocks per axis. A block holds a fixed number of fine cells:
@@ -131,12 +136,9 @@ def _best(probe: DataFrame, canon: DataFrame, dist_m: float, window_s: float, by
     )
     c = c.join(asked, [*keys, *axes]).filter(F.col("_any") | (F.col("rank") < F.col("_top")))
 
-    left = p.select("id", *keys, *axes, "lon", "lat", "us").join(cells, [*keys, *axes])
-    left = left.select("id", *keys, "lon", "lat", "us", "bound", F.explode_outer("edge").alias("e")).select("*", "e.*").drop("e")
-    right = c.select(
-        *[F.col(k).alias(f"c_{k}") for k in keys], *[F.col(a).alias(f"c_{a}") for a in axes], F.col("rank").alias("c_rank"),
-        F.col("lon").alias("c_lon"), F.col("lat").alias("c_lat"), F.col("us").alias("c_us"),
-    )
+    left = p.join(cells, [*keys, *axes])
+    left = left.select(*alike, "bound", F.explode_outer("edge").alias("e")).select("*", "e.*").drop("e")
+    right = c.select(F.col("rank").alias("c_rank"), *[F.col(a).alias(f"c_{a}") for a in alike])
     on = geo.haversine_m("lon", "lat", "c_lon", "c_lat") <= dist_m
     on = on & (F.col("bound").isNull() | (F.col("c_rank") < F.col("bound")))
     for k in keys:
@@ -146,7 +148,8 @@ def _best(probe: DataFrame, canon: DataFrame, dist_m: float, window_s: float, by
     if by_time:
         on = on & (F.abs(F.col("us") - F.col("c_us")) <= int(window_s * 1e6))
     hit = F.least(F.min("bound"), F.min("c_rank"))
-    return left.join(right, on, "left").groupBy("id").agg(hit.alias("hit")).filter(F.col("hit").isNotNull())
+    hits = left.join(right, on, "left").groupBy(*alike).agg(hit.alias("hit")).filter(F.col("hit").isNotNull())
+    return rows.join(hits, alike).select("id", "hit")
 
 
 def find_duplicates(
@@ -157,24 +160,23 @@ def find_duplicates(
 ) -> DataFrame:
     """``sighting_id`` of every duplicate with the row it repeats.
 
-    With distinct ranks any row of a better source is visited before any of its
-    own, so settling the sources in rank order against the rows that stayed is
-    exactly the greedy pass over the sorted group. Sources not listed share one
-    rank; they are settled against the better sources but never against each
-    other, and the README says so.
+    Any row of a better source is visited before any of a worse one, so settling
+    the sources in rank order against the rows that stayed is exactly the greedy
+    pass over the sorted group. Sources without a rank come last, by name.
     """
     rows = materialise(_prepare(sightings, dist_m, window_s, ranks), "dedupe")
-    levels = sorted(r.prio for r in rows.select("prio").distinct().collect())
-    if len(levels) < 2:
-        return rows.limit(0).select(F.col("id").alias("sighting_id"), F.lit(None).cast("string").alias("duplicate_of"))
-    kept = rows.filter(F.col("prio") == levels[0])
-    found: DataFrame | None = None
-    for level in levels[1:]:
-        probe = rows.filter(F.col("prio") == level)
+    levels = sorted((r.prio, r.src) for r in rows.select("prio", "src").distinct().collect())  # one per source
+    found = rows.limit(0).select("id", F.lit(None).cast("string").alias("duplicate_of"))
+    kept: DataFrame | None = None
+    for prio, src in levels:
+        probe = rows.filter((F.col("prio") == prio) & (F.col("src") == src))
+        if kept is None:
+            kept = probe
+            continue
         hits = _best(probe, kept, dist_m, window_s, True).unionByName(_best(probe, kept, dist_m, window_s, False))
         dup = hits.groupBy("id").agg(F.min("hit").alias("hit")).select("id", F.col("hit.id").alias("duplicate_of"))
         dup = materialise(dup, "duplicates")
-        found = dup if found is None else found.unionByName(dup)
+        found = found.unionByName(dup)
         kept = kept.unionByName(probe.join(dup.select("id"), "id", "left_anti"))
     return found.select(F.col("id").alias("sighting_id"), "duplicate_of")
 

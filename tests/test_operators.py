@@ -155,7 +155,7 @@ def brute_dedupe(data, dist_m, window_s):
     keyed = [r for r in data if r[6] is not None and r[4] is not None]
     for _, g in itertools.groupby(sorted(keyed, key=lambda r: (r[2], str(r[3]), r[4])), key=lambda r: (r[2], str(r[3]), r[4])):
         stay = []
-        for r in sorted(g, key=lambda r: (rank[r[1]], r[0])):
+        for r in sorted(g, key=lambda r: (rank.get(r[1], 9), "" if r[1] in rank else r[1], r[0])):
             hit = None
             for c in stay:
                 if hav((r[6], r[7]), (c[6], c[7])) > dist_m:
@@ -178,7 +178,7 @@ def test_dedupe_equals_the_greedy_pass(spark, spread, seed_no):
     day = dt.date(2024, 6, 1)
     data = []
     for i in range(260):
-        src = rng.choice(["inaturalist", "gbif", "mapillary_cv"])
+        src = rng.choice(["inaturalist", "gbif", "mapillary_cv", "zoo", "club"])
         at = None if rng.random() < 0.2 else dt.datetime(2024, 6, 1) + dt.timedelta(seconds=rng.randrange(20000))
         data.append((
             f"{src}:{i:04d}", src, "p", rng.choice(["Bison bison", "Elk", None]), day, at,
@@ -190,6 +190,16 @@ def test_dedupe_equals_the_greedy_pass(spark, spread, seed_no):
     assert got
 
 
+@pytest.mark.parametrize(("metres", "found"), [(210.0, 0), (190.0, 3000)])
+def test_two_crowds_at_the_edge_of_reach(spark, metres, found):
+    """Rows at one place and time are compared once, so crowds do not pair up row by row."""
+    n, day = 3000, dt.date(2024, 6, 1)
+    at, step = dt.datetime(2024, 6, 1, 9), metres / 111_195.08
+    data = [(f"{s}:{i}", s, "p", "Elk", day, at, -110.0, 44.9 + k * step, None, None) for k, s in enumerate(["inaturalist", "gbif"]) for i in range(n)]
+    got = dedupe.find_duplicates(spark.createDataFrame(data, DEDUPE_DDL)).collect()
+    assert len(got) == found and {r.duplicate_of for r in got} <= {"inaturalist:0"}
+
+
 def test_dedupe_marks_but_keeps(spark):
     day = dt.date(2024, 6, 1)
     data = [
