@@ -744,8 +744,11 @@ def _readings(spark, sf):
 
 @query(
     "gauges_top_flow",
-    """SELECT park, site, flow_cfs, CAST(rank AS INT) AS rank FROM (SELECT concat('park', user_id % 5) AS park, user_id AS site, v AS flow_cfs, row_number() OVER (PARTITION BY user_id % 5 ORDER BY v DESC, user_id) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM (
-     SELECT *, CASE WHEN event_id % 3 = 0 THEN -999e0 ELSE value END AS v FROM events WHERE event_type = 'click')) WHERE rn = 1 AND v > -999) WHERE rank <= 3""",
+    """WITH l AS (SELECT user_id AS site, event_type, v FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM (
+     SELECT *, CASE WHEN event_id % 3 = 0 THEN -999e0 ELSE value END AS v FROM events WHERE event_type IN ('click', 'view'))) WHERE rn = 1 AND v > -999),
+     g AS (SELECT site, max(CASE WHEN event_type = 'click' THEN v END) AS flow_cfs FROM l GROUP BY 1)
+     SELECT park, site, flow_cfs, CAST(rank AS INT) AS rank FROM (SELECT concat('park', site % 5) AS park, site, flow_cfs,
+     row_number() OVER (PARTITION BY site % 5 ORDER BY coalesce(flow_cfs, -1) DESC, site) AS rank FROM g) WHERE rank <= 3""",
 )
 def top_gauges(spark, sf):
     gauges = rollups.latest_gauges(_readings(spark, sf)).withColumn("park", F.concat(F.lit("park"), F.col("site") % 5))

@@ -654,7 +654,7 @@ def test_names_in_questions(spark):
         "species string, common_name string, other_names array<string>, action string, sightings bigint",
     )
     questions = [
-        ("a", "Where are bison seen most?"), ("b", "best month for ELK"), ("c", "any bear around?"), ("d", "are there wolves"), ("e", "foxes and american bison"),
+        ("a", "A spot with plenty of bison"), ("b", "best month for ELK"), ("c", "any bear around?"), ("d", "wolves lately, anyone"), ("e", "foxes and american bison"),
         ("f", "golden-mantled ground squirrels near camp"), ("g", "welkin"), ("h", "a grizzly bear"),
     ]
     q = spark.createDataFrame(questions, "qid string, text string")
