@@ -186,6 +186,7 @@ def pack(
                 packer.add(doc, np.concatenate([*words.ids(text), end]))
                 if len(packer.rows) >= 20_000:
                     yield packer.batch()
+        words.forget()
         packer.close()
         yield packer.batch()
 

@@ -36,7 +36,7 @@ class WordTokenizer:
             cls._kept[path] = cls(path)
         return cls._kept[path]
 
-    def __init__(self, path: str, memory: int = 1_000_000):
+    def __init__(self, path: str, memory: int = 600_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
@@ -46,6 +46,10 @@ class WordTokenizer:
         self.letters = byte_letters()
         self.memory, self.known = memory, {}
 
+    def forget(self) -> None:
+        """Drop the remembered words, so that a worker's next task starts small."""
+        self.known = {}
+
     def encode_word(self, word: bytes) -> bytes:
         """Ids of one word, as little-endian 16-bit integers.
 
