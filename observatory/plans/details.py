@@ -244,6 +244,21 @@ def park_sentences(spark, sf):
     return search.park_fact(rollups.park_facts(_species(spark, sf)))
 
 
+@query(
+    "hotspots_named",
+    o(
+        f"""SELECT park, species, cell, "count", rank, landmark, round(d, 6) AS dist_m FROM (SELECT h.park, h.species, h.cell, h."count", CAST(h.rank AS INT) AS rank, s.name AS landmark,
+     {hav('h', 's', 6371000.0)} AS d, row_number() OVER (PARTITION BY h.park, h.species, h.cell ORDER BY {hav('h', 's', 6371000.0)}, s.id) AS rn FROM (
+     SELECT * REPLACE (round_even(lon, 4) AS lon, round_even(lat, 4) AS lat) FROM (SELECT *, {pl._unhex()} FROM (
+       SELECT *, row_number() OVER (PARTITION BY park, species ORDER BY "count" DESC, cell) AS rank FROM cs WHERE NOT coarsened) WHERE rank <= 3)) h, stops s) WHERE rn = 1""",
+        "sightings", "stops", extra=PLACED,
+    ),
+)
+def hotspots_named(spark, sf):
+    out = search.name_hotspots(ranking.hotspots(_cell_species(spark, sf)), tb.stops(spark, sf).drop("park"))
+    return out.withColumn("dist_m", F.round("dist_m", 6))
+
+
 @query(
     "hotspots_near_landmarks",
     o(

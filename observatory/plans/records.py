@@ -437,13 +437,6 @@ def species_facts(spark, sf):
     return search.species_fact(rollups.relative_months(_species(spark, sf)))
 
 
-@query("hotspots_named")
-def hotspots_named(spark, sf):
-    from observatory.plans.sightings import _cell_species
-
-    return search.name_hotspots(ranking.hotspots(_cell_species(spark, sf)), tb.stops(spark, sf).drop("park"))
-
-
 @query(
     "index_search",
     tb.oracle(
