@@ -2,10 +2,12 @@
 
 Strict rules find emails, IP addresses, payment cards and phone numbers; their
 spans always stand. Looser generators propose further, overlapping spans. Trees
-boosted on the format and the context of all proposals, with the strict rules'
-verdict as weak label, score them; the score from which proposals are precise on
-documents that the trees have not seen becomes the threshold, and those above it
-are added.
+boosted on the format and the context of proposals score them. Weak labels: what
+the strict rules find is right, also rewritten into formats that only the loose
+generators propose; hex runs, failing check sums and ends of sentences are wrong;
+all other proposals have no label. The score from which labelled proposals are
+precise on documents that the trees have not seen becomes the threshold, and
+proposals above it are added.
 
 Everything is column expressions over one row: the fitted trees become one
 expression too, so scoring neither shuffles nor leaves the JVM.
@@ -40,9 +42,22 @@ LOOSE = {
 CUES = r"(?i)(?:mail|contact|write|call|phone|tel|fax|mobile|card|visa|pay|account|ip|host|server|address|addr)[^A-Za-z]{0,4}$"
 CONTEXT = 24
 PRECISION = 0.95
+LEAST = 0.5
+
+# Strict matches in formats that only the loose generators propose, as (pattern, replacement) in turn.
+MAIL = r"^([^@]+)@([A-Za-z0-9-]+)\.([A-Za-z]+)$"
+NATIONAL = r"^.*?([0-9]{3})[^0-9]*([0-9]{3})[^0-9]*([0-9]{4})$"
+REWRITES = {
+    "email": [(MAIL, r) for r in ("$1 [at] $2 dot $3", "$1 at $2 dot $3", "$1 (at) $2 (dot) $3", "$1 (at) $2.$3", "$1 at $2.$3", "$1 @ $2.$3")],
+    "ip": [(r"\.", r) for r in (" . ", ". ")],
+    "card": [(r"^([0-9]{4})[^0-9]*([0-9]{4})[^0-9]*([0-9]{4})[^0-9]*([0-9]{1,7})$", r) for r in ("$1.$2.$3.$4", "$1_$2_$3_$4", "$1 - $2 - $3 - $4", "$1  $2  $3  $4")]
+    + [(r"^([0-9]{4})[^0-9]*([0-9]{6})[^0-9]*([0-9]{5})$", "$1.$2.$3")],
+    "phone": [(NATIONAL, r) for r in ("($1) $2-$3", "$1-$2-$3", "$1.$2.$3", "$1 $2 $3", "$1/$2-$3", "$1$2$3")],
+}
 
 SPAN = "array<struct<kind:int,start:int,stop:int,value:string>>"
-FEATURES = ("kind", "length", "digits", "spaces", "marks", "groups", "opens", "plus", "letters_before", "letters_after", "cue", "long_group")
+FEATURES = ("kind", "length", "digits", "spaces", "marks", "groups", "opens", "checks", "letters_before", "letters_after", "cue", "long_group")
+LABELLED = "array<struct<x:struct<" + ",".join(f"{f}:int" for f in FEATURES) + ">,good:boolean>>"
 
 
 def digits_of(value: Column) -> Column:
@@ -120,30 +135,86 @@ def overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["stop"]) & (b["start"] < a["stop"])
 
 
-def features(text: Column, span: Column) -> Column:
-    """Small integers that describe a span and what stands around it."""
-    value = span["value"]
-    count = lambda p: F.least(F.regexp_count(value, F.lit(p)), F.lit(20))
+def checks(kind: Column, value: Column) -> Column:
+    """Whether a value can be of its kind, in any format: check sum, numbers up to 255 with points between, count of digits, no end of a sentence."""
+    digits = digits_of(value)
+    part = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+    return (
+        F.when(kind == KINDS.index("email"), ~value.rlike(r"\.\x20[A-Za-z]+$"))
+        .when(kind == KINDS.index("ip"), value.rlike(rf"^{part}(?:\x20?\.\x20?{part}){{3}}$"))
+        .when(kind == KINDS.index("card"), passes(KINDS.index("card"), value))
+        .otherwise(F.length(digits).between(9, 15))
+    )
+
+
+def around(text: Column, span: Column) -> tuple[Column, Column]:
+    """The text before a span that its features see, and the character after it."""
     before = F.substring(text, F.greatest(span["start"] - CONTEXT, F.lit(0)) + 1, F.least(span["start"], F.lit(CONTEXT)))
-    after = F.substring(text, span["stop"] + 1, F.lit(1))
+    return before, F.substring(text, span["stop"] + 1, F.lit(1))
+
+
+def described(kind: Column, value: Column, before: Column, after: Column) -> Column:
+    """Small integers that describe a value and what stands around it."""
+    count = lambda p: F.least(F.regexp_count(value, F.lit(p)), F.lit(20))
     yes = lambda c: F.coalesce(c.cast("int"), F.lit(0))
     return F.struct(
-        span["kind"].alias("kind"), F.least(F.length(value), F.lit(40)).alias("length"), count("[0-9]").alias("digits"), count(" ").alias("spaces"),
-        count("[.,:/_-]").alias("marks"), count("[0-9]+").alias("groups"), count(r"[\[({]").alias("opens"), count(r"\+").alias("plus"),
+        kind.alias("kind"), F.least(F.length(value), F.lit(40)).alias("length"), count("[0-9]").alias("digits"), count(" ").alias("spaces"),
+        count("[.,:/_-]").alias("marks"), count("[0-9]+").alias("groups"), count(r"[\[({]").alias("opens"), yes(checks(kind, value)).alias("checks"),
         yes(before.rlike("[A-Za-z]$")).alias("letters_before"), yes(after.rlike("[A-Za-z0-9]")).alias("letters_after"),
         yes(before.rlike(CUES)).alias("cue"), yes(value.rlike("[0-9]{6}")).alias("long_group"),
     )
 
 
-def candidates(text: Column) -> Column:
-    """Every loose span with its features and whether it covers a strict span of its kind."""
-    strict = strict_spans(text)
+def features(text: Column, span: Column) -> Column:
+    return described(span["kind"], span["value"], *around(text, span))
+
+
+def clearly_wrong(x: Column) -> Column:
+    """Proposals that are no personal data whatever a strict rule says: failed checks, parts of hex runs, phone numbers in one run of digits that nothing announces."""
+    numeric, phone = x["kind"] != KINDS.index("email"), x["kind"] == KINDS.index("phone")
+    hexed = numeric & ((x["letters_before"] == 1) | (x["letters_after"] == 1))
+    return (x["checks"] == 0) | hexed | (phone & (x["groups"] == 1) & (x["cue"] == 0))
+
+
+def candidates(text: Column, strict: Column, loose: Column) -> Column:
+    """Labelled descriptions: x and good.
+
+    Right are loose spans over a strict span of their kind, and strict spans
+    rewritten into the formats of ``REWRITES`` where they stand. Wrong are loose
+    spans that touch no strict span and are clearly wrong, and rewritten numbers
+    inside a hex run. Loose spans without a strict one that may well be right
+    have no label and are left out, as are those over another kind's: they are
+    never added. ``strict`` and ``loose`` are columns, as every span reads them.
+    """
 
     def judged(span: Column) -> Column:
+        x = features(text, span)
         good = F.exists(strict, lambda s: (s["kind"] == span["kind"]) & overlaps(s, span))
-        return F.struct(features(text, span).alias("x"), good.alias("good"))
+        bad = ~F.exists(strict, lambda s: overlaps(s, span)) & clearly_wrong(x)
+        return F.struct(x.alias("x"), F.when(good, True).when(bad, False).alias("good"))
 
-    return F.transform(loose_spans(text), judged)
+    def rewritten(kind: int) -> Column:
+        whole, k = rf"^(?:{LOOSE[KINDS[kind]]})$", F.lit(kind)
+
+        def forms(span: Column) -> Column:
+            before, after = around(text, span)
+            made = []
+            for pattern, new in REWRITES[KINDS[kind]]:
+                value = F.regexp_replace(span["value"], pattern, F.lit(new))
+                fits = (value != span["value"]) & value.rlike(whole)
+                x = described(k, value, before, after)
+                made.append(F.struct(x.alias("x"), F.when(fits & ~clearly_wrong(x), True).alias("good")))
+                if KINDS[kind] != "email":
+                    made.append(F.struct(described(k, value, F.lit("a"), F.lit("f")).alias("x"), F.when(fits, False).alias("good")))
+                else:
+                    ended = F.regexp_replace(value, r"(?:\.|\x20?\(?dot\)?\x20?)([A-Za-z]+)$", ". $1")
+                    made.append(F.struct(described(k, ended, before, after).alias("x"), F.when(fits, False).alias("good")))
+            return F.array(*made)
+
+        return F.flatten(F.transform(of_kind(strict, kind), forms))
+
+    found = F.concat(F.transform(loose, judged).cast(LABELLED), *[rewritten(k).cast(LABELLED) for k in range(len(KINDS))])
+    return F.filter(found, lambda c: c["good"].isNotNull())
 
 
 @dataclass
@@ -174,31 +245,38 @@ def _tree(node) -> object:
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 12, depth: int = 3) -> Judge | None:
-    """Trees over the proposals of all rows, or None if proposals are all of one kind of verdict.
+    """Trees over the labelled proposals of all rows, or None if these are all right or all wrong, as without any strict span.
 
-    Proposals are counted by features and verdict first, so what is fitted has a
-    row per distinct description. A fifth of the documents, by the hash of their
-    id, only calibrates: the threshold is the lowest score from which
-    ``PRECISION`` of their proposals are right.
+    Proposals are counted by features and label first, so what is fitted has a
+    row per distinct description. The labels of each kind weigh the same in all,
+    however many there are. A fifth of the documents, by the hash of their id,
+    only calibrates: the threshold is the lowest score, from ``LEAST`` up, from
+    which ``PRECISION`` of the weight of their proposals is right.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    each = df.filter(text.rlike("[0-9]|@|[aA][tT]")).select(
-        (F.pmod(F.xxhash64(id_col), F.lit(5)) == 0).alias("held"), F.explode(candidates(text)).alias("c")
+    read = df.filter(text.rlike("[0-9]|@|[aA][tT]")).select(
+        (F.pmod(F.xxhash64(id_col), F.lit(5)) == 0).alias("held"), text.alias("text"), strict_spans(text).alias("strict"), loose_spans(text).alias("loose")
     )
+    each = read.select("held", F.explode(candidates(F.col("text"), F.col("strict"), F.col("loose"))).alias("c"))
     counts = each.groupBy("held", *[F.col(f"c.x.{f}").alias(f) for f in FEATURES], F.col("c.good").cast("double").alias("label")).agg(F.count("*").cast("double").alias("n"))
     table = materialise(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(counts).select("held", "label", "n", "features", *FEATURES), "proposals")
-    learned = table.filter("not held")
-    if {r.label for r in learned.select("label").distinct().collect()} != {0.0, 1.0}:
+    totals = table.groupBy("held", "kind", "label").agg(F.sum("n").alias("total")).collect()  # at most 16 rows
+    if {r.label for r in totals if not r.held} != {0.0, 1.0}:
         return None
-    model = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=1, weightCol="n", maxBins=48).fit(learned)
+    share = F.lit(None).cast("double")
+    for r in totals:
+        share = F.when((F.col("held") == r.held) & (F.col("kind") == r.kind) & (F.col("label") == r.label), F.col("n") / r.total).otherwise(share)
+    table = table.withColumn("w", share)
+    learned = table.filter("not held")
+    model = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=1, weightCol="w", maxBins=48).fit(learned)
     trees = list(zip(model.treeWeights, [_tree(t._java_obj.rootNode() if hasattr(t, "_java_obj") else t.rootNode()) for t in model.trees], strict=True))
     judge = Judge(trees, 2.0)
     score = judge.score(F.struct(*FEATURES))
-    held = table.filter("held").groupBy(F.floor(score * 1000).alias("score")).agg(F.sum(F.col("n") * F.col("label")).alias("good"), F.sum("n").alias("n"))
-    good = n = 0.0
+    held = table.filter("held").groupBy(F.floor(score * 1000).alias("score")).agg(F.sum(F.col("w") * F.col("label")).alias("good"), F.sum("w").alias("w"))
+    good = weight = 0.0
     for row in sorted(held.collect(), key=lambda r: -r.score):  # at most 1,001 rows
-        good, n = good + row.good, n + row.n
-        if good >= PRECISION * n:
+        good, weight = good + row.good, weight + row.w
+        if row.score >= LEAST * 1000 and good >= PRECISION * weight:
             judge.threshold = row.score / 1000
     return judge
 

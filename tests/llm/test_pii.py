@@ -93,3 +93,21 @@ def test_redaction_and_edge_cases(spark):
     got = [r[0] for r in found.select(pii.redacted(F.col("text"), F.col("all_spans"))).collect()]
     assert got == [None, "", "ж [EMAIL], [PHONE] x", "[EMAIL]", "[EMAIL]", "plain"]
     assert found.columns == ["doc_id", "text", "kind", "base_spans", "all_spans"] and pii.find(df.limit(0), None).collect() == []
+
+
+def test_formats_that_only_the_corpus_holds_are_found(spark):
+    rng = random.Random(3)
+    n = lambda k: rng.randint(10 ** (k - 1), 10**k - 1)
+    rows = [f"call +1 ({n(3)}) {n(3)}-{n(4)} or write to ann.{n(2)}@host{n(1)}.org now" for _ in range(60)]
+    rows += [f"call ({n(3)}) {n(3)}-{n(4)} now" for _ in range(300)] + [f"write to bob{n(2)} [at] host{n(1)} dot org now" for _ in range(300)]
+    rows += [f"we met at noon. Then lot {n(9)} of {n(16)} came" for _ in range(200)] + [f"sum {n(6)}a{n(12)}f{n(5)} end" for _ in range(200)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id bigint, text string")
+    found = [r.spans for r in pii.find(df, pii.fit(df)).orderBy("doc_id").select(pii.written(F.col("all_spans")).alias("spans")).collect()]
+    for text, spans in zip(rows[60:], found[60:], strict=True):
+        if text.startswith("call"):
+            assert spans == "phone:5:19", (text, spans)
+        elif text.startswith("write"):
+            assert spans == f"email:9:{len(text) - 4}", (text, spans)
+        else:
+            digits = re.sub(".* of ([0-9]+) came", r"\1", text)
+            assert "phone" not in spans and "email" not in spans and ("card" not in spans or checks(digits) or text.startswith("sum")), (text, spans)
