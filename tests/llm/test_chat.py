@@ -53,3 +53,17 @@ def test_edge_cases(spark):
     assert json.loads(by[1, None]["json"])["content"] == "{ not json" and by[1, 4]["json"] == '{"content":"5","role":"user"}'
     assert json.loads(by[1, 5]["json"])["content"].startswith("ж😀\"\\\n") and by[1, 8]["linked"] and by[1, 8]["order_turn"] == 8
     assert run(spark, rows[:0]) == []
+
+
+def test_chains_of_moved_results_and_pasted_objects(spark):
+    both = lambda answers, i: json.dumps({"tool_call_id": answers, "tool_calls": [{"id": i, "name": "look", "arguments": {"q": "x"}}]})
+    rows = [
+        (1, 1, "tool", both("x", "y")), (1, 2, "tool", both("y", "z")), (1, 3, "tool", json.dumps({"tool_call_id": "z"})), (1, 5, "assistant", call(("x", "look", {"q": "x"}))),
+        (1, 6, "user", '{"a": 1}'), (2, 1, "tool", both("q", "p")), (2, 2, "tool", both("p", "q")), (2, 0, "tool", both("p", "r")), (2, -1, "tool", json.dumps({"tool_call_id": "r"})),
+    ]
+    got = {(r["conv_id"], r["turn"]): r for r in run(spark, rows)}
+    assert len(got) == len(rows)
+    assert [(got[1, t]["order_turn"], got[1, t]["order_step"]) for t in (5, 1, 2, 3)] == [(5, 0), (5, 1), (5, 2), (5, 3)]
+    assert json.loads(got[1, 6]["json"]) == {"content": '{"a": 1}', "role": "user"}
+    # two calls that wait for each other: the first turn goes behind the other's own turn, all that hangs on them follows
+    assert [(got[2, t]["order_turn"], got[2, t]["order_step"]) for t in (1, 2, 0, -1)] == [(2, 1), (2, 2), (2, 2), (2, 3)]
