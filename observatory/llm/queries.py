@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from observatory.llm import chat, embedding_dedup, hnsw, language, mixing, packing, pii, quality, simhash, toxicity
+from observatory.llm import blob_ledger, chat, embedding_dedup, hnsw, language, mixing, packing, pii, quality, simhash, toxicity
 from observatory.llm.batches import bound_batches
 from observatory.llm.registry import query, table
 
@@ -152,3 +152,30 @@ def op6_chat_format(spark, sf):
     text = F.when(F.col("answers"), F.to_json(F.struct("content", of.alias("tool_call_id")))).otherwise(F.coalesce(text, F.col("content")))
     role = F.when(F.col("answers"), "tool").otherwise(F.col("role"))
     return chat.format_messages(m.select("conv_id", F.col("spot").alias("turn"), role.alias("role"), text.alias("text")), SCHEMAS)
+
+
+def _found_sql(i: int, rule: blob_ledger.Rule) -> str:
+    """Matches by their places: what lies between them is what the text splits into."""
+    p = rule.pattern.replace("'", "''")
+    return f"""SELECT rid, {i} AS rank, '{rule.kind}' AS kind, length(array_to_string(ps[1:i], '')) + length(array_to_string(ms[1:i - 1], '')) AS s, length(ms[i]) AS n FROM (
+  SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT rid, regexp_extract_all(t, '{p}') AS ms, regexp_extract_all(t, '{p}', {rule.group}) AS gs, string_split_regex(t, '{p}') AS ps FROM d)) WHERE length(gs[i]) >= {rule.least}"""
+
+
+@query(
+    "op12_secret_scan",
+    f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+ f AS ({" UNION ALL ".join(_found_sql(i, r) for i, r in enumerate(blob_ledger.RULES))}),
+ g AS (SELECT rid, count(*) FILTER (WHERE rank = 0) AS n_assign, count(*) FILTER (WHERE rank = 1) AS n_access, count(*) FILTER (WHERE rank = 2) AS n_hex,
+   string_agg(concat(kind, ':', CAST(s AS BIGINT), ':', CAST(s + n AS BIGINT)), ',' ORDER BY s, rank) FILTER (WHERE rank < 3) AS base,
+   string_agg(concat(kind, ':', CAST(s AS BIGINT), ':', CAST(s + n AS BIGINT)), ',' ORDER BY s, rank) AS spans FROM f GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (rid)""",
+)
+def op12_secret_scan(spark, sf):
+    bound_batches(spark)
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    ledger = blob_ledger.scan(docs, blob_ledger.empty_ledger(spark))
+    out = blob_ledger.findings(docs, ledger)
+    counts = [F.size(blob_ledger.of_kinds(F.col("spans"), [r])).cast("bigint").alias(f"n_{r.kind}") for r in blob_ledger.BASE]
+    base = blob_ledger.written(blob_ledger.of_kinds(F.col("spans"), blob_ledger.BASE))
+    return out.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), blob_ledger.written(F.col("spans")).alias("spans"))
