@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from observatory.llm import blob_ledger, chat, embedding_dedup, hnsw, language, mixing, packing, pii, quality, simhash, toxicity
+from observatory.llm import blob_ledger, chat, embedding_dedup, hnsw, language, mixing, packing, pii, quality, ranked_search, simhash, toxicity
 from observatory.llm.batches import bound_batches
 from observatory.llm.registry import query, table
 
@@ -179,3 +179,23 @@ def op12_secret_scan(spark, sf):
     counts = [F.size(blob_ledger.of_kinds(F.col("spans"), [r])).cast("bigint").alias(f"n_{r.kind}") for r in blob_ledger.BASE]
     base = blob_ledger.written(blob_ledger.of_kinds(F.col("spans"), blob_ledger.BASE))
     return out.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), blob_ledger.written(F.col("spans")).alias("spans"))
+
+
+_TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+
+@query(
+    "op13_ranked_search",
+    f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_TERMS} AS ts FROM documents),
+ c AS (SELECT count(*) FILTER (WHERE len(ts) > 0) AS n_all, CAST(sum(len(ts)) AS BIGINT) AS l_all FROM d),
+ i AS (SELECT item_id, term, count(*) AS q FROM (SELECT item_id, unnest({_TERMS}) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL),
+ p AS (SELECT rid, doc_id, n, term, count(*) AS tf FROM (SELECT rid, doc_id, len(ts) AS n, unnest(ts) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+ w AS (SELECT term, CAST(floor(1000e0 * ln((2e0 * n_all + 2) / (2e0 * count(*) + 1))) AS BIGINT) AS w FROM p, c GROUP BY term, n_all),
+ s AS (SELECT item_id, rid, doc_id, CAST(sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_all) // l_all)))) AS BIGINT) AS score
+   FROM p JOIN w USING (term) JOIN i USING (term), c GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0) WHERE rank <= 10""",
+)
+def op13_ranked_search(spark, sf):
+    bound_batches(spark)
+    return ranked_search.ranked(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
