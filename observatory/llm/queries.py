@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from observatory.llm import blob_ledger, chat, embedding_dedup, hnsw, language, mixing, packing, pii, quality, ranked_search, simhash, toxicity
+from observatory.llm import blob_ledger, chat, conversation_repair, embedding_dedup, hnsw, language, mixing, packing, pii, quality, ranked_search, simhash, toxicity
 from observatory.llm.batches import bound_batches
 from observatory.llm.registry import query, table
 
@@ -199,3 +199,66 @@ SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
 def op13_ranked_search(spark, sf):
     bound_batches(spark)
     return ranked_search.ranked(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+def damaged(conversations):
+    """Messages with a number of copies: dropped, emptied, cut, repeated or given to the user by the remainder of their key's checksum."""
+    key = F.concat(*[F.coalesce(F.col(c).cast("string"), F.lit(" ")) if c != ":" else F.lit(":") for c in ("conv_id", ":", "turn")])
+    rest = F.crc32(key) % 20
+    text, role = F.coalesce("text", F.lit(" ")), F.coalesce("role", F.lit(" "))
+    return conversations.select(
+        "conv_id", "turn", F.when(rest == 4, "user").otherwise(role).alias("role"), F.when(rest == 1, "").when(rest == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        F.when(rest == 0, 0).when(rest == 3, 2).otherwise(1).alias("copies"),
+    )
+
+
+def _crc_table() -> list[int]:
+    out = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        out.append(n)
+    return out
+
+
+# Costs before a row from those behind it (v), and then with inserts before it.
+_STEP = """SELECT conv, pos, c0, least(w1, 3 + c2) AS c1, c2, c3 FROM (SELECT *, least(w0, 3 + c2) AS c0 FROM (SELECT *, least(w2, 3 + w3) AS c2, least(w3, 3 + w2) AS c3 FROM (
+  SELECT r.conv, r.pos, CASE WHEN gone THEN 4 + v0 ELSE least(4 + v0, CASE WHEN ini = 's' THEN t + v1 ELSE 99 + v0 END, t + v2 + CASE WHEN ini = 'u' THEN 0 ELSE 3 END) END AS w0,
+   CASE WHEN gone THEN 4 + v1 ELSE least(4 + v1, t + v2 + CASE WHEN ini = 'u' THEN 0 ELSE 3 END) END AS w1,
+   CASE WHEN gone THEN 4 + v2 ELSE least(4 + v2, t + v3 + CASE WHEN ini = 'a' THEN 0 ELSE 3 END) END AS w2,
+   CASE WHEN gone THEN 4 + v3 ELSE least(4 + v3, t + v2 + CASE WHEN ini = 'u' THEN 0 ELSE 3 END) END AS w3
+  FROM b JOIN r ON r.conv = b.conv AND r.pos = b.pos - 1)))"""
+# One letter a step: the least that keeps to the least cost.
+_WALK = """SELECT conv, CASE WHEN letter = 'I' THEN pos ELSE pos + 1 END, CASE letter WHEN 'D' THEN state WHEN 'K' THEN CASE ini WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END ELSE nxt END, audit || letter,
+   CASE WHEN letter = 'D' THEN lines ELSE list_append(lines, CASE WHEN letter = 'K' THEN role WHEN nxt = 2 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END) END
+  FROM (SELECT *, CASE WHEN pos > n THEN CASE WHEN state IN (1, 2) THEN 'I' END WHEN here = 4 + behind THEN 'D' WHEN here = 3 + other THEN 'I' WHEN ini = CASE nxt WHEN 2 THEN 'u' ELSE 'a' END OR (state = 0 AND ini = 's' AND here = t + back1) THEN 'K' ELSE 'R' END AS letter FROM (
+   SELECT f.*, r.role, r.text, r.ini, r.t, c.n, CASE WHEN f.state = 2 THEN 3 ELSE 2 END AS nxt, [x.v0, x.v1, x.v2, x.v3][f.state + 1] AS here, CASE WHEN f.state = 2 THEN x.v3 ELSE x.v2 END AS other, [y.v0, y.v1, y.v2, y.v3][f.state + 1] AS behind, y.v1 AS back1
+   FROM f JOIN c ON c.conv = f.conv LEFT JOIN r ON r.conv = f.conv AND r.pos = f.pos LEFT JOIN b x ON x.conv = f.conv AND x.pos = f.pos LEFT JOIN b y ON y.conv = f.conv AND y.pos = f.pos + 1)) WHERE letter IS NOT NULL"""
+
+
+@query(
+    "op11_conversation_repair",
+    f"""WITH RECURSIVE q AS (SELECT *, concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' ')) AS key FROM conversations),
+ crc AS (SELECT DISTINCT key, 1 AS i, CAST(4294967295 AS BIGINT) AS x FROM q
+  UNION ALL SELECT key, i + 1, xor(x >> 8, {_crc_table()}[1 + (xor(x, CAST(ascii(substr(key, i, 1)) AS BIGINT)) & 255)]) FROM crc WHERE i <= length(key)),
+ z AS (SELECT q.*, xor(x, 4294967295) % 20 AS h FROM q JOIN crc ON crc.key = q.key AND i = length(q.key) + 1),
+ a AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+   CASE h WHEN 1 THEN '' WHEN 2 THEN translate(coalesce(text, ' '), '.!?', '') ELSE coalesce(text, ' ') END AS text, unnest(range(CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM z),
+ k AS (SELECT DISTINCT conv_id, coalesce(CAST(conv_id AS VARCHAR), '-') AS conv FROM conversations),
+ o AS (SELECT a.*, conv, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS pos, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body
+   FROM a JOIN k ON a.conv_id IS NOT DISTINCT FROM k.conv_id),
+ d AS (SELECT *, body = '' AS blank, body <> '' AND row_number() OVER (PARTITION BY conv, role, text ORDER BY pos) > 1 AS dup FROM o),
+ r AS (SELECT *, blank OR dup AS gone, left(role, 1) AS ini, CASE WHEN right(body, 1) IN ('.', '!', '?') THEN 0 ELSE 3 END AS t, lag(left(role, 1)) OVER (PARTITION BY conv ORDER BY pos) AS prev FROM d),
+ c AS (SELECT conv, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE dup) AS duplicate,
+   count(*) FILTER (WHERE NOT gone AND t = 3) AS truncated, count(*) FILTER (WHERE prev IS NOT NULL AND prev || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv),
+ b AS (SELECT conv, n + 1 AS pos, 0 AS v0, 6 AS v1, 3 AS v2, 0 AS v3 FROM c UNION ALL {_STEP}),
+ f AS (SELECT conv, CAST(1 AS BIGINT) AS pos, 0 AS state, '' AS audit, CAST([] AS VARCHAR[]) AS lines FROM c UNION ALL {_WALK}),
+ e AS (SELECT f.* FROM f JOIN c USING (conv) WHERE pos = n + 1 AND state IN (0, 3))
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(b.v0, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM k LEFT JOIN c USING (conv) LEFT JOIN b ON b.conv = k.conv AND b.pos = 1 LEFT JOIN e ON e.conv = k.conv""",
+)
+def op11_conversation_repair(spark, sf):
+    bound_batches(spark)
+    repaired = conversation_repair.repair(damaged(table(spark, sf, "conversations")), copies_col="copies")
+    return conversation_repair.reports(repaired)

@@ -59,7 +59,8 @@ def words(text: bytes) -> Iterator[list[bytes]]:
 class Shard:
     """Documents on their way into one row of the index."""
 
-    def __init__(self, known: dict[bytes, int] | None):
+    def __init__(self, known: dict[bytes, int] | None, tokens: int = SHARD_TOKENS):
+        self.limit = tokens
         self.ids, self.lengths = [], []
         self.numbers = known
         if known is None:
@@ -92,7 +93,7 @@ class Shard:
         self.waiting, self.n_waiting = [], 0
 
     def full(self) -> bool:
-        return len(self.ids) == SHARD_DOCS or self.tokens >= SHARD_TOKENS
+        return len(self.ids) == SHARD_DOCS or self.tokens >= self.limit
 
     def row(self) -> pa.RecordBatch:
         self.settle()
@@ -111,7 +112,9 @@ class Shard:
         return [found[i] for i in numbers.tolist()]
 
 
-def build_index(documents: DataFrame, vocabulary: Collection[bytes] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def build_index(
+    documents: DataFrame, vocabulary: Collection[bytes] | None = None, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS
+) -> DataFrame:
     """One row per shard, written; every row of ``documents`` is in one, with its length in terms.
 
     ``vocabulary``: terms that posting lists are kept for, at most ``VOCABULARY``
@@ -124,13 +127,13 @@ def build_index(documents: DataFrame, vocabulary: Collection[bytes] | None = Non
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = None if known is None else known.value
-        shard = Shard(numbers)
+        shard = Shard(numbers, shard_tokens)
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
                 shard.add(doc_id, text.as_py() or b"")
                 if shard.full():
                     yield shard.row()
-                    shard = Shard(numbers)
+                    shard = Shard(numbers, shard_tokens)
         if shard.ids:
             yield shard.row()
 
@@ -301,9 +304,9 @@ def _postings(row: dict[str, pa.Scalar], weights: dict[bytes, int], lengths: lis
     return out
 
 
-def ranked(documents: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
+def ranked(documents: DataFrame, items: DataFrame, k: int = 10, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """The k best documents of every item: an index over the items' terms if they are few, over all terms otherwise."""
     terms = materialise(item_terms(items), "item-terms")
     some = terms.select("term").distinct().limit(VOCABULARY + 1).toArrow()["term"].to_pylist()
-    index = build_index(documents, some if len(some) <= VOCABULARY else None)
+    index = build_index(documents, some if len(some) <= VOCABULARY else None, shard_tokens=shard_tokens)
     return search(index, terms, k)

@@ -42,10 +42,10 @@ def slow(docs, items, k=10):
     return out
 
 
-def run(spark, docs, items, k=10):
+def run(spark, docs, items, k=10, **how):
     d = spark.createDataFrame([(*r, "x", 1) for r in docs], "doc_id bigint, text string, terms string, score int").repartition(3)
     i = spark.createDataFrame([(*r, "y") for r in items], "item_id bigint, text string, q string")
-    rows = [tuple(r) for r in rs.ranked(d, i, k).collect()]
+    rows = [tuple(r) for r in rs.ranked(d, i, k, **how).collect()]
     assert len(rows) == len(set(rows))
     return set(rows)
 
@@ -82,11 +82,9 @@ def test_equals_brute_force(spark, seed, monkeypatch):
     want = slow(docs, items)
     assert run(spark, docs, items) == want
     # small shards, all terms in the index, and items searched block by block
-    monkeypatch.setattr(rs, "SHARD_TOKENS", 200)
     monkeypatch.setattr(rs, "VOCABULARY", 2)
     monkeypatch.setattr(rs, "PAIRS", 20)
-    monkeypatch.setattr(rs, "SLICE", 16)
-    assert run(spark, docs, items) == want
+    assert run(spark, docs, items, shard_tokens=200) == want
 
 
 def test_ties_copies_and_a_hot_text(spark):
@@ -116,3 +114,10 @@ def test_a_row_of_the_index(spark):
     assert np.frombuffer(row.docs, "<i4").tolist() == [0, 0, 1, 1] and np.frombuffer(row.tfs, "<i4").tolist() == [2, 1, 1, 1]
     with pytest.raises(ValueError):
         rs.build_index(df, range(rs.VOCABULARY + 1))
+
+
+def test_slices_keep_terms_whole(monkeypatch):
+    text = " ".join(["word", "x" * 40, "É", "a-b"] * 9).encode()
+    whole = [w for part in rs.words(text) for w in part]
+    monkeypatch.setattr(rs, "SLICE", 7)
+    assert [w for part in rs.words(text) for w in part] == whole == [t.encode() for t in terms_of(text.decode())]
