@@ -141,7 +141,7 @@ def findings(versions: DataFrame, ledger: DataFrame, rules: Sequence[Rule] = RUL
     span = F.explode("spans").alias("s")
     rows = ledger.filter(F.size("spans") > 0).select("blob", span).filter(F.col("s.rule").isin([r.key for r in rules]))
     one = F.struct(F.col("s.start"), rank[F.col("s.rule")].alias("rank"), F.col("s.end"), F.substring_index("s.rule", ":", 1).alias("kind"))
-    found = rows.groupBy("blob").agg(F.sort_array(F.collect_set(one)).alias("spans"))
+    found = materialise(rows.groupBy("blob").agg(F.sort_array(F.collect_set(one)).alias("spans")), "found")
     none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string>>")
     rows = addressed(versions, text_col)
     return rows.join(found, "blob", "left").select(*[F.col(f"`{c}`") for c in rows.columns], F.coalesce("spans", none).alias("spans"))
