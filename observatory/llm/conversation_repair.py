@@ -348,6 +348,7 @@ def marked(df: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col:
     # nulls first, so a turn that is null comes before all others
     spot = F.struct(F.col("turn").isNotNull().alias("known"), "turn")
     again = rows.filter("copies > 0 and not blank").groupBy("conv_id", "role", "digest").agg(F.min(spot).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    again = materialise(again, "repeated")  # its size tells whether the texts have to move
     rows = attach(rows, again, ["conv_id", "role", "digest"], ["first"])
     later = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(spot)
     return rows.withColumn("duplicate", later & ~F.col("blank"))
