@@ -17,7 +17,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from observatory.session import Rounds
+from observatory.session import Rounds, materialise
 
 # What schema_of_variant says of a value of each schema type.
 TYPES = {
@@ -138,7 +138,7 @@ def format_messages(
     messages with a null conversation or turn. Repeated rows come back as given;
     other columns are not read; an empty table gives no rows.
     """
-    messages = parsed(df, schemas, conv_col, turn_col, role_col, text_col)
+    messages = materialise(parsed(df, schemas, conv_col, turn_col, role_col, text_col), "messages")
     called = messages.filter("size(calls) > 0").select("conv_id", "turn", F.explode("calls.id").alias("call_id")).filter("call_id is not null")
     first = called.groupBy("conv_id", "call_id").agg(F.min("turn").alias("call_turn"))
     results = messages.filter("answers is not null").select("conv_id", F.col("answers").alias("call_id")).distinct()
