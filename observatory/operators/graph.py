@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from observatory.functions import geo, labels
 from observatory.operators import lines
 from observatory.operators.spatial import nearest
-from observatory.session import Rounds, materialise
+from observatory.session import materialise
 
 # Longest edge, tolerance, speeds and the stop overhead.
 MAX_EDGE_M = 300.0
@@ -108,7 +107,7 @@ def cut_edges(
     )
     out = rows.select(
         F.concat_ws("/", F.col("id").cast("string"), F.col("part").cast("string")).alias("edge_key"),
-        F.xxhash64("id", "part").alias("edge_id"),
+        F.struct("id", "part").alias("edge_id"),
         "id", "part", *carry, "kind", "oneway", "name",
         F.get("p.nodes", F.lit(0)).alias("src"),
         F.get("p.nodes", F.size("p.nodes") - 1).alias("dst"),
@@ -155,100 +154,225 @@ def snap(points: DataFrame, nodes: DataFrame, mode: str, key: str = "site") -> D
     return nearest(points, usable, key, "node")
 
 
-def shortest_distances(
-    sources: DataFrame, edges: DataFrame, mode: str, max_distance_m: float | None = None
-) -> DataFrame:
-    """Least distance from each source to every node it can reach.
-
-    ``sources``: one ``node`` per row. Label-correcting rounds: the nodes that
-    improved last round offer their neighbours a distance, the least offer per
-    (source, node) wins, and the round ends when nothing improves. Each round
-    is written to the shared folder, so lineage stays one round deep. Distances
-    only fall and paths are finite, so the rounds end by themselves.
-    Output: source, node, dist, prev, edge_id, reversed.
+def inner_nodes(arcs: DataFrame, keepers: DataFrame) -> DataFrame:
+    """Nodes that only join two others, with these: node, lo, hi. ``keepers`` (node) are never among them."""
+    near = arcs.select(F.col("src").alias("node"), F.col("dst").alias("near")).union(arcs.select("dst", "src")).filter("node <> near").distinct()
+    ends = near.groupBy("node").agg(F.count("*").alias("n"), F.min("near").alias("lo"), F.max("near").alias("hi"))
+    return ends.filter("n = 2").select("node", "lo", "hi").join(keepers.select("node").distinct(), "node", "left_anti")
+
+
+def contract(arcs: DataFrame, keepers: DataFrame) -> DataFrame:
+    """Every arc with the chain that it ends: root, the node at the front of the chain, total and hops from there; ``inner``: whether it ends at an inner node.
+
+    An arc out of an inner node goes on from the one arc that can lead into that
+    node without turning back. Pointers are doubled, so a chain of n arcs takes
+    log2(n) rounds, each written. Arcs that nothing leads into, and rings of
+    inner nodes that no chain enters, cannot be reached from a keeper and go.
     """
-    adj = materialise(adjacency(edges, mode), "adjacency")
-    label = ["dist", "prev", "edge_id", "reversed"]
-    start = sources.select(F.col("node").alias("source")).distinct().select(
-        "source",
-        F.col("source").alias("node"),
-        F.lit(0.0).alias("dist"),
-        F.lit(None).cast("bigint").alias("prev"),
-        F.lit(None).cast("bigint").alias("edge_id"),
-        F.lit(None).cast("boolean").alias("reversed"),
+    inside = materialise(inner_nodes(arcs, keepers), "inner-nodes")
+    heads = inside.select(F.col("node").alias("dst"), F.lit(True).alias("inner"))
+    rows = arcs.filter("src <> dst").join(inside.withColumnRenamed("node", "src"), "src", "left").join(heads, "dst", "left")
+    onward = F.when(F.col("lo") == F.col("dst"), F.col("hi")).otherwise(F.col("lo"))  # null for arcs out of a keeper
+    now = rows.select(
+        "src", "dst", F.coalesce("inner", F.lit(False)).alias("inner"), F.when(F.col("lo").isNull(), F.col("src")).alias("root"),
+        F.col("length_m").alias("total"), F.lit(1).cast("bigint").alias("hops"), onward.alias("up_src"), F.when(F.col("lo").isNotNull(), F.col("src")).alias("up_dst"),
     )
-    log = Rounds(edges.sparkSession, "distances")
-    frontier, n = log.add(start)
-    while n:
-        offers = frontier.select("source", F.col("node").alias("src"), "dist").join(adj, "src").select(
-            "source",
-            F.col("dst").alias("node"),
-            (F.col("dist") + F.col("length_m")).alias("dist"),
-            F.col("src").alias("prev"),
-            "edge_id",
-            "reversed",
+    now, left = materialise(now, "chains"), -1
+    while (n := now.filter("root is null").count()) and n != left:
+        left = n
+        up = now.select(
+            F.col("src").alias("up_src"), F.col("dst").alias("up_dst"), F.col("root").alias("u_root"), F.col("total").alias("u_total"), F.col("hops").alias("u_hops"),
+            F.col("up_src").alias("u_src"), F.col("up_dst").alias("u_dst"),
+        )
+        more = now.filter("root is null").join(up, ["up_src", "up_dst"]).select(
+            "src", "dst", "inner", F.col("u_root").alias("root"), (F.col("total") + F.col("u_total")).alias("total"), (F.col("hops") + F.col("u_hops")).alias("hops"),
+            F.col("u_src").alias("up_src"), F.col("u_dst").alias("up_dst"),
+        )
+        now = materialise(now.filter("root is not null").unionByName(more), "chains")
+    return now.filter("root is not null").drop("up_src", "up_dst")
+
+
+def weak_components(arcs: DataFrame) -> DataFrame:
+    """node and component (its smallest node) of all nodes of ``arcs`` (src, dst), whatever the direction.
+
+    Every node takes the least of its neighbours as its parent, then parents'
+    parents replace them, so trees halve their depth each round.
+    """
+    pairs = materialise(arcs.select("src", "dst").union(arcs.select("dst", "src")).filter("src <> dst").distinct(), "pairs")
+    now = materialise(pairs.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("up")), "components")
+    while True:
+        of = now.select(F.col("node").alias("dst"), F.col("up").alias("d_up"))
+        near = pairs.join(of, "dst").groupBy(F.col("src").alias("node")).agg(F.min("d_up").alias("m"))
+        hooks = now.join(near, "node")  # the root of a tree hooks onto the least tree next to it
+        roots = hooks.filter("m < up").groupBy(F.col("up").alias("node")).agg(F.min("m").alias("to"))
+        own = hooks.select("node", F.least("up", "m").alias("up")).join(roots, "node", "left").select("node", F.least("up", "to").alias("up"))
+        own = materialise(own, "components")
+        jump = own.join(own.select(F.col("node").alias("up"), F.col("up").alias("top")), "up").select("node", F.col("top").alias("up"))
+        after = materialise(jump, "components")
+        if after.join(now.withColumnRenamed("up", "was"), "node").filter("up <> was").isEmpty():
+            return now.select("node", F.col("up").alias("component"))
+        now = after
+
+
+def settle(starts: DataFrame, roads: DataFrame, max_distance_m: float | None = None, goals: DataFrame | None = None) -> DataFrame:
+    """search, node, dist, hops: the least distance, then fewest edges, from the start of each search.
+
+    ``starts``: search, node. ``roads``: src, dst, total, hops. One table of
+    labels is kept. In a round the labels that became better offer their
+    neighbours a distance, and the least of offers and labels is the next table;
+    the end is when nothing became better.
+
+    ``goals``: search, node, at_most: where a search wants to get, and a distance
+    known to be enough (null: none). A search drops what is farther than
+    its farthest goal, as found so far or known beforehand.
+    """
+    pair = F.struct("dist", "hops")
+    zero = starts.select("search", "node", F.lit(0.0).alias("dist"), F.lit(0).cast("bigint").alias("hops"), F.lit(True).alias("fresh"))
+    now = materialise(zero.distinct(), "labels")
+    while not (fresh := now.filter("fresh")).isEmpty():
+        offers = fresh.select("search", F.col("node").alias("src"), "dist", F.col("hops").alias("h")).join(roads, "src").select(
+            "search", F.col("dst").alias("node"), (F.col("dist") + F.col("total")).alias("dist"), (F.col("h") + F.col("hops")).alias("hops")
         )
         if max_distance_m is not None:
             offers = offers.filter(F.col("dist") <= max_distance_m)
-        # the least new offer and the least known distance come out of one aggregation
-        known = log.read().select("source", "node", "dist", F.lit(None).cast("struct<dist:double,prev:bigint,edge_id:bigint,reversed:boolean>").alias("o"))
-        both = offers.select("source", "node", F.lit(None).cast("double").alias("dist"), F.struct(*label).alias("o")).unionByName(known)
-        least = both.groupBy("source", "node").agg(F.min("dist").alias("have"), F.min("o").alias("o"))
-        better = least.filter(F.col("o").isNotNull() & (F.col("have").isNull() | (F.col("o.dist") < F.col("have"))))
-        frontier, n = log.add(better.select("source", "node", "o.*"))
-    best = log.read().groupBy("source", "node").agg(F.min(F.struct(*label)).alias("o"))
-    return materialise(best.select("source", "node", "o.*"), "distances")
+        if goals is not None:
+            found = goals.join(now.select("search", "node", "dist"), ["search", "node"], "left")
+            enough = F.least("dist", "at_most")
+            reach = found.groupBy("search").agg(F.when(F.bool_and(enough.isNotNull()), F.max(enough)).alias("reach"))
+            offers = offers.join(reach, "search").filter(F.col("reach").isNull() | (F.col("dist") <= F.col("reach"))).drop("reach")
+        kind = "struct<dist:double,hops:bigint>"
+        both = offers.select("search", "node", F.lit(None).cast(kind).alias("had"), pair.alias("o")).unionByName(
+            now.select("search", "node", pair.alias("had"), F.lit(None).cast(kind).alias("o"))
+        )
+        least = both.groupBy("search", "node").agg(F.min("had").alias("had"), F.min("o").alias("o"))
+        better = F.coalesce(F.col("o") < F.col("had"), F.col("had").isNull())
+        best = F.when(better, F.col("o")).otherwise(F.col("had"))
+        now = materialise(least.select("search", "node", best.alias("b"), better.alias("fresh")).select("search", "node", "b.*", "fresh"), "labels")
+    return now.drop("fresh")
+
+
+class Network:
+    """A mode's arcs with chains of degree-two nodes contracted; ``keepers`` (node) stay ends of roads."""
+
+    def __init__(self, edges: DataFrame, mode: str, keepers: DataFrame):
+        self.arcs = materialise(adjacency(edges, mode), "adjacency")
+        self.chains = contract(self.arcs, keepers)
+
+    def roads(self) -> DataFrame:
+        """From keeper to keeper: src, dst, total, hops, the best of parallel chains."""
+        ends = self.chains.filter(~F.col("inner") & (F.col("root") != F.col("dst")))
+        best = ends.groupBy(F.col("root").alias("src"), "dst").agg(F.min(F.struct("total", "hops")).alias("b"))
+        return materialise(best.select("src", "dst", "b.*"), "roads")
+
+    def put_back(self, labels: DataFrame, max_distance_m: float | None = None) -> DataFrame:
+        """Labels of the inner nodes too: the better of the two ends of their chain."""
+        inner = self.chains.filter("inner").select(F.col("root").alias("node"), F.col("dst"), "total", F.col("hops").alias("h"))
+        rows = labels.join(inner, "node").select("search", F.col("dst").alias("node"), F.struct((F.col("dist") + F.col("total")).alias("dist"), (F.col("hops") + F.col("h")).alias("hops")).alias("b"))
+        if max_distance_m is not None:
+            rows = rows.filter(F.col("b.dist") <= max_distance_m)
+        best = rows.groupBy("search", "node").agg(F.min("b").alias("b")).select("search", "node", "b.*")
+        return labels.unionByName(best)
+
+
+def shortest_distances(
+    sources: DataFrame, edges: DataFrame, mode: str, max_distance_m: float | None = None
+) -> DataFrame:
+    """Least distance from each source to every node it can reach, however far.
+
+    ``sources``: one ``node`` per row. Nodes that only join two others are
+    contracted away first, so rounds follow the junctions on a path and not its
+    vertices, and are put back at the end. Of paths of equal length the one with
+    fewest edges counts, then the one whose last node but one is the smallest, so
+    the tree is the same however the rounds went.
+    Output: source, node, dist, hops, prev, edge_id, reversed.
+    """
+    net = Network(edges, mode, sources)
+    labels = settle(sources.select(F.col("node").alias("search"), "node").distinct(), net.roads(), max_distance_m)
+    labels = materialise(net.put_back(labels, max_distance_m), "labels")
+    offers = labels.select("search", F.col("node").alias("src"), "dist", "hops").join(net.arcs, "src").filter("search <> dst").select(
+        F.col("search").alias("source"), F.col("dst").alias("node"),
+        F.struct((F.col("dist") + F.col("length_m")).alias("dist"), (F.col("hops") + 1).alias("hops"), F.col("src").alias("prev"), "edge_id", "reversed").alias("o"),
+    )
+    if max_distance_m is not None:
+        offers = offers.filter(F.col("o.dist") <= max_distance_m)
+    best = offers.groupBy("source", "node").agg(F.min("o").alias("o")).select("source", "node", "o.*")
+    none = [F.lit(None).cast(best.schema[c].dataType).alias(c) for c in ("prev", "edge_id", "reversed")]
+    own = labels.filter("search = node").select(F.col("search").alias("source"), "node", "dist", "hops", *none)
+    return materialise(own.unionByName(best), "distances")
 
 
 def trace_paths(distances: DataFrame, targets: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges of the path from a source to each wanted node, in order.
 
-    ``targets``: source, target. All paths walk back one edge per round;
-    output has one row per edge: source, target, pos, edge_id and the edge's
+    ``targets``: source, target. The tables of 2, 4, 8... steps back are built by
+    joining each with itself; then all nodes of all paths come out of these from
+    the longest step to the shortest, every depth once by its binary digits. That
+    is two written tables for every doubling of the longest path.
+    Output has one row per edge: source, target, pos, edge_id and the edge's
     vertices in travel direction, the vertex shared with the edge before it
     dropped.
     """
-    tree = distances.filter(F.col("prev").isNotNull()).select("source", "node", "prev", "edge_id", "reversed")
-    log = Rounds(edges.sparkSession, "paths")
-    at = targets.select("source", "target", F.col("target").alias("node"))
-    for back in itertools.count():
-        step = at.join(tree, ["source", "node"]).select(
-            "source", "target", F.lit(back).alias("back"), "edge_id", "reversed", F.col("prev").alias("node")
-        )
-        done, n = log.add(step)
-        if n == 0:
-            break
-        at = done.select("source", "target", "node")
-    walked = log.read().select("source", "target", "back", "edge_id", "reversed")
-    length = walked.groupBy("source", "target").agg(F.max("back").alias("_last"))
-    shapes = edges.select("edge_id", "coords")
+    tree = distances.filter(F.col("prev").isNotNull()).select("source", "node", "prev", "hops", "edge_id", "reversed")
+    at = materialise(targets.select("source", "target").distinct().join(distances.select("source", F.col("node").alias("target"), "hops"), ["source", "target"]), "targets")
+    longest = at.agg(F.max("hops")).first()[0] or 0
+    back = [tree.select("source", "node", "prev")]
+    for _ in range(max(0, longest.bit_length() - 1)):
+        up = back[-1].select("source", F.col("node").alias("prev"), F.col("prev").alias("far"))
+        back.append(materialise(back[-1].join(up, ["source", "prev"]).select("source", "node", F.col("far").alias("prev")), "steps-back"))
+    walked = at.select("source", "target", F.col("target").alias("node"))
+    for step in reversed(back):
+        walked = materialise(walked.unionByName(walked.join(step, ["source", "node"]).select("source", "target", F.col("prev").alias("node"))), "on-path")
     travelled = F.when(F.col("reversed"), F.reverse("coords")).otherwise(F.col("coords"))
-    pos = F.col("_last") - F.col("back")
+    pos = (F.col("hops") - 1).cast("int")
     stitched = F.when(pos == 0, travelled).otherwise(F.slice(travelled, 2, F.size(travelled)))
     return (
-        walked.join(length, ["source", "target"])
-        .join(shapes, "edge_id")
+        walked.join(tree, ["source", "node"])
+        .join(edges.select("edge_id", "coords"), "edge_id")
         .select("source", "target", pos.alias("pos"), "edge_id", stitched.alias("coords"))
     )
 
 
-def distance_matrix(sites: DataFrame, nodes: DataFrame, edges: DataFrame, mode: str, max_distance_m: float | None = None) -> DataFrame:
-    """Pairwise network distances of a trip's stops, unreachable ones dropped.
+def distance_matrix(sites: DataFrame, nodes: DataFrame, edges: DataFrame, mode: str) -> DataFrame:
+    """Pairwise network distances of a trip's stops, those that the start cannot reach left out.
 
     ``sites``: trip, site, lon, lat, is_start. A trip is a visitor's list of a
     dozen stops, so pairs inside a trip are bounded by that list.
+
+    Searches have goals, the trip's stops in the same part of the network: first
+    from the start, forward and backward, then from every stop that the start
+    reaches. Over the start, two stops are no farther apart than the way to it and
+    the way from it, so these searches know beforehand how far they have to look.
     """
     where = sites.select(F.concat_ws("|", "trip", "site").alias("key"), "lon", "lat")
-    snapped = snap(where, nodes, mode, "key").select("key", "node", F.col("dist_m").alias("snap_m"))
-    s = sites.withColumn("key", F.concat_ws("|", "trip", "site")).join(snapped, "key").select("trip", "site", "is_start", "node", "snap_m")
-    dist = shortest_distances(s.select("node").distinct(), edges, mode, max_distance_m).select("source", F.col("node").alias("to_node"), "dist")
-    a = s.select("trip", F.col("site").alias("from_site"), F.col("node").alias("source"), "is_start")
-    reach = a.filter("is_start").join(dist, "source").select("trip", F.col("to_node").alias("node"))
-    live = s.join(reach.distinct(), ["trip", "node"], "left_semi")
+    snapped = snap(where, nodes, mode, "key").select("key", "node")
+    s = sites.withColumn("key", F.concat_ws("|", "trip", "site")).join(snapped, "key").select("trip", "site", "is_start", "node")
+    s = materialise(s, "stops")
+    net = Network(edges, mode, s)
+    roads = net.roads()
+    part = weak_components(roads).withColumnRenamed("component", "part")
+    stops = s.select("trip", "node", "is_start").join(part, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    stops = materialise(stops.groupBy("trip", "node", "part").agg(F.bool_or("is_start").alias("is_start")), "stops")
+    search = F.struct("trip", F.col("node").alias("origin"))
+
+    starts, unknown = stops.filter("is_start"), F.lit(None).cast("double")
+    begun = starts.select("trip", "part", search.alias("search")).join(stops.select("trip", "part", "node"), ["trip", "part"])
+    begun = materialise(begun.select("search", "node", unknown.alias("at_most")), "goals")
+    ways = {}
+    for name, arcs in (("out", roads), ("home", roads.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "total", "hops"))):
+        labels = settle(starts.select(search.alias("search"), "node"), arcs, goals=begun)
+        ways[name] = materialise(labels.join(begun.select("search", "node"), ["search", "node"], "left_semi").select("search", "node", "dist"), "ways")
+    live = materialise(ways["out"].select("search.trip", "node").distinct().join(stops.drop("is_start"), ["trip", "node"]), "live-stops")
+    home, out = (ways[n].select("search", F.col("node").alias(c), F.col("dist").alias(n)) for n, c in (("home", "origin"), ("out", "node")))
+    over = home.join(out, "search").groupBy("search.trip", "origin", "node").agg(F.min(F.col("home") + F.col("out")).alias("at_most"))
+    pairs = live.withColumnRenamed("node", "origin").join(live, ["trip", "part"]).join(over, ["trip", "origin", "node"], "left")
+    wanted = materialise(pairs.select(F.struct("trip", "origin").alias("search"), "node", "at_most"), "goals")
+    labels = settle(live.select(search.alias("search"), "node"), roads, goals=wanted)
+    dist = labels.join(wanted.select("search", "node"), ["search", "node"], "left_semi").select("search.trip", F.col("search.origin").alias("source"), F.col("node").alias("to_node"), "dist")
+    ends = s.join(live.select("trip", "node"), ["trip", "node"], "left_semi")
     legs = (
-        live.select("trip", F.col("site").alias("from_site"), F.col("node").alias("source"))
-        .join(dist, "source")
-        .join(live.select("trip", F.col("site").alias("to_site"), F.col("node").alias("to_node")), ["trip", "to_node"])
+        ends.select("trip", F.col("site").alias("from_site"), F.col("node").alias("source"))
+        .join(dist, ["trip", "source"])
+        .join(ends.select("trip", F.col("site").alias("to_site"), F.col("node").alias("to_node")), ["trip", "to_node"])
         .filter(F.col("from_site") != F.col("to_site"))
     )
     seconds = F.col("dist") / SPEED_MS[mode] + STOP_OVERHEAD_S

@@ -402,7 +402,7 @@ def trail_rollup(edges: DataFrame, min_m: float = 500.0) -> DataFrame:
         .agg(
             F.sum("length_m").alias("length_m"),
             F.count("*").alias("pieces"),
-            F.max_by(mid, F.struct("length_m", (-F.col("edge_id")).alias("neg"))).alias("point"),
+            F.min_by(mid, F.struct((-F.col("length_m")).alias("neg"), "edge_id")).alias("point"),
         )
         .filter(F.col("length_m") >= min_m)
         .select("park", "name", "length_m", "pieces", F.col("point.lon").alias("lon"), F.col("point.lat").alias("lat"))

@@ -529,11 +529,11 @@ WAYS = f"""wy AS (SELECT o_orderkey AS id, {_HW} AS kind, CASE WHEN o_orderkey %
  vv AS (SELECT *, count(*) OVER (PARTITION BY node) >= 2 AS joint FROM v WHERE nv >= 2)"""
 _HPV = """2 * 6371008.8e0 * asin(sqrt(least(1e0, pow(sin((radians({b}.lat) - radians({a}.lat)) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin(radians({b}.lon - {a}.lon) / 2), 2))))"""
 CUTS = f"""{WAYS},
- cut AS (SELECT id, k, node, lon, lat, node AS src, 0e0 AS m, false AS done, CAST(NULL AS BIGINT) AS e_src, CAST(NULL AS BIGINT) AS e_dst, CAST(NULL AS DOUBLE) AS e_m, kind, oneway, name FROM vv WHERE k = 1
+ cut AS (SELECT id, k, node, lon, lat, node AS src, k AS first, 0e0 AS m, false AS done, CAST(NULL AS BIGINT) AS e_src, CAST(NULL AS BIGINT) AS e_dst, CAST(NULL AS DOUBLE) AS e_m, CAST(NULL AS BIGINT) AS e_n, kind, oneway, name FROM vv WHERE k = 1
    UNION ALL
-   SELECT x.id, x.k, x.node, x.lon, x.lat, CASE WHEN brk THEN x.node ELSE psrc END, CASE WHEN brk THEN 0e0 ELSE mm END, brk, CASE WHEN brk THEN psrc END, CASE WHEN brk THEN x.node END, CASE WHEN brk THEN mm END, x.kind, x.oneway, x.name
-   FROM (SELECT n.*, c.src AS psrc, c.m + {_HPV.format(a='c', b='n')} AS mm, (n.k = n.nv OR n.joint OR c.m + {_HPV.format(a='c', b='n')} >= 300) AS brk FROM cut c JOIN vv n ON n.id = c.id AND n.k = c.k + 1) x),
- ed AS (SELECT id, kind, oneway, name, e_src AS src, e_dst AS dst, round_even(e_m, 0) AS length_m FROM cut WHERE done AND e_src <> e_dst AND e_m > 0)"""
+   SELECT x.id, x.k, x.node, x.lon, x.lat, CASE WHEN brk THEN x.node ELSE psrc END, CASE WHEN brk THEN x.k ELSE pfirst END, CASE WHEN brk THEN 0e0 ELSE mm END, brk, CASE WHEN brk THEN psrc END, CASE WHEN brk THEN x.node END, CASE WHEN brk THEN mm END, CASE WHEN brk THEN x.k - pfirst + 1 END, x.kind, x.oneway, x.name
+   FROM (SELECT n.*, c.src AS psrc, c.first AS pfirst, c.m + {_HPV.format(a='c', b='n')} AS mm, (n.k = n.nv OR n.joint OR c.m + {_HPV.format(a='c', b='n')} >= 300) AS brk FROM cut c JOIN vv n ON n.id = c.id AND n.k = c.k + 1) x),
+ ed AS (SELECT * FROM (SELECT id, row_number() OVER (PARTITION BY id ORDER BY k) - 1 AS part, kind, oneway, name, e_src AS src, e_dst AS dst, round_even(e_m, 0) AS length_m, e_m, e_n AS n FROM cut WHERE done) WHERE src <> dst AND e_m > 0)"""
 
 
 def _edges(spark, sf, simplify_m=None):
@@ -573,7 +573,8 @@ def trail_pieces(spark, sf):
     return lines.trail_pieces(_edges(spark, sf)).groupBy("park", "name").agg(F.count("*").alias("pieces"))
 
 
-ADJ = f"""{CUTS}, ad AS (SELECT src, dst, min(length_m) AS m FROM (SELECT src, dst, length_m FROM ed WHERE kind = 0 UNION ALL SELECT dst, src, length_m FROM ed WHERE kind = 0 AND oneway = 0) GROUP BY 1, 2)"""
+ADJ = f"""{CUTS}, ad AS (SELECT src, dst, b.m AS m, b.id AS id, b.part AS part, b.n AS n FROM (SELECT src, dst, min(struct_pack(m := length_m, id := id, part := part, n := n)) AS b FROM (
+   SELECT src, dst, length_m, id, part, n FROM ed WHERE kind = 0 UNION ALL SELECT dst, src, length_m, id, part, n FROM ed WHERE kind = 0 AND oneway = 0) GROUP BY 1, 2))"""
 
 
 @query("adjacency_drive", o("SELECT src, dst, m AS length_m FROM ad /* RECURSIVE_STEP */", extra=ADJ))
@@ -592,45 +593,76 @@ def graph_nodes(spark, sf):
     return graph.graph_nodes(_edges(spark, sf)).select("node", F.col("road").cast("int").alias("road"))
 
 
-REACH_M = 1500.0
-
-
 def _sources(spark, sf):
     """A source per supplier: the first node of the order with its number."""
     return tb.table(spark, sf, "supplier").select((F.col("s_suppkey") * 30 + 1).cast("bigint").alias("node"))
 
 
-# All walks within reach with the least length per (source, node): lengths only grow, so
-# keeping each distinct (source, node, length) is a finite set.
-DIST = f"""{ADJ}, reach AS (SELECT s_suppkey * 30 + 1 AS source, s_suppkey * 30 + 1 AS node, 0e0 AS dist FROM supplier
-   UNION SELECT r.source, ad.dst, r.dist + ad.m FROM reach r JOIN ad ON ad.src = r.node WHERE r.dist + ad.m <= {REACH_M}e0 AND r.dist + ad.m <= {REACH_M}e0),
- dist AS (SELECT source, node, min(dist) AS dist FROM reach GROUP BY 1, 2)"""
+def dist_sql(sources: str, before: str = ADJ) -> str:
+    """dist: the least distance and then the fewest edges from each of ``sources`` (node) to all nodes, by one table of labels."""
+    return f"""{before}, dist(source, node, dist, hops) USING KEY (source, node) AS (SELECT node, node, 0e0, 0 FROM ({sources})
+   UNION SELECT c.source, c.node, c.d.dist, c.d.hops FROM (SELECT r.source, ad.dst AS node, min(struct_pack(dist := r.dist + ad.m, hops := r.hops + 1)) AS d FROM dist r JOIN ad ON ad.src = r.node GROUP BY ALL) c
+    LEFT JOIN recurring.dist k ON k.source = c.source AND k.node = c.node WHERE k.dist IS NULL OR c.d.dist < k.dist OR (c.d.dist = k.dist AND c.d.hops < k.hops))"""
+
+
+DIST = dist_sql("SELECT DISTINCT CAST(s_suppkey * 30 + 1 AS BIGINT) AS node FROM supplier")
 
 
 @query(
     "shortest_distances",
-    o("SELECT CAST(source AS BIGINT) AS source, CAST(node AS BIGINT) AS node, dist FROM dist /* RECURSIVE_STEP */", extra=DIST),
+    o("SELECT source, node, dist, CAST(hops AS BIGINT) AS hops FROM dist /* RECURSIVE_STEP */", extra=DIST),
 )
 def shortest(spark, sf):
-    return graph.shortest_distances(_sources(spark, sf), _edges(spark, sf), "drive", REACH_M).select("source", "node", "dist")
+    return graph.shortest_distances(_sources(spark, sf), _edges(spark, sf), "drive").select("source", "node", "dist", "hops")
 
 
-@query("shortest_paths")
+# The step before the last of a best path: the smallest node that leads there, by the one edge between the two.
+TREE = f"""{DIST}, tree AS (SELECT source, node, hops, b.prev AS prev, b.id AS id, b.part AS part, b.n AS n FROM (
+   SELECT v.source, v.node, v.hops, min(struct_pack(prev := ad.src, id := ad.id, part := ad.part, n := ad.n)) AS b FROM dist v JOIN ad ON ad.dst = v.node
+   JOIN dist u ON u.source = v.source AND u.node = ad.src AND u.dist + ad.m = v.dist AND u.hops + 1 = v.hops GROUP BY ALL)),
+ far AS (SELECT source, max(struct_pack(d := dist, node := node)).node AS target FROM dist GROUP BY source),
+ walk AS (SELECT source, target, target AS node FROM far UNION ALL SELECT w.source, w.target, t.prev FROM walk w JOIN tree t ON t.source = w.source AND t.node = w.node)"""
+
+
+@query(
+    "shortest_paths",
+    o(
+        "SELECT source, target, CAST(hops - 1 AS INTEGER) AS pos, id AS way, CAST(part AS INTEGER) AS part, CAST(n - CASE WHEN hops > 1 THEN 1 ELSE 0 END AS INTEGER) AS n FROM walk JOIN tree USING (source, node) /* RECURSIVE_STEP */",
+        extra=TREE,
+    ),
+)
 def paths(spark, sf):
+    """The path to the farthest node of every source."""
     edges = _edges(spark, sf)
-    dist = graph.shortest_distances(_sources(spark, sf), edges, "drive", REACH_M)
+    dist = graph.shortest_distances(_sources(spark, sf), edges, "drive")
     far = dist.groupBy("source").agg(F.max_by("node", F.struct("dist", "node")).alias("target"))
-    return graph.trace_paths(dist, far, edges).select("source", "target", "pos", "edge_id", F.size("coords").alias("n"))
+    walked = graph.trace_paths(dist, far, edges)
+    return walked.select("source", "target", "pos", F.col("edge_id.id").alias("way"), F.col("edge_id.part").alias("part"), F.size("coords").alias("n"))
+
+
+_PLANAR = "sqrt(pow((n.lon - s.lon) * 111320e0 * cos(radians((s.lat + n.lat) / 2)), 2) + pow((n.lat - s.lat) * 110540e0, 2))"
+SNAPPED = f"""{ADJ}, site AS (SELECT id // 4 AS trip, id AS site, min_by(lon, node) AS lon, min_by(lat, node) AS lat, id % 4 = 0 AS is_start FROM vt JOIN orders ON o_orderkey = id GROUP BY id),
+ pl AS (SELECT DISTINCT node, lon, lat FROM vv WHERE node IN (SELECT src FROM ed WHERE kind = 0 UNION SELECT dst FROM ed WHERE kind = 0)),
+ spot AS (SELECT lon, lat, min(node) AS node FROM pl GROUP BY ALL),
+ near AS (SELECT s.lon, s.lat, min(struct_pack(d := {_PLANAR}, node := n.node)).node AS node FROM (SELECT DISTINCT lon, lat FROM site) s, spot n WHERE abs(n.lat - s.lat) < 0.05 AND abs(n.lon - s.lon) < 0.05 GROUP BY ALL),
+ st AS (SELECT site.*, node FROM site JOIN near USING (lon, lat))"""
 
 
-@query("trip_distances")
+@query(
+    "trip_distances",
+    o(
+        """SELECT a.trip, a.site AS from_site, b.site AS to_site, dist AS distance_m, dist / 15.6e0 + 300 AS seconds FROM live a JOIN live b USING (trip) JOIN dist ON dist.source = a.node AND dist.node = b.node WHERE a.site <> b.site /* RECURSIVE_STEP */""",
+        extra=dist_sql("SELECT DISTINCT node FROM st", SNAPPED)
+        + ", live AS (SELECT * FROM st WHERE (trip, node) IN (SELECT s.trip, d.node FROM st s JOIN dist d ON d.source = s.node WHERE s.is_start))",
+    ),
+)
 def trips(spark, sf):
     edges = _edges(spark, sf)
     v = F.get("geometry", F.lit(0))
     sites = tb.ways(spark, sf).select(
         F.expr("id div 4").alias("trip"), F.col("id").alias("site"), v["lon"].alias("lon"), v["lat"].alias("lat"), (F.col("id") % 4 == 0).alias("is_start")
     )
-    return graph.distance_matrix(sites, graph.graph_nodes(edges), edges, "drive", 1000.0)
+    return graph.distance_matrix(sites, graph.graph_nodes(edges), edges, "drive")
 
 
 @query(
