@@ -10,8 +10,11 @@ lists the pairs of such a group. Positions and times are filed in fine cells:
 
 * cells that lie wholly within reach of each other are settled by one minimum
   per cell, whatever they hold;
-* only cells at the edge of reach compare rows, and there only the rows whose id
-  is lower than the best already found are ever joined;
+* a pair of cells at the edge of reach that still holds many pairs of rows is
+  split, both cells in halves along every axis, and its parts are judged alike:
+  settled by a minimum, out of reach, or split again;
+* only small pairs of cells at the edge compare rows, and there only the rows
+  whose id is lower than the best already found are ever joined;
 * rows that a rule cannot tell apart (one place, and one time or one observer)
   are compared once: of the kept ones the best, of the others any.
 """
@@ -36,6 +39,8 @@ DEDUPE_WINDOW_S = 3600.0
 
 _GRID = 4          # fine cells per reach, on each axis
 _SLOTS = 2         # fine time slots per window
+_DEPTH = 8         # how often a cell may be halved
+_LEAF = 1 << 8     # pairs of rows that two cells may compare one by one
 
 
 def _priority(source: Column, ranks: Mapping[str, int]) -> Column:
@@ -70,8 +75,8 @@ def _prepare(sightings: DataFrame, dist_m: float, window_s: float, ranks: Mappin
         F.nullif(names.observer_key(F.col("observer")), F.lit("")).alias("who"),
         _priority(F.col("source"), ranks).alias("prio"),
         F.when(F.col("source").isin(*ranks), "").otherwise(F.coalesce("source", F.lit(""))).alias("src"),
-        *[F.floor(v * geo.MEAN_EARTH_RADIUS_M / side).cast("bigint").alias(n) for n, v in axes.items()],
-        F.floor(micros / int(window_s * 1e6 / _SLOTS)).cast("bigint").alias("ft"),
+        *[F.floor(v * geo.MEAN_EARTH_RADIUS_M / (side / 2**_DEPTH)).cast("bigint").alias(n) for n, v in axes.items()],
+        F.floor(micros / F.lit(window_s * 1e6 / _SLOTS / 2**_DEPTH)).cast("bigint").alias("ft"),
     )
 
 
@@ -88,68 +93,91 @@ def _best(probe: DataFrame, canon: DataFrame, dist_m: float, window_s: float, by
     keys = _KEYS + ([] if by_time else ["who"])
     axes = _AXES + (["ft"] if by_time else [])
     need = F.col("us").isNotNull() if by_time else F.col("who").isNotNull()
-    alike = [*keys, *axes, "lon", "lat"] + (["us"] if by_time else [])
+    point = ["lon", "lat"] + (["us"] if by_time else [])
+    alike = [*keys, *axes, *point]
     rows = probe.filter(need).select("id", *alike)
     p = rows.select(*alike).distinct()
     c = canon.filter(need).groupBy(*alike).agg(F.min(F.struct("prio", "src", "id")).alias("rank"))
+    other = {a: f"n_{a}" for a in axes}
+
+    def at(depth: int, df: DataFrame) -> DataFrame:
+        """Rows with their cell at a depth instead of the finest."""
+        return df.withColumns({a: F.shiftright(a, _DEPTH - depth) for a in axes}) if depth < _DEPTH else df
+
+    def judged(pairs: DataFrame, depth: int) -> DataFrame:
+        """Pairs of cells that may still matter, with the probe cell's bound and whether the pair is settled by it."""
+
+        def squares(shift: int) -> Column:
+            """Squared least (shift -1) or largest (shift 1) gap of two cells, in sides."""
+            total = F.lit(0).cast("bigint")
+            for a in _AXES:
+                gap = F.greatest(F.abs(F.col(other[a]) - F.col(a)) + shift, F.lit(0))
+                total = total + gap * gap
+            return total
+
+        whole, possible = squares(1) <= (_GRID << depth) ** 2, squares(-1) <= (_GRID << depth) ** 2
+        if by_time:
+            steps = F.abs(F.col(other["ft"]) - F.col("ft"))
+            whole = whole & (steps + 1 <= _SLOTS << depth)
+            possible = possible & (steps - 1 <= _SLOTS << depth)
+        # the number of cells around a cell is bounded, whatever they hold
+        cell = W.partitionBy(*keys, *axes)
+        seen = pairs.filter(possible).withColumn("bound", F.least("bound", F.min(F.when(whole, F.col("least"))).over(cell)))
+        rival = ~whole & (F.col("bound").isNull() | (F.col("least") < F.col("bound")))
+        return seen.select(*keys, *axes, *other.values(), "bound", "n_p", "n_c", rival.alias("rival"))
 
     # Cells meet in blocks just over twice the reach wide, so a cell's reach
-    # touches two blocks per axis. A block holds a fixed number of fine cells:
-    # a group of any size is a bounded number of cell pairs.
+    # touches two blocks per axis. A block holds a fixed number of cells: a
+    # group of any size is a bounded number of cell pairs.
     reach = {a: (_SLOTS if a == "ft" else _GRID) + 1 for a in axes}
-    cells_c = c.groupBy(*keys, *axes).agg(F.min("rank").alias("least"))
-    near, there = p.select(*keys, *axes).distinct(), cells_c
+    near = at(0, p).groupBy(*keys, *axes).agg(F.count("*").alias("n_p"))
+    there = at(0, c).groupBy(*keys, *axes).agg(F.min("rank").alias("least"), F.count("*").alias("n_c"))
     for a, n in reach.items():
         width = 2 * n + 1
         ends = F.array(F.floor((F.col(a) - n) / width), F.floor((F.col(a) + n) / width))
         near = near.withColumn(f"b_{a}", F.explode(F.array_distinct(ends)))
-        there = there.withColumn(f"b_{a}", F.floor(F.col(a) / width)).withColumnRenamed(a, f"n_{a}")
-    pairs = near.join(there, [*keys, *[f"b_{a}" for a in axes]])
-
-    def squares(shift: int) -> Column:
-        """Squared least (shift -1) or largest (shift 1) gap of two cells, in sides."""
-        total = F.lit(0)
-        for a in _AXES:
-            gap = F.greatest(F.abs(F.col(f"n_{a}") - F.col(a)) + shift, F.lit(0))
-            total = total + gap * gap
-        return total
-
-    whole = squares(1) <= _GRID * _GRID
-    possible = squares(-1) <= _GRID * _GRID
-    if by_time:
-        steps = F.abs(F.col("n_ft") - F.col("ft"))
-        whole = whole & (steps + 1 <= _SLOTS)
-        possible = possible & (steps - 1 <= _SLOTS)
-    # Per probe cell: the best of the wholly covered cells, and the edge cells
-    # that could still hold something better. Both are bounded by the block.
-    cell = W.partitionBy(*keys, *axes)
-    weighed = pairs.filter(possible).withColumn("bound", F.min(F.when(whole, F.col("least"))).over(cell))
-    rival = F.when(~whole & (F.col("bound").isNull() | (F.col("least") < F.col("bound"))), F.struct(*[f"n_{a}" for a in axes]))
-    cells = weighed.groupBy(*keys, *axes).agg(F.min("bound").alias("bound"), F.collect_list(rival).alias("edge"))
-    cells = materialise(cells, "cells")
-
+        there = there.withColumn(f"b_{a}", F.floor(F.col(a) / width)).withColumnRenamed(a, other[a])
+    pairs = near.join(there, [*keys, *[f"b_{a}" for a in axes]]).withColumn("bound", F.lit(None).cast(there.schema["least"].dataType))
+
+    hits = None
+    for depth in range(_DEPTH + 1):
+        cells = materialise(judged(pairs, depth), "cells")
+        big = F.col("rival") & (F.col("n_p") * F.col("n_c") > _LEAF) if depth < _DEPTH else F.lit(False)
+        found = _compared(at(depth, p), at(depth, c), cells.filter(F.col("rival") & ~big), keys, axes, point, dist_m, window_s, by_time)
+        bounds = cells.groupBy(*keys, *axes).agg(F.min("bound").alias("hit")).filter(F.col("hit").isNotNull())
+        here = at(depth, rows).join(bounds, [*keys, *axes]).select("id", "hit")
+        here = here.unionByName(at(depth, rows).join(found, [*keys, *axes, *point]).select("id", "hit"))
+        hits = here if hits is None else hits.unionByName(here)
+        split = cells.filter(big)
+        if split.isEmpty():
+            break
+        up = {a: F.shiftright(a, 1).alias(f"u_{a}") for a in axes}
+        mine = at(depth + 1, p).groupBy(*keys, *axes).agg(F.count("*").alias("n_p")).select(*keys, *axes, *up.values(), "n_p")
+        theirs = at(depth + 1, c).groupBy(*keys, *axes).agg(F.min("rank").alias("least"), F.count("*").alias("n_c"))
+        theirs = theirs.select(*keys, *[F.col(a).alias(o) for a, o in other.items()], *[F.shiftright(a, 1).alias(f"v_{a}") for a in axes], "least", "n_c")
+        split = split.select(*keys, *[F.col(a).alias(f"u_{a}") for a in axes], *[F.col(o).alias(f"v_{a}") for a, o in other.items()], "bound")
+        pairs = split.join(mine, [*keys, *[f"u_{a}" for a in axes]]).join(theirs, [*keys, *[f"v_{a}" for a in axes]])
+    return hits.groupBy("id").agg(F.min("hit").alias("hit"))
+
+
+def _compared(
+    p: DataFrame, c: DataFrame, edge: DataFrame, keys: list[str], axes: list[str], point: list[str], dist_m: float, window_s: float, by_time: bool
+) -> DataFrame:
+    """The best row within reach of each probe position, out of the cells at its edge."""
     # Of a cell only the rows better than some probe's bound can still win: in
     # a crowded place that is a handful, however many rows the cell holds.
-    asked = cells.select(*keys, "bound", F.explode("edge").alias("e")).select(*keys, "bound", "e.*")
-    asked = asked.groupBy(*keys, *[F.col(f"n_{a}").alias(a) for a in axes]).agg(
+    asked = edge.groupBy(*keys, *[F.col(f"n_{a}").alias(a) for a in axes]).agg(
         F.max("bound").alias("_top"), F.bool_or(F.col("bound").isNull()).alias("_any")
     )
     c = c.join(asked, [*keys, *axes]).filter(F.col("_any") | (F.col("rank") < F.col("_top")))
-
-    left = p.join(cells, [*keys, *axes])
-    left = left.select(*alike, "bound", F.explode_outer("edge").alias("e")).select("*", "e.*").drop("e")
-    right = c.select(F.col("rank").alias("c_rank"), *[F.col(a).alias(f"c_{a}") for a in alike])
+    left = p.join(edge.select(*keys, *axes, *[f"n_{a}" for a in axes], "bound"), [*keys, *axes])
+    right = c.select(*keys, *[F.col(a).alias(f"n_{a}") for a in axes], F.col("rank").alias("hit"), *[F.col(a).alias(f"c_{a}") for a in point])
     on = geo.haversine_m("lon", "lat", "c_lon", "c_lat") <= dist_m
-    on = on & (F.col("bound").isNull() | (F.col("c_rank") < F.col("bound")))
-    for k in keys:
-        on = on & (F.col(k) == F.col(f"c_{k}"))
-    for a in axes:
-        on = on & (F.col(f"n_{a}") == F.col(f"c_{a}"))
+    on = on & (F.col("bound").isNull() | (F.col("hit") < F.col("bound")))
     if by_time:
         on = on & (F.abs(F.col("us") - F.col("c_us")) <= int(window_s * 1e6))
-    hit = F.least(F.min("bound"), F.min("c_rank"))
-    hits = left.join(right, on, "left").groupBy(*alike).agg(hit.alias("hit")).filter(F.col("hit").isNotNull())
-    return rows.join(hits, alike).select("id", "hit")
+    met = left.join(right, [*keys, *[f"n_{a}" for a in axes]]).filter(on)
+    return met.groupBy(*keys, *axes, *point).agg(F.min("hit").alias("hit"))
 
 
 def find_duplicates(

@@ -200,6 +200,37 @@ def test_two_crowds_at_the_edge_of_reach(spark, metres, found):
     assert len(got) == found and {r.duplicate_of for r in got} <= {"inaturalist:0"}
 
 
+def _crowds(n, metres, seed=3):
+    """Two crowds of all different positions and times, their middles so far apart."""
+    rng, day, step = random.Random(seed), dt.date(2024, 6, 1), metres / 111_195.08
+    return [
+        (f"{s}:{i:05d}", s, "p", "Elk", day, dt.datetime(2024, 6, 1, 9) + dt.timedelta(seconds=rng.randrange(3000)),
+         -110.0 + rng.uniform(-3e-4, 3e-4), 44.9 + k * step + rng.uniform(-3e-4, 3e-4), None, None)
+        for k, s in enumerate(["inaturalist", "gbif"]) for i in range(n)
+    ]
+
+
+@pytest.mark.parametrize("metres", [210.0, 250.0])
+def test_crowds_of_different_positions(spark, monkeypatch, metres):
+    """Cells at the edge of reach are split: the pairs compared grow with rows^1.5 (the ring at the edge), not with their square."""
+    compared, real = [], dedupe._compared
+
+    def counted(p, c, edge, *args):
+        compared.append(edge.agg(F.sum(F.col("n_p") * F.col("n_c"))).first()[0] or 0)
+        return real(p, c, edge, *args)
+
+    monkeypatch.setattr(dedupe, "_compared", counted)
+    sums = []
+    for n in (400, 1600):
+        compared.clear()
+        data = _crowds(n, metres)
+        found = {r.sighting_id: r.duplicate_of for r in dedupe.find_duplicates(spark.createDataFrame(data, DEDUPE_DDL)).collect()}
+        sums.append(sum(compared))
+        if n == 400:
+            assert found == brute_dedupe(data, 200.0, 3600.0) and found
+    assert sums[1] < 10 * max(sums[0], 400) and sums[1] < 1600 * 1600 / 4
+
+
 def test_dedupe_marks_but_keeps(spark):
     day = dt.date(2024, 6, 1)
     data = [
