@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from observatory.functions import geo, labels
 from observatory.operators import lines
@@ -51,70 +54,73 @@ def junctions(ways: DataFrame) -> DataFrame:
     )
 
 
+def _pieces(m: np.ndarray, stops: list[int], longest: float) -> list[tuple[int, int, float]]:
+    """(first vertex, last vertex, length) of a way with legs ``m``, cut at ``stops`` and where a piece reaches ``longest``."""
+    out, start = [], 0
+    for stop in stops:
+        while start < stop:
+            ahead = 64
+            while True:
+                run = np.cumsum(m[start:min(start + ahead, stop)])
+                at = int(np.searchsorted(run, longest))
+                if at < len(run) or start + ahead >= stop:
+                    break
+                ahead *= 4
+            end = min(start + at + 1, stop)
+            out.append((start, end, float(run[end - start - 1])))
+            start = end
+    return out
+
+
 def cut_edges(
     ways: DataFrame, max_edge_m: float = MAX_EDGE_M, simplify_m: float | None = SIMPLIFY_M, carry: Sequence[str] = ()
 ) -> DataFrame:
     """Ways cut at junctions, ends and every ``max_edge_m`` (G5), with the ``carry`` columns of their way.
 
-    The length since the last cut resets at each cut, so it is a fold over the
-    way's own vertices. Only node ids travel to find the junctions; each way
-    then gets back the short list of its own.
+    The length since the last cut starts anew at each cut, one pass over the
+    vertices of an Arrow batch; nothing grows with the vertices of a way. Only
+    node ids travel to find the junctions; each way then gets back the places of
+    its own.
     """
-    uses = ways.select("id", F.explode(F.array_distinct("nodes")).alias("node"))
-    joints = uses.join(junctions(ways).select("node"), "node").groupBy("id").agg(F.collect_set("node").alias("joints"))
-    w = ways.join(joints, "id", "left")
-    n = F.size("nodes")
-    verts = F.transform(
-        F.arrays_zip(F.col("nodes"), F.col("geometry")),
-        lambda v, i: F.struct(
-            v["nodes"].alias("node"), v["geometry"]["lon"].alias("lon"), v["geometry"]["lat"].alias("lat"),
-            (i == n - 1).alias("last"),
-        ),
-    )
-    piece = "struct<nodes:array<bigint>,coords:array<struct<lon:double,lat:double>>,m:double>"
-    head = F.get(verts, F.lit(0))
-
-    def point(v: Column) -> Column:
-        return F.struct(v["lon"].alias("lon"), v["lat"].alias("lat"))
-
-    start = F.struct(
-        F.lit(0.0).alias("m"),
-        F.array(head["node"]).alias("nodes"),
-        F.array(point(head)).alias("coords"),
-        F.array().cast(f"array<{piece}>").alias("done"),
-    )
-
-    def step(acc: Column, v: Column) -> Column:
-        prev = F.get(acc["coords"], F.size(acc["coords"]) - 1)
-        m = acc["m"] + geo.haversine_m(prev["lon"], prev["lat"], v["lon"], v["lat"])
-        nodes = F.concat(acc["nodes"], F.array(v["node"]))
-        coords = F.concat(acc["coords"], F.array(point(v)))
-        cut = v["last"] | F.coalesce(F.array_contains("joints", v["node"]), F.lit(False)) | (m >= max_edge_m)
-        fresh = F.struct(nodes.alias("nodes"), coords.alias("coords"), m.alias("m"))
-        return F.struct(
-            F.when(cut, 0.0).otherwise(m).alias("m"),
-            F.when(cut, F.array(v["node"])).otherwise(nodes).alias("nodes"),
-            F.when(cut, F.array(point(v))).otherwise(coords).alias("coords"),
-            F.when(cut, F.concat(acc["done"], F.array(fresh))).otherwise(acc["done"]).alias("done"),
-        )
-
-    pieces = F.aggregate(F.slice(verts, F.lit(2), n), start, step, lambda acc: acc["done"])
+    uses = ways.select("id", F.posexplode("nodes").alias("k", "node"))
+    joints = uses.join(junctions(ways).select("node"), "node").groupBy("id").agg(F.collect_list("k").alias("joints"))
     oneway = _tag("oneway").isin("yes", "1", "true") | (_tag("junction") == "roundabout")
     kind = F.when(_tag("highway").isin(*labels.ROAD_TAGS), labels.KIND_ROAD).otherwise(labels.KIND_TRAIL)
-    rows = w.select(
-        "id", *carry, _tag("name").alias("name"), kind.alias("kind"), F.coalesce(oneway, F.lit(False)).cast("int").alias("oneway"),
-        F.posexplode(pieces).alias("part", "p"),
+    w = ways.join(joints, "id", "left").select(
+        "id", *carry, kind.alias("kind"), F.coalesce(oneway, F.lit(False)).cast("int").alias("oneway"), _tag("name").alias("name"),
+        "nodes", "geometry", "joints",
     )
+    kept = [f for f in w.schema.fields if f.name not in ("nodes", "geometry", "joints")]
+    ddl = "part int, src bigint, dst bigint, length_m double, coords array<struct<lon:double,lat:double>>"
+    schema = T.StructType([*kept, *T._parse_datatype_string(ddl).fields])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets, lon, lat = lines.vertices(batch["geometry"])
+            nodes, at = batch["nodes"].values.to_numpy(), batch["nodes"].offsets.to_numpy()
+            if not len(lon):
+                continue
+            m, joints = lines.leg_lengths(lon, lat, geo.MEAN_EARTH_RADIUS_M), batch["joints"].to_pylist()
+            found = []
+            for i, (first, end) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+                stops = sorted({*(joints[i] or ()), end - first - 1} - {0})
+                found += [(i, k, a, b, length) for k, (a, b, length) in enumerate(_pieces(m[first:end - 1], stops, max_edge_m))]
+            if not found:
+                continue
+            row, part, a, b, length = (np.array(c) for c in zip(*found, strict=True))
+            n = b - a + 1
+            vertex = np.repeat(offsets[row] + a - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            points = pa.StructArray.from_arrays([pa.array(lon[vertex]), pa.array(lat[vertex])], names=["lon", "lat"])
+            coords = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), points)
+            new = [part.astype(np.int32), nodes[at[row] + a], nodes[at[row] + b], length]
+            yield pa.RecordBatch.from_arrays([*(batch[f.name].take(pa.array(row)) for f in kept), *map(pa.array, new), coords], names=schema.names)
+
+    rows = w.mapInArrow(cut, schema).filter((F.col("src") != F.col("dst")) & (F.col("length_m") > 0))
     out = rows.select(
         F.concat_ws("/", F.col("id").cast("string"), F.col("part").cast("string")).alias("edge_key"),
         F.struct("id", "part").alias("edge_id"),
-        "id", "part", *carry, "kind", "oneway", "name",
-        F.get("p.nodes", F.lit(0)).alias("src"),
-        F.get("p.nodes", F.size("p.nodes") - 1).alias("dst"),
-        F.bround("p.m", 0).alias("length_m"),
-        F.col("p.m").alias("exact_m"),
-        F.col("p.coords").alias("coords"),
-    ).filter((F.col("src") != F.col("dst")) & (F.col("exact_m") > 0)).drop("exact_m")
+        "id", "part", *carry, "kind", "oneway", "name", "src", "dst", F.bround("length_m", 0).alias("length_m"), "coords",
+    )
     if simplify_m is None:
         return out
     return out.withColumn("coords", geo.round_ring(lines.simplify(F.col("coords"), simplify_m), COORD_DECIMALS))

@@ -2,52 +2,65 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from observatory.functions import geo
 
 TRAIL_SAMPLE_M = 150.0
+STRETCH_M = 500.0
+
+
+def leg_lengths(lon: np.ndarray, lat: np.ndarray, radius: float) -> np.ndarray:
+    """Metres between neighbouring vertices on a sphere."""
+    y = np.radians(lat)
+    chord = np.sin(np.diff(y) / 2) ** 2 + np.cos(y[:-1]) * np.cos(y[1:]) * np.sin(np.radians(np.diff(lon)) / 2) ** 2
+    return 2 * radius * np.arcsin(np.sqrt(np.minimum(1.0, chord)))
+
+
+def vertices(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets of the lines of a batch, and longitudes and latitudes of all their vertices."""
+    values = column.values
+    return column.offsets.to_numpy(), *(values.field(n).to_numpy(zero_copy_only=False).astype(float) for n in ("lon", "lat"))
 
 
 def legs(lines: DataFrame, key: str = "line", radius: float = geo.SPHERE_RADIUS_M, coords: str = "coords") -> DataFrame:
     """One row per leg with its start and end distance along the line.
 
-    A line is one row, so the running distance is a fold inside the row.
+    A line is one cell of one row; its running distance is one pass over the
+    vertices of an Arrow batch, so a line of a million vertices costs a thousand
+    times one of a thousand.
     """
-    pts = F.col(coords)
-    keep = [c for c in lines.columns if c not in (coords,)]
-    length = F.zip_with(
-        F.slice(pts, 1, F.greatest(F.size(pts) - 1, F.lit(0))),
-        F.slice(pts, 2, F.greatest(F.size(pts) - 1, F.lit(0))),
-        lambda a, b: F.struct(
-            a["lon"].alias("ax"), a["lat"].alias("ay"), b["lon"].alias("bx"), b["lat"].alias("by"),
-            geo.haversine_m(a["lon"], a["lat"], b["lon"], b["lat"], radius).alias("m"),
-        ),
-    )
-    folded = F.aggregate(
-        length,
-        F.struct(
-            F.lit(0.0).alias("at"),
-            F.array().cast("array<struct<ax:double,ay:double,bx:double,by:double,c0:double,c1:double>>").alias("out"),
-        ),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["m"]).alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(
-                    F.struct(
-                        x["ax"].alias("ax"), x["ay"].alias("ay"), x["bx"].alias("bx"), x["by"].alias("by"),
-                        acc["at"].alias("c0"), (acc["at"] + x["m"]).alias("c1"),
-                    )
-                ),
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return lines.select(*keep, F.posexplode(folded).alias("leg", "s")).select(*keep, "leg", "s.*")
+    keep = [f for f in lines.schema.fields if f.name != coords]
+    ddl = "leg int, ax double, ay double, bx double, by double, c0 double, c1 double"
+    schema = T.StructType([*keep, *T._parse_datatype_string(ddl).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets, lon, lat = vertices(batch[coords])
+            if len(lon) < 2:
+                continue
+            m = leg_lengths(lon, lat, radius)
+            first, last = offsets[:-1], np.maximum(offsets[1:] - 1, offsets[:-1])
+            n = last - first
+            at = [np.cumsum(m[a:b]) for a, b in zip(first.tolist(), last.tolist(), strict=True) if b > a]
+            if not at:
+                continue
+            row = np.repeat(np.arange(len(n)), n)
+            leg = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            vertex, c1 = np.repeat(first, n) + leg, np.concatenate(at)
+            c0 = np.where(leg == 0, 0.0, np.concatenate([[0.0], c1[:-1]]))
+            kept = [batch[f.name].take(pa.array(row)) for f in keep]
+            new = [leg.astype(np.int32), lon[vertex], lat[vertex], lon[vertex + 1], lat[vertex + 1], c0, c1]
+            yield pa.RecordBatch.from_arrays([*kept, *map(pa.array, new)], names=schema.names)
+
+    return lines.select(*[f.name for f in keep], coords).filter(F.size(coords) > 1).mapInArrow(run, schema)
 
 
 def _along(at: Column) -> list[Column]:
@@ -99,13 +112,16 @@ def geo_length(coords: Column, radius: float = geo.SPHERE_RADIUS_M) -> Column:
 def point_at(lines: DataFrame, wanted: DataFrame, key: str = "line") -> DataFrame:
     """Position at a distance along a line, clamped to its ends.
 
-    ``wanted``: key, ``at_m``. A distance belongs to one leg; legs meet their
-    line's distances on the key and are filtered to the leg that holds it.
+    ``wanted``: key, ``at_m``. A distance belongs to one leg. Legs are filed under
+    every stretch of ``STRETCH_M`` that they touch and meet only the distances of
+    that stretch, however long the line and however many distances it has.
     """
-    seg = legs(lines).filter(F.col("c1") > F.col("c0"))
+    seg = legs(lines, key).filter(F.col("c1") > F.col("c0"))
     ends = seg.groupBy(key).agg(F.max("c1").alias("total"))
     clamped = wanted.join(ends, key).withColumn("d", F.greatest(F.lit(0.0), F.least("at_m", "total")))
-    hit = seg.join(clamped, key).filter(
+    clamped = clamped.withColumn("_s", F.floor(F.col("d") / STRETCH_M))
+    seg = seg.withColumn("_s", F.explode(F.sequence(F.floor(F.col("c0") / STRETCH_M), F.floor(F.col("c1") / STRETCH_M))))
+    hit = seg.join(clamped, [key, "_s"]).filter(
         (F.col("d") >= F.col("c0")) & ((F.col("d") < F.col("c1")) | ((F.col("c1") == F.col("total")) & (F.col("d") == F.col("total"))))
     )
     return hit.select(*wanted.columns, "total", *_along(F.col("d")))

@@ -2,27 +2,104 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from observatory.functions import geo, labels, names, stats, text
 from observatory.operators.ranking import best_per
 from observatory.operators.spatial import POINT_RADIUS_M, TRAIL_BUFFER_M
+from observatory.session import materialise
 
 TOP_SPECIES = 5
+COVER = 64
+
+
+def boundary_cover(boundaries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A grid over each park's box: cells (park, row, col, edge) that a boundary crosses or that lie inside, and the boundary's legs by row.
+
+    A grid has ``COVER`` rows and columns whatever the park. Cells that no leg
+    touches are inside or outside as a whole, which their middle tells; cells
+    outside are not listed. ``rings`` of a row are the legs of every ring that
+    reach into it: a ray along a latitude crosses no others.
+    """
+    wide = {a: F.when(F.col(f"max_{a}") > F.col(f"min_{a}"), (F.col(f"max_{a}") - F.col(f"min_{a}")) / COVER).otherwise(1.0) for a in ("lon", "lat")}
+    corner = F.named_struct(*[x for a in ("lon", "lat") for x in (F.lit(f"min_{a}"), F.col(f"min_{a}"), F.lit(a), wide[a])])
+    rings = boundaries.select("park", corner.alias("g"), F.posexplode("rings").alias("ring", "pts"))
+    turned = F.concat(F.slice("pts", 2, F.size("pts")), F.slice("pts", 1, 1))
+    legs = rings.select("park", "g", "ring", F.explode(F.zip_with("pts", turned, lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("e")).filter("e.a <> e.b")
+
+    def cells(low: Column, high: Column, axis: str) -> Column:
+        """Rows or columns between two coordinates, with what rounding could add."""
+        at = lambda v, more: F.floor((v - F.col(f"g.min_{axis}")) / F.col(f"g.{axis}") + more).cast("int")
+        inside = lambda v: F.least(F.greatest(v, F.lit(0)), F.lit(COVER - 1))
+        return F.sequence(inside(at(low, -1e-6)), inside(at(high, 1e-6)))
+
+    legs = legs.withColumn("row", F.explode(cells(F.least("e.a.lat", "e.b.lat"), F.greatest("e.a.lat", "e.b.lat"), "lat")))
+    rows = legs.groupBy("park", "row", "ring").agg(F.collect_list("e").alias("legs")).groupBy("park", "row").agg(F.collect_list("legs").alias("rings"))
+    rows = materialise(rows, "boundary-rows")
+
+    rise = F.col("e.b.lat") - F.col("e.a.lat")
+
+    def lon_at(lat: Column) -> Column:
+        """Where a leg is at a latitude, kept between its ends; a flat leg is everywhere along itself."""
+        t = F.least(F.greatest((lat - F.col("e.a.lat")) / F.nullif(rise, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+        return F.col("e.a.lon") + (F.col("e.b.lon") - F.col("e.a.lon")) * t
+
+    flat = F.abs(rise) < F.col("g.lat") * 1e-9
+    floor = F.col("g.min_lat") + F.col("g.lat") * F.col("row")
+    ends = [F.when(flat, c).otherwise(x) for c, x in ((F.col("e.a.lon"), lon_at(floor - F.col("g.lat") * 1e-6)), (F.col("e.b.lon"), lon_at(floor + F.col("g.lat") * (1 + 1e-6))))]
+    touched = legs.select("park", "row", F.explode(cells(F.least(*ends), F.greatest(*ends), "lon")).alias("col")).distinct()
+    touched = materialise(touched, "boundary-cells")
+
+    every = boundaries.select("park", corner.alias("g"), F.explode(F.sequence(F.lit(0), F.lit(COVER - 1))).alias("row"))
+    every = every.withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(COVER - 1)))).join(touched, ["park", "row", "col"], "left_anti")
+    mid = [F.col(f"g.min_{a}") + F.col(f"g.{a}") * (F.col(c) + 0.5) for a, c in (("lon", "col"), ("lat", "row"))]
+    within = every.select("park", "row", "col", mid[0].alias("lon"), mid[1].alias("lat")).join(rows, ["park", "row"]).filter(crossed_by_rings())
+    cover = touched.withColumn("edge", F.lit(True)).unionByName(within.select("park", "row", "col", F.lit(False).alias("edge")))
+    return materialise(cover, "boundary-cover"), rows
+
+
+def crossed_by_rings() -> Column:
+    """Whether a ray from lon, lat crosses the legs of some ring an odd number of times."""
+
+    def crosses(leg: Column) -> Column:
+        a, b = leg["a"], leg["b"]
+        straddles = (a["lat"] > F.col("lat")) != (b["lat"] > F.col("lat"))
+        at = a["lon"] + (F.col("lat") - a["lat"]) * (b["lon"] - a["lon"]) / F.when(straddles, b["lat"] - a["lat"])
+        return straddles & F.coalesce(F.col("lon") < at, F.lit(False))
+
+    return F.exists("rings", lambda ring: F.size(F.filter(ring, crosses)) % 2 == 1)
 
 
 def inside(points: DataFrame, boundaries: DataFrame) -> DataFrame:
     """Add ``inside``: the point lies in its park's boundary.
 
-    ``boundaries``: park, ``rings`` (outer rings) and their box. One row per
-    park, so the park is the join key; the box test spares most ring tests.
+    ``boundaries``: park, ``rings`` (outer rings) and their box, a row per park.
+    Points find their cell in the park's grid; only those in a cell that the
+    boundary crosses are tested, and only against the legs of their row. No
+    ring travels with the points.
     """
-    box = F.col("lon").between(F.col("min_lon"), F.col("max_lon")) & F.col("lat").between(F.col("min_lat"), F.col("max_lat"))
-    hit = F.when(box, geo.point_in_polygons("lon", "lat", "rings")).otherwise(False)
-    joined = points.join(boundaries, "park", "left")
-    return joined.withColumn("inside", F.coalesce(hit, F.lit(False))).drop("rings", "min_lon", "min_lat", "max_lon", "max_lat")
+    cover, rows = boundary_cover(boundaries)
+    return _placed(points, boundaries, cover).join(rows.withColumnRenamed("row", "_edge"), ["park", "_edge"], "left").select(
+        *points.columns, F.coalesce(F.when(F.col("_edge").isNotNull(), crossed_by_rings()).otherwise(F.col("_in")), F.lit(False)).alias("inside")
+    )
+
+
+def _placed(points: DataFrame, boundaries: DataFrame, cover: DataFrame) -> DataFrame:
+    """Points with ``_in``: whether their cell is in the cover, and ``_edge``: their row, if the boundary crosses their cell."""
+    box = boundaries.select("park", *[F.col(f"{m}_{a}").alias(f"_{m}_{a}") for m in ("min", "max") for a in ("lon", "lat")])
+    boxed = points.join(box, "park", "left")
+    inbox = F.col("lon").between(F.col("_min_lon"), F.col("_max_lon")) & F.col("lat").between(F.col("_min_lat"), F.col("_max_lat"))
+
+    def cell(a: str) -> Column:
+        width = F.when(F.col(f"_max_{a}") > F.col(f"_min_{a}"), (F.col(f"_max_{a}") - F.col(f"_min_{a}")) / COVER).otherwise(1.0)
+        return F.when(inbox, F.least(F.floor((F.col(a) - F.col(f"_min_{a}")) / width).cast("int"), F.lit(COVER - 1)))
+
+    at = boxed.select(*[F.col(f"`{c}`") for c in points.columns], cell("lat").alias("_row"), cell("lon").alias("_col"))
+    side = cover.select("park", F.col("row").alias("_row"), F.col("col").alias("_col"), F.col("edge").alias("_e"))
+    found = at.join(side, ["park", "_row", "_col"], "left")
+    return found.withColumn("_in", F.col("_e").isNotNull()).withColumn("_edge", F.when(F.col("_e"), F.col("_row"))).drop("_row", "_col", "_e")
 
 
 def boundary_boxes(boundaries: DataFrame) -> DataFrame:

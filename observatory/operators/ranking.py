@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from observatory.functions import geo, text
+from observatory.functions import geo, labels, text
 from observatory.operators.segmented import previous_row
 from observatory.session import materialise
 
@@ -219,20 +219,22 @@ def cap_by_kind(
 ) -> DataFrame:
     """At most ``per_kind`` a kind and ``overall`` a park; tour stops always stay.
 
-    The per-kind limit runs first and leaves a bounded list per park, so the
+    ``stops``: park, id. Every different id of a park makes room for one landmark
+    more, whether or not the list has it. The per-kind limit runs first and leaves a bounded list per park, so the
     running count over survivors and stops is a short window.
     """
     ids = stops.select("park", "id").distinct().withColumn("is_stop", F.lit(True))
+    room = ids.groupBy("park").agg(F.count("id").alias("_stops"))
     marked = landmarks.join(ids, ["park", "id"], "left").withColumn("is_stop", F.coalesce("is_stop", F.lit(False)))
     others = top_k(marked.filter(~F.col("is_stop")), ["park", "kind"], landmark_order(), per_kind)
     pool = others.unionByName(marked.filter("is_stop"))
     listed = W.partitionBy("park").orderBy(*landmark_order())
-    n_stops = F.sum(F.col("is_stop").cast("int")).over(W.partitionBy("park"))
     # Others stay while the kept list is short. Stops count towards it too, so
     # the place of an other in the pool is the length of the kept list before it
     # until the list first fills up; from there only stops are added.
-    pool = pool.withColumn("_before", F.row_number().over(listed) - 1).withColumn("_limit", overall + n_stops)
-    return pool.filter(F.col("is_stop") | (F.col("_before") < F.col("_limit"))).drop("_before", "_limit")
+    pool = pool.withColumn("_before", F.row_number().over(listed) - 1).join(room, "park", "left")
+    kept = F.col("is_stop") | (F.col("_before") < overall + F.coalesce("_stops", F.lit(0)))
+    return pool.filter(kept).select(*landmarks.columns, "is_stop")
 
 
 def round_robin_stops(landmarks: DataFrame, k: int = TOUR_STOPS) -> DataFrame:
@@ -288,22 +290,29 @@ def chain_stops(picked: DataFrame) -> DataFrame:
 def match_tour(stops: DataFrame, landmarks: DataFrame) -> DataFrame:
     """Curated stop names to landmarks: exact, configured coordinate, prefix, contains, missing.
 
-    Stops are configuration, about a dozen a park; the park is the equi-key and
-    each landmark meets only its own park's stops.
+    ``stops``: park, pos, stop, fb_lon, fb_lat. Stops are configuration, about a
+    dozen a park; the park is the equi-key and each landmark meets only its own
+    park's stops. A stop that stands at its configured coordinate is a place
+    itself (``config/`` and its number): later stops may find it by a part of its
+    name, after all listed landmarks.
     """
     s = stops.withColumn("key", F.lower("stop"))
-    l = landmarks.select(
-        "park", F.col("id").alias("lm_id"), F.lower("name").alias("low"), F.col("lon").alias("lm_lon"),
-        F.col("lat").alias("lm_lat"), F.struct("rank", F.col("url").isNull().alias("u"), "name", "id").alias("listed"),
-    )
+    listed = F.struct(F.lit(0).alias("late"), "rank", F.col("url").isNull().alias("u"), "name", "id")
+    l = landmarks.select("park", F.col("id").alias("lm_id"), F.lower("name").alias("low"), F.col("lon").alias("lm_lon"), F.col("lat").alias("lm_lat"), listed.alias("listed"))
+    named = s.join(l.select("park", F.col("low").alias("key")).distinct(), ["park", "key"], "left_semi").select("park", "pos")
+    own = s.filter(F.col("fb_lon").isNotNull()).join(named, ["park", "pos"], "left_anti")
+    config = F.concat(F.lit("config/"), F.col("pos").cast("string"))
+    late = F.struct(F.lit(1).alias("late"), F.col("pos").alias("rank"), F.lit(False).alias("u"), F.col("stop").alias("name"), config.alias("id"))
+    c = own.select("park", config.alias("lm_id"), F.col("key").alias("low"), F.col("fb_lon").alias("lm_lon"), F.col("fb_lat").alias("lm_lat"), late.alias("listed"))
     grade = (
-        F.when(F.col("low") == F.col("key"), 0)
+        F.when((F.col("low") == F.col("key")) & (F.col("listed.late") == 0), 0)
         .when(F.col("low").startswith(F.col("key")), 2)
         .when(F.contains(F.col("low"), F.col("key")), 3)
     )
+    there = (F.col("listed.late") == 0) | (F.col("listed.rank") < F.col("pos"))
     hits = (
-        s.join(l, "park")
-        .withColumn("grade", grade)
+        s.join(l.unionByName(c), "park")
+        .withColumn("grade", F.when(there, grade))
         .filter(F.col("grade").isNotNull())
         .groupBy("park", "pos")
         .agg(F.min(F.struct("grade", "listed", "lm_id", "lm_lon", "lm_lat")).alias("h"))
@@ -323,12 +332,31 @@ def match_tour(stops: DataFrame, landmarks: DataFrame) -> DataFrame:
         "pos",
         "stop",
         how.alias("how"),
-        F.when(configured, F.concat(F.lit("config/"), F.col("pos").cast("string"))).otherwise(F.col("h.lm_id")).alias("id"),
+        F.when(configured, config).otherwise(F.col("h.lm_id")).alias("id"),
         F.when(configured, F.col("fb_lon")).otherwise(F.col("h.lm_lon")).alias("lon"),
         F.when(configured, F.col("fb_lat")).otherwise(F.col("h.lm_lat")).alias("lat"),
     )
 
 
+def tour_landmarks(landmarks: DataFrame, matched: DataFrame, articles: DataFrame) -> DataFrame:
+    """The landmark list once the tour is matched: configured stops join it, and articles set for stops replace their landmarks' (J17).
+
+    ``matched``: as ``match_tour`` gives it. ``articles``: park, pos, article; of
+    several stops at one landmark the last one's article counts.
+    """
+    wiki = lambda title: F.concat(F.lit("https://en.wikipedia.org/wiki/"), F.replace(title, F.lit(" "), F.lit("_")))
+    new = {
+        "park": F.col("park"), "id": F.col("id"), "name": F.col("stop"), "kind": F.lit("place"), "rank": F.lit(len(labels.LANDMARK_RULES)),
+        "lon": F.col("lon"), "lat": F.col("lat"), "url": wiki(F.col("stop")),
+    }
+    fields = landmarks.schema.fields
+    added = matched.filter("how = 'configured'").select(*[new.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+    told = matched.filter(F.col("id").isNotNull()).join(articles.filter(F.col("article").isNotNull()), ["park", "pos"])
+    told = told.groupBy("park", "id").agg(F.max_by("article", "pos").alias("_article"))
+    out = landmarks.unionByName(added).join(told, ["park", "id"], "left")
+    return out.withColumn("url", F.coalesce(wiki(F.col("_article")), F.col("url"))).select(*landmarks.columns)
+
+
 def stops_in_order(tour: DataFrame, landmarks: DataFrame) -> DataFrame:
     """Tour ids with their landmark, list order kept, unknown ids dropped.
 

@@ -129,20 +129,6 @@ def camp_lists(spark, sf):
 _LORDER = "rank, url IS NULL, name, id"
 
 
-@query(
-    "landmarks_capped",
-    o(
-        f"""SELECT park, id FROM (SELECT *, row_number() OVER (PARTITION BY park ORDER BY {_LORDER}) - 1 AS before, 12 + count(*) FILTER (stop % 9 = 0) OVER (PARTITION BY park) AS lim FROM (
-     SELECT *, row_number() OVER (PARTITION BY park, kind ORDER BY {_LORDER}) AS rn FROM stops WHERE stop % 9 <> 0
-     UNION ALL SELECT *, 0 FROM stops WHERE stop % 9 = 0) WHERE rn <= 4) WHERE stop % 9 = 0 OR before < lim""",
-        "stops",
-    ),
-)
-def landmarks_capped(spark, sf):
-    s = tb.stops(spark, sf)
-    return ranking.cap_by_kind(s, s.filter("stop % 9 = 0"), 4, 12).select("park", "id")
-
-
 PICKS = f"""turns AS (SELECT *, row_number() OVER (PARTITION BY park, tier, kind ORDER BY {_LORDER}) AS turn, min(kr) OVER (PARTITION BY park, tier, kind) AS first_kind
    FROM (SELECT *, CASE WHEN url IS NULL THEN 1 ELSE 0 END AS tier, row_number() OVER (PARTITION BY park, url IS NULL ORDER BY {_LORDER}) AS kr FROM stops)),
  picks AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY park ORDER BY tier, turn, first_kind) AS pick FROM turns) WHERE pick <= 8)"""
@@ -167,28 +153,52 @@ def tour_chain(spark, sf):
     return ranking.chain_stops(ranking.round_robin_stops(tb.stops(spark, sf))).select("park", "id", "tour")
 
 
+TOUR = """SELECT concat('park', n_regionkey) AS park, CAST(n_nationkey AS INT) AS pos, CASE n_nationkey % 4 WHEN 0 THEN concat('Supplier#', lpad(CAST(n_nationkey AS STRING), 9, '0'))
+     WHEN 1 THEN concat('supplier#00000', n_nationkey % 3) WHEN 2 THEN concat('0', n_nationkey) ELSE CASE WHEN n_nationkey > 12 THEN 'supplier' ELSE n_name END END AS stop,
+     CASE WHEN n_nationkey % 5 = 1 THEN -110e0 END AS fb_lon, CASE WHEN n_nationkey % 5 = 1 THEN 44e0 END AS fb_lat, CASE WHEN n_nationkey % 3 = 0 THEN concat('Article ', n_nationkey) END AS article FROM nation"""
+# Configured stops are places for the stops after them; listed landmarks come first.
+MATCHED = f"""t AS ({TOUR}), xs AS (SELECT DISTINCT t.park, pos FROM t JOIN stops s ON s.park = t.park AND lower(s.name) = lower(t.stop)),
+ cf AS (SELECT * FROM t WHERE fb_lon IS NOT NULL AND (park, pos) NOT IN (SELECT (park, pos) FROM xs)),
+ cand AS (SELECT t.park, t.pos, s.id, CASE WHEN lower(name) = lower(t.stop) THEN 0 WHEN starts_with(lower(name), lower(t.stop)) THEN 2 WHEN contains(lower(name), lower(t.stop)) THEN 3 END AS g, 0 AS late, rank, url IS NULL AS u, name
+   FROM t JOIN stops s ON s.park = t.park
+   UNION ALL SELECT t.park, t.pos, 'config/' || cf.pos, CASE WHEN starts_with(lower(cf.stop), lower(t.stop)) THEN 2 WHEN contains(lower(cf.stop), lower(t.stop)) THEN 3 END, 1, cf.pos, false, cf.stop FROM t JOIN cf ON cf.park = t.park AND cf.pos < t.pos),
+ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY park, pos ORDER BY g, late, rank, u, name, id) AS rn FROM cand WHERE g IS NOT NULL) WHERE rn = 1),
+ mt AS (SELECT t.park, t.pos, t.stop, t.article, CASE WHEN g = 0 THEN 'exact' WHEN fb_lon IS NOT NULL THEN 'configured' WHEN g = 2 THEN 'prefix' WHEN g = 3 THEN 'contains' ELSE 'missing' END AS how,
+   CASE WHEN g IS DISTINCT FROM 0 AND fb_lon IS NOT NULL THEN 'config/' || t.pos ELSE b.id END AS id FROM t LEFT JOIN best b ON b.park = t.park AND b.pos = t.pos)"""
+
+
+def _tour(spark, sf):
+    tb.register(spark, sf, "nation")
+    return spark.sql(TOUR)
+
+
+@query("tour_name_match", o("SELECT park, pos, how, coalesce(id, '-') AS id FROM mt", "stops", extra=MATCHED))
+def tour_match(spark, sf):
+    out = ranking.match_tour(_tour(spark, sf), tb.stops(spark, sf))
+    return out.select("park", "pos", "how", F.coalesce("id", F.lit("-")).alias("id"))
+
+
 @query(
-    "tour_name_match",
+    "landmarks_capped",
     o(
-        """SELECT park, CAST(pos AS INT) AS pos, how, id FROM (SELECT park, pos, CASE WHEN g = 0 THEN 'exact' WHEN pos % 5 = 1 THEN 'configured' WHEN g = 2 THEN 'prefix' WHEN g = 3 THEN 'contains' ELSE 'missing' END AS how,
-     CASE WHEN g = 0 THEN lid WHEN pos % 5 = 1 THEN 'config/' || pos ELSE coalesce(lid, '-') END AS id FROM t LEFT JOIN (
-       SELECT t.park AS park, pos, g, id AS lid, row_number() OVER (PARTITION BY t.park, pos ORDER BY g, rank, url IS NULL, name, id) AS rn FROM (
-         SELECT t.park, t.pos, s.*, CASE WHEN lower(name) = lower(stop_name) THEN 0 WHEN starts_with(lower(name), lower(stop_name)) THEN 2 WHEN contains(lower(name), lower(stop_name)) THEN 3 END AS g
-         FROM t JOIN (SELECT * EXCLUDE (park), park AS spark FROM stops) s ON s.spark = t.park) t WHERE g IS NOT NULL) m USING (park, pos) WHERE rn = 1 OR rn IS NULL)""",
+        f"""SELECT park, id, coalesce(url, '-') AS url FROM (SELECT *, row_number() OVER (PARTITION BY park ORDER BY {_LORDER}) - 1 AS before FROM (
+     SELECT *, row_number() OVER (PARTITION BY park, kind ORDER BY {_LORDER}) AS rn FROM al WHERE NOT st UNION ALL SELECT *, 0 FROM al WHERE st) WHERE rn <= 2)
+     LEFT JOIN (SELECT park, count(DISTINCT id) AS extra FROM sid GROUP BY park) USING (park) WHERE st OR before < 6 + coalesce(extra, 0)""",
         "stops",
-        extra="""t AS (SELECT concat('park', n_regionkey) AS park, n_nationkey AS pos, CASE n_nationkey % 4 WHEN 0 THEN concat('Supplier#', lpad(CAST(n_nationkey AS STRING), 9, '0'))
-     WHEN 1 THEN concat('supplier#00000', n_nationkey % 3) WHEN 2 THEN concat('0', n_nationkey) ELSE n_name END AS stop_name FROM nation)""",
+        extra=MATCHED + """, ar AS (SELECT park, id, max_by(article, pos) AS article FROM mt WHERE id IS NOT NULL AND article IS NOT NULL GROUP BY 1, 2),
+ sid AS (SELECT park, id FROM mt WHERE id IS NOT NULL UNION SELECT park, concat('gone/', pos) FROM mt WHERE pos % 6 = 0),
+ al AS (SELECT l.park, l.id, name, kind, rank, coalesce('https://en.wikipedia.org/wiki/' || replace(article, ' ', '_'), url) AS url, (l.park, l.id) IN (SELECT (park, id) FROM sid) AS st FROM (
+   SELECT park, id, name, kind, rank, url FROM stops UNION ALL SELECT park, id, stop, 'place', 14, 'https://en.wikipedia.org/wiki/' || replace(stop, ' ', '_') FROM mt WHERE how = 'configured') l
+   LEFT JOIN ar ON ar.park = l.park AND ar.id = l.id)""",
     ),
 )
-def tour_match(spark, sf):
-    tb.register(spark, sf, "nation")
-    tour = spark.sql(
-        """SELECT concat('park', n_regionkey) AS park, CAST(n_nationkey AS INT) AS pos, CASE n_nationkey % 4 WHEN 0 THEN concat('Supplier#', lpad(CAST(n_nationkey AS STRING), 9, '0'))
-     WHEN 1 THEN concat('supplier#00000', n_nationkey % 3) WHEN 2 THEN concat('0', n_nationkey) ELSE n_name END AS stop,
-     CASE WHEN n_nationkey % 5 = 1 THEN -110e0 END AS fb_lon, CASE WHEN n_nationkey % 5 = 1 THEN 44e0 END AS fb_lat FROM nation"""
-    )
-    out = ranking.match_tour(tour, tb.stops(spark, sf))
-    return out.select("park", "pos", "how", F.coalesce("id", F.lit("-")).alias("id"))
+def landmarks_capped(spark, sf):
+    """The tour's stops, some of them configured and some that no list has, stay; the others are capped."""
+    tour, lm = _tour(spark, sf), tb.stops(spark, sf)
+    matched = ranking.match_tour(tour, lm)
+    gone = tour.filter("pos % 6 = 0").select("park", F.concat(F.lit("gone/"), "pos").alias("id"))
+    stops = matched.filter("id is not null").select("park", "id").unionByName(gone)
+    return ranking.cap_by_kind(ranking.tour_landmarks(lm, matched, tour), stops, 2, 6).select("park", "id", F.coalesce("url", F.lit("-")).alias("url"))
 
 
 @query(

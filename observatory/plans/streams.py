@@ -12,9 +12,9 @@ from observatory.streaming import live
 
 
 def _events(spark, sf):
-    """The events table landed in three files by time, and the mark of its end."""
+    """The events table landed in three slots of time, and the mark of its end."""
     path = live.land(tb.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts")
-    return live.read_stream(spark, path, spark.read.parquet(path).schema, files_per_batch=1)
+    return live.read_stream(spark, path, spark.read.parquet(path).schema, files_per_batch=live.FILES)
 
 
 def _ntz(df, *columns):

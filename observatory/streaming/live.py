@@ -22,6 +22,10 @@ from observatory.session import scratch_path
 from observatory.sources import sinks
 
 
+#: Files of a slot of landed input, and of a batch that reads one.
+FILES = 8
+
+
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, glob: str | None = None, files_per_batch: int = 1000) -> DataFrame:
     """A file stream with a declared schema."""
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
@@ -44,14 +48,27 @@ def end_of_input(spark: SparkSession, schema: T.StructType, ts: str) -> DataFram
     ])
 
 
-def land(df: DataFrame, ts: str, files: int = 3) -> str:
-    """A finished input as a folder for ``read_stream``: slices of event time one after another, then the end mark."""
+def land(df: DataFrame, ts: str, slots: int = 3, files: int = FILES) -> str:
+    """A finished input as a folder for ``read_stream``: slices of event time one after another, then the end mark.
+
+    The input is read once and dealt into slots of event time; each slot is then
+    written by as many tasks as it has ``files``. A slot with fewer files is
+    filled up with empty ones, so a reader that takes ``files`` at a time gets one
+    slot a batch, and the mark alone at the end.
+    """
     spark, path = df.sparkSession, scratch_path(df.sparkSession, "landed")
     low, high = df.agg(F.min(F.unix_micros(ts)), F.max(F.unix_micros(ts))).first()
     low, high = low or 0, high or 0
-    slot = F.least(F.floor((F.unix_micros(ts) - low) * files / (high - low + 1)), F.lit(files - 1))
-    for i in range(files):
-        df.filter(slot == i).coalesce(1).write.mode("append").parquet(path)
+    slot = F.least(F.floor((F.unix_micros(ts) - low) * slots / (high - low + 1)), F.lit(slots - 1))
+    dealt = scratch_path(spark, "by-slot")
+    df.filter(F.col(ts).isNotNull()).withColumn("_slot", slot.cast("int")).write.partitionBy("_slot").parquet(dealt)
+    by_slot = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("_slot", T.IntegerType())])).parquet(dealt)
+    for i in range(slots):
+        before = len(spark.read.schema(df.schema).parquet(path).inputFiles()) if i else 0
+        by_slot.filter(F.col("_slot") == i).drop("_slot").repartition(files).write.mode("append").parquet(path)
+        short = files - (len(spark.read.schema(df.schema).parquet(path).inputFiles()) - before)
+        for _ in range(short):
+            df.limit(0).coalesce(1).write.mode("append").parquet(path)
     end_of_input(spark, df.schema, ts).coalesce(1).write.mode("append").parquet(path)
     return path
 

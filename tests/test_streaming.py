@@ -85,7 +85,7 @@ def test_upsert_over_batches_equals_the_batch(spark):
 def test_the_end_mark_writes_what_is_open(spark):
     data = _events(80, 7)
     df = spark.createDataFrame(data, DDL)
-    stream = live.read_stream(spark, live.land(df, "ts"), df.schema, files_per_batch=1)
+    stream = live.read_stream(spark, live.land(df, "ts"), df.schema, files_per_batch=live.FILES)
     out = live.run_to_end(live.frame_chains(stream, 300, 200.0, "10 seconds"), "t")
     got = sorted((r.sequence_id, r.label, r.first_ts, r.last_ts, r.n) for r in out.collect())
     assert got == _chains(data, 300, 200.0)
