@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from observatory.functions import geo, labels, names, stats, text
+from observatory.operators import lines
 from observatory.operators.ranking import best_per
 from observatory.operators.spatial import POINT_RADIUS_M, TRAIL_BUFFER_M
 from observatory.session import materialise
@@ -194,13 +195,15 @@ def collect_places(landmarks: DataFrame, items: DataFrame, trails: DataFrame) ->
     return best_per(a.unionByName(b).unionByName(c), ["park", "id"], [F.asc("src_rank"), F.asc("name")]).drop("src_rank")
 
 
-def place_samples(places: DataFrame, trail_points: DataFrame) -> DataFrame:
-    """Sample points of each place: its own point, or the points along its trail."""
-    lines = trail_points.select("park", F.col("name").alias("t_name"), F.col("lon").alias("t_lon"), F.col("lat").alias("t_lat"))
-    trails = places.filter(F.col("src") == "trail")
-    walked = trails.join(lines, (trails["park"] == lines["park"]) & (F.col("name") == F.col("t_name")), "left").select(
-        trails["park"], F.col("id").alias("place"), F.coalesce("t_lon", "lon").alias("lon"), F.coalesce("t_lat", "lat").alias("lat"), "radius_m"
-    )
+def place_samples(places: DataFrame, pieces: DataFrame, step_m: float = lines.TRAIL_SAMPLE_M) -> DataFrame:
+    """Sample points of each place: its own point, or points along every piece of its trail.
+
+    ``pieces``: park, name, coords, the edges that carry a trail's name. A trail
+    without a piece keeps its own point.
+    """
+    trails = places.filter(F.col("src") == "trail").select("park", F.col("id").alias("place"), "name", F.col("lon").alias("own_lon"), F.col("lat").alias("own_lat"), "radius_m")
+    walked = lines.sample_lines(pieces.select("park", "name", "coords")).select("park", "name", "lon", "lat")
+    walked = trails.join(walked, ["park", "name"], "left").select("park", "place", F.coalesce("lon", "own_lon").alias("lon"), F.coalesce("lat", "own_lat").alias("lat"), "radius_m")
     points = places.filter(F.col("src") != "trail").select("park", F.col("id").alias("place"), "lon", "lat", "radius_m")
     return points.unionByName(walked)
 

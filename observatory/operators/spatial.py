@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from observatory.functions import geo
 from observatory.operators.ranking import top_k
+from observatory.session import materialise
 
 # Search radii and caps of the neighbourhood questions.
 STOP_RADIUS_M = 2500.0
@@ -32,6 +33,7 @@ NEAR_M = 3000.0
 CAMP_M = 12000.0
 PER_GROUP = 6
 OPEN_RES = 9
+COVER_CELL_M = 120.0
 M_PER_DEG = 111320.0
 
 
@@ -92,20 +94,50 @@ def distance_join(
     return pairs.withColumn("dist_m", dist).filter(F.col("dist_m") <= limit)
 
 
+def disc_cover(samples: DataFrame, keys: Sequence[str], reach_m: float, cell_m: float = COVER_CELL_M) -> DataFrame:
+    """Grid cells that the discs around sample points touch: keys, _by, _bx, lon, lat, radius_m and ``whole``, whether the disc holds the whole cell.
+
+    ``samples``: keys, lon, lat, radius_m up to ``reach_m``. Cells are judged on a
+    flat map with a margin for its error, so what is whole is, and what is not
+    listed is out of reach.
+    """
+    pad = F.col("radius_m") / 110540.0 * 1.002
+    rows = samples.withColumn("_by", F.explode(F.sequence(lat_bucket(F.col("lat") - pad, cell_m), lat_bucket(F.col("lat") + pad, cell_m))))
+    step = lon_step(F.col("_by"), cell_m)
+    wide = F.col("radius_m") / (M_PER_DEG * 0.9933 * F.cos(F.radians(F.least(F.lit(89.0), F.abs("lat") + pad)))) * 1.002
+    cells = rows.withColumn("_bx", F.explode(F.sequence(F.floor((F.col("lon") - wide) / step).cast("bigint"), F.floor((F.col("lon") + wide) / step).cast("bigint"))))
+    low_y, low_x = F.col("_by") * _rows_deg(cell_m), F.col("_bx") * step
+    metres = {"y": 110900.0, "x": F.lit(M_PER_DEG) * F.cos(F.radians("lat"))}
+    gaps = {"y": (low_y - F.col("lat"), low_y + _rows_deg(cell_m) - F.col("lat")), "x": (low_x - F.col("lon"), low_x + step - F.col("lon"))}
+    far = F.hypot(*[F.greatest(*map(F.abs, gaps[a])) * metres[a] for a in "yx"])
+    near = F.hypot(*[F.greatest(gaps[a][0], -gaps[a][1], F.lit(0.0)) * metres[a] for a in "yx"])
+    judged = cells.withColumn("whole", far * 1.01 + 1 <= F.col("radius_m")).filter(near * 0.99 - 1 <= F.col("radius_m"))
+    return judged.select(*keys, "_by", "_bx", "lon", "lat", "radius_m", "whole")
+
+
 def place_hits(sightings: DataFrame, samples: DataFrame) -> DataFrame:
     """Sightings near each place by month and species.
 
     ``samples``: park, place, lon, lat, radius_m, several per trail. Sightings
-    are counted per position first; a position near many samples of one trail
-    is then folded to one, so a sighting counts once per place.
+    are counted per position first. The discs around a place's samples cover
+    grid cells: those that lie in a disc as a whole give the place all they
+    hold, by one equi-join however many samples the trail has there; only in cells at
+    the rim are positions measured, and a position near several samples is one.
     """
     spots = sightings.groupBy("park", "lon", "lat", F.month("observed_on").alias("month"), "scientific_name").agg(
         F.count("*").alias("k")
     )
-    near = samples.select("park", "place", F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"), "radius_m")
-    pairs = distance_join(spots, near, POINT_RADIUS_M, on=["park"], radius_column="radius_m")
-    once = pairs.groupBy("park", "place", "lon", "lat", "month", "scientific_name").agg(F.max("k").alias("k"))
-    return once.groupBy("park", "place", "month", "scientific_name").agg(F.sum("k").alias("n"))
+    spots = with_bucket(spots, COVER_CELL_M)
+    cover = disc_cover(samples.select("park", "place", "lon", "lat", "radius_m"), ["park", "place"], POINT_RADIUS_M)
+    cell = ["park", "place", "_by", "_bx"]
+    cover = materialise(cover, "cover")
+    whole = cover.filter("whole").select(*cell).distinct()
+    rim = cover.filter(~F.col("whole")).join(whole, cell, "left_anti").select(*cell, F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"), "radius_m")
+    inner = spots.join(whole, ["park", "_by", "_bx"]).select("park", "place", "month", "scientific_name", "k")
+    met = spots.join(rim, ["park", "_by", "_bx"]).filter(geo.haversine_m("lon", "lat", "r_lon", "r_lat", geo.SPHERE_RADIUS_M) <= F.col("radius_m"))
+    outer = met.groupBy("park", "place", "lon", "lat", "month", "scientific_name").agg(F.max("k").alias("k"))
+    both = inner.unionByName(outer.select("park", "place", "month", "scientific_name", "k"))
+    return both.groupBy("park", "place", "month", "scientific_name").agg(F.sum("k").alias("n"))
 
 
 def species_near_stops(cells: DataFrame, stops: DataFrame, radius_m: float = STOP_RADIUS_M, k: int = 6) -> DataFrame:
@@ -259,8 +291,6 @@ def nearest(
     position are reduced to the lowest key. Unanswered points are written out
     between rounds, so the lineage stays flat and survives a lost executor.
     """
-    from observatory.session import materialise
-
     spots = targets.filter(F.col("lon").isNotNull()).groupBy("lon", "lat").agg(F.min(target_key).alias(target_key))
     r = spots.select(target_key, F.col("lon").alias("t_lon"), F.col("lat").alias("t_lat"))
     r = materialise(r, "targets")

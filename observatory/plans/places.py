@@ -237,6 +237,24 @@ def tour_headings(spark, sf):
     return rounded(ranking.stop_headings(s).select("park", "pos", "heading"), "heading")
 
 
+# ---- ways ---------------------------------------------------------------------------------
+
+_HW = "CASE o_custkey % 6 WHEN 0 THEN 0 WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 1 WHEN 5 THEN 0 END"
+WAYS = f"""wy AS (SELECT o_orderkey AS id, {_HW} AS kind, CASE WHEN o_orderkey % 10 = 0 THEN 1 ELSE 0 END AS oneway, {tb.WAY_NAME} AS name FROM orders
+   WHERE o_custkey % 6 <> 4 AND o_orderkey % 23 <> 0),
+ vt AS (SELECT DISTINCT l_orderkey AS id, CAST({tb.NODE} AS BIGINT) AS node, {tb.NODE_LON} AS lon, {tb.NODE_LAT} AS lat FROM lineitem),
+ v AS (SELECT vt.*, kind, oneway, name, row_number() OVER w AS k, count(*) OVER (PARTITION BY vt.id) AS nv, lag(lon) OVER w AS p_lon, lag(lat) OVER w AS p_lat
+   FROM vt JOIN wy ON wy.id = vt.id WINDOW w AS (PARTITION BY vt.id ORDER BY node)),
+ vv AS (SELECT *, count(*) OVER (PARTITION BY node) >= 2 AS joint FROM v WHERE nv >= 2)"""
+_HPV = """2 * 6371008.8e0 * asin(sqrt(least(1e0, pow(sin((radians({b}.lat) - radians({a}.lat)) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin(radians({b}.lon - {a}.lon) / 2), 2))))"""
+CUTS = f"""{WAYS},
+ cut AS (SELECT id, k, node, lon, lat, node AS src, k AS first, 0e0 AS m, false AS done, CAST(NULL AS BIGINT) AS e_src, CAST(NULL AS BIGINT) AS e_dst, CAST(NULL AS DOUBLE) AS e_m, CAST(NULL AS BIGINT) AS e_n, kind, oneway, name FROM vv WHERE k = 1
+   UNION ALL
+   SELECT x.id, x.k, x.node, x.lon, x.lat, CASE WHEN brk THEN x.node ELSE psrc END, CASE WHEN brk THEN x.k ELSE pfirst END, CASE WHEN brk THEN 0e0 ELSE mm END, brk, CASE WHEN brk THEN psrc END, CASE WHEN brk THEN x.node END, CASE WHEN brk THEN mm END, CASE WHEN brk THEN x.k - pfirst + 1 END, x.kind, x.oneway, x.name
+   FROM (SELECT n.*, c.src AS psrc, c.first AS pfirst, c.m + {_HPV.format(a='c', b='n')} AS mm, (n.k = n.nv OR n.joint OR c.m + {_HPV.format(a='c', b='n')} >= 300) AS brk FROM cut c JOIN vv n ON n.id = c.id AND n.k = c.k + 1) x),
+ ed AS (SELECT * FROM (SELECT id, row_number() OVER (PARTITION BY id ORDER BY k) - 1 AS part, kind, oneway, name, e_src AS src, e_dst AS dst, round_even(e_m, 0) AS length_m, e_m, e_n AS n, k AS last FROM cut WHERE done) WHERE src <> dst AND e_m > 0)"""
+
+
 # ---- place list ------------------------------------------------------------------------------
 
 PLACES = """pl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY park, id ORDER BY sr, name) AS rn FROM (
@@ -259,20 +277,43 @@ def place_list(spark, sf):
     return _places(spark, sf).select("park", "id", "src", "kind", "name")
 
 
-NEAR = f"""open_s AS (SELECT sighting_id, park, lon, lat, month(observed_on) AS month, scientific_name FROM sightings WHERE coordinate_status = 'open' AND lon IS NOT NULL),
- hits AS (SELECT p.park, p.id AS place, s.month, s.scientific_name, s.sighting_id FROM pl p JOIN open_s s ON s.park = p.park
-   AND s.lat BETWEEN p.lat - 0.01e0 AND p.lat + 0.01e0 AND {hav('p', 's', SPHERE)} <= p.radius_m)"""
+_WAY_PARK = "concat('park', id % 5)"
+
+
+def _near_ctes() -> str:
+    """hits: places and the sightings near them, trails by the samples along their edges."""
+    return f"""{CUTS}, ts AS (SELECT {_WAY_PARK} AS park, name, concat('trail/', name) AS id, sum(length_m) AS length_m FROM ed WHERE kind = 1 AND name IS NOT NULL GROUP BY ALL HAVING sum(length_m) >= 500),
+ pl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY park, id ORDER BY sr, name) AS rn FROM (
+   SELECT park, id, 'landmark' AS src, name, lon, lat, 500e0 AS radius_m, 0 AS sr FROM stops
+   UNION ALL SELECT park, CASE WHEN p_partkey % 20 = 0 THEN concat('node/', p_partkey // 20) ELSE id END, 'item', name, lon, lat, 500e0, 1 FROM items WHERE named AND kind <> 'trail'
+   UNION ALL SELECT park, id, 'trail', name, NULL, NULL, 300e0, 2 FROM ts)) WHERE rn = 1),
+ ev AS (SELECT ed.id, ed.part, {_WAY_PARK.replace('id', 'ed.id')} AS park, ed.name, v.k, v.lon AS ax, v.lat AS ay, lead(v.lon) OVER w AS bx, lead(v.lat) OVER w AS by_, row_number() OVER w AS leg
+   FROM ed JOIN vv v ON v.id = ed.id AND v.k BETWEEN ed.last - ed.n + 1 AND ed.last WHERE ed.kind = 1 AND ed.name IS NOT NULL WINDOW w AS (PARTITION BY ed.id, ed.part ORDER BY v.k)),
+ em AS (SELECT *, 2 * {SPHERE}e0 * asin(sqrt(least(1e0, pow(sin((radians(by_) - radians(ay)) / 2), 2) + cos(radians(ay)) * cos(radians(by_)) * pow(sin(radians(bx - ax) / 2), 2)))) AS m FROM ev),
+ ec AS (SELECT *, sum(m) OVER (PARTITION BY id, part ORDER BY leg ROWS UNBOUNDED PRECEDING) AS c1 FROM em WHERE bx IS NOT NULL),
+ sm AS (SELECT park, name, ax AS lon, ay AS lat FROM ev WHERE leg = 1
+   UNION ALL SELECT park, name, ax + (bx - ax) * ((at_m - (c1 - m)) / m), ay + (by_ - ay) * ((at_m - (c1 - m)) / m) FROM (SELECT *, unnest(range(CAST(floor((c1 - m) / 150e0) AS BIGINT) + 1, CAST(floor(c1 / 150e0) AS BIGINT) + 1)) * 150e0 AS at_m FROM ec WHERE m > 0)),
+ pt AS (SELECT park, id, lon, lat, radius_m FROM pl WHERE src <> 'trail' UNION ALL SELECT pl.park, pl.id, sm.lon, sm.lat, radius_m FROM pl JOIN sm ON sm.park = pl.park AND sm.name = pl.name WHERE src = 'trail'),
+ open_s AS (SELECT sighting_id, park, lon, lat, month(observed_on) AS month, scientific_name FROM sightings WHERE coordinate_status = 'open' AND lon IS NOT NULL),
+ hits AS (SELECT DISTINCT p.park, p.id AS place, s.month, s.scientific_name, s.sighting_id FROM pt p JOIN open_s s ON s.park = p.park
+   AND s.lat BETWEEN p.lat - 0.01e0 AND p.lat + 0.01e0 AND s.lon BETWEEN p.lon - 0.02e0 AND p.lon + 0.02e0 AND {hav('p', 's', SPHERE)} <= p.radius_m)"""
 
 
 def _hits(spark, sf):
-    s = tb.sightings(spark, sf).filter((F.col("coordinate_status") == "open") & F.col("lon").isNotNull())
-    p = _places(spark, sf)
-    return p, spatial.place_hits(s, p.select("park", F.col("id").alias("place"), "lon", "lat", "radius_m"))
+    """Places with the trails of the road network, and what is near them; a trail reaches along all its edges."""
+    edges = _edges(spark, sf)
+    trails = rollups.trail_rollup(edges).withColumn("id", F.concat(F.lit("trail/"), "name"))
+    s = tb.stops(spark, sf).withColumn("ele_m", F.lit(None).cast("double"))
+    it = tb.items(spark, sf).withColumn("tags", F.create_map(F.lit("ele"), F.col("p_size").cast("string")))
+    own = F.when(F.col("p_partkey") % 20 == 0, F.concat(F.lit("node/"), F.expr("p_partkey div 20"))).otherwise(F.col("id"))
+    p = materialise(places.collect_places(s, it.filter("kind <> 'trail'").withColumn("id", own), trails), "places")
+    seen = tb.sightings(spark, sf).filter((F.col("coordinate_status") == "open") & F.col("lon").isNotNull())
+    return p, spatial.place_hits(seen, places.place_samples(p, lines.trail_pieces(edges)))
 
 
 @query(
     "sightings_near_places",
-    o("SELECT park, place, CAST(month AS INT) AS month, coalesce(scientific_name, '-') AS species, count(*) AS n FROM hits GROUP BY ALL", "stops", "items", "sightings", extra=PLACES + ", " + NEAR),
+    o("SELECT park, place, CAST(month AS INT) AS month, coalesce(scientific_name, '-') AS species, count(*) AS n FROM hits GROUP BY ALL /* RECURSIVE_STEP */", "stops", "items", "sightings", extra=_near_ctes()),
 )
 def near_places(spark, sf):
     _, hits = _hits(spark, sf)
@@ -286,8 +327,8 @@ def near_places(spark, sf):
      LEFT JOIN (SELECT park, place, count(*) AS n, count(DISTINCT scientific_name) AS species FROM hits GROUP BY 1, 2) t ON t.park = pl.park AND t.place = pl.id
      LEFT JOIN (SELECT park, place, string_agg(coalesce(scientific_name, '-') || '=' || n, ';' ORDER BY n DESC, scientific_name NULLS FIRST) AS top FROM (
        SELECT *, row_number() OVER (PARTITION BY park, place ORDER BY n DESC, scientific_name NULLS FIRST) AS rn FROM (SELECT park, place, scientific_name, count(*) AS n FROM hits GROUP BY ALL))
-       WHERE rn <= 5 GROUP BY 1, 2) k ON k.park = pl.park AND k.place = pl.id""",
-        "stops", "items", "sightings", extra=PLACES + ", " + NEAR,
+       WHERE rn <= 5 GROUP BY 1, 2) k ON k.park = pl.park AND k.place = pl.id /* RECURSIVE_STEP */""",
+        "stops", "items", "sightings", extra=_near_ctes(),
     ),
 )
 def place_rollup(spark, sf):
@@ -530,22 +571,6 @@ def lines_simplified(spark, sf):
 
 # ---- graph ---------------------------------------------------------------------------------------
 
-_HW = "CASE o_custkey % 6 WHEN 0 THEN 0 WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 1 WHEN 5 THEN 0 END"
-WAYS = f"""wy AS (SELECT o_orderkey AS id, {_HW} AS kind, CASE WHEN o_orderkey % 10 = 0 THEN 1 ELSE 0 END AS oneway, {tb.WAY_NAME} AS name FROM orders
-   WHERE o_custkey % 6 <> 4 AND o_orderkey % 23 <> 0),
- vt AS (SELECT DISTINCT l_orderkey AS id, CAST({tb.NODE} AS BIGINT) AS node, {tb.NODE_LON} AS lon, {tb.NODE_LAT} AS lat FROM lineitem),
- v AS (SELECT vt.*, kind, oneway, name, row_number() OVER w AS k, count(*) OVER (PARTITION BY vt.id) AS nv, lag(lon) OVER w AS p_lon, lag(lat) OVER w AS p_lat
-   FROM vt JOIN wy ON wy.id = vt.id WINDOW w AS (PARTITION BY vt.id ORDER BY node)),
- vv AS (SELECT *, count(*) OVER (PARTITION BY node) >= 2 AS joint FROM v WHERE nv >= 2)"""
-_HPV = """2 * 6371008.8e0 * asin(sqrt(least(1e0, pow(sin((radians({b}.lat) - radians({a}.lat)) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin(radians({b}.lon - {a}.lon) / 2), 2))))"""
-CUTS = f"""{WAYS},
- cut AS (SELECT id, k, node, lon, lat, node AS src, k AS first, 0e0 AS m, false AS done, CAST(NULL AS BIGINT) AS e_src, CAST(NULL AS BIGINT) AS e_dst, CAST(NULL AS DOUBLE) AS e_m, CAST(NULL AS BIGINT) AS e_n, kind, oneway, name FROM vv WHERE k = 1
-   UNION ALL
-   SELECT x.id, x.k, x.node, x.lon, x.lat, CASE WHEN brk THEN x.node ELSE psrc END, CASE WHEN brk THEN x.k ELSE pfirst END, CASE WHEN brk THEN 0e0 ELSE mm END, brk, CASE WHEN brk THEN psrc END, CASE WHEN brk THEN x.node END, CASE WHEN brk THEN mm END, CASE WHEN brk THEN x.k - pfirst + 1 END, x.kind, x.oneway, x.name
-   FROM (SELECT n.*, c.src AS psrc, c.first AS pfirst, c.m + {_HPV.format(a='c', b='n')} AS mm, (n.k = n.nv OR n.joint OR c.m + {_HPV.format(a='c', b='n')} >= 300) AS brk FROM cut c JOIN vv n ON n.id = c.id AND n.k = c.k + 1) x),
- ed AS (SELECT * FROM (SELECT id, row_number() OVER (PARTITION BY id ORDER BY k) - 1 AS part, kind, oneway, name, e_src AS src, e_dst AS dst, round_even(e_m, 0) AS length_m, e_m, e_n AS n FROM cut WHERE done) WHERE src <> dst AND e_m > 0)"""
-
-
 def _edges(spark, sf, simplify_m=None):
     ways = graph.usable_ways(tb.ways(spark, sf)).withColumn("park", F.concat(F.lit("park"), F.col("id") % 5))
     return graph.cut_edges(ways, simplify_m=simplify_m, carry=["park"])
