@@ -13,10 +13,10 @@ minima are wanted.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from observatory.functions import geo
@@ -33,7 +33,7 @@ NEAR_M = 3000.0
 CAMP_M = 12000.0
 PER_GROUP = 6
 OPEN_RES = 9
-COVER_CELL_M = 120.0
+COVER_CELL_M = 200.0
 M_PER_DEG = 111320.0
 
 
@@ -128,7 +128,8 @@ def place_hits(sightings: DataFrame, samples: DataFrame) -> DataFrame:
         F.count("*").alias("k")
     )
     spots = with_bucket(spots, COVER_CELL_M)
-    cover = disc_cover(samples.select("park", "place", "lon", "lat", "radius_m"), ["park", "place"], POINT_RADIUS_M)
+    discs = materialise(samples.select("park", "place", "lon", "lat", "radius_m").distinct(), "discs")
+    cover = disc_cover(discs, ["park", "place"], POINT_RADIUS_M)
     cell = ["park", "place", "_by", "_bx"]
     cover = materialise(cover, "cover")
     whole = cover.filter("whole").select(*cell).distinct()
@@ -251,26 +252,113 @@ THING_GROUPS = (
 )
 
 
-def things_near(anchors: DataFrame, items: DataFrame) -> DataFrame:
-    """Grouped items around each anchor, nearest first, trails by length.
+def nearest_per_group(anchors: DataFrame, items: DataFrame, limit_m: float, start_m: float) -> DataFrame:
+    """The ``cap`` items of each ``grp`` nearest to each anchor within a limit, with dist_m and rank.
 
-    Two joins, one per radius, so the short-radius groups are not unrolled at
-    the long one.
+    ``anchors``: anchor, r_lon, r_lat. ``items``: id, grp, cap, lon, lat and more.
+    Rings grow fourfold. An anchor whose ring holds ``cap`` items of a group has
+    its nearest, whatever lies farther out, and asks for that group no more; so
+    where items are dense only small rings are joined.
     """
+    answers, ring = [], start_m
+    groups = F.array(*[F.lit(name) for name, *_ in THING_GROUPS])
+    left = anchors.withColumn("grp", F.explode(groups))
+    while True:
+        ring = min(ring, limit_m)
+        pairs = distance_join(items, left, ring, on=["grp"])
+        best = materialise(top_k(pairs, ["anchor", "grp"], [F.asc("dist_m"), F.asc("id")], PER_GROUP, "rank").filter(F.col("rank") <= F.col("cap")), "in-ring")
+        if ring >= limit_m:
+            answers.append(best)
+            break
+        full = best.filter(F.col("rank") == F.col("cap")).select("anchor", "grp")
+        answers.append(best.join(full, ["anchor", "grp"], "left_semi"))
+        left = left.join(full, ["anchor", "grp"], "left_anti")
+        ring *= 4
+    out = answers[0]
+    for more in answers[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def things_near(anchors: DataFrame, items: DataFrame) -> DataFrame:
+    """Grouped items around each anchor, nearest first, trails by length."""
     group, limit = F.lit(None).cast("string"), F.lit(None).cast("int")
     for name, kinds, _, cap in THING_GROUPS:
         group = F.when(F.col("kind").isin(*kinds), name).otherwise(group)
         limit = F.when(F.col("kind").isin(*kinds), cap).otherwise(limit)
     grouped = items.withColumn("grp", group).withColumn("cap", limit).filter(F.col("grp").isNotNull())
     r = anchors.select("anchor", F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"))
-    far = grouped.filter(F.col("grp").isin("camp", "stay"))
-    close = grouped.filter(~F.col("grp").isin("camp", "stay"))
-    pairs = distance_join(close, r, NEAR_M).unionByName(distance_join(far, r, CAMP_M))
-    first = F.when(F.col("grp") == "trails", -F.col("length_m")).otherwise(F.col("dist_m"))
-    ranked = top_k(
-        pairs.withColumn("_o", first), ["anchor", "grp"], [F.asc("_o"), F.asc("dist_m"), F.asc("id")], PER_GROUP, "rank"
-    )
-    return ranked.filter(F.col("rank") <= F.col("cap")).drop("_o", "cap")
+    far = nearest_per_group(r, grouped.filter(F.col("grp").isin("camp", "stay")), CAMP_M, CAMP_M / 8)
+    close = nearest_per_group(r, grouped.filter(~F.col("grp").isin("camp", "stay", "trails")), NEAR_M, NEAR_M / 4)
+    # the longest trails can be anywhere within the radius
+    trails = distance_join(grouped.filter("grp = 'trails'"), r, NEAR_M)
+    trails = top_k(trails, ["anchor", "grp"], [F.desc("length_m"), F.asc("dist_m"), F.asc("id")], PER_GROUP, "rank").filter(F.col("rank") <= F.col("cap"))
+    return far.unionByName(close).unionByName(trails).drop("cap")
+
+
+# How often the globe is halved in both directions: at first, step by step, and for the finest cells.
+TREE_LEVELS = (6, 10, 14, 18)
+TREE_BITS = TREE_LEVELS[-1]
+
+
+def _leaf(lon: Column, lat: Column, prefix: str) -> list[Column]:
+    """The finest cell of a position."""
+    size = 1 << TREE_BITS
+    spot = lambda v, low, span: F.least(F.greatest(F.floor((v - low) / span * size), F.lit(0)), F.lit(size - 1)).cast("bigint")
+    return [spot(lon, -180.0, 360.0).alias(f"{prefix}x"), spot(lat, -90.0, 180.0).alias(f"{prefix}y")]
+
+
+def _box_bounds(level: int, planar: bool) -> tuple[Column, Column]:
+    """Least and largest distance between a position in cell (px, py) and one in cell (tx, ty) of a level."""
+    size = float(1 << level)
+    low = {c: F.col(c) / size * span - base for c, span, base in (("px", 360.0, 180.0), ("tx", 360.0, 180.0), ("py", 180.0, 90.0), ("ty", 180.0, 90.0))}
+    wide = {"x": 360.0 / size, "y": 180.0 / size}
+    gap = {a: F.abs(low[f"p{a}"] - low[f"t{a}"]) for a in "xy"}
+    least = {a: F.greatest(gap[a] - wide[a], F.lit(0.0)) for a in "xy"}
+    most = {a: gap[a] + wide[a] for a in "xy"}
+
+    def cosines(a: Column, b: Column) -> tuple[Column, Column]:
+        """Least and largest cosine between two latitudes, a <= b."""
+        clip = lambda v: F.greatest(F.cos(F.radians(v)), F.lit(0.0))
+        return F.least(clip(a), clip(b)), F.when((a <= 0) & (b >= 0), 1.0).otherwise(F.greatest(clip(a), clip(b)))
+
+    if planar:
+        mid = (low["py"] + low["ty"]) / 2
+        small, large = cosines(mid, mid + wide["y"])
+        return (
+            F.hypot(least["x"] * geo.M_PER_DEG_LON * small, least["y"] * geo.M_PER_DEG_LAT),
+            F.hypot(most["x"] * geo.M_PER_DEG_LON * large, most["y"] * geo.M_PER_DEG_LAT),
+        )
+    around = {"least": F.least(least["x"], F.greatest(F.lit(360.0) - most["x"], F.lit(0.0))), "most": F.least(most["x"], F.lit(180.0))}
+    p, t = (cosines(low[c], low[c] + wide["y"]) for c in ("py", "ty"))
+    half = lambda v: F.pow(F.sin(F.radians(F.least(v, F.lit(180.0))) / 2), 2)
+    arc = lambda chord: F.lit(2 * geo.MEAN_EARTH_RADIUS_M) * F.asin(F.sqrt(F.least(F.lit(1.0), chord)))
+    return arc(half(least["y"]) + p[0] * t[0] * half(around["least"])), arc(half(most["y"]) + p[1] * t[1] * half(around["most"]))
+
+
+def _candidate_cells(points: DataFrame, targets: DataFrame, planar: bool) -> DataFrame:
+    """For each finest cell with points (px, py), the cells (tx, ty) that can hold the nearest target of one of them.
+
+    From the whole globe down, a cell of points keeps the target cells whose least
+    distance is no more than the least of all largest distances. Only cells are
+    joined, each with the few that its parent kept.
+    """
+    p = materialise(points.select("px", "py").distinct(), "point-cells")
+    t = materialise(targets.select("tx", "ty").distinct(), "target-cells")
+    pairs = None
+    for above, level in zip((0, *TREE_LEVELS), TREE_LEVELS, strict=False):
+        cells = [df.select(*[F.shiftright(c, TREE_BITS - level).alias(c) for c in df.columns]).distinct() for df in (p, t)]
+        cells = [df.select("*", *[F.shiftright(c, level - above).alias(f"u{c}") for c in df.columns]) for df in cells]
+        if pairs is None:
+            pairs = cells[0].join(cells[1], (F.col("upx") == F.col("utx")) & (F.col("upy") == F.col("uty")))  # both parents are the globe; the grid bounds what meets here
+        else:
+            up = pairs.select(*[F.col(c).alias(f"u{c}") for c in ("px", "py", "tx", "ty")])
+            pairs = up.join(cells[0], ["upx", "upy"]).join(cells[1], ["utx", "uty"])
+        least, most = _box_bounds(level, planar)
+        seen = pairs.select("px", "py", "tx", "ty", least.alias("least"), most.alias("most"))
+        bound = F.min("most").over(W.partitionBy("px", "py"))
+        pairs = materialise(seen.withColumn("bound", bound).filter(F.col("least") <= F.col("bound") * (1 + 1e-9) + 1e-6).select("px", "py", "tx", "ty"), "cell-pairs")
+    return pairs
 
 
 def nearest(
@@ -279,17 +367,17 @@ def nearest(
     key: str,
     target_key: str,
     start_m: float = 250.0,
-    growth: float = 4.0,
     distance=geo.planar_m,
     keep: Sequence[str] = (),
 ) -> DataFrame:
     """The nearest target of every point, however far.
 
-    A bucket join answers the points that have a target within the bucket
-    width; the rest retry with wider buckets. Each round's answers are exact:
-    anything within the width lies in the nine buckets searched. Targets at one
-    position are reduced to the lowest key. Unanswered points are written out
-    between rounds, so the lineage stays flat and survives a lost executor.
+    A bucket join answers the points that have a target within ``start_m``,
+    exactly: anything that near lies in the nine buckets searched. For all others
+    the targets are narrowed down cell by cell from the globe, and only those in
+    cells that can hold the nearest are measured. Targets at one position are
+    reduced to the lowest key. ``distance``: ``geo.planar_m``, or a great-circle
+    distance on a sphere of any radius.
     """
     spots = targets.filter(F.col("lon").isNotNull()).groupBy("lon", "lat").agg(F.min(target_key).alias(target_key))
     r = spots.select(target_key, F.col("lon").alias("t_lon"), F.col("lat").alias("t_lat"))
@@ -297,26 +385,18 @@ def nearest(
     if r.isEmpty():
         return points.select(key, *keep, F.lit(None).cast(targets.schema[target_key].dataType).alias(target_key), F.lit(None).cast("double").alias("dist_m")).limit(0)
     left = materialise(points.filter(F.col("lon").isNotNull()).select(key, *keep, "lon", "lat"), "points")
-    width, answers = start_m, []
-    half_globe = math.pi * geo.MEAN_EARTH_RADIUS_M
-    while True:
-        last = width >= half_globe
-        near = with_near_buckets(r, min(width, half_globe), "t_lon", "t_lat")
-        pairs = with_bucket(left, min(width, half_globe)).join(near, ["_by", "_bx"])
-        dist = distance(F.col("lon"), F.col("lat"), F.col("t_lon"), F.col("t_lat"))
-        best = (
-            pairs.withColumn("dist_m", dist)
-            .filter(F.lit(last) | (F.col("dist_m") <= width))
-            .groupBy(key)
-            .agg(F.min(F.struct("dist_m", target_key)).alias("b"))
-        )
-        found = materialise(left.join(best.select(key, "b.*"), key).select(key, *keep, target_key, "dist_m"), "nearest")
-        answers.append(found)
-        rest = materialise(left.join(found.select(key), key, "left_anti"), "points")
-        if last or rest.isEmpty():
-            break
-        left, width = rest, width * growth
-    out = answers[0]
-    for more in answers[1:]:
-        out = out.unionByName(more)
-    return out
+    dist = distance(F.col("lon"), F.col("lat"), F.col("t_lon"), F.col("t_lat"))
+
+    def answered(pairs: DataFrame) -> DataFrame:
+        best = pairs.groupBy(key).agg(F.min(F.struct("dist_m", target_key)).alias("b"))
+        return materialise(left.join(best.select(key, "b.*"), key).select(key, *keep, target_key, "dist_m"), "nearest")
+
+    pairs = with_bucket(left, start_m).join(with_near_buckets(r, start_m, "t_lon", "t_lat"), ["_by", "_bx"])
+    found = answered(pairs.withColumn("dist_m", dist).filter(F.col("dist_m") <= start_m))
+    left = materialise(left.join(found.select(key), key, "left_anti"), "points")
+    if left.isEmpty():
+        return found
+    placed, there = left.select("*", *_leaf(F.col("lon"), F.col("lat"), "p")), r.select("*", *_leaf(F.col("t_lon"), F.col("t_lat"), "t"))
+    cells = _candidate_cells(placed, there, distance is geo.planar_m)
+    pairs = placed.join(cells, ["px", "py"]).join(there, ["tx", "ty"])
+    return found.unionByName(answered(pairs.withColumn("dist_m", dist)))

@@ -301,7 +301,7 @@ def _near_ctes() -> str:
 
 def _hits(spark, sf):
     """Places with the trails of the road network, and what is near them; a trail reaches along all its edges."""
-    edges = _edges(spark, sf)
+    edges = materialise(_edges(spark, sf).filter("kind = 1 and name is not null"), "trail-edges")
     trails = rollups.trail_rollup(edges).withColumn("id", F.concat(F.lit("trail/"), "name"))
     s = tb.stops(spark, sf).withColumn("ele_m", F.lit(None).cast("double"))
     it = tb.items(spark, sf).withColumn("tags", F.create_map(F.lit("ele"), F.col("p_size").cast("string")))
