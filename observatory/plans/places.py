@@ -564,11 +564,6 @@ def line_headings(spark, sf):
     return lines.heading_at(wl, wl.select("line", F.lit(100.0).alias("at_m")), 60.0)
 
 
-@query("lines_simplified")
-def lines_simplified(spark, sf):
-    return _way_lines(spark, sf).select("line", F.size("coords").alias("before"), F.size(lines.simplify(F.col("coords"))).alias("after"))
-
-
 # ---- graph ---------------------------------------------------------------------------------------
 
 def _edges(spark, sf, simplify_m=None):

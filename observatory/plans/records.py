@@ -249,14 +249,6 @@ def published(spark, sf):
     return out.select("sighting_id", "park", F.col("observed_on").cast("string").alias("observed_on"), "coordinate_status")
 
 
-@query("cell_feature_documents")
-def cell_documents(spark, sf):
-    from observatory.operators import rollups
-    from observatory.plans.sightings import _cell_species
-
-    return sinks.cell_features(rollups.cell_totals(_cell_species(spark, sf)))
-
-
 # ---- quality ----------------------------------------------------------------------------------
 
 
