@@ -27,18 +27,30 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id.
+    """One document of each group of near-duplicates: of the smallest id, and of its texts in the group the one with the smallest fingerprint.
 
-    Rows that repeat an id stay once. Rows without an id cannot be told apart and
-    stay.
+    Rows that repeat an id with one text stay once. An id with different texts is
+    several documents: each text stays or goes with its own group. Rows without an
+    id cannot be told apart and stay.
     """
     bound_batches(spark)
     groups = materialise(simhash.near_duplicates(docs).filter("doc_id is not null"), "near-duplicates")
-    per_id = groups.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))).alias("stays"))
-    marked = materialise(per_id.filter("n > 1 or not stays"), "not-as-they-are")
-    single = docs.join(marked.select("doc_id"), "doc_id", "left_anti")
-    repeated = docs.join(marked.filter("stays").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return single.select(docs.columns).unionByName(repeated.select(docs.columns))
+    first = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
+    per_id = groups.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(first).alias("stays"), (F.min("fp") < F.max("fp")).alias("mixed"))
+    marked = materialise(per_id.filter("n > 1 or not stays or mixed"), "not-as-they-are")
+    single = docs.join(marked.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+
+    row, order = F.struct(*docs.columns), F.xxhash64(*docs.columns)  # of rows that repeat any is as good, but always the same
+    again = docs.join(marked.filter("stays and not mixed").select("doc_id"), "doc_id", "left_semi")
+    again = again.groupBy("doc_id").agg(F.min_by(row, order).alias("row")).select("row.*")
+
+    mixed = docs.join(marked.filter("mixed").select("doc_id"), "doc_id", "left_semi").select(F.xxhash64("text").alias("_text"), row.alias("row"))
+    mixed = materialise(mixed, "ids-with-texts")
+    prints = simhash.fingerprints(mixed.select("_text", F.col("row.text").alias("text")).dropDuplicates(["_text"]), "_text").withColumnRenamed("doc_id", "_text")
+    kept = groups.filter(first).groupBy("doc_id", "class_fp").agg(F.min("fp").alias("fp")).select("doc_id", "fp")
+    apart = mixed.join(prints, "_text").withColumn("doc_id", F.col("row.doc_id")).join(kept, ["doc_id", "fp"], "left_semi")
+    apart = apart.groupBy("doc_id", "fp").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
+    return single.unionByName(again).unionByName(apart)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -163,7 +163,7 @@ def links(marks: DataFrame, distance: int = 3, block: int = 1024) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3) -> DataFrame:
-    """doc_id, fp and component_id (the smallest id reachable over links) of every row.
+    """doc_id, fp, component_id (the smallest id reachable over links) and class_fp (one fingerprint of the class) of every row.
 
     Null and empty texts have fingerprint 0 and link like any other. Rows with a
     null id take part; a class in which every id is null has a null
@@ -177,5 +177,5 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "fp", "first", F.coalesce("component", "fp").alias("component")
     )
     smallest = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
-    classes = grouped.join(smallest, "component").select("fp", "component_id")
-    return docs.join(materialise(classes, "classes"), "fp").select("doc_id", "fp", "component_id")
+    classes = grouped.join(smallest, "component").select("fp", "component_id", F.col("component").alias("class_fp"))
+    return docs.join(materialise(classes, "classes"), "fp").select("doc_id", "fp", "component_id", "class_fp")

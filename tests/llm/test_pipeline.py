@@ -84,3 +84,15 @@ def test_repeats_nulls_and_empty(spark):
             sizes.append(after.count())
         corpus_pipeline.STAGES[-1][1](spark, df, SF).collect()
     assert sizes[:3] == [7, 4, 4] and sizes[4:] == [0, 0, 0, 0]
+
+
+def test_an_id_with_different_texts_is_several_documents(spark):
+    """Each text goes with its own group; nothing that no other document holds is lost."""
+    rng = random.Random(5)
+    a, b, c, d, e = (" ".join(rng.choice("abcdefghijklmnop") * 2 + str(rng.randrange(99)) for _ in range(80)) for _ in range(5))
+    rows = [(1, a), (3, a), (3, b), (4, c), (4, d), (4, d), (5, d), (6, e), (6, e), (7, b), (8, None), (8, "x y")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for df in (docs, docs.repartition(5)):
+        got = corpus_pipeline.drop_near_duplicates(spark, df, SF)
+        assert got.columns == docs.columns
+        assert sorted((r.doc_id, r.text or "") for r in got.collect()) == sorted([(1, a), (3, b), (4, c), (4, d), (6, e), (8, ""), (8, "x y")])
