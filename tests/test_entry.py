@@ -36,4 +36,5 @@ def test_entry_imports_without_the_document_operators(gone):
     assert said.returncode == 0, said.stderr
     total, numbered, pipeline = said.stdout.split()
     assert int(total) >= 170 and pipeline == "False"
-    assert (int(numbered) == 0) == ("observatory.llm" in gone)
+    there = os.path.exists(os.path.join(ROOT, "observatory", "llm", "__init__.py")) and "observatory.llm" not in gone
+    assert (int(numbered) > 0) == there
