@@ -2,19 +2,25 @@
 
 Strict rules find emails, IP addresses, payment cards and phone numbers; their
 spans always stand. Looser generators propose further, overlapping spans. Trees
-boosted on the format and the context of proposals score them. Weak labels: what
-the strict rules find is right, also rewritten into formats that only the loose
-generators propose; hex runs, failing check sums and ends of sentences are wrong;
-all other proposals have no label. The score from which labelled proposals are
-precise on documents that the trees have not seen becomes the threshold, and
-proposals above it are added.
-
-Everything is column expressions over one row: the fitted trees become one
-expression too, so scoring neither shuffles nor leaves the JVM.
+boosted on the format and the company of proposals score them.
+
+No document is labelled, so each view of a proposal is taught by something that
+it does not hold. What the strict rules find is right, also rewritten into
+formats that only the loose generators propose; what fails a check (Luhn's sum,
+parts up to 255, count of digits) is wrong, and the trees do not see the check.
+All other proposals are believed to be right as far as the words beside them
+stand beside strict spans rather than beside other proposals; these beliefs are
+re-estimated a few times and teach the trees formats. On documents that the trees
+have not seen, each kind gets the threshold from which its proposals are
+precise; those above it that pass their check are added.
+
+Everything is column expressions over one row: the fitted trees and the odds of
+words become one expression too, so scoring neither shuffles nor leaves the JVM.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassifier
@@ -39,8 +45,11 @@ LOOSE = {
     "card": r"(?<![0-9])[0-9](?:[\x20._-]{0,2}[0-9]){11,18}+",
     "phone": r"(?<![0-9])(?:\+\x20?)?\(?[0-9]{2,4}\)?[\x20./-]?[0-9]{3}[\x20./-]?[0-9]{3,4}(?![0-9])",
 }
-CUES = r"(?i)(?:mail|contact|write|call|phone|tel|fax|mobile|card|visa|pay|account|ip|host|server|address|addr)[^A-Za-z]{0,4}$"
-CONTEXT = 24
+CONTEXT = 32
+WORDS = 3
+BUCKETS = 1024
+FLOOR = -1.5
+BELIEFS = 4
 PRECISION = 0.95
 LEAST = 0.5
 
@@ -56,8 +65,11 @@ REWRITES = {
 }
 
 SPAN = "array<struct<kind:int,start:int,stop:int,value:string>>"
-FEATURES = ("kind", "length", "digits", "spaces", "marks", "groups", "opens", "checks", "letters_before", "letters_after", "cue", "long_group")
-LABELLED = "array<struct<x:struct<" + ",".join(f"{f}:int" for f in FEATURES) + ">,good:boolean>>"
+FORMAT = ("kind", "length", "digits", "spaces", "marks", "groups", "opens", "first", "letters_before", "letters_after", "long_group")
+FEATURES = (*FORMAT, "company")
+BESIDE = tuple(f"word{i}" for i in range(WORDS))
+LABELLED = "array<struct<x:struct<" + ",".join(f"{f}:int" for f in (*FORMAT, *BESIDE)) + ">,state:int>>"
+WRONG, RIGHT, OPEN, SEED, MADE = range(5)
 
 
 def digits_of(value: Column) -> Column:
@@ -148,20 +160,24 @@ def checks(kind: Column, value: Column) -> Column:
 
 
 def around(text: Column, span: Column) -> tuple[Column, Column]:
-    """The text before a span that its features see, and the character after it."""
+    """The text before and after a span that its features see."""
     before = F.substring(text, F.greatest(span["start"] - CONTEXT, F.lit(0)) + 1, F.least(span["start"], F.lit(CONTEXT)))
-    return before, F.substring(text, span["stop"] + 1, F.lit(1))
+    return before, F.substring(text, span["stop"] + 1, F.lit(CONTEXT))
 
 
 def described(kind: Column, value: Column, before: Column, after: Column) -> Column:
-    """Small integers that describe a value and what stands around it."""
+    """Small integers that describe a value, and the hashed words beside it: the last two before and the first after."""
     count = lambda p: F.least(F.regexp_count(value, F.lit(p)), F.lit(20))
     yes = lambda c: F.coalesce(c.cast("int"), F.lit(0))
+    word = lambda at, p: F.pmod(F.hash(F.lower(F.regexp_extract(at, p, 1))), F.lit(BUCKETS)).cast("int")
     return F.struct(
         kind.alias("kind"), F.least(F.length(value), F.lit(40)).alias("length"), count("[0-9]").alias("digits"), count(" ").alias("spaces"),
-        count("[.,:/_-]").alias("marks"), count("[0-9]+").alias("groups"), count(r"[\[({]").alias("opens"), yes(checks(kind, value)).alias("checks"),
-        yes(before.rlike("[A-Za-z]$")).alias("letters_before"), yes(after.rlike("[A-Za-z0-9]")).alias("letters_after"),
-        yes(before.rlike(CUES)).alias("cue"), yes(value.rlike("[0-9]{6}")).alias("long_group"),
+        count("[.,:/_-]").alias("marks"), count("[0-9]+").alias("groups"), count(r"[\[({]").alias("opens"),
+        F.least(F.length(F.regexp_extract(value, "[0-9]+", 0)), F.lit(20)).alias("first"),
+        yes(before.rlike("[A-Za-z]$")).alias("letters_before"), yes(after.rlike("^[A-Za-z0-9]")).alias("letters_after"),
+        yes(value.rlike("[0-9]{6}")).alias("long_group"),
+        word(before, r"(\p{L}+)\P{L}*$").alias("word0"), word(before, r"(\p{L}+)\P{L}+\p{L}+\P{L}*$").alias("word1"),
+        word(after, r"^\P{L}*(\p{L}+)").alias("word2"),
     )
 
 
@@ -169,29 +185,23 @@ def features(text: Column, span: Column) -> Column:
     return described(span["kind"], span["value"], *around(text, span))
 
 
-def clearly_wrong(x: Column) -> Column:
-    """Proposals that are no personal data whatever a strict rule says: failed checks, parts of hex runs, phone numbers in one run of digits that nothing announces."""
-    numeric, phone = x["kind"] != KINDS.index("email"), x["kind"] == KINDS.index("phone")
-    hexed = numeric & ((x["letters_before"] == 1) | (x["letters_after"] == 1))
-    return (x["checks"] == 0) | hexed | (phone & (x["groups"] == 1) & (x["cue"] == 0))
-
-
 def candidates(text: Column, strict: Column, loose: Column) -> Column:
-    """Labelled descriptions: x and good.
-
-    Right are loose spans over a strict span of their kind, and strict spans
-    rewritten into the formats of ``REWRITES`` where they stand. Wrong are loose
-    spans that touch no strict span and are clearly wrong, and rewritten numbers
-    inside a hex run. Loose spans without a strict one that may well be right
-    have no label and are left out, as are those over another kind's: they are
+    """Descriptions with a state: x and state.
+
+    ``SEED`` are the strict spans. ``RIGHT`` are loose spans over a strict span of
+    their kind, and strict spans rewritten into the formats of ``REWRITES`` where
+    they stand. ``WRONG`` are loose spans that touch no strict span and fail their
+    check. ``MADE`` are wrong too: rewritten ones inside a hex run or with the end
+    of a sentence in them, whose words say nothing. ``OPEN`` are loose spans that touch no strict span and pass: what may be
+    added. Loose spans over another kind's strict span are left out, as they are
     never added. ``strict`` and ``loose`` are columns, as every span reads them.
     """
 
     def judged(span: Column) -> Column:
-        x = features(text, span)
         good = F.exists(strict, lambda s: (s["kind"] == span["kind"]) & overlaps(s, span))
-        bad = ~F.exists(strict, lambda s: overlaps(s, span)) & clearly_wrong(x)
-        return F.struct(x.alias("x"), F.when(good, True).when(bad, False).alias("good"))
+        free = ~F.exists(strict, lambda s: overlaps(s, span))
+        state = F.when(good, RIGHT).when(free & checks(span["kind"], span["value"]), OPEN).when(free, WRONG)
+        return F.struct(features(text, span).alias("x"), state.alias("state"))
 
     def rewritten(kind: int) -> Column:
         whole, k = rf"^(?:{LOOSE[KINDS[kind]]})$", F.lit(kind)
@@ -202,27 +212,73 @@ def candidates(text: Column, strict: Column, loose: Column) -> Column:
             for pattern, new in REWRITES[KINDS[kind]]:
                 value = F.regexp_replace(span["value"], pattern, F.lit(new))
                 fits = (value != span["value"]) & value.rlike(whole)
-                x = described(k, value, before, after)
-                made.append(F.struct(x.alias("x"), F.when(fits & ~clearly_wrong(x), True).alias("good")))
+                made.append(F.struct(described(k, value, before, after).alias("x"), F.when(fits & checks(k, value), RIGHT).alias("state")))
                 if KINDS[kind] != "email":
-                    made.append(F.struct(described(k, value, F.lit("a"), F.lit("f")).alias("x"), F.when(fits, False).alias("good")))
+                    made.append(F.struct(described(k, value, F.lit("a"), F.lit("f")).alias("x"), F.when(fits, MADE).alias("state")))
                 else:
                     ended = F.regexp_replace(value, r"(?:\.|\x20?\(?dot\)?\x20?)([A-Za-z]+)$", ". $1")
-                    made.append(F.struct(described(k, ended, before, after).alias("x"), F.when(fits, False).alias("good")))
+                    made.append(F.struct(described(k, ended, before, after).alias("x"), F.when(fits, MADE).alias("state")))
             return F.array(*made)
 
         return F.flatten(F.transform(of_kind(strict, kind), forms))
 
-    found = F.concat(F.transform(loose, judged).cast(LABELLED), *[rewritten(k).cast(LABELLED) for k in range(len(KINDS))])
-    return F.filter(found, lambda c: c["good"].isNotNull())
+    seeds = F.transform(strict, lambda s: F.struct(features(text, s).alias("x"), F.lit(SEED).alias("state")))
+    found = F.concat(F.transform(loose, judged).cast(LABELLED), seeds.cast(LABELLED), *[rewritten(k).cast(LABELLED) for k in range(len(KINDS))])
+    return F.filter(found, lambda c: c["state"].isNotNull())
+
+
+def company(x: Column, odds: list[float] | None) -> Column:
+    """Sum of the logarithmic odds of the words beside a proposal. ``odds`` go by kind, position and bucket."""
+    if odds is None:
+        return F.lit(0.0)
+    table = F.split(F.lit(",".join(f"{v:.3f}" for v in odds)), ",").cast("array<double>")  # folded into one literal
+    return sum((F.get(table, (x["kind"] * WORDS + i) * BUCKETS + x[w]) for i, w in enumerate(BESIDE)), F.lit(0.0))
+
+
+def described_with(x: Column, odds: list[float] | None) -> Column:
+    """A description with its company, in halves of a unit of odds."""
+    return x.withField("company", F.floor(F.greatest(F.least(company(x, odds), F.lit(10.0)), F.lit(-10.0)) * 2).cast("int"))
+
+
+def word_odds(table: DataFrame, rounds: int = BELIEFS) -> list[float]:
+    """Odds of each word beside strict spans against all other proposals, by kind, position and bucket.
+
+    At first no open proposal is believed; each round believes it as far as the
+    last odds say. A word that strict spans do not meet counts against a proposal
+    with ``FLOOR`` at most, since there may be few of these. A kind without strict
+    spans, or without other proposals, has odds of zero.
+    """
+    odds, beside = None, F.explode(F.array(*[F.struct(F.lit(i).alias("at"), F.col(w).alias("bucket")) for i, w in enumerate(BESIDE)]))
+    for _ in range(rounds):
+        counted = table.filter(F.col("state").isin(SEED, WRONG, OPEN)).withColumn("b", F.when(F.col("state") == SEED, 1.0).when(F.col("state") == WRONG, 0.0).otherwise(believed(F.struct("kind", *BESIDE), odds)))
+        sums = counted.select("kind", "n", "b", beside.alias("w")).groupBy("kind", "w.at", "w.bucket").agg(F.sum(F.col("n") * F.col("b")).alias("good"), F.sum(F.col("n") * (1 - F.col("b"))).alias("bad"))
+        rows = sums.collect()  # at most kinds x positions x buckets
+        odds = [0.0] * (len(KINDS) * WORDS * BUCKETS)
+        for kind in range(len(KINDS)):
+            of = [r for r in rows if r.kind == kind]
+            good, bad = (sum(r[c] for r in of) / WORDS for c in ("good", "bad"))
+            if good and bad:
+                for r in of:
+                    odds[(kind * WORDS + r["at"]) * BUCKETS + r.bucket] = max(FLOOR, math.log((r.good + 0.5) / (good + 1)) - math.log((r.bad + 0.5) / (bad + 1)))
+    return odds
+
+
+def believed(x: Column, odds: list[float] | None) -> Column:
+    return F.lit(0.0) if odds is None else 1 / (1 + F.exp(-company(x, odds)))
 
 
 @dataclass
 class Judge:
-    """Boosted trees as nested (feature, threshold, left, right) with leaf values, and the chosen threshold."""
+    """Boosted trees as nested (feature, threshold, left, right) with leaf values, a threshold per kind, and the odds of words."""
 
     trees: list
-    threshold: float
+    thresholds: list
+    odds: list | None = None
+
+    def admits(self, span: Column, x: Column) -> Column:
+        """Whether a proposal passes its check and scores from its kind's threshold up."""
+        limit = F.array(*[F.lit(float(t)) for t in self.thresholds])
+        return checks(span["kind"], span["value"]) & (self.score(described_with(x, self.odds)) >= limit[span["kind"]])
 
     def score(self, x: Column) -> Column:
         """Probability that a proposal is personal data."""
@@ -245,21 +301,30 @@ def _tree(node) -> object:
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 12, depth: int = 3) -> Judge | None:
-    """Trees over the labelled proposals of all rows, or None if these are all right or all wrong, as without any strict span.
-
-    Proposals are counted by features and label first, so what is fitted has a
-    row per distinct description. The labels of each kind weigh the same in all,
-    however many there are. A fifth of the documents, by the hash of their id,
-    only calibrates: the threshold is the lowest score, from ``LEAST`` up, from
-    which ``PRECISION`` of the weight of their proposals is right.
+    """Trees over the proposals of all rows, or None if these are all right or all wrong, as without any strict span.
+
+    Proposals are counted by description first. An open one is taught as right
+    with its belief and as wrong with the rest of it. The labels of each kind
+    weigh the same in all, however many there are. A fifth of the documents, by the hash of their id, only
+    calibrates: a kind's threshold is the lowest score, from ``LEAST`` up, from
+    which ``PRECISION`` of the weight of its proposals is right; a kind without
+    one adds nothing.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     read = df.filter(text.rlike("[0-9]|@|[aA][tT]")).select(
         (F.pmod(F.xxhash64(id_col), F.lit(5)) == 0).alias("held"), text.alias("text"), strict_spans(text).alias("strict"), loose_spans(text).alias("loose")
     )
     each = read.select("held", F.explode(candidates(F.col("text"), F.col("strict"), F.col("loose"))).alias("c"))
-    counts = each.groupBy("held", *[F.col(f"c.x.{f}").alias(f) for f in FEATURES], F.col("c.good").cast("double").alias("label")).agg(F.count("*").cast("double").alias("n"))
-    table = materialise(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(counts).select("held", "label", "n", "features", *FEATURES), "proposals")
+    counts = each.groupBy("held", "c.state", *[F.col(f"c.x.{f}").alias(f) for f in (*FORMAT, *BESIDE)]).agg(F.count("*").cast("double").alias("n"))
+    described_ = materialise(counts, "proposals")
+    odds = word_odds(described_.filter("not held"))
+    x = described_with(F.struct(*FORMAT, *BESIDE), odds)
+    belief = F.when(F.col("state") == RIGHT, 1.0).when(F.col("state").isin(WRONG, MADE), 0.0).otherwise(believed(F.struct("kind", *BESIDE), odds))
+    soft = described_.filter(F.col("state") != SEED).select("held", "n", x.alias("x"), belief.alias("b")).select(
+        "held", "x", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), (F.col("n") * F.col("b")).alias("n")), F.struct(F.lit(0.0).alias("label"), (F.col("n") * (1 - F.col("b"))).alias("n")))).alias("l")
+    )
+    few = soft.filter("l.n > 0").groupBy("held", "l.label", *[F.col(f"x.{f}").alias(f) for f in FEATURES]).agg(F.sum("l.n").alias("n"))
+    table = materialise(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(few), "labelled")
     totals = table.groupBy("held", "kind", "label").agg(F.sum("n").alias("total")).collect()  # at most 16 rows
     if {r.label for r in totals if not r.held} != {0.0, 1.0}:
         return None
@@ -267,29 +332,28 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: i
     for r in totals:
         share = F.when((F.col("held") == r.held) & (F.col("kind") == r.kind) & (F.col("label") == r.label), F.col("n") / r.total).otherwise(share)
     table = table.withColumn("w", share)
-    learned = table.filter("not held")
-    model = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=1, weightCol="w", maxBins=48).fit(learned)
+    model = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=1, weightCol="w", maxBins=48).fit(table.filter("not held"))
     trees = list(zip(model.treeWeights, [_tree(t._java_obj.rootNode() if hasattr(t, "_java_obj") else t.rootNode()) for t in model.trees], strict=True))
-    judge = Judge(trees, 2.0)
+    judge = Judge(trees, [2.0] * len(KINDS), odds)
     score = judge.score(F.struct(*FEATURES))
-    held = table.filter("held").groupBy(F.floor(score * 1000).alias("score")).agg(F.sum(F.col("w") * F.col("label")).alias("good"), F.sum("w").alias("w"))
-    good = weight = 0.0
-    for row in sorted(held.collect(), key=lambda r: -r.score):  # at most 1,001 rows
-        good, weight = good + row.good, weight + row.w
+    held = table.filter("held").groupBy("kind", F.floor(score * 1000).alias("score")).agg(F.sum(F.col("w") * F.col("label")).alias("good"), F.sum("w").alias("w"))
+    sums = [(0.0, 0.0)] * len(KINDS)
+    for row in sorted(held.collect(), key=lambda r: -r.score):  # at most 1,001 rows a kind
+        good, weight = sums[row.kind] = sums[row.kind][0] + row.good, sums[row.kind][1] + row.w
         if row.score >= LEAST * 1000 and good >= PRECISION * weight:
-            judge.threshold = row.score / 1000
+            judge.thresholds[row.kind] = row.score / 1000
     return judge
 
 
 def spans(text: Column, judge: Judge | None) -> tuple[Column, Column]:
-    """Strict spans, and all spans by kind and start: the strict ones and proposals from the threshold up that touch none of these."""
+    """Strict spans, and all spans by kind and start: the strict ones and proposals that the judge admits and that touch none of these."""
     strict = strict_spans(text)
     if judge is None:
         return strict, strict
     strict_ = F.coalesce(strict, F.array().cast(SPAN))
     added = F.filter(
         loose_spans(text),
-        lambda s: ~F.exists(strict_, lambda b: overlaps(b, s)) & (judge.score(features(F.coalesce(text, F.lit("")), s)) >= judge.threshold),
+        lambda s: ~F.exists(strict_, lambda b: overlaps(b, s)) & judge.admits(s, features(F.coalesce(text, F.lit("")), s)),
     )
     return strict, F.array_sort(F.concat(strict_, added))
 

@@ -73,14 +73,14 @@ def test_trees_add_what_looks_like_the_rules(spark):
     rows += [f"lot {rng.randint(10**6, 10**7 - 1)} of {rng.randint(10**8, 10**9)}" for _ in range(150)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id bigint, text string")
     judge = pii.fit(df)
-    assert judge is not None and judge.threshold <= 1
+    assert judge is not None and min(judge.thresholds) <= 1
     new = spark.createDataFrame([("call + 1 (415) 555-2671 now",), ("call (415) 555-2671 now",), ("lot 1234567 of 123456789",)], "text string")
     got = [pii.KINDS[s[0].kind] if (s := r.all_spans) else None for r in pii.find(new, judge).collect()]
     assert got[2] is None and "phone" in got[:2]
 
 
 def test_expression_is_the_model(spark):
-    judge = pii.Judge([(1.0, (0, 1.5, -1.0, (1, 10.0, 0.5, 1.0))), (0.1, 2.0)], 0.5)
+    judge = pii.Judge([(1.0, (0, 1.5, -1.0, (1, 10.0, 0.5, 1.0))), (0.1, 2.0)], [0.5] * 4)
     x = F.struct(*[F.lit(v).alias(f) for f, v in zip(pii.FEATURES, [2, 11, *[0] * 10], strict=True)])
     assert spark.range(1).select(judge.score(x)).first()[0] == pytest.approx(1 / (1 + 2.718281828459045 ** (-2 * 1.2)))
 
@@ -111,3 +111,40 @@ def test_formats_that_only_the_corpus_holds_are_found(spark):
         else:
             digits = re.sub(".* of ([0-9]+) came", r"\1", text)
             assert "phone" not in spans and "email" not in spans and ("card" not in spans or checks(digits) or text.startswith("sum")), (text, spans)
+
+
+def test_words_beside_tell_numbers_of_one_format_apart(spark):
+    """Look-alikes in the formats of real data, passing every check: what is added is right, and nearly all that is right is added."""
+    rng = random.Random(5)
+    n = lambda k: rng.randint(10 ** (k - 1), 10**k - 1)
+
+    def card():
+        body = f"4{n(14)}"
+        return next(body + str(d) for d in range(10) if checks(body + str(d)))
+
+    def dotted(s):
+        return ".".join(s[i : i + 4] for i in range(0, 16, 4))
+
+    filler = ["the", "river", "was", "high", "again", "and", "we", "walked", "home", "by", "night"]
+    right, wrong, base = [], [], []
+    for _ in range(150):
+        base.append((f"please call +1 ({n(3)}) {n(3)}-{n(4)} today", None))
+        base.append((f"my card {card()} expires soon", None))
+        base.append((f"write to ann{n(2)}@host{n(1)}.org tomorrow", None))
+    for _ in range(200):
+        a, b, c = f"({n(3)}) {n(3)}-{n(4)}", dotted(card()), f"bob{n(2)} [at] host{n(1)} dot org"
+        right += [(f"please call {a} today", f"phone:{12}:{12 + len(a)}"), (f"my card {b} expires soon", f"card:8:{8 + len(b)}"), (f"write to {c} tomorrow", f"email:9:{9 + len(c)}")]
+        a, b, c = f"{n(3)}-{n(3)}-{n(4)}", dotted(card()), f"{n(3)}.{n(3)}.{n(4)}"
+        wrong += [(f"your order {a} shipped yesterday", None), (f"batch serial {b} passed inspection", None), (f"build version {c} released", None)]
+        wrong += [(f"we all looked at readme{n(1)} dot txt inside", None), (f"batch serial {dotted(str(n(16)))} passed inspection", None)]
+    rows = base + right + wrong + [(" ".join(rng.choice(filler) for _ in range(30)), None) for _ in range(300)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id bigint, text string")
+    found = pii.find(df, pii.fit(df)).orderBy("doc_id")
+    got = found.select(pii.written(F.col("base_spans")).alias("base"), pii.written(F.col("all_spans")).alias("all")).collect()
+    added, hits = [], []
+    for (text, want), r in zip(rows, got, strict=True):
+        new = set(filter(None, r["all"].split(","))) - set(filter(None, r.base.split(",")))
+        added += [(s, want) for s in new]
+        hits += [want in new] if want else []
+    assert sum(hits) >= 0.9 * len(hits), (sum(hits), len(hits))
+    assert sum(s == want for s, want in added) >= 0.9 * len(added), (sum(s == want for s, want in added), len(added))
