@@ -68,7 +68,7 @@ SPAN = "array<struct<kind:int,start:int,stop:int,value:string>>"
 FORMAT = ("kind", "length", "digits", "spaces", "marks", "groups", "opens", "first", "letters_before", "letters_after", "long_group")
 FEATURES = (*FORMAT, "company")
 BESIDE = tuple(f"word{i}" for i in range(WORDS))
-LABELLED = "array<struct<x:struct<" + ",".join(f"{f}:int" for f in (*FORMAT, *BESIDE)) + ">,state:int>>"
+ITEMS = "array<struct<kind:int,value:string,before:string,after:string,state:int>>"
 WRONG, RIGHT, OPEN, SEED, MADE = range(5)
 
 
@@ -139,6 +139,11 @@ def loose_spans(text: Column) -> Column:
     return F.concat(*[matches(text, LOOSE[k], i, LOOSE_NEEDS[k], False) for i, k in enumerate(KINDS)])
 
 
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is read."""
+    return F.transform(F.array(value), use)[0]
+
+
 def of_kind(found: Column, kind: int) -> Column:
     return F.filter(found, lambda s: s["kind"] == kind)
 
@@ -197,34 +202,34 @@ def candidates(text: Column, strict: Column, loose: Column) -> Column:
     never added. ``strict`` and ``loose`` are columns, as every span reads them.
     """
 
+    def item(kind: Column, value: Column, before: Column, after: Column, state: Column) -> Column:
+        return F.struct(kind.alias("kind"), value.alias("value"), before.alias("before"), after.alias("after"), state.cast("int").alias("state"))
+
     def judged(span: Column) -> Column:
         good = F.exists(strict, lambda s: (s["kind"] == span["kind"]) & overlaps(s, span))
         free = ~F.exists(strict, lambda s: overlaps(s, span))
         state = F.when(good, RIGHT).when(free & checks(span["kind"], span["value"]), OPEN).when(free, WRONG)
-        return F.struct(features(text, span).alias("x"), state.alias("state"))
+        return item(span["kind"], span["value"], *around(text, span), state)
 
     def rewritten(kind: int) -> Column:
         whole, k = rf"^(?:{LOOSE[KINDS[kind]]})$", F.lit(kind)
 
         def forms(span: Column) -> Column:
+            values = F.array(*[F.regexp_replace(span["value"], pattern, F.lit(new)) for pattern, new in REWRITES[KINDS[kind]]])
+            fitting = F.filter(values, lambda v: (v != span["value"]) & v.rlike(whole))
             before, after = around(text, span)
-            made = []
-            for pattern, new in REWRITES[KINDS[kind]]:
-                value = F.regexp_replace(span["value"], pattern, F.lit(new))
-                fits = (value != span["value"]) & value.rlike(whole)
-                made.append(F.struct(described(k, value, before, after).alias("x"), F.when(fits & checks(k, value), RIGHT).alias("state")))
-                if KINDS[kind] != "email":
-                    made.append(F.struct(described(k, value, F.lit("a"), F.lit("f")).alias("x"), F.when(fits, MADE).alias("state")))
-                else:
-                    ended = F.regexp_replace(value, r"(?:\.|\x20?\(?dot\)?\x20?)([A-Za-z]+)$", ". $1")
-                    made.append(F.struct(described(k, ended, before, after).alias("x"), F.when(fits, MADE).alias("state")))
-            return F.array(*made)
+            right = F.transform(fitting, lambda v: item(k, v, before, after, F.when(checks(k, v), RIGHT)))
+            if KINDS[kind] != "email":
+                return F.concat(right, F.transform(fitting, lambda v: item(k, v, F.lit("a"), F.lit("f"), F.lit(MADE))))
+            ended = lambda v: F.regexp_replace(v, r"(?:\.|\x20?\(?dot\)?\x20?)([A-Za-z]+)$", ". $1")
+            return F.concat(right, F.transform(fitting, lambda v: item(k, ended(v), before, after, F.lit(MADE))))
 
         return F.flatten(F.transform(of_kind(strict, kind), forms))
 
-    seeds = F.transform(strict, lambda s: F.struct(features(text, s).alias("x"), F.lit(SEED).alias("state")))
-    found = F.concat(F.transform(loose, judged).cast(LABELLED), seeds.cast(LABELLED), *[rewritten(k).cast(LABELLED) for k in range(len(KINDS))])
-    return F.filter(found, lambda c: c["state"].isNotNull())
+    seeds = F.transform(strict, lambda s: item(s["kind"], s["value"], *around(text, s), F.lit(SEED)))
+    items = F.concat(*[a.cast(ITEMS) for a in (F.transform(loose, judged), seeds, *[rewritten(k) for k in range(len(KINDS))])])
+    known = F.filter(items, lambda i: i["state"].isNotNull())
+    return F.transform(known, lambda i: F.struct(described(i["kind"], i["value"], i["before"], i["after"]).alias("x"), i["state"].alias("state")))
 
 
 def company(x: Column, odds: list[float] | None) -> Column:
@@ -232,7 +237,8 @@ def company(x: Column, odds: list[float] | None) -> Column:
     if odds is None:
         return F.lit(0.0)
     table = F.split(F.lit(",".join(f"{v:.3f}" for v in odds)), ",").cast("array<double>")  # folded into one literal
-    return sum((F.get(table, (x["kind"] * WORDS + i) * BUCKETS + x[w]) for i, w in enumerate(BESIDE)), F.lit(0.0))
+    places = F.array(*[(x["kind"] * WORDS + i) * BUCKETS + x[w] for i, w in enumerate(BESIDE)])
+    return F.aggregate(places, F.lit(0.0), lambda total, at: total + F.get(table, at))
 
 
 def described_with(x: Column, odds: list[float] | None) -> Column:
@@ -278,7 +284,7 @@ class Judge:
     def admits(self, span: Column, x: Column) -> Column:
         """Whether a proposal passes its check and scores from its kind's threshold up."""
         limit = F.array(*[F.lit(float(t)) for t in self.thresholds])
-        return checks(span["kind"], span["value"]) & (self.score(described_with(x, self.odds)) >= limit[span["kind"]])
+        return checks(span["kind"], span["value"]) & (bound(x, lambda x: bound(described_with(x, self.odds), self.score)) >= limit[span["kind"]])
 
     def score(self, x: Column) -> Column:
         """Probability that a proposal is personal data."""
@@ -350,12 +356,13 @@ def spans(text: Column, judge: Judge | None) -> tuple[Column, Column]:
     strict = strict_spans(text)
     if judge is None:
         return strict, strict
-    strict_ = F.coalesce(strict, F.array().cast(SPAN))
-    added = F.filter(
-        loose_spans(text),
-        lambda s: ~F.exists(strict_, lambda b: overlaps(b, s)) & judge.admits(s, features(F.coalesce(text, F.lit("")), s)),
-    )
-    return strict, F.array_sort(F.concat(strict_, added))
+
+    def more(base: Column) -> Column:
+        free = F.filter(loose_spans(text), lambda s: ~F.exists(base, lambda b: overlaps(b, s)))
+        added = F.filter(free, lambda s: judge.admits(s, features(F.coalesce(text, F.lit("")), s)))
+        return F.array_sort(F.concat(base, added))
+
+    return strict, bound(strict, more)
 
 
 def written(found: Column) -> Column:
