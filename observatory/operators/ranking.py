@@ -6,9 +6,12 @@ task sends at most k rows per group however large the group is.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -195,7 +198,6 @@ def species_order(index: DataFrame) -> DataFrame:
 
 # ---- landmarks ---------------------------------------------------------------
 
-LABEL_BLOCK = 160
 MAX_LANDMARKS = 80
 MAX_PER_KIND = 20
 TOUR_STOPS = 8
@@ -429,28 +431,96 @@ def top_gauges(gauges: DataFrame, k: int = 3) -> DataFrame:
     return top_k(gauges, ["park"], [F.coalesce("flow_cfs", F.lit(-1.0)).desc(), F.asc("site")], k, "rank")
 
 
+# Numbers of label vectors in a block (32 MB), vectors in a block that meets several of these, and what a task multiplies at once.
+LABEL_VALUES = 1 << 22
+VECTOR_BLOCK = 1 << 16
+VECTOR_SLICE = 256
+PAIR_SLICE = 1 << 14
+
+
+def _nearest_labels(vectors: pa.Table, labels: pa.Table, k: int) -> pa.Table:
+    """vec_id, label and score of the ``k`` best labels of each vector: one matrix product, then exact scores of those that can be among them."""
+    if not len(labels) or not len(vectors):
+        return pa.table({"vec_id": vectors.column("vec_id")[:0], "label": labels.column("label")[:0], "score": pa.array([], pa.float64())})
+    labels = labels.take(pc.sort_indices(labels.column("label"), null_placement="at_start"))
+    b, a = _matrix(labels.column("vec")), _matrix(vectors.column("vec"))
+    out = []
+    for start in range(0, len(a), VECTOR_SLICE):
+        part = a[start:start + VECTOR_SLICE]
+        rough = part @ b.T
+        edge = np.partition(rough, -k, axis=1)[:, -k] if k < len(b) else np.full(len(part), -np.inf)
+        row, at = np.nonzero(rough >= edge[:, None] - 1e-9)
+        score = np.concatenate([np.einsum("ij,ij->i", part[row[s:s + PAIR_SLICE]], b[at[s:s + PAIR_SLICE]]) for s in range(0, max(1, len(row)), PAIR_SLICE)])
+        best = np.lexsort((at, -score, row))  # labels are in order, so ties go by label
+        row, at, score = row[best], at[best], score[best]
+        first = np.searchsorted(row, row)
+        few = np.arange(len(row)) - first < k
+        out.append((start + row[few], at[few], score[few]))
+    row, at, score = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, int),) * 3
+    return pa.table({"vec_id": vectors.column("vec_id").take(pa.array(row)), "label": labels.column("label").take(pa.array(at)), "score": pa.array(score, pa.float64())})
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Rows of a list column at length 1, in double precision; lists have one length and none is zero."""
+    if not len(column):
+        return np.zeros((0, 0))
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    flat = flat / np.abs(flat).max(axis=1, keepdims=True)  # no square overflows or vanishes
+    return flat / np.sqrt(np.einsum("ij,ij->i", flat, flat))[:, None]
+
+
 def similar_labels(vectors: DataFrame, labels: DataFrame, k: int = 5) -> DataFrame:
     """Best label vectors per vector by cosine.
 
-    Labels are packed into blocks of about ``LABEL_BLOCK``; a vector meets every
-    block in one equi-join, scores its labels inside the row and keeps ``k`` of
-    them, so no pair of a vector and a label is ever a row of its own.
+    ``vectors``: vec_id, vec; ``labels``: label, vec. Vectors are dealt into
+    blocks, and so are labels; a block of one meets a block of the other as one
+    matrix product in a task, which returns ``k`` labels per vector, and these
+    are merged. Labels that fit one block are sent to the vectors, which then
+    stay where they are. Vectors that are null, empty, all zero, or hold a null
+    or non-finite component have no rows, and neither have vectors without a
+    label of their length. Equal scores go by label; rows that repeat a vec_id
+    are ranked together.
     """
-    def norm(v: Column) -> Column:
-        return F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
-
-    labels = materialise(labels, "labels")
-    blocks = max(1, -(-labels.count() // LABEL_BLOCK))
-    block = F.pmod(F.xxhash64("label"), F.lit(blocks)).cast("int")
-    packed = labels.groupBy(block.alias("_block")).agg(F.collect_list(F.struct("label", "vec", norm(F.col("vec")).alias("norm"))).alias("labels"))
-
-    def score(l: Column) -> Column:
-        dot = F.aggregate(
-            F.zip_with("vec", l["vec"], lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda acc, x: acc + x
-        )
-        return F.struct((-(dot / (F.col("_n") * l["norm"]))).alias("neg"), l["label"].alias("label"))
-
-    one = vectors.withColumn("_n", norm(F.col("vec"))).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, "_block")
-    best = F.slice(F.array_sort(F.transform("labels", score)), 1, k)
-    few = one.select("vec_id", F.explode(best).alias("b")).select("vec_id", F.col("b.label").alias("label"), (-F.col("b.neg")).alias("score"))
-    return top_k(few, ["vec_id"], [F.desc("score"), F.asc("label")], k, "rank").select("vec_id", "rank", "label", "score")
+    spark = vectors.sparkSession
+    types = {f.name: f.dataType.simpleString() for f in vectors.schema.fields + labels.schema.fields if f.name in ("vec_id", "label")}
+    shape = f"vec_id {types['vec_id']}, label {types['label']}, score double"
+    usable = F.coalesce(
+        F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0), F.lit(False)
+    )
+    width = F.size("vec").alias("width")
+    labels = materialise(labels.filter(usable).select("label", "vec", width), "labels")
+    vectors = vectors.filter(usable).select("vec_id", "vec", width)
+    found = spark.createDataFrame([], shape)
+    for size in labels.groupBy("width").agg(F.count("*").alias("n")).collect():  # one row per length of vectors
+        fit, own = labels.filter(F.col("width") == size.width).select("label", "vec"), vectors.filter(F.col("width") == size.width).select("vec_id", "vec")
+        if size.n * size.width <= LABEL_VALUES:
+            found = found.union(_by_one_block(own, fit, k, shape))
+        else:
+            found = found.union(_by_blocks(own, fit, -(-size.n * size.width // LABEL_VALUES), k, shape))
+    return top_k(found, ["vec_id"], [F.desc("score"), F.asc("label")], k, "rank").select("vec_id", "rank", "label", "score")
+
+
+def _by_one_block(vectors: DataFrame, labels: DataFrame, k: int, shape: str) -> DataFrame:
+    """For labels of at most ``LABEL_VALUES`` numbers, which every task holds."""
+    held = vectors.sparkSession.sparkContext.broadcast(labels.toArrow())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _nearest_labels(pa.Table.from_batches([batch]), held.value, k).combine_chunks().to_batches()
+
+    return vectors.mapInArrow(run, shape)
+
+
+def _by_blocks(vectors: DataFrame, labels: DataFrame, blocks: int, k: int, shape: str) -> DataFrame:
+    """Every block of vectors against every block of labels, each pair of blocks in a task of its own."""
+    rows = materialise(vectors, "vectors")
+    parts = max(1, -(-rows.count() // VECTOR_BLOCK))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda c, n: F.pmod(F.xxhash64(c, "vec"), F.lit(n)).cast("int")
+    left = rows.select(own("vec_id", parts).alias("i"), every(blocks).alias("j"), "vec_id", "vec")
+    right = labels.select(every(parts).alias("i"), own("label", blocks).alias("j"), "label", "vec")
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        return _nearest_labels(a, b, k)
+
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(run, shape)

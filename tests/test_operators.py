@@ -757,3 +757,28 @@ def test_hex_distance_helpers_agree(spark):
     c = spark.range(1).select(hexgrid.cell_of(F.lit(10.0), F.lit(50.0), 8).alias("c"))
     a = c.select(hexgrid.center(F.col("c")).alias("a"), hexgrid.center(F.col("c"), 8).alias("b")).collect()[0]
     assert a.a.lon == pytest.approx(a.b.lon) and a.a.lat == pytest.approx(a.b.lat)
+
+
+@pytest.mark.parametrize("values", [1 << 22, 40])
+def test_similar_labels_equal_brute_force(spark, monkeypatch, values):
+    """One block of labels, and many; ties, other lengths and vectors without a direction."""
+    monkeypatch.setattr(ranking, "LABEL_VALUES", values)
+    monkeypatch.setattr(ranking, "VECTOR_BLOCK", 16)
+    rng = random.Random(values)
+    vec = lambda n=4: [rng.choice([-1.0, 0.5, 2.0, 3.0]) for _ in range(n)]
+    labels = [(f"l{i}", vec()) for i in range(30)] + [("twin", [1.0, 2.0, 3.0, 4.0]), ("again", [2.0, 4.0, 6.0, 8.0]), ("short", [1.0, 2.0]), ("zero", [0.0] * 4)]
+    vectors = [(i, vec()) for i in range(50)] + [(50, [1.0, 2.0, 3.0, 4.0]), (51, None), (52, []), (53, [0.0] * 4), (54, [1.0, None, 1.0, 1.0]), (55, [3.0, 1.0]), (56, [1.0] * 3), (57, [1e-200] * 4), (58, [float("nan")] * 4)]
+    got = ranking.similar_labels(spark.createDataFrame(vectors, "vec_id int, vec array<double>"), spark.createDataFrame(labels, "label string, vec array<double>"), 3)
+    unit = lambda x: [y / max(map(abs, x)) for y in x]
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+    rows, of = sorted(tuple(r) for r in got.collect()), dict(labels)
+    want = []
+    for i, v in vectors:
+        if not v or None in v or not any(v) or v[0] != v[0]:
+            continue
+        best = sorted((cos(unit(v), unit(w)) for w in of.values() if len(w) == len(v) and any(w)), reverse=True)[:3]
+        want += [(i, rank, pytest.approx(score)) for rank, score in enumerate(best, 1)]
+    assert [(i, rank, score) for i, rank, _, score in rows] == want
+    assert all(score == pytest.approx(cos(unit(vectors[i][1]), unit(of[name]))) for i, _, name, score in rows)
+    assert len({(i, name) for i, _, name, _ in rows}) == len(rows)
+    assert [name for i, _, name, _ in rows if i == 50][:2] == ["again", "twin"]
