@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from observatory.functions import hexgrid, names, stats
 from observatory.operators import suppress
+from observatory.session import materialise
 
 CELL_RES = 9
 
@@ -31,13 +32,15 @@ def mappable(sightings: DataFrame) -> DataFrame:
 
 
 def cell_species(
-    sightings: DataFrame, rules: DataFrame, synonyms: Mapping[str, str], res: int = CELL_RES
+    sightings: DataFrame, rules: DataFrame, synonyms: Mapping[str, str], res: int = CELL_RES, facts: DataFrame | None = None
 ) -> DataFrame:
     """Counts per (park, cell, species): all, by people, by the model, first and last year (A1).
 
     Excluded species leave, coarsened ones land in their rule's coarser cell.
+    With ``facts`` (``name_facts``) the rules need no pass of their own.
     """
-    ruled = suppress.apply_rules(mappable(sightings), sightings, rules, synonyms)
+    counts = None if facts is None else privacy_of(facts)
+    ruled = suppress.apply_rules(mappable(sightings), sightings, rules, synonyms, counts)
     placed = ruled.filter(~F.col("action").eqNullSafe("exclude")).withColumn(
         "res", F.when(F.col("action") == "coarsen", F.coalesce("rule_res", F.lit(suppress.AUTO_RES))).otherwise(res)
     )
@@ -105,46 +108,78 @@ def pick_names(votes: DataFrame) -> DataFrame:
     )
 
 
-def species_rollup(
-    sightings: DataFrame, synonyms: Mapping[str, str], rules: DataFrame | None = None
-) -> DataFrame:
-    """Per (park, species): counts by status, source and basis, dates, months, aliases, id, names."""
-    rows = (
-        canonical(sightings)
-        .filter(
-            F.col("scientific_name").isNotNull()
-            & (F.col("taxon_rank").isin("species", "subspecies") | (F.col("source") == "mapillary_cv"))
+COUNTED = (
+    "sightings", "open_coordinates", "obscured_coordinates", "n_inaturalist", "n_gbif", "n_mapillary_cv", "human_verified", "model_predicted",
+)
+
+
+def name_facts(sightings: DataFrame, synonyms: Mapping[str, str]) -> DataFrame:
+    """Per (park, scientific name, tier, common name) all that species, votes and rules are made of.
+
+    The one pass over the sightings behind ``species_rollup``: names are few
+    where rows are many, so the result is written and the rest works on it.
+    ``sightings`` and the other counts hold rows that are listed as a species;
+    ``votes`` holds rows of any rank, ``own`` and ``flagged`` duplicates as well.
+    """
+    kept = F.col("duplicate_of").isNull()
+    source = F.col("source")
+    listed = F.coalesce(kept & (F.col("taxon_rank").isin("species", "subspecies") | (source == "mapillary_cv")), F.lit(False))
+
+    def of(column: str, value: str) -> Column:
+        return F.count_if(listed & (F.col(column) == value))
+
+    facts = (
+        sightings.filter(F.col("scientific_name").isNotNull())
+        .groupBy("park", "scientific_name", F.when(source == "inaturalist", "inaturalist").otherwise("other").alias("tier"), "common_name")
+        .agg(
+            *suppress.privacy_counts(),
+            F.count_if(kept & (F.length("common_name") > 0)).alias("votes"),
+            F.count_if(listed).alias("sightings"),
+            of("coordinate_status", "open").alias("open_coordinates"),
+            of("coordinate_status", "obscured").alias("obscured_coordinates"),
+            of("source", "inaturalist").alias("n_inaturalist"),
+            of("source", "gbif").alias("n_gbif"),
+            of("source", "mapillary_cv").alias("n_mapillary_cv"),
+            of("confidence_basis", "human_verified").alias("human_verified"),
+            of("confidence_basis", "model_predicted").alias("model_predicted"),
+            F.min(F.when(listed, F.col("taxon_class"))).alias("taxon_class"),
+            F.max(F.when(listed & (source == "inaturalist"), F.col("taxon_id"))).alias("taxon_id"),
+            F.min(F.when(listed, F.col("observed_on"))).alias("first_on"),
+            F.max(F.when(listed, F.col("observed_on"))).alias("last_on"),
+            stats.month_counts(F.month(F.when(listed, F.col("observed_on")))).alias("months"),
         )
         .withColumn("species", names.canonical_species(F.col("scientific_name"), synonyms))
     )
+    return materialise(facts, "names")
 
-    def of(column: str, value: str) -> Column:
-        return F.count_if(F.col(column) == value)
 
-    own_id = (F.col("source") == "inaturalist") & (F.col("scientific_name") == F.col("species"))
-    agg = rows.groupBy("park", "species").agg(
+def privacy_of(facts: DataFrame) -> DataFrame:
+    return facts.groupBy("park", "scientific_name").agg(F.sum("own").alias("own"), F.sum("flagged").alias("flagged"))
+
+
+def species_rollup(
+    sightings: DataFrame, synonyms: Mapping[str, str], rules: DataFrame | None = None, facts: DataFrame | None = None
+) -> DataFrame:
+    """Per (park, species): counts by status, source and basis, dates, months, aliases, id, names.
+
+    ``facts`` is ``name_facts`` of the sightings, where another step has it too.
+    """
+    facts = name_facts(sightings, synonyms) if facts is None else facts
+    same = F.col("scientific_name") == F.col("species")
+    agg = facts.filter("sightings > 0").groupBy("park", "species").agg(
         F.min("taxon_class").alias("taxon_class"),
-        F.max(F.when(own_id, F.col("taxon_id"))).alias("taxon_id"),
-        F.count("*").alias("sightings"),
-        of("coordinate_status", "open").alias("open_coordinates"),
-        of("coordinate_status", "obscured").alias("obscured_coordinates"),
-        of("source", "inaturalist").alias("n_inaturalist"),
-        of("source", "gbif").alias("n_gbif"),
-        of("source", "mapillary_cv").alias("n_mapillary_cv"),
-        of("confidence_basis", "human_verified").alias("human_verified"),
-        of("confidence_basis", "model_predicted").alias("model_predicted"),
-        F.min("observed_on").alias("first_on"),
-        F.max("observed_on").alias("last_on"),
-        stats.month_counts(F.month("observed_on")).alias("months"),
-        F.array_sort(
-            F.collect_set(F.when(F.col("scientific_name") != F.col("species"), F.col("scientific_name")))
-        ).alias("aliases"),
-    )
-    out = agg.join(pick_names(name_votes(sightings, synonyms)), ["park", "species"], "left")
+        F.max(F.when(same, F.col("taxon_id"))).alias("taxon_id"),
+        *[F.sum(c).alias(c) for c in COUNTED],
+        F.min("first_on").alias("first_on"),
+        F.max("last_on").alias("last_on"),
+        F.array(*[F.sum(F.get("months", F.lit(i))) for i in range(12)]).alias("months"),
+        F.array_sort(F.collect_set(F.when(~same, F.col("scientific_name")))).alias("aliases"),
+    )
+    votes = facts.filter("votes > 0").groupBy("park", "species", "tier", "common_name").agg(F.sum("votes").alias("votes"))
+    out = agg.join(pick_names(votes), ["park", "species"], "left")
     if rules is None:
         return out
-    auto = suppress.auto_sensitive(sightings)
-    ruled = suppress.name_rules(agg.select("park", F.col("species").alias("name")), rules, auto)
+    ruled = suppress.name_rules(agg.select("park", F.col("species").alias("name")), rules, suppress.auto_sensitive_of(privacy_of(facts)))
     return out.join(ruled.withColumnRenamed("name", "species"), ["park", "species"], "left")
 
 

@@ -16,15 +16,26 @@ AUTO_SENSITIVE_SHARE = 0.5
 AUTO_RES = 6
 
 
+def privacy_counts() -> list[Column]:
+    """Aggregates over sightings: ``own`` observations and how many of these are ``flagged`` by taxon privacy."""
+    own = F.col("source") == "inaturalist"
+    flag = F.get_json_object("raw_json", "$.taxon_geoprivacy").isin("obscured", "private")
+    return [F.count_if(own).alias("own"), F.count_if(own & flag).alias("flagged")]
+
+
+def _share() -> Column:
+    return F.when(F.col("own") > 0, F.col("flagged") / F.col("own"))
+
+
 def auto_sensitive(sightings: DataFrame, min_share: float = AUTO_SENSITIVE_SHARE) -> DataFrame:
     """Species whose observations mostly carry taxon privacy, per park (A4)."""
-    flag = F.get_json_object("raw_json", "$.taxon_geoprivacy").isin("obscured", "private")
-    return (
-        sightings.filter((F.col("source") == "inaturalist") & F.col("scientific_name").isNotNull())
-        .groupBy("park", "scientific_name")
-        .agg(F.avg(F.when(flag, 1.0).otherwise(0.0)).alias("share"))
-        .filter(F.col("share") >= min_share)
-    )
+    named = sightings.filter((F.col("source") == "inaturalist") & F.col("scientific_name").isNotNull())
+    return auto_sensitive_of(named.groupBy("park", "scientific_name").agg(*privacy_counts()), min_share)
+
+
+def auto_sensitive_of(counts: DataFrame, min_share: float = AUTO_SENSITIVE_SHARE) -> DataFrame:
+    """The same from counts per (park, scientific_name)."""
+    return counts.select("park", "scientific_name", _share().alias("share")).filter(F.col("share") >= min_share)
 
 
 def _prefixes(name: Column) -> Column:
@@ -67,13 +78,17 @@ def name_lookup(
     yields both the names and their flagged share; everything after it works on
     that short table.
     """
-    flag = F.get_json_object("raw_json", "$.taxon_geoprivacy").isin("obscured", "private")
-    own = F.avg(F.when(F.col("source") == "inaturalist", F.when(flag, 1.0).otherwise(0.0)))
-    stats = (
-        sightings.filter(F.col("scientific_name").isNotNull())
-        .groupBy("park", "scientific_name")
-        .agg(F.coalesce(own >= min_share, F.lit(False)).alias("own_auto"))
-        .withColumn("species", names.canonical_species(F.col("scientific_name"), synonyms))
+    named = sightings.filter(F.col("scientific_name").isNotNull())
+    return name_lookup_of(named.groupBy("park", "scientific_name").agg(*privacy_counts()), rules, synonyms, min_share)
+
+
+def name_lookup_of(
+    counts: DataFrame, rules: DataFrame, synonyms: Mapping[str, str], min_share: float = AUTO_SENSITIVE_SHARE
+) -> DataFrame:
+    """The same from counts per (park, scientific_name)."""
+    stats = counts.select(
+        "park", "scientific_name", F.coalesce(_share() >= min_share, F.lit(False)).alias("own_auto"),
+        names.canonical_species(F.col("scientific_name"), synonyms).alias("species"),
     )
     same = F.when(F.col("scientific_name") == F.col("species"), F.col("own_auto"))
     stats = stats.withColumn("canon_auto", F.coalesce(F.bool_or(same).over(W.partitionBy("park", "species")), F.lit(False)))
@@ -103,10 +118,12 @@ def name_lookup(
 
 
 def apply_rules(
-    sightings: DataFrame, everything: DataFrame, rules: DataFrame, synonyms: Mapping[str, str]
+    sightings: DataFrame, everything: DataFrame, rules: DataFrame, synonyms: Mapping[str, str], counts: DataFrame | None = None
 ) -> DataFrame:
     """Add ``species``, ``action``, ``rule_res`` and ``why`` to ``sightings``.
 
-    ``everything`` is the table the privacy share is taken over.
+    ``everything`` is the table the privacy share is taken over, unless
+    ``counts`` has it already.
     """
-    return sightings.join(name_lookup(everything, rules, synonyms), ["park", "scientific_name"])
+    lookup = name_lookup(everything, rules, synonyms) if counts is None else name_lookup_of(counts, rules, synonyms)
+    return sightings.join(lookup, ["park", "scientific_name"])

@@ -92,6 +92,13 @@ def _species(spark, sf):
     return rollups.species_rollup(tb.sightings(spark, sf), SYN, ruletables.suppression_rules(spark))
 
 
+def _species_and_cells(spark, sf):
+    """Both exports from one pass for names and one for cells."""
+    rows, ruled = tb.sightings(spark, sf), ruletables.suppression_rules(spark)
+    facts = rollups.name_facts(rows, SYN)
+    return rollups.species_rollup(rows, SYN, ruled, facts), rollups.cell_species(rows, ruled, SYN, facts=facts)
+
+
 def s(sql: str) -> str:
     return tb.oracle(sql, "sightings")
 
@@ -398,7 +405,7 @@ def park_facts(spark, sf):
     ),
 )
 def species_index(spark, sf):
-    idx = rollups.species_index(_species(spark, sf), _cell_species(spark, sf))
+    idx = rollups.species_index(*_species_and_cells(spark, sf))
     entries = F.array_sort(F.transform(F.map_entries("parks"), lambda e: F.concat_ws("=", e["key"], e["value"]["s"].cast("string"))))
     return idx.select(
         "species", F.coalesce("common_name", F.lit("-")).alias("common_name"), "total", "cells", "n_parks",
@@ -416,7 +423,7 @@ def species_index(spark, sf):
     ),
 )
 def unlisted(spark, sf):
-    return rollups.unlisted_cell_entries(_species(spark, sf), _cell_species(spark, sf))
+    return rollups.unlisted_cell_entries(*_species_and_cells(spark, sf))
 
 
 @query(
@@ -450,7 +457,7 @@ def parks_per_species(spark, sf):
 def park_index(spark, sf):
     p = tb.parks(spark, sf)
     known = rollups.add_seed_parks(p.filter("r_regionkey < 4").select("park", "name"), p.select("park", "name"))
-    out = rollups.park_index(known, _species(spark, sf), _cell_species(spark, sf), tb.stops(spark, sf))
+    out = rollups.park_index(known, *_species_and_cells(spark, sf), tb.stops(spark, sf))
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("species", "sightings", "cells", "stops")]
     return out.select("park", "name", "status", *zero)
 

@@ -307,6 +307,28 @@ def test_species_rollup(spark):
     assert set(out) == {"Bison bison", "Mammalia"}
 
 
+def test_species_and_cells_read_the_sightings_twice(spark, out_dir):
+    """One pass for names, votes and rules, one for cells; and with shared facts the same rows as without."""
+    data = [
+        _s(1), _s(2, "gbif", "Bos bison"), _s(3, status="obscured", common="Buffalo"), _s(4, rank="genus", sci="Bison", common="Cattle"),
+        _s(5, "mapillary_cv", "Mammalia", rank="class"), _s(6, "gbif", "Canis lupus", "Wolf"), _s(7, "gbif", None),
+    ]
+    path = f"{out_dir}/read-twice"
+    spark.createDataFrame(data, S_DDL).write.parquet(path)
+    rows, ruled = spark.read.parquet(path), rules.suppression_rules(spark)
+    facts = rollups.name_facts(rows, rules.DEFAULT_SYNONYMS)
+    species = rollups.species_rollup(rows, rules.DEFAULT_SYNONYMS, ruled, facts)
+    cells = rollups.cell_species(rows, ruled, rules.DEFAULT_SYNONYMS, facts=facts)
+    scans = lambda df: len({f for f in df.inputFiles() if "read-twice" in f})
+    assert scans(species) == 0 and "read-twice" not in species._jdf.queryExecution().optimizedPlan().toString()
+    index = rollups.species_index(species, cells)
+    assert index._jdf.queryExecution().sparkPlan().toString().count("read-twice") == 1
+    assert sorted(map(str, species.collect())) == sorted(map(str, rollups.species_rollup(rows, rules.DEFAULT_SYNONYMS, ruled).collect()))
+    assert sorted(map(str, cells.collect())) == sorted(map(str, rollups.cell_species(rows, ruled, rules.DEFAULT_SYNONYMS).collect()))
+    found = {r.species: r for r in species.collect()}
+    assert set(found) == {"Bison bison", "Mammalia", "Canis lupus"} and found["Bison bison"].sightings == 3
+
+
 def test_road_bias(spark):
     img = spark.createDataFrame([("c", -110.0, 44.9)], "corridor string, lon double, lat double")
     data = [_s(1), _s(2, lon=-110.05), _s(3, lon=-120.0)]
