@@ -277,6 +277,24 @@ def hotspots_near(spark, sf):
     return out.select("park", "species", "cell", "landmark", F.round("dist_m", 6).alias("dist_m"))
 
 
+_M, _R = (", ".join(f"{c}{m}" for m in range(1, 13)) for c in "mr")
+_NAMED = "['Jan', 'Feb', 'Mar', 'Apr', 'May', 'Jun', 'Jul', 'Aug', 'Sep', 'Oct', 'Nov', 'Dec']"
+
+
+@query(
+    "species_facts",
+    o(
+        f"""SELECT rel.park, rel.species, coalesce(p.common_name, rel.species) || ' (' || rel.species || '): ' || format('{{:,}}', sightings) || ' sightings, ' || format('{{:,}}', human_verified)
+     || ' verified by people and ' || model_predicted || ' model-predicted, recorded ' || year(first_on) || ' to ' || year(last_on) || '; busiest month ' || {_NAMED}[list_position([{_M}], greatest({_M}))]
+     || coalesce(CASE WHEN greatest({_R}) > 0 THEN '; seen ' || printf('%.1f', greatest({_R})) || 'x more than usual in ' || {_NAMED}[list_position([{_R}], greatest({_R}))] END, '') || '.' AS fact
+     FROM rel LEFT JOIN picked p ON p.park = rel.park AND p.species = rel.species""",
+        "sightings", extra=f"{SPECIES}, {EFFORT}, {REL}",
+    ),
+)
+def species_facts(spark, sf):
+    return search.species_fact(rollups.relative_months(_species(spark, sf)))
+
+
 @query(
     "species_sentence_months",
     o(

@@ -421,14 +421,6 @@ def facts_numbered(spark, sf):
     return search.number_facts(f).select("qid", "ord", "n")
 
 
-@query("species_facts")
-def species_facts(spark, sf):
-    from observatory.operators import rollups
-    from observatory.plans.sightings import _species
-
-    return search.species_fact(rollups.relative_months(_species(spark, sf)))
-
-
 @query(
     "index_search",
     tb.oracle(
