@@ -133,8 +133,8 @@ def mix(
     """
     rows = materialise(measured(df, id_col, text_col, source_col), "sizes")
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    limits = thresholds(rows, materialise(targets(totals, weights, cap), "targets"))
-    return copies(rows, limits)
+    limits = materialise(thresholds(rows, materialise(targets(totals, weights, cap), "targets")), "thresholds")
+    return copies(rows, limits)  # a written table of one row a source: sent to the rows if small, else a join whose hot source is split
 
 
 def mixed_documents(df: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3) -> DataFrame:
