@@ -480,10 +480,15 @@ def coverage_summary(images: DataFrame, tiles: DataFrame) -> DataFrame:
 
 
 def monthly_readers(views: DataFrame, keys: list[str], today: str) -> DataFrame:
-    """Average monthly readers over the twelve complete months before ``today``."""
+    """Average monthly readers over the twelve complete months before ``today``.
+
+    Views are added as decimals (six places): a mean that ends in one half rounds
+    to the even number whatever the order of the rows.
+    """
     this_month = F.trunc(F.lit(today).cast("date"), "month")
     window = (F.col("month") >= F.add_months(this_month, -12)) & (F.col("month") < this_month)
-    return views.filter(window).groupBy(*keys).agg(F.bround(F.avg("views"), 0).cast("bigint").alias("views_pm"))
+    mean = F.avg(F.col("views").cast("decimal(28,6)"))
+    return views.filter(window).groupBy(*keys).agg(F.bround(mean, 0).cast("bigint").alias("views_pm"))
 
 
 # Gauge parameter codes and the no-data sentinel.
