@@ -208,8 +208,14 @@ def place_samples(places: DataFrame, pieces: DataFrame, step_m: float = lines.TR
     return points.unionByName(walked)
 
 
-def place_rollup(places: DataFrame, hits: DataFrame, k: int = TOP_SPECIES) -> DataFrame:
-    """Sightings, species, months and top species per place."""
+def place_rollup(places: DataFrame, hits: DataFrame, k: int = TOP_SPECIES, members: DataFrame | None = None) -> DataFrame:
+    """Sightings, species, months and top species per place.
+
+    ``members``: park, place, site, if ``hits`` are those of sites
+    (``spatial.site_hits``): a site is rolled up once for all its places.
+    """
+    if members is not None:
+        hits = hits.withColumnRenamed("site", "place")
     # A place's species are a vocabulary-bounded list: ranked once, then folded
     # with the totals in the same pass over the same partitioning.
     months = [F.sum(F.when(F.col("month") == m, F.col("n"))).alias(f"m{m}") for m in range(1, 13)]
@@ -224,6 +230,8 @@ def place_rollup(places: DataFrame, hits: DataFrame, k: int = TOP_SPECIES) -> Da
         F.array(*sums).alias("months"),
         F.array_sort(F.collect_list(kept)).alias("top"),
     )
+    if members is not None:
+        totals = members.join(totals.withColumnRenamed("place", "site"), ["park", "site"]).drop("site")
     zero = F.array_repeat(F.lit(0).cast("bigint"), 12)
     p = places.withColumnRenamed("id", "place")
     return (

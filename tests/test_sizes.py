@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 
-from observatory.operators import rollups, spatial
+from pyspark.sql import functions as F
+
+from observatory.operators import places, rollups, spatial
 
 
 def rows(df):
@@ -57,3 +59,18 @@ def test_things_at_one_position_meet_once(spark, monkeypatch):
         want += [(a, grp, n, r[0]) for a in range(30) for n, r in enumerate(order, 1)]
     assert got == sorted(want)
     assert max(counts) <= 2 * 4 * 6
+
+
+def test_places_at_one_position_are_one_site(spark):
+    """Each site meets the sightings once; hits and the rollup still list every place."""
+    day = dt.date(2024, 5, 1)
+    seen = spark.createDataFrame([("p", 10.0 + 0.002 * (i % 4), 50.0, day, "ab"[i % 2]) for i in range(40)], "park string, lon double, lat double, observed_on date, scientific_name string")
+    spots = [("p", f"n{i}", 10.0, 50.0, 250.0) for i in range(20)] + [("p", "far", 11.0, 50.0, 250.0)] + [("p", "trail", 10.0 + 0.002 * i, 50.0, 100.0) for i in range(3)]
+    samples = spark.createDataFrame(spots, "park string, place string, lon double, lat double, radius_m double")
+    members, hits = spatial.site_hits(seen, samples)
+    assert members.count() == 22 and hits.select("site").distinct().count() == 2
+    near = rows(spatial.place_hits(seen, samples))
+    assert near == sorted([("p", f"n{i}", 5, s, 10) for i in range(20) for s in "ab"] + [("p", "trail", 5, "a", 20), ("p", "trail", 5, "b", 10)])
+    pl = members.select("park", F.col("place").alias("id"))
+    one, each = (places.place_rollup(pl, h, members=m).select("place", "n", "species", "months") for h, m in ((hits, members), (spatial.place_hits(seen, samples), None)))
+    assert rows(one) == rows(each) and len(rows(one)) == 22
