@@ -57,6 +57,23 @@ def displayable_photos(observations: DataFrame) -> DataFrame:
     )
 
 
+def first_of_row(observations: DataFrame) -> DataFrame:
+    """The first displayable photo of each row of ``displayable_photos``' input, with its columns; rows without one go.
+
+    Photos are judged inside their row, so nothing holds a row per photo.
+    """
+    licensed = F.filter(
+        F.transform("photos", lambda p, i: F.struct(i.alias("photo_pos"), text.display_license(p["license_code"]).alias("licence"), p["url"].alias("url"))),
+        lambda x: x["licence"].isNotNull(),
+    )
+    # an address is read whole only where it is known to be one
+    known = F.filter(licensed, lambda x: text.parse_photo(x["url"]).isNotNull())
+    first = F.get(known, F.lit(0))
+    rows = observations.select(*[c for c in observations.columns if c != "photos"], F.explode(F.array(first)).alias("x"))
+    rows = rows.filter(F.col("x").isNotNull()).withColumn("p", text.parse_photo(F.col("x.url")))
+    return rows.select("*", "x.photo_pos", "x.licence", "p.photo_id", "p.ext", "p.host").drop("x", "p")
+
+
 def first_photo(photos: DataFrame, observation: str = "observation_id") -> DataFrame:
     """The first displayable photo of each observation."""
     rest = [c for c in photos.columns if c != observation]

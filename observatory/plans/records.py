@@ -492,15 +492,19 @@ def label_similarity(spark, sf):
 
 
 def _photos(spark, sf):
-    """Orders as observations, their distinct lines as photos; the strips read the result several times, so it is written once."""
+    """Orders as observations, their distinct lines as photos; the strips read the result several times, so it is written once.
+
+    Line numbers and keys meet the orders; what is written out of them comes after that join.
+    """
     tb.register(spark, sf, "orders", "lineitem")
     obs = spark.sql(
         """SELECT o_orderkey AS observation_id, concat('park', o_custkey % 5) AS park, concat('sp', o_custkey % 23) AS species, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_custkey % 40 END AS cell, o_orderkey % 50 AS faves,
-      CAST(o_orderdate AS DATE) AS observed_on, photos FROM orders JOIN (SELECT l_orderkey, transform(array_sort(collect_set(named_struct('n', l_linenumber, 'k', l_partkey))), x -> named_struct('url', concat(
-        CASE x.k % 4 WHEN 0 THEN 'https://static.inaturalist.org/photos/' WHEN 1 THEN 'https://elsewhere.org/photos/' ELSE 'https://inaturalist-open-data.s3.amazonaws.com/photos/' END, l_orderkey * 100000 + x.n * 10000 + x.k, '/medium.JPG'),
-        'license_code', CASE x.k % 5 WHEN 0 THEN 'cc-by-nd' WHEN 1 THEN NULL WHEN 2 THEN 'cc0' ELSE 'cc-by-nc' END)) AS photos FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey"""
+      CAST(o_orderdate AS DATE) AS observed_on, transform(array_sort(v), x -> named_struct('url', concat(
+        CASE x.k % 4 WHEN 0 THEN 'https://static.inaturalist.org/photos/' WHEN 1 THEN 'https://elsewhere.org/photos/' ELSE 'https://inaturalist-open-data.s3.amazonaws.com/photos/' END, o_orderkey * 100000 + x.n * 10000 + x.k, '/medium.JPG'),
+        'license_code', CASE x.k % 5 WHEN 0 THEN 'cc-by-nd' WHEN 1 THEN NULL WHEN 2 THEN 'cc0' ELSE 'cc-by-nc' END)) AS photos
+      FROM orders JOIN (SELECT l_orderkey, collect_set(named_struct('n', l_linenumber, 'k', l_partkey)) AS v FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey"""
     )
-    return materialise(ranking.first_photo(ranking.displayable_photos(obs)), "photos")
+    return materialise(ranking.first_photo(ranking.first_of_row(obs)), "photos")
 
 
 PH = """ph AS (SELECT * FROM (SELECT o_orderkey AS observation_id, 'park' || (o_custkey % 5) AS park, 'sp' || (o_custkey % 23) AS species, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_custkey % 40 END AS cell, o_orderkey % 50 AS faves,

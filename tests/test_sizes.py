@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from observatory.operators import places, rollups, spatial
+from observatory.operators import places, ranking, rollups, spatial
 
 
 def rows(df):
@@ -74,3 +74,18 @@ def test_places_at_one_position_are_one_site(spark):
     pl = members.select("park", F.col("place").alias("id"))
     one, each = (places.place_rollup(pl, h, members=m).select("place", "n", "species", "months") for h, m in ((hits, members), (spatial.place_hits(seen, samples), None)))
     assert rows(one) == rows(each) and len(rows(one)) == 22
+
+
+def test_the_first_photo_of_a_row_is_found_inside_the_row(spark):
+    """As by a row per photo, but no plan holds these rows."""
+    good, other = "https://static.inaturalist.org/photos/{}/medium.JPG", "https://elsewhere.org/photos/{}/medium.jpg"
+    photos = [
+        [(other.format(1), "cc0"), (good.format(2), None), (good.format(3), "cc-by-nc"), (good.format(4), "cc0")],
+        [(good.format(5), "cc0")], [(other.format(6), "cc0")], [], None, [(None, "cc0"), None, (good.format(8), "cc0")], [(good.format(9), "cc-by-nc")],
+    ]
+    df = spark.createDataFrame([(i % 6, f"s{i}", p) for i, p in enumerate(photos)], "observation_id int, species string, photos array<struct<url:string,license_code:string>>")
+    got = ranking.first_photo(ranking.first_of_row(df))
+    want = ranking.first_photo(ranking.displayable_photos(df))
+    assert got.columns == want.columns and rows(got) == rows(want) and len(rows(got)) == 3
+    plan = ranking.first_of_row(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan
