@@ -25,14 +25,17 @@ from observatory.sources import readers, sinks
     ),
 )
 def landed_ways(spark, sf):
-    """Ways as documents of up to 500 elements with some points among them, read as landed files."""
+    """Ways as documents of up to 500 elements with some points among them, read as landed files.
+
+    Each document is a file, and all files lie in one folder, which is listed at once.
+    """
     path = scratch_path(spark, "landed-ways")
     way = F.struct(F.lit("way").alias("type"), "id", "tags", "nodes", "geometry")
     point = F.struct(F.lit("node").alias("type"), "id", "tags", F.lit(None).cast("array<bigint>").alias("nodes"), F.lit(None).cast("array<struct<lon:double,lat:double>>").alias("geometry"))
     rows = tb.ways(spark, sf).select(F.expr("id div 500").alias("doc"), F.explode(F.array(way, point)).alias("e"))
     docs = rows.groupBy("doc").agg(F.to_json(F.struct(F.collect_list("e").alias("elements"))).alias("value"))
-    docs.repartition("doc").write.partitionBy("doc").text(path)
-    got = readers.read_elements(spark, f"{path}/*", ways=True)
+    docs.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    got = readers.read_elements(spark, path, ways=True)
     lon, lat = F.array_min(F.transform("geometry", lambda p: p["lon"])), F.array_max(F.transform("geometry", lambda p: p["lat"]))
     name = F.coalesce(F.try_element_at("tags", F.lit("name")), F.lit("-"))
     return got.select("id", F.size("nodes").cast("bigint").alias("n"), F.round(lon, 6).alias("min_lon"), F.round(lat, 6).alias("max_lat"), name.alias("name"))

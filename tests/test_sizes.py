@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 
 from pyspark.sql import functions as F
 
 from observatory.operators import places, ranking, rollups, spatial
+from observatory.plans import landed
 
 
 def rows(df):
@@ -89,3 +91,12 @@ def test_the_first_photo_of_a_row_is_found_inside_the_row(spark):
     assert got.columns == want.columns and rows(got) == rows(want) and len(rows(got)) == 3
     plan = ranking.first_of_row(df)._jdf.queryExecution().optimizedPlan().toString()
     assert "posexplode" not in plan
+
+
+def test_landed_documents_are_files_of_one_folder(spark, monkeypatch, out_dir):
+    monkeypatch.setattr(landed, "scratch_path", lambda *_: f"{out_dir}/ways")
+    ways = landed.landed_ways(spark, "/root/testdata/sf0.001")
+    names = [n for n in os.listdir(f"{out_dir}/ways") if not n.startswith((".", "_"))]
+    assert len(names) > 1 and all(os.path.isfile(f"{out_dir}/ways/{n}") for n in names)
+    ids = [r.id for r in ways.select("id").collect()]
+    assert len(names) == len({i // 500 for i in ids}) and len(ids) == len(set(ids))
