@@ -8,10 +8,13 @@ with its batch twin.
 from __future__ import annotations
 
 import datetime as dt
+import io
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -140,68 +143,103 @@ def _metres(lon1: np.ndarray, lat1: np.ndarray, lon2: np.ndarray, lat2: np.ndarr
 
 CHAIN_OUTPUT = "sequence_id string, label string, first_ts timestamp, last_ts timestamp, n bigint"
 
+#: What the state of chains keeps: rows that wait, and open chains as their last row with their start and size.
+_ROWS = pa.schema([
+    ("sequence_id", pa.string()), ("label", pa.string()), ("us", pa.int64()), ("id", pa.int64()), ("lon", pa.float64()), ("lat", pa.float64()),
+    ("first_us", pa.int64()), ("n", pa.int64()), ("open", pa.bool_()),
+])
 
-def frame_chains(stream: DataFrame, gap_s: float = 60.0, dist_m: float = 200.0, delay: str = "1 hour") -> DataFrame:
+
+def _packed(rows: pa.Table) -> bytes:
+    out = io.BytesIO()
+    with pa.ipc.new_stream(out, rows.schema) as writer:
+        writer.write_table(rows.combine_chunks())
+    return out.getvalue()
+
+
+def _new_rows(pdf: pd.DataFrame) -> pa.Table:
+    us = pa.array(pdf["ts"].astype("datetime64[us]").astype("int64"))
+    n = len(pdf)
+    columns = [
+        pa.array(pdf["sequence_id"], pa.string(), from_pandas=True), pa.array(pdf["label"], pa.string(), from_pandas=True), us,
+        pa.array(pdf["id"], from_pandas=True).cast(pa.int64()), pa.array(pdf["lon"], pa.float64(), from_pandas=True), pa.array(pdf["lat"], pa.float64(), from_pandas=True),
+        us, pa.array(np.ones(n, np.int64)), pa.array(np.zeros(n, bool)),
+    ]
+    return pa.Table.from_arrays(columns, schema=_ROWS)
+
+
+def _codes(column: pa.ChunkedArray) -> np.ndarray:
+    """A number per value; null is a value."""
+    return pa.compute.dictionary_encode(column.combine_chunks(), null_encoding="encode").indices.to_numpy()
+
+
+def _advanced(rows: pa.Table, mark: int, gap_us: int, dist_m: float) -> tuple[pa.Table, pa.Table]:
+    """(what stays, chains that closed) of the open chains and waiting rows of many keys when the watermark is ``mark``.
+
+    Of each key the open chain goes first, as its last row, then its released
+    rows by time and id. All keys are linked in one pass over the sorted rows.
+    """
+    first_key, second_key = _codes(rows["sequence_id"]).astype(np.int64), _codes(rows["label"]).astype(np.int64)
+    key = first_key * (second_key.max(initial=0) + 1) + second_key
+    us, is_open = rows["us"].to_numpy(), rows["open"].to_numpy()
+    ready = np.flatnonzero(is_open | (us <= mark))
+    ids = rows["id"].fill_null(np.iinfo(np.int64).max).to_numpy()
+    at = ready[np.lexsort((ids[ready], us[ready], ~is_open[ready], key[ready]))]
+    t, k = us[at], key[at]
+    x, y = rows["lon"].to_numpy()[at], rows["lat"].to_numpy()[at]
+    same = k[1:] == k[:-1]
+    linked = same & (np.diff(t) <= gap_us) & (_metres(x[:-1], y[:-1], x[1:], y[1:]) <= dist_m)
+    starts = np.flatnonzero(np.append(True, ~linked)[:len(at)])
+    ends = np.append(starts[1:], len(at))[:len(starts)] - 1
+    sizes = np.add.reduceat(rows["n"].to_numpy()[at], starts) if len(at) else np.zeros(0, np.int64)
+    ahead = np.append(same, False)[:len(at)][ends]  # the key goes on behind the chain
+    chains = rows.take(pa.array(at[ends])).set_column(6, "first_us", pa.array(rows["first_us"].to_numpy()[at[starts]]))
+    chains = chains.set_column(7, "n", pa.array(sizes)).set_column(8, "open", pa.array(np.ones(len(ends), bool)))
+    closed = ahead | (t[ends] + gap_us < mark)
+    waiting = rows.filter(pa.array(~is_open & (us > mark)))
+    return pa.concat_tables([waiting, chains.filter(pa.array(~closed))]), chains.filter(pa.array(closed))
+
+
+def frame_chains(stream: DataFrame, gap_s: float = 60.0, dist_m: float = 200.0, delay: str = "1 hour", buckets: int = 2048) -> DataFrame:
     """Frame chains with the distance clause, one open chain of state per key (ST4).
 
     ``stream``: sequence_id, label, ts, lon, lat, id. Rows of a key are released
     in order of time and id once the watermark passes them; the open chain
     closes when the watermark is a gap past its last row. State is the rows
-    still waiting plus one chain.
+    still waiting plus one chain per key.
+
+    Keys are dealt into ``buckets`` by hash, and the keys of a bucket advance
+    together, so a batch costs a call of Python per bucket and not per key. A
+    stream that was begun with one number of buckets goes on with it.
     """
-    state_schema = (
-        "buf_us array<bigint>, buf_id array<bigint>, buf_lon array<double>, buf_lat array<double>, "
-        "first_us bigint, last_us bigint, lon double, lat double, n bigint"
-    )
     gap_us = int(gap_s * 1_000_000)
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        us, ids, lon, lat, first, last, last_lon, last_lat, n = state.get if state.exists else ([], [], [], [], None, None, None, None, 0)
-        parts = [(np.array(us or [], np.int64), np.array(ids or [], np.int64), np.array(lon or [], float), np.array(lat or [], float))]
+        parts = [_ROWS.empty_table()]
+        if state.exists:
+            parts.append(pa.ipc.open_stream(state.get[0]).read_all())
         if not state.hasTimedOut:
-            for pdf in batches:
-                parts.append((pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy(), pdf["id"].to_numpy(), pdf["lon"].to_numpy(), pdf["lat"].to_numpy()))
-        us, ids, lon, lat = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((ids, us))
-        us, ids, lon, lat = us[order], ids[order], lon[order], lat[order]
+            parts += [_new_rows(pdf) for pdf in batches]
         mark = state.getCurrentWatermarkMs() * 1000
-        ready = int(np.searchsorted(us, mark, side="right"))
-        closed = []
-        if ready:
-            t, x, y = us[:ready], lon[:ready], lat[:ready]
-            if last is not None:  # the open chain takes part as its last row
-                t, x, y = np.append(last, t), np.append(last_lon, x), np.append(last_lat, y)
-            linked = (np.diff(t) <= gap_us) & (_metres(x[:-1], y[:-1], x[1:], y[1:]) <= dist_m)
-            starts = np.append(0, np.flatnonzero(~linked) + 1)
-            sizes, ends = np.diff(np.append(starts, len(t))), np.append(starts[1:], len(t)) - 1
-            firsts = t[starts].copy()
-            if last is not None:
-                firsts[0] = first
-                sizes[0] += n - 1
-            closed = list(zip(firsts[:-1].tolist(), t[ends[:-1]].tolist(), sizes[:-1].tolist(), strict=True))
-            first, last, last_lon, last_lat, n = int(firsts[-1]), int(t[-1]), float(x[-1]), float(y[-1]), int(sizes[-1])
-        if last is not None and mark > last + gap_us:
-            closed.append((first, last, n))
-            first = last = last_lon = last_lat = None
-            n = 0
-        if ready < len(us) or last is not None:
-            state.update((us[ready:].tolist(), ids[ready:].tolist(), lon[ready:].tolist(), lat[ready:].tolist(), first, last, last_lon, last_lat, n))
-            due = min([int(us[ready])] if ready < len(us) else [last + gap_us])
-            if last is not None:
-                due = min(due, last + gap_us)
+        stays, closed = _advanced(pa.concat_tables(parts), mark, gap_us, dist_m)
+        if stays.num_rows:
+            state.update((_packed(stays),))
+            due = int(np.min(stays["us"].to_numpy() + np.where(stays["open"].to_numpy(), gap_us, 0)))
             state.setTimeoutTimestamp(max(due // 1000 + 1, mark // 1000 + 1))
         elif state.exists:
             state.remove()
-        if closed:
+        if closed.num_rows:
             yield pd.DataFrame({
-                "sequence_id": key[0], "label": key[1], "first_ts": pd.to_datetime([c[0] for c in closed], unit="us"),
-                "last_ts": pd.to_datetime([c[1] for c in closed], unit="us"), "n": [c[2] for c in closed],
+                "sequence_id": closed["sequence_id"].to_pandas(), "label": closed["label"].to_pandas(),
+                "first_ts": pd.to_datetime(closed["first_us"].to_numpy(), unit="us"), "last_ts": pd.to_datetime(closed["us"].to_numpy(), unit="us"),
+                "n": closed["n"].to_numpy(),
             })
 
     return (
         stream.withWatermark("ts", delay)
-        .groupBy("sequence_id", "label")
-        .applyInPandasWithState(advance, CHAIN_OUTPUT, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
+        .withColumn("bucket", F.pmod(F.xxhash64("sequence_id", "label"), F.lit(buckets)))
+        .groupBy("bucket")
+        .applyInPandasWithState(advance, CHAIN_OUTPUT, "waiting binary", "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 

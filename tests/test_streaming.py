@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from observatory.session import scratch_path
@@ -66,6 +67,31 @@ def test_stateful_chains_equal_the_batch_chains(spark):
     assert got == _chains(data, 300, 200.0)
 
 
+def test_chains_of_many_keys_advance_together():
+    rows = [("a", None, 10, 1), ("a", None, 70, 2), (None, "b", 60, 3), ("a", None, 131, 4), ("a", "b", 900, 5)]
+    table = live._new_rows(pd.DataFrame({
+        "sequence_id": [r[0] for r in rows], "label": [r[1] for r in rows], "ts": pd.to_datetime([r[2] for r in rows], unit="us"),
+        "id": [r[3] for r in rows], "lon": 0.0, "lat": 0.0,
+    }))
+    names = ["sequence_id", "label", "first_us", "us", "n", "open"]
+    stays, closed = live._advanced(table, 150, 60, 1.0)  # the second chain of the first key is still open
+    assert closed.select(names).to_pylist() == [dict(zip(names, r, strict=True)) for r in (("a", None, 10, 70, 2, True), (None, "b", 60, 60, 1, True))]
+    assert stays.select(names).to_pylist() == [dict(zip(names, r, strict=True)) for r in (("a", "b", 900, 900, 1, False), ("a", None, 131, 131, 1, True))]
+    stays, closed = live._advanced(stays, 1000, 60, 1.0)
+    assert stays.num_rows == 0 and closed.num_rows == 2
+
+
+def test_chains_keep_state_per_bucket_of_keys(spark):
+    data = _events(250, 9)
+    stream = live.frame_chains(_read(spark, _land(spark, data), 2), 300, 200.0, "10 seconds", buckets=2)
+    calls, progress = scratch_path(spark, "chains"), scratch_path(spark, "progress")
+    query = stream.writeStream.format("parquet").option("checkpointLocation", progress).trigger(availableNow=True).start(calls)
+    query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 2  # and not one per key
+    got = sorted((r.sequence_id, r.label, r.first_ts, r.last_ts, r.n) for r in spark.read.parquet(calls).filter("sequence_id <> 'end'").collect())
+    assert got == _chains(data, 300, 200.0)
+
+
 def test_upsert_over_batches_equals_the_batch(spark):
     data = _events(120, 3)
     s = _read(spark, _land(spark, data)).select((F.col("id") % 10).alias("k"), "ts", "id")
