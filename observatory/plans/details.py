@@ -102,7 +102,7 @@ def headings(spark, sf):
 )
 def path_lengths(spark, sf):
     """Every traced path adds up to its distance."""
-    edges = pl._edges(spark, sf)
+    edges = pl._cut_once(pl._edges(spark, sf))
     dist = graph.shortest_distances(pl._sources(spark, sf), edges, "drive")
     walked = graph.trace_paths(dist, dist.select("source", F.col("node").alias("target")), edges)
     return walked.join(edges.select("edge_id", "length_m"), "edge_id").groupBy("source", "target").agg(F.sum("length_m").alias("length_m"))

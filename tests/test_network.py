@@ -6,6 +6,7 @@ import heapq
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,3 +130,39 @@ def test_weak_components(spark):
                 root[a] = root[b] = min(root[a], root[b])
     got = graph.weak_components(spark.createDataFrame(pairs, "src bigint, dst bigint"))
     assert {r.node: r.component for r in got.collect()} == root
+
+
+def test_contraction_and_late_rounds_carry_only_what_is_open(spark, monkeypatch):
+    """Forty short roads beside a long one: arcs and searches that are done are not written again."""
+    monkeypatch.setattr(graph, "MANY_SEARCHES", 2)
+    long = [(i, i + 1, 1, 0) for i in range(12)] + [(i, i + 500, 1, 0) for i in range(12)]  # a comb
+    rows = long + [(1000 + 10 * i, 1001 + 10 * i, 2, 0) for i in range(40)] + [(2000 + i, 2001 + i, 1, 0) for i in range(16)]
+    sizes, real = {}, graph.materialise
+
+    def counted(df, label="cut"):
+        out = real(df, label)
+        sizes.setdefault(label, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "materialise", counted)
+    starts = [0, 2000, *range(1000, 1400, 10)]
+    dist = graph.shortest_distances(spark.createDataFrame([(s,) for s in starts], "node bigint"), edges_frame(spark, rows), "drive")
+    arcs = arcs_of(rows)
+    assert {(r.source, r.node): (r.dist, r.hops) for r in dist.collect()} == {(s, n): b for s in starts for n, b in dijkstra(arcs, s).items()}
+    assert sizes["labels"][4] < 40 <= sizes["labels"][0] and sizes["searches"][0] <= 21
+    assert sizes["chains"][1] <= 32 and sizes["chains"][-1] < sizes["chains"][1]  # the arcs of the one road with inner nodes
+
+
+def test_pieces_of_a_batch_equal_those_of_each_way(monkeypatch):
+    monkeypatch.setattr(graph, "SIDE_BY_SIDE", 12)
+    rng = np.random.default_rng(5)
+    offsets = np.append(0, np.cumsum(rng.integers(0, 30, 200)))
+    m = rng.choice([0.0, 10.0, 99.5, 150.0, 400.0, np.nan], offsets[-1], p=[0.1, 0.3, 0.3, 0.2, 0.09, 0.01])
+    stop = np.append(rng.random(offsets[-1]) < 0.2, False)
+    stop[offsets[1:] - 1] = True
+    want = []
+    for i, (first, end) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        stops = (np.flatnonzero(stop[first + 1:end]) + 1).tolist()
+        want += [(i, first + a, first + b, x) for a, b, x in graph._pieces(m[first:max(first, end - 1)], stops, 300.0)]
+    got = list(zip(*(c.tolist() for c in graph._all_pieces(offsets, m, stop, 300.0)), strict=True))
+    assert str(got) == str(want) and len(got) > 300
