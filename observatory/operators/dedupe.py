@@ -8,6 +8,9 @@ source down, so a row only meets rows that are already known to stay.
 A third of all rows may be one species on one day at one overlook, so no step
 lists the pairs of such a group. Positions and times are filed in fine cells:
 
+* first every row meets the few best rows of its wide cell, in order of rank: the
+  first in reach is its answer, and in a crowd nearly all rows find one there. What
+  is left goes on to fine cells;
 * cells that lie wholly within reach of each other are settled by one minimum
   per cell, whatever they hold;
 * a pair of cells at the edge of reach that still holds many pairs of rows is
@@ -41,6 +44,8 @@ _GRID = 4          # fine cells per reach, on each axis
 _SLOTS = 2         # fine time slots per window
 _DEPTH = 8         # how often a cell may be halved
 _LEAF = 1 << 8     # pairs of rows that two cells may compare one by one
+_WIDE = 4          # reaches a wide cell is long on each axis, windows in time
+_FIRST = 48        # best rows of a wide cell that are tried before its fine cells
 
 
 def _priority(source: Column, ranks: Mapping[str, int]) -> Column:
@@ -84,6 +89,43 @@ _KEYS = ["park", "name", "unnamed", "day"]
 _AXES = ["fx", "fy", "fz"]
 
 
+def _tried(probe: DataFrame, canon: DataFrame, dist_m: float, window_s: float) -> tuple[DataFrame, list[DataFrame]]:
+    """(``id`` and ``hit`` of rows of ``probe`` that repeat one, ids not settled by time and by observer) by the ``_FIRST`` best rows around.
+
+    Kept rows are filed in every wide cell that their reach touches, so the list
+    of a cell begins with the best of all rows that one of its own can repeat, and
+    the first on it in reach is the best. A list that is not full is whole: its
+    cell is settled. Rows without a time meet only lists by observer.
+    """
+    parts = []
+    for by_time in (True, False):
+        need = F.col("us").isNotNull() if by_time else F.col("who").isNotNull()
+        keys = _KEYS + ([] if by_time else ["who"])
+        widths = {a: (_GRID << _DEPTH) * _WIDE for a in _AXES} | ({"ft": (_SLOTS << _DEPTH) * _WIDE} if by_time else {})
+        cells = [f"w_{a}" for a in widths]
+        point = ["lon", "lat"] + (["us"] if by_time else [])
+        alike = canon.filter(need).groupBy(*keys, *widths, *point).agg(F.min(F.struct("prio", "src", "id")).alias("rank"))
+        for a, w in widths.items():
+            gap = w // _WIDE + 1
+            alike = alike.withColumn(f"w_{a}", F.explode(F.array_distinct(F.array(F.floor((F.col(a) - gap) / w), F.floor((F.col(a) + gap) / w)))))
+        best = alike.withColumn("pos", F.row_number().over(W.partitionBy(*keys, *cells).orderBy("rank"))).filter(F.col("pos") <= _FIRST)
+        best = materialise(best.select(*keys, *cells, "pos", "rank", *[F.col(c).alias(f"c_{c}") for c in point]), "best-of-cells")
+        rows = probe.filter(need)
+        for a, w in widths.items():
+            rows = rows.withColumn(f"w_{a}", F.floor(F.col(a) / w))
+        on = geo.haversine_m("lon", "lat", "c_lon", "c_lat") <= dist_m
+        if by_time:
+            on = on & (F.abs(F.col("us") - F.col("c_us")) <= int(window_s * 1e6))
+        # a whole number is the cheapest to take the least of; its row comes after
+        met = rows.select("id", *keys, *cells, *point).join(best.drop("rank"), [*keys, *cells])
+        first = met.groupBy("id", *keys, *cells).agg(F.min(F.when(on, F.col("pos"))).alias("pos"), F.max("pos").alias("n"))
+        parts.append(materialise(first.join(best.select(*keys, *cells, "pos", "rank"), [*keys, *cells, "pos"], "left").select("id", F.col("rank").alias("hit"), "n"), "tried"))
+    # under a rule a hit or a whole list settles a row
+    left = [part.filter(F.col("hit").isNull() & (F.col("n") >= _FIRST)).select("id") for part in parts]
+    hits = parts[0].unionByName(parts[1]).filter(F.col("hit").isNotNull()).select("id", "hit")
+    return hits, left
+
+
 def _best(probe: DataFrame, canon: DataFrame, dist_m: float, window_s: float, by_time: bool) -> DataFrame:
     """Lowest (prio, src, id) canonical row matching each probe row under one rule.
 
@@ -201,7 +243,11 @@ def find_duplicates(
         if kept is None:
             kept = probe
             continue
-        hits = _best(probe, kept, dist_m, window_s, True).unionByName(_best(probe, kept, dist_m, window_s, False))
+        hits, left = _tried(probe, kept, dist_m, window_s)
+        for ids, by_time in zip(left, (True, False), strict=True):
+            if not ids.isEmpty():
+                rest = materialise(probe.join(ids, "id", "left_semi"), "rest")
+                hits = hits.unionByName(_best(rest, kept, dist_m, window_s, by_time))
         dup = hits.groupBy("id").agg(F.min("hit").alias("hit")).select("id", F.col("hit.id").alias("duplicate_of"))
         dup = materialise(dup, "duplicates")
         found = found.unionByName(dup)

@@ -231,6 +231,20 @@ def test_crowds_of_different_positions(spark, monkeypatch, metres):
     assert sums[1] < 10 * max(sums[0], 400) and sums[1] < 1600 * 1600 / 4
 
 
+def test_a_crowd_is_settled_by_its_best_rows(spark, monkeypatch):
+    """Of a crowd that is spread over a day and several reaches, fine cells only see the few rows that none of the best is near."""
+    rng, day, asked, real = random.Random(8), dt.date(2024, 6, 1), [], dedupe._best
+    data = [
+        (f"{s}:{i:05d}", s, "p", "Elk", day, None if i % 9 == 0 else dt.datetime(2024, 6, 1) + dt.timedelta(seconds=rng.randrange(86400)),
+         -110.0 + rng.uniform(0, 0.01), 44.9 + rng.uniform(0, 0.01), rng.choice(["Ann", "a n n", "Bo", None]), None)
+        for s in ("inaturalist", "gbif", "mapillary_cv") for i in range(400)
+    ]
+    monkeypatch.setattr(dedupe, "_best", lambda probe, *args: asked.append(probe.count()) or real(probe, *args))
+    got = {r.sighting_id: r.duplicate_of for r in dedupe.find_duplicates(spark.createDataFrame(data, DEDUPE_DDL), 700.0, 43200.0).collect()}
+    assert got == brute_dedupe(data, 700.0, 43200.0) and len(got) > 700
+    assert sum(asked) < 160  # of 2 x 400 rows under two rules
+
+
 def test_dedupe_marks_but_keeps(spark):
     day = dt.date(2024, 6, 1)
     data = [
